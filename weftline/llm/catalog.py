@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from .bpe import op7_bpe
+from .pii import op8_pii
+from .simhash import op6_simhash
+from .substring import op10_substring
 
-QUERIES = {"op7_bpe": op7_bpe}
+QUERIES = {"op6_simhash": op6_simhash, "op7_bpe": op7_bpe, "op8_pii": op8_pii, "op10_substring": op10_substring}
 ORACLES: dict[str, str] = {}
