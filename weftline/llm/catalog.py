@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from .bpe import op7_bpe
 from .langid import op9_langid
+from .mixing import op4_mixing
 from .pii import op8_pii
 from .simhash import op6_simhash
 from .substring import op10_substring
 from .toxicity import op3_toxicity
 
-QUERIES = {"op3_toxicity": op3_toxicity, "op9_langid": op9_langid, "op6_simhash": op6_simhash, "op7_bpe": op7_bpe, "op8_pii": op8_pii, "op10_substring": op10_substring}
+QUERIES = {"op4_mixing": op4_mixing, "op3_toxicity": op3_toxicity, "op9_langid": op9_langid, "op6_simhash": op6_simhash, "op7_bpe": op7_bpe, "op8_pii": op8_pii, "op10_substring": op10_substring}
 ORACLES: dict[str, str] = {}
