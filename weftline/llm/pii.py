@@ -83,7 +83,7 @@ def confirmed(kind: Kind, m: Column) -> Column:
     """The check that a match of a kind must pass."""
     d = digits(m)
     if kind.name == "ip":
-        part = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+        part = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
         return m.rlike(rf"\A{part}(?:\.{part}){{3}}\z")
     if kind.name == "card":
         return F.when(F.length(d).between(13, 19), luhn(d)).otherwise(F.lit(False))
@@ -151,6 +151,16 @@ def find_pii(docs: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KIND
     return rows.withColumn("pii_spans", F.concat(*[F.col(f"pii_{k.name}") for k in kinds]))
 
 
+def masked(kind: Kind):
+    """Function of a gap and the match after it (null after the last gap): the gap and what to show for the match."""
+
+    def put(gap: Column, match: Column) -> Column:
+        shown = F.when(judged(kind, gap, match).isNotNull(), F.lit(f"<{kind.name.upper()}>")).otherwise(match)
+        return F.concat(gap, F.coalesce(shown, F.lit("")))
+
+    return put
+
+
 def redact_pii(docs: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """The rows with every span that counts replaced by <KIND>, kind after kind, n_chars recounted.
 
@@ -162,11 +172,7 @@ def redact_pii(docs: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KI
     rows = docs
     for kind in sorted(kinds, key=lambda k: order.get(k.name, 9)):
         found = rows.withColumn("_found", proposals(F.col(text), kind))
-        put = F.zip_with(
-            F.col("_found.gaps"),
-            F.col("_found.matches"),
-            lambda g, m, kind=kind: F.concat(g, F.when(m.isNull(), F.lit("")).when(judged(kind, g, m).isNotNull(), F.lit(f"<{kind.name.upper()}>")).otherwise(m)),
-        )
+        put = F.zip_with(F.col("_found.gaps"), F.col("_found.matches"), masked(kind))
         rows = found.withColumn(text, F.when(F.size("_found.matches") > 0, F.array_join(put, "")).otherwise(F.col(text))).drop("_found")
     if "n_chars" in names:
         rows = rows.withColumn("n_chars", F.coalesce(F.length(text).cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
