@@ -1,0 +1,3 @@
+"""Registered queries: the operators applied to the star-schema and text tables."""
+
+from weftline.plans import couplings, graphs, history, reviews, texts  # noqa: F401
