@@ -100,4 +100,4 @@ def issue_key(*parts: Column) -> Column:
 
 def csv_values(raw: Column) -> Column:
     """Trimmed, non-empty parts of a comma list."""
-    return F.filter(F.transform(F.split(F.coalesce(raw, F.lit("")), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(raw, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
