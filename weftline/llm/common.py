@@ -59,6 +59,11 @@ def worker_state() -> dict:
     return mod.__dict__.setdefault("state", {})
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that columns an operator adds cannot clash with them."""
+    return F.struct(*[df[f"`{c}`"] for c in df.columns])
+
+
 def as_bytes(column) -> list:
     """Arrow string column to a list of bytes; nulls become empty."""
     import pyarrow as pa

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, table, worker_state
+from .common import held_out, table, whole_row, worker_state
 
 #: Hash buckets of n-grams, longest n-gram, and characters hashed at once (bounds memory only).
 BUCKETS, LONGEST, STRIP = 1 << 16, 3, 1 << 20
@@ -181,8 +181,8 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: str
     if keep is None:
         rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), guess(docs[text].cast("string")).alias("_guess"))
         return rows.select("doc_id", "_guess.lang_pred", "_guess.score")
-    rows = docs.withColumn("_guess", guess(docs[text].cast("string")))
-    return rows.filter(F.expr(keep.format(lang="_guess.lang_pred", score="_guess.score"))).drop("_guess")
+    rows = docs.select(whole_row(docs).alias("row"), guess(docs[text].cast("string")).alias("guess"))
+    return rows.filter(F.expr(keep.format(lang="guess.lang_pred", score="guess.score"))).select("row.*")
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, table
+from .common import n_words, table, whole_row
 
 #: Parts that the documents of one source and size are ranked in.
 SALTS = 64
@@ -103,53 +103,52 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     size names a column that holds the rows' sizes; by default the words of text are counted.
     mix_copies says how often the mix takes the row: whole passes over its source plus one if the
     budget fit chose it.  Null texts have size 0 and are never taken; a null source is a source of
-    its own; repeated rows are documents of their own; an empty table gives none.  Equal input
+    its own; input columns of the four names are replaced; repeated rows are documents of their own; an empty table gives none.  Equal input
     gives equal choices, however it is partitioned.
     """
-    if any(c.startswith("mix_") for c in docs.columns):
-        raise ValueError("columns named mix_... are reserved")
-    rows = docs.withColumn("mix_size", n_words(text) if size is None else docs[size].cast("long")).withColumn("mix_hash", F.xxhash64(docs["doc_id"].cast("long"), F.lit(seed)))
-    rows = rows.withColumn("mix_salt", F.pmod(F.col("mix_hash"), F.lit(SALTS)))
-    key = ["source", "mix_size", "mix_salt"]
-    plain = rows.select(F.col("source").cast("string").alias("source"), "mix_size", "mix_salt")
-    parts = plain.groupBy(*key).agg(F.count("*").alias("n"))
-    lengths = parts.groupBy("source", "mix_size").agg(F.sum("n").alias("n"))
-    sources = lengths.groupBy("source").agg(F.sum(F.col("n") * F.col("mix_size")).cast("double").alias("source_size"))
-    goals = targets_of(sources, weights, share, most)
-
-    def fit(key, frame):
+    rows = docs.select(
+        whole_row(docs).alias("row"), docs["doc_id"].cast("long").alias("id"), docs["source"].cast("string").alias("source"),
+        (n_words(text) if size is None else docs[size].cast("long")).alias("size"), F.xxhash64(docs["doc_id"].cast("long"), F.lit(seed)).alias("hash"),
+    )
+    rows = rows.withColumn("salt", F.pmod(F.col("hash"), F.lit(SALTS)))
+    parts = rows.groupBy("source", "size", "salt").agg(F.count("*").alias("n"))
+    lengths = parts.groupBy("source", "size").agg(F.sum("n").alias("n"))
+    sources = lengths.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).cast("double").alias("source_size"))
+    goals = targets_of(sources, weights, share, most).drop("weight").withColumnRenamed("source", "goal_source")
+
+    def fit(frame):
         import pandas as pd
 
-        size, target = float(frame["source_size"].iloc[0]), float(frame["target"].iloc[0])
-        frame = frame.sort_values("mix_size")
-        passes = int(target // size) if size else 0
-        take = choose_counts(frame["mix_size"].tolist(), frame["n"].tolist(), round(target - passes * size))
-        return pd.DataFrame({"source": frame["source"], "mix_size": frame["mix_size"], "passes": passes, "take": take, "source_size": size, "target": target})
+        whole, target = float(frame["source_size"].iloc[0]), float(frame["target"].iloc[0])
+        frame = frame.sort_values("size")
+        passes = int(target // whole) if whole else 0
+        take = choose_counts(frame["size"].tolist(), frame["n"].tolist(), round(target - passes * whole))
+        return pd.DataFrame({"source": frame["source"], "size": frame["size"], "passes": passes, "take": take})
 
-    fitted = lengths.filter("mix_size > 0").join(goals.withColumnRenamed("source", "_s"), F.expr("source <=> _s")).drop("_s", "weight")
-    quotas = fitted.groupBy("source").applyInPandas(fit, "source string, mix_size long, passes long, take long, source_size double, target double")
+    fitted = lengths.filter("size > 0").join(goals, F.expr("source <=> goal_source")).drop("goal_source")
+    quotas = fitted.groupBy("source").applyInPandas(fit, "source string, size long, passes long, take long")
+    quotas = quotas.toDF("quota_source", "quota_size", "passes", "take")
     # how many of each salted part: the parts of a size fill up in order of their salt
-    ahead = F.sum("n").over(Window.partitionBy("source", "mix_size").orderBy("mix_salt")) - F.col("n")
-    parts = parts.withColumn("ahead", ahead)
-    q = quotas.select(F.col("source").alias("_s"), F.col("mix_size").alias("_z"), "passes", "take")
-    parts = parts.join(q, F.expr("source <=> _s and mix_size = _z"), "left").select(
-        F.coalesce("source", F.lit("")).alias("_s"), F.col("source").isNull().alias("_none"), F.col("mix_size").alias("_z"), F.col("mix_salt").alias("_k"),
-        F.coalesce("passes", F.lit(0)).alias("_passes"), F.greatest(F.lit(0), F.least("n", F.coalesce("take", F.lit(0)) - F.col("ahead"))).alias("_take"),
-    )
-    goal = goals.select(F.coalesce("source", F.lit("")).alias("_gs"), F.col("source").isNull().alias("_gn"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
-    parts = parts.join(goal, F.expr("_s = _gs and _none = _gn")).drop("_gs", "_gn")
-    rows = rows.withColumn("_s", F.coalesce(rows["source"].cast("string"), F.lit(""))).withColumn("_none", rows["source"].isNull())
-    rows = rows.withColumnRenamed("mix_size", "_z").withColumnRenamed("mix_salt", "_k")
-    joined = rows.join(parts, ["_s", "_none", "_z", "_k"])
-    rank = F.row_number().over(Window.partitionBy("_s", "_none", "_z", "_k").orderBy("mix_hash", "doc_id"))
-    return joined.withColumn("mix_copies", F.col("_passes") + (rank <= F.col("_take")).cast("long")).select(
-        *docs.columns, F.col("_z").alias("mix_size"), F.col("mix_source_size").cast("long").alias("mix_source_size"), "mix_target", "mix_copies"
-    )
+    ahead = F.sum("n").over(Window.partitionBy("source", "size").orderBy("salt")) - F.col("n")
+    parts = parts.withColumn("ahead", ahead).join(quotas, F.expr("source <=> quota_source and size = quota_size"), "left").join(goals, F.expr("source <=> goal_source"))
+    parts = parts.select(
+        F.coalesce("source", F.lit("")).alias("part_source"), F.col("source").isNull().alias("part_null"), F.col("size").alias("part_size"), F.col("salt").alias("part_salt"), "source_size", "target",
+        F.coalesce("passes", F.lit(0)).alias("passes"), F.greatest(F.lit(0), F.least("n", F.coalesce("take", F.lit(0)) - F.col("ahead"))).alias("taken"),
+    )
+    rows = rows.withColumn("part_source", F.coalesce("source", F.lit(""))).withColumn("part_null", F.col("source").isNull()).withColumnRenamed("size", "part_size").withColumnRenamed("salt", "part_salt")
+    key = ["part_source", "part_null", "part_size", "part_salt"]
+    joined = rows.join(parts, key)
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy("hash", "id"))
+    out = joined.withColumn("copies", F.col("passes") + (rank <= F.col("taken")).cast("long"))
+    mine = {c: F.col("row")[c] for c in docs.columns} | {"mix_size": F.col("part_size"), "mix_source_size": F.col("source_size").cast("long"), "mix_target": F.col("target"), "mix_copies": F.col("copies")}
+    return out.select(*[v.alias(c) for c, v in mine.items()])
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: each row as often as it is taken, columns unchanged."""
-    return mix(docs, **how).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(F.col("mix_copies"), F.lit(1))))).filter("mix_copies > 0").select(*docs.columns)
+    rows = mix(docs.select(whole_row(docs).alias("row"), docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), docs["text"].alias("text")), **how)
+    taken = rows.filter("mix_copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("copy")).select("row.*")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

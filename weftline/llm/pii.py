@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, whole_row
 
 #: Characters before a match in which words count as its context; matches added up in one step.
 CONTEXT, BLOCK = 40, 64
@@ -168,15 +168,15 @@ def redact_pii(docs: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KI
     Null texts stay null; all other columns stay as they are.
     """
     order = {"email": 0, "iban": 1, "ip": 2, "card": 3, "ssn": 4, "phone": 5}
-    names = docs.columns
-    rows = docs
+    rows = docs.select(whole_row(docs).alias("row"), docs[text].cast("string").alias("text"))
     for kind in sorted(kinds, key=lambda k: order.get(k.name, 9)):
-        found = rows.withColumn("_found", proposals(F.col(text), kind))
-        put = F.zip_with(F.col("_found.gaps"), F.col("_found.matches"), masked(kind))
-        rows = found.withColumn(text, F.when(F.size("_found.matches") > 0, F.array_join(put, "")).otherwise(F.col(text))).drop("_found")
-    if "n_chars" in names:
-        rows = rows.withColumn("n_chars", F.coalesce(F.length(text).cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
-    return rows.select(*names)
+        found = rows.withColumn("found", proposals(F.col("text"), kind))
+        put = F.zip_with(F.col("found.gaps"), F.col("found.matches"), masked(kind))
+        rows = found.withColumn("text", F.when(F.size("found.matches") > 0, F.array_join(put, "")).otherwise(F.col("text"))).drop("found")
+    out = {c: F.col("row")[c] for c in docs.columns} | {text: F.col("text")}
+    if "n_chars" in out:
+        out["n_chars"] = F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), out["n_chars"])
+    return rows.select(*[v.alias(c) for c, v in out.items()])
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, reliable, table
+from .common import as_bytes, reliable, table, whole_row
 
 #: Children of an index node, rows indexed together, and probes between two looks at what is joined.
 FAN_OUT, SHARD_ROWS, PROBES = 8, 100_000, 8_192
@@ -296,11 +296,11 @@ def keep_first(docs: DataFrame, **how) -> DataFrame:
     Rows with equal doc_id count as one document, of which the row with the smallest text stays;
     rows without doc_id stay.
     """
-    groups = near_duplicates(docs, **how).filter("doc_id = component_id").select(F.col("component_id").alias("_keep")).distinct()
-    kept = docs.join(groups, docs["doc_id"].cast("long") == groups["_keep"], "inner")
-    order = [F.col(c) for c in ("text", *[c for c in docs.columns if c != "text"]) if c in docs.columns]
-    first = kept.withColumn("_row", F.row_number().over(Window.partitionBy("_keep").orderBy(*order))).filter("_row = 1").drop("_keep", "_row")
-    return first.unionByName(docs.filter(docs["doc_id"].isNull()))
+    groups = near_duplicates(docs, **how).filter("doc_id = component_id").select(F.col("component_id").alias("keep")).distinct()
+    rows = docs.select(whole_row(docs).alias("row"), docs["doc_id"].cast("long").alias("id"), docs["text"].cast("string").alias("text"))
+    order = Window.partitionBy("id").orderBy("text", F.to_json(F.struct(*[F.col("row")[c].cast("string").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"])))
+    first = rows.join(groups, F.col("id") == F.col("keep")).withColumn("nth", F.row_number().over(order)).filter("nth = 1")
+    return first.select("row.*").unionByName(docs.filter(docs["doc_id"].isNull()))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
