@@ -108,7 +108,7 @@ class Scorer:
 
     def __init__(self, lexicon: Lexicon, memo: int = 400_000):
         self.machine = grammar()
-        self.steps = self.machine.steps
+        self.steps, self.aimed = self.machine.steps, (self.machine.start[0], 1)
         owner = lexicon
 
         class Known(dict):
@@ -140,7 +140,8 @@ class Scorer:
             hi = i
             while hi < len(words) - 1 and not words[hi].endswith(stops):
                 hi += 1
-            state, score = self.machine.start, 0.0
+            aimed = any(x is not None and x[0] == TARGET for x in found[lo : hi + 1])  # before or after
+            state, score = self.aimed if aimed else self.machine.start, 0.0
             for j in range(max(lo, done + 1), hi + 1):
                 symbol, w = found[j] or (OTHER, 0.0)
                 state, mark = self.steps[(state, symbol)]
