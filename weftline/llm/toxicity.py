@@ -224,12 +224,12 @@ def train(docs: DataFrame, labels: DataFrame, fit_toxic: int = 2000, fit_clean:
     """
     import numpy as np
 
-    known = labels.filter(F.col("toxic").isin(0, 1) & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = known.join(docs.select(F.col("doc_id").alias("d"), F.col("text").cast("string").alias("text")), F.col("doc_id") == F.col("d"))
-    rows = rows.filter("text is not null").withColumn("h", F.xxhash64("doc_id", F.lit(seed)))
-    sample = []
-    for toxic, most in ((1, fit_toxic), (0, fit_clean)):
-        sample += [(r["text"], toxic) for r in rows.filter(F.col("toxic") == toxic).orderBy("h", "doc_id", "text").limit(most).select("text").collect()]
+    known = labels.filter(F.col("toxic").isin(0, 1) & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id", F.lit(seed)))
+    first = [known.filter(F.col("toxic") == toxic).orderBy("h", "doc_id").limit(most) for toxic, most in ((1, fit_toxic), (0, fit_clean))]
+    # at most fit_toxic + fit_clean ids, so texts need no shuffle
+    chosen = F.broadcast(first[0].unionByName(first[1]).select(F.col("doc_id").alias("id"), "toxic", "h"))
+    texts = docs.select(docs["doc_id"].alias("id"), docs["text"].cast("string").alias("text")).filter("text is not null").join(chosen, "id")
+    sample = [(r["text"], r["toxic"]) for r in sorted(texts.collect(), key=lambda r: (r["h"], r["id"], r["text"]))]
     if len({y for _, y in sample}) < 2:
         return Model(Lexicon({}), [0.0] * 6)
     strip = ".,;:!?\"'()[]{}«»„“”…-*#%$&"
