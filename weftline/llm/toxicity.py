@@ -121,7 +121,7 @@ class Scorer:
         self.known = Known()
 
     def features(self, text: str | None):
-        """(sum of clause scores, best clause, distinct insults, words, sum for 100 words)."""
+        """(sum of clause scores, best clause, distinct insults, words, sum for 100 of words and 50 more)."""
         words = (text or "").lower().split()
         found = list(map(self.known.__getitem__, words))
         core = [i for i, x in enumerate(found) if x is not None and x[1] > 0]
@@ -151,7 +151,7 @@ class Scorer:
             done = hi
             total += score
             best = max(best, score)
-        return total, best, len(distinct), len(words), 100 * total / len(words)
+        return total, best, len(distinct), len(words), 100 * total / (len(words) + 50)
 
 
 def vector(f):
@@ -174,7 +174,7 @@ class Model:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, s))))
 
 
-def learn_lexicon(toxic: list[set[str]], clean: list[set[str]], least: int = 5, factor: float = 3.0, surprise: float = 22.0, shortest: int = 3, longest: int = 9) -> Lexicon:
+def learn_lexicon(toxic: list[set[str]], clean: list[set[str]], least: int = 5, factor: float = 6.0, surprise: float = 22.0, shortest: int = 3, longest: int = 9) -> Lexicon:
     """Forms that mark toxic texts: odds of at least factor, with a likelihood ratio of at least surprise."""
     import math
     from collections import Counter
