@@ -286,3 +286,12 @@ def test_clauses_weigh_readings():
     assert aimed > plain > negated and reported < aimed
     assert total("i will kill you now") > 0 == total("kill the process")
     assert total("not here. a fool") == plain  # negation ends with its clause
+
+
+def test_hot_keys_give_the_same_rows(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, i % 3 if i % 2 else 7) for i in range(200)] + [(i, 100 + i) for i in range(9)], "doc_id long, key long")
+    want = {how: Counter(tuple(r) for r in substring.with_shared(rows, 209, "key", how=how).select("doc_id", "key", "lo").collect()) for how in ("inner", "left")}
+    monkeypatch.setattr(substring, "HOT_ROWS", 40)
+    for how, rows_ in want.items():
+        assert Counter(tuple(r) for r in substring.with_shared(rows, 209, "key", how=how).select("doc_id", "key", "lo").collect()) == rows_
+    assert sum(want["left"].values()) == 209 and all(lo is not None for (_, _, lo) in want["inner"])

@@ -26,6 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, reliable, table
 
+#: Rows that a key may always have before it counts as hot.
+HOT_ROWS = 1000
+
 #: Odd multipliers of the two rolling hashes (mod 2**64).
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
@@ -108,6 +111,20 @@ def covered(n: int, starts, ends):
     return np.cumsum(edge[:-1]) > 0
 
 
+def with_shared(rows: DataFrame, n_rows: int, *keys: str, how: str = "inner") -> DataFrame:
+    """rows with lo, the smallest doc_id of their keys, for keys that two documents have (others: dropped, or null if how is left).
+
+    A key with more than a thousandth of all rows is hot; there are at most a thousand, so they are
+    broadcast and their rows stay where they are.  Only rows of other keys are shuffled, and no task
+    gets many of one key.
+    """
+    found = rows.groupBy(*keys).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).filter("lo < hi").drop("hi")
+    found, most = reliable(found), max(HOT_ROWS, n_rows // 1000)
+    hot = F.broadcast(found.filter(F.col("n") > most).select(*keys, "lo"))
+    cold = found.filter(F.col("n") <= most).select(*keys, "lo")
+    return rows.join(hot, list(keys)).unionByName(rows.join(hot, list(keys), "left_anti").join(cold, list(keys), how))
+
+
 def remove_repeats(docs: DataFrame, window: int = 50, anchor: int = 20, text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept (text) and removed ([start, end) word intervals).
 
@@ -136,12 +153,9 @@ def remove_repeats(docs: DataFrame, window: int = 50, anchor: int = 20, text: st
 
     summary = reliable(base.select("doc_id", "row_key", "text").mapInArrow(scan, "doc_id long, row_key long, n_words long, sha string, anchors array<long>"))
 
-    def shared(rows: DataFrame, *keys: str) -> DataFrame:
-        """Keys that two documents have."""
-        return rows.groupBy(*keys).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select(*keys, "lo")
-
     marks = summary.filter("doc_id is not null").select("doc_id", "row_key", F.explode("anchors").alias("mark"))
-    wanted = marks.join(shared(marks, "mark").select("mark"), "mark").groupBy("doc_id", "row_key").agg(F.collect_set("mark").alias("marks"))
+    n_marks = summary.agg(F.coalesce(F.sum(F.size("anchors")), F.lit(0)).alias("n")).first()["n"]
+    wanted = with_shared(marks, n_marks, "mark").groupBy("doc_id", "row_key").agg(F.collect_set("mark").alias("marks"))
 
     def pack(batches):
         import pyarrow as pa
@@ -207,9 +221,10 @@ def remove_repeats(docs: DataFrame, window: int = 50, anchor: int = 20, text: st
         yield from joined(made())
 
     runs = reliable(affected.mapInArrow(to_runs, "doc_id long, row_key long, run int, mark long, h1 long, h2 long"))
-    judged = runs.join(shared(runs, "h1", "h2"), ["h1", "h2"], "left").withColumn("whole", F.coalesce(F.col("doc_id") > F.col("lo"), F.lit(False))).drop("lo")
+    n_runs = runs.count()
+    judged = reliable(with_shared(runs, n_runs, "h1", "h2", how="left").select("doc_id", "row_key", "run", "mark", F.coalesce(F.col("doc_id") > F.col("lo"), F.lit(False)).alias("whole")))
     left = judged.filter("not whole")
-    doubtful = left.join(shared(left, "mark").select("mark"), "mark").select("doc_id", "row_key", "run", F.lit(False).alias("whole"))
+    doubtful = with_shared(left, n_runs, "mark").select("doc_id", "row_key", "run", F.lit(False).alias("whole"))
     todo = judged.filter("whole").select("doc_id", "row_key", "run", "whole").unionByName(doubtful)
     todo = todo.groupBy("doc_id", "row_key").agg(F.collect_set(F.when(F.col("whole"), F.col("run"))).alias("gone"), F.collect_set(F.when(~F.col("whole"), F.col("run"))).alias("open"))
     work = reliable(affected.join(todo, ["doc_id", "row_key"]))
@@ -233,7 +248,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, anchor: int = 20, text: st
         yield from joined(made())
 
     windows = reliable(work.mapInArrow(to_windows, "doc_id long, row_key long, start int, h1 long, h2 long"))
-    starts = windows.join(shared(windows, "h1", "h2"), ["h1", "h2"]).filter("doc_id > lo").groupBy("doc_id", "row_key").agg(F.collect_set("start").alias("starts"))
+    starts = with_shared(windows, windows.count(), "h1", "h2").filter("doc_id > lo").groupBy("doc_id", "row_key").agg(F.collect_set("start").alias("starts"))
 
     def finish(batches):
         import numpy as np
