@@ -126,7 +126,11 @@ def train(docs: DataFrame, fit_rows: int = 3000, seed: int = 17, scale: float =
     for bucket, n in rows.select("text").mapInArrow(frequencies, "bucket long, df long").groupBy("bucket").agg(F.sum("df")).collect():  # at most BUCKETS + 1 rows
         df[bucket] = n
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-    sample = rows.withColumn("h", F.xxhash64("doc_id", F.lit(seed))).orderBy("h", "doc_id", "text", "lang").limit(fit_rows).select("text", "lang").collect()
+    # rows below a hash threshold that lets about 1.5 * fit_rows of them through, the least of which
+    # are taken: what reaches the driver is bounded whatever the number of tasks
+    share = min(1.0, 1.5 * fit_rows / max(1.0, df[-1]))
+    some = rows.withColumn("h", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40))).filter(F.col("h") < int(share * (1 << 40)) + 1)
+    sample = sorted(some.limit(4 * fit_rows).select("h", "doc_id", "text", "lang").collect(), key=lambda r: (r["h"], r["doc_id"], r["text"], r["lang"]))[:fit_rows]
     made, target = [], []
     langs = sorted({r["lang"] for r in sample})
     for r in sample:
