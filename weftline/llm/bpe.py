@@ -22,11 +22,11 @@ import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import as_bytes, table, worker_state
+from .common import as_bytes, parts, table, worker_state
 
-#: Chunks that a worker remembers before it starts afresh, and characters encoded together; both
+#: Chunks that a worker remembers before it starts afresh, and bytes of text encoded together; both
 #: bound memory, never results.
-MEMO_ENTRIES, BATCH_CHARS = 400_000, 8_000_000
+MEMO_ENTRIES, BATCH_BYTES = 250_000, 3 << 20
 
 #: Fixed value: White_Space of Unicode (as a character class), which the split pattern's blanks are.
 BLANKS = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -261,18 +261,6 @@ def load_codec(path: str | None, pattern: str | None) -> Codec:
     return state[key]
 
 
-def blocks_of(texts: list[bytes], most: int):
-    """Slices of a list such that each has at most so many bytes, or one text."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield slice(start, i)
-            start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield slice(start, len(texts))
-
-
 def encode_documents(docs: DataFrame, rank_path: str | None = None, pattern: str | None = None, text: str = "text", with_ids: bool = True) -> DataFrame:
     """Encode every whole text and decode it again; keeps doc_id and adds token columns.
 
@@ -288,10 +276,9 @@ def encode_documents(docs: DataFrame, rank_path: str | None = None, pattern: str
 
         codec = load_codec(rank_path, pattern)
         for batch in batches:
-            raw = as_bytes(batch.column(1))
-            for block in blocks_of(raw, BATCH_CHARS):
-                got = codec.encode_batch([b.decode("utf-8", "replace") for b in raw[block]])
-                columns = {"doc_id": batch.column(0)[block], "n_tokens": pa.array([len(g) // 4 for g in got], pa.int64())}
+            for part in parts(batch, 1, BATCH_BYTES):
+                got = codec.encode_batch([b.decode("utf-8", "replace") for b in as_bytes(part.column(1))])
+                columns = {"doc_id": part.column(0), "n_tokens": pa.array([len(g) // 4 for g in got], pa.int64())}
                 if with_ids:
                     columns["ids"] = pa.array([np.frombuffer(g, dtype="<i4") for g in got], pa.list_(pa.int32()))
                 columns["ids_sha256"] = pa.array([hashlib.sha256(g).hexdigest() for g in got], pa.string())

@@ -64,6 +64,33 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*[df[f"`{c}`"] for c in df.columns])
 
 
+def parts(batch, column: int, most: int = 2 << 20):
+    """Slices of an Arrow batch with at most so many bytes in a string or binary column, or one row."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(size, dtype=np.int64) // most
+    cut = (part[1:] != part[:-1]).nonzero()[0] + 1
+    for i, j in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows]):
+        if j > i:
+            yield batch.slice(i, j - i)
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system; workers are reused, and an executor's memory is shared."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def as_bytes(column) -> list:
     """Arrow string column to a list of bytes; nulls become empty."""
     import pyarrow as pa

@@ -14,10 +14,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, table, whole_row, worker_state
+from .common import held_out, parts, table, whole_row, worker_state
 
 #: Hash buckets of n-grams, longest n-gram, and characters hashed at once (bounds memory only).
-BUCKETS, LONGEST, STRIP = 1 << 16, 3, 1 << 20
+BUCKETS, LONGEST, STRIP = 1 << 16, 3, 1 << 17
 
 
 def letters() -> object:
@@ -108,7 +108,7 @@ def train(docs: DataFrame, fit_rows: int = 3000, seed: int = 17, scale: float =
         import pyarrow as pa
 
         df, seen = np.zeros(BUCKETS + 1, dtype=np.int64), 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, 0)):
             for text in batch.column(0).to_pylist():
                 here = np.zeros(BUCKETS, dtype=bool)
                 for at in range(0, len(text), STRIP):
@@ -162,15 +162,12 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: str
     Null texts and texts without a letter are `und` with score 0; without a model all are.
     Repeated rows get equal results; other columns are ignored.
     """
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("lang_pred string, score double")
-    def guess(texts):
+    def guess_(texts):
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
         lang, score = [], []
-        for t in texts:
+        for t in (t for part in parts(pa.RecordBatch.from_arrays([texts], ["t"]), 0) for t in part.column(0).to_pylist()):
             s = model.logits(t) if model is not None and t else None
             if s is None:
                 lang.append("und")
@@ -180,7 +177,9 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: str
             k = int(p.argmax())
             lang.append(model.langs[k])
             score.append(float(p[k] / p.sum()))
-        return pd.DataFrame({"lang_pred": lang, "score": score})
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
+
+    guess = F.arrow_udf(guess_, "lang_pred string, score double")
 
     if keep is None:
         rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), guess(docs[text].cast("string")).alias("_guess"))

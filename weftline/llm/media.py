@@ -15,10 +15,10 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, table, worker_state
+from .common import as_bytes, parts, table, worker_state
 
-#: Samples a second of text stored as sound, and bytes of the values read together (bounds memory only).
-RATE, BATCH_BYTES = 8000, 16 << 20
+#: Samples a second of text stored as sound.
+RATE = 8000
 
 
 def wav_length(b: bytes, at: int) -> int | None:
@@ -179,7 +179,7 @@ def sniff_column(values: DataFrame, media: str = "media", declared: str = "decla
         import pyarrow as pa
 
         inner = pa.struct([("type", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("content", pa.binary())])
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, 1)):
             kinds, fixed, length, carved = [], [], [], []
             for value, said in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 found = sniff(value or b"")
@@ -222,7 +222,7 @@ def store_texts(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, 1)):
             raw = as_bytes(batch.column(1))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_bytes": pa.array([len(r) for r in raw], pa.int64()), "media": pa.array([as_wav(padded(r)) for r in raw], pa.binary()), "declared_type": pa.array(["application/octet-stream"] * len(raw))})
 
@@ -236,7 +236,7 @@ def media_features(stored: DataFrame) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, 2)):
             out: dict[str, list] = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
             for value, said in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 found = sniff(value)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, reliable, table, whole_row
+from .common import as_bytes, parts, reliable, table, whole_row
 
 #: Children of an index node, rows indexed together, and probes between two looks at what is joined.
 FAN_OUT, SHARD_ROWS, PROBES = 8, 100_000, 8_192
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, width: int, n_words: int = 1, distinct: bool =
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, 1)):
             rows = []
             for raw in as_bytes(batch.column(1)):
                 hashes = shingle_hashes(raw, width)

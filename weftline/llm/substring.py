@@ -24,7 +24,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, reliable, table
+from .common import as_bytes, parts, reliable, table
 
 #: Rows that a key may always have before it counts as hot.
 HOT_ROWS = 1000
@@ -142,7 +142,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, anchor: int = 20, text: st
         import pyarrow as pa
 
         roll = Rolling()
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, 2)):
             n, sha, found = [], [], []
             for raw in as_bytes(batch.column(2)):
                 words = raw.split()
@@ -162,7 +162,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, anchor: int = 20, text: st
         import zstandard
 
         press = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, 2)):
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "row_key": batch.column(1), "packed": pa.array([press(t) for t in as_bytes(batch.column(2))], pa.binary())})
 
     packed = base.filter("doc_id is not null").select("doc_id", "row_key", "text").mapInArrow(pack, "doc_id long, row_key long, packed binary")
@@ -255,7 +255,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, anchor: int = 20, text: st
         import pyarrow as pa
 
         roll = Rolling()
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, 2, 1 << 20)):
             out: dict[str, list] = {k: [] for k in ("doc_id", "row_key", "n_removed", "kept", "removed")}
             for doc, key, words, marks_, (gone, starts_) in unpacked(batch, "gone", "starts"):
                 _, run, _, first, end = candidates(roll, words, marks_)

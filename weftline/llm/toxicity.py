@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import held_out, parts, table
 
 #: Closed word classes of the grammar (en, de, fr, es).
 THREATS = "kill hurt destroy beat stab shoot burn crush töten schlagen vernichten tuer frapper détruire matar golpear destruir".split()
@@ -106,7 +106,7 @@ def forms(word: str, shortest: int, longest: int):
 class Scorer:
     """Features of texts under a lexicon: clause scores of the grammar."""
 
-    def __init__(self, lexicon: Lexicon, memo: int = 400_000):
+    def __init__(self, lexicon: Lexicon, memo: int = 250_000):
         self.machine = grammar()
         self.steps, self.aimed = self.machine.steps, (self.machine.start[0], 1)
         owner = lexicon
@@ -259,7 +259,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.7, text:
         import pyarrow as pa
 
         scorer = Scorer(model.lexicon)
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, 1)):
             score, best, insults = [], [], []
             for t in batch.column(1).to_pylist():
                 f = scorer.features(t)
