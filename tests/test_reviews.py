@@ -88,3 +88,9 @@ def test_suggestions(spark):
     files = spark.createDataFrame([(n,) for n in names], "file string")
     got = {r["name"]: r.paths for r in suggest.suggest(files).collect()}
     assert got == {"core": ["packages/core"], "shop": ["shop"], "user": ["controllers", "services"], "billing": ["billing/controllers", "billing/models"]}
+
+
+def test_no_findings(spark):
+    assert findings.deduplicate(spark.createDataFrame([], FOUND)).collect() == []
+    assert findings.drift(spark.createDataFrame([], DRIFT), spark.createDataFrame([], DRIFT)).collect() == []
+    assert budget.token_chunks(spark.createDataFrame([], "k string, i int, t long"), "k", ["i"], "t", 10).collect() == []

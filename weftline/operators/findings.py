@@ -34,28 +34,44 @@ def deduplicate(found: DataFrame) -> DataFrame:
     found: rule_id, task_id, ord, severity, title, confidence, locations (array of file, start_line,
     end_line).  A finding joins the first group with a member it overlaps.  Result: rule_id, severity
     and title of the worst member (then most confident), tasks, confidence raised by 0.1 for each
-    further task (at most 1), members.  Greedy order matters, so each rule is folded in one task;
-    locations are bounded by the findings of that rule.
+    further task (at most 1), members.  Rules stream through one sort, a rule at a time; its groups
+    are looked up by file, so a finding meets only groups that share a file with it.
     """
+    rows = found.select("rule_id", "task_id", "ord", "severity", "title", "confidence", "locations").repartition("rule_id").sortWithinPartitions("rule_id", "task_id", "ord")
+    rank = {s: i for i, s in enumerate(SEVERITIES)}
 
-    def fold(frame):
+    def fold(batches):
         import pandas as pd
 
-        frame = frame.sort_values(["task_id", "ord"])
-        groups: list[list] = []
-        for row in frame.itertuples():
-            spans = [(x["file"], x["start_line"], x["end_line"] if x["end_line"] is not None else x["start_line"]) for x in row.locations]
-            home = next((g for g in groups if any(f == f2 and s <= e2 and s2 <= e for m in g for f, s, e in spans for f2, s2, e2 in m[1])), None)
-            (home if home is not None else groups.append([]) or groups[-1]).append((row, spans))
-        out = []
-        for g in groups:
-            rank = {s: i for i, s in enumerate(SEVERITIES)}
-            best = min((m[0] for m in g), key=lambda r: (rank.get(r.severity, 3), -r.confidence))
-            tasks = len({m[0].task_id for m in g})
-            out.append((best.rule_id, best.severity, best.title, tasks, min(1.0, best.confidence + 0.1 * (tasks - 1)), len(g)))
-        return pd.DataFrame(out, columns=["rule_id", "severity", "title", "tasks", "confidence", "members"])
-
-    return found.groupBy("rule_id").applyInPandas(fold, "rule_id string, severity string, title string, tasks long, confidence double, members long")
+        def close(rule, groups):
+            for g in groups:
+                severity, title, confidence = min((m[0] for m in g), key=lambda m: (rank.get(m[0], 3), -m[2]))
+                tasks = len({m[1] for m in g})
+                yield rule, severity, title, tasks, min(1.0, confidence + 0.1 * (tasks - 1)), len(g)
+
+        def table(out):
+            return pd.DataFrame(out, columns=["rule_id", "severity", "title", "tasks", "confidence", "members"])
+
+        rule, groups, at, started = None, [], {}, False
+        for frame in batches:
+            out = []
+            for r in frame.itertuples():
+                if not started or r.rule_id != rule:
+                    out += close(rule, groups)
+                    rule, groups, at, started = r.rule_id, [], {}, True
+                spans = [(x["file"], x["start_line"], x["end_line"] if x["end_line"] is not None else x["start_line"]) for x in r.locations]
+                near = sorted({g for f, _, _ in spans for g in at.get(f, ())})
+                home = next((g for g in near if any(f == f2 and s <= e2 and s2 <= e for m in groups[g] for f, s, e in spans for f2, s2, e2 in m[2])), None)
+                if home is None:
+                    home = len(groups)
+                    groups.append([])
+                groups[home].append(((r.severity, r.title, r.confidence), r.task_id, spans))
+                for f, _, _ in spans:
+                    at.setdefault(f, set()).add(home)
+            yield table(out)
+        yield table([*close(rule, groups)])
+
+    return rows.mapInPandas(fold, "rule_id string, severity string, title string, tasks long, confidence double, members long")
 
 
 def inline_suppressions(files: DataFrame) -> DataFrame:
