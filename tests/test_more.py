@@ -80,3 +80,27 @@ def test_sinks(spark, tmp_path):
     meta = spark.createDataFrame([("snapshot_sha", "x"), ("snapshot_time", "5")], "key string, value string")
     assert tuple(sinks.latest_meta(meta).first()) == ("x", 5) and tuple(sinks.latest_meta(meta.limit(1)).first()) == (None, None)
     assert sinks.due_snapshot(spark.range(10).select(F.col("id").alias("timestamp")), 4, 5) and not sinks.due_snapshot(spark.range(10).select(F.col("id").alias("timestamp")), 5, 5)
+
+
+def test_small_functions(spark):
+    from weftline.sources import manifests, symbols
+    from weftline.streaming import incremental
+
+    k = spark.createDataFrame([(1,), (12,), (26,), (0,), (99,)], "k int").select(code.kind_name(F.col("k")).alias("n")).collect()
+    assert [r.n for r in k] == ["file", "function", "type", "unknown", "unknown"]
+    dts = "import { A } from './a';\nexport interface I {\n  x: number;\n}\nexport declare function f(\n  a: A,\n): void;\nexport const c = 1;\nexport const enum E { X }\nexport type T = string;"
+    assert code.declarations_of(dts, ["interface"]).split("\n")[1:] == ["export interface I {", "  x: number;", "}"]
+    assert code.declarations_of(dts, ["function"]).split("\n")[1:] == ["export declare function f(", "  a: A,", "): void;"]
+    assert code.declarations_of(dts, ["enum"]).split("\n")[1:] == ["export const enum E { X }"] and code.declarations_of(dts, ["const"]).split("\n")[1:] == ["export const c = 1;"]
+    b = spark.createDataFrame([(5.0, 10.0), (0.0, 0.0)], "v double, m double").select(code.bar(F.col("v"), F.col("m")).alias("b"), code.trend_label(F.lit("increasing")).alias("t")).collect()
+    assert b[0].b.count("█") == 5 and len(b[1].b) == 10 and b[0].t.endswith("(increasing)")
+    imp = spark.createDataFrame([("a.ts", "#shared/x/y.js"), ("a.ts", "#one"), ("a.ts", "./z")], "file string, specifier string")
+    got = {r.specifier: r.alias_path for r in symbols.resolved_aliases(imp, [("#shared/*", "./src/shared/*"), ("#one", "lib/one.ts")]).collect()}
+    assert got == {"#shared/x/y.js": "src/shared/x/y.js", "#one": "lib/one.ts", "./z": None}
+    rs = spark.createDataFrame([(f,) for f in ("src/a.rs", "src/b/mod.rs", "src/b/c.rs", "src/b/d/e.rs")], "file string")
+    use = spark.createDataFrame([("src/b/c.rs", "crate::a::Item"), ("src/b/c.rs", "self::d::e"), ("src/b/d/e.rs", "super::c"), ("src/b/d/e.rs", "super::super::b"), ("src/a.rs", "std::io")], "file string, specifier string")
+    got = {r.specifier: r.resolved_path for r in symbols.resolved_rust(use, rs).collect()}
+    assert got == {"crate::a::Item": "src/a.rs", "self::d::e": "src/b/d/e.rs", "super::c": "src/b/c.rs", "super::super::b": "src/b/mod.rs", "std::io": None}
+    assert manifests.read_suppressions("suppressions:\n- rule: B-1\n  glob: test/**\n- x: 1\n")[0]["glob"] == "test/**"
+    done = incremental.run_jobs([lambda: 1, lambda: 1 / 0, lambda: 3], 2)
+    assert [d[0] for d in done] == [1, None, 3] and isinstance(done[1][1], ZeroDivisionError)

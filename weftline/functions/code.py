@@ -118,3 +118,50 @@ def editor_tokens(deltas: DataFrame) -> DataFrame:
     w = Window.partitionBy("file").orderBy("seq")
     rows = deltas.withColumn("line", F.sum("d_line").over(w))
     return rows.withColumn("character", F.sum("d_char").over(Window.partitionBy("file", "line").orderBy("seq"))).select("file", "seq", "line", "character", "length", "kind")
+
+
+#: Names of symbol kinds by the editor protocol's number, from 1.
+KIND_NAMES = (
+    "file module namespace package class method property field constructor enum interface function variable constant string number boolean array object key "
+    "null enumMember struct event operator type"
+).split()
+
+
+def kind_name(kind: Column) -> Column:
+    """Name of a symbol kind's number."""
+    return F.coalesce(F.try_element_at(F.array(*map(F.lit, KIND_NAMES)), F.nullif(kind, F.lit(0))), F.lit("unknown"))
+
+
+def declarations_of(text: str, kinds: list[str]) -> str:
+    """Import lines and whole exported declarations of the given kinds.
+
+    A declaration goes on until its braces close or, without a brace on its first line, until a
+    semicolon.
+    """
+    words = [w for k in kinds for w in ({"enum": ["enum", r"const\s+enum"], "const": [r"const(?!\s+enum)"]}.get(k, [k]) if k in ("function", "class", "interface", "type", "enum", "const") else [])]
+    head = re.compile(r"\s*export\s+(?:declare\s+)?(?:" + "|".join(words) + r")\s") if words else None
+    out, depth, until = [], 0, None
+    for line in text.split("\n"):
+        starts = until is None and head is not None and head.match(line)
+        if re.match(r"\s*import\s", line) and until is None:
+            out.append(line)
+        elif starts or until:
+            out.append(line)
+            depth += line.count("{") - line.count("}")
+            if starts:
+                until = "}" if depth > 0 else None if ";" in line or "}" in line else ";"
+            elif until == "}" and depth <= 0 or until == ";" and ";" in line:
+                until, depth = None, 0
+    return "\n".join(out)
+
+
+def trend_label(direction: Column) -> Column:
+    """Three bars and the direction."""
+    bars = F.when(direction == "increasing", "▂▅█").when(direction == "decreasing", "█▅▂").otherwise("▃▃▃")
+    return F.concat(bars, F.lit(" ("), F.coalesce(direction, F.lit("stable")), F.lit(")"))
+
+
+def bar(value: Column, largest: Column, width: int = 10) -> Column:
+    """A bar of so many cells, filled in proportion to the largest value."""
+    filled = F.when(largest > 0, F.round(value / largest * width)).otherwise(F.lit(0)).cast("int")
+    return F.concat(F.repeat(F.lit("█"), filled), F.repeat(F.lit("░"), F.lit(width) - filled))

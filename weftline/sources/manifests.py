@@ -144,3 +144,12 @@ def parse_lint_arrays(rows: DataFrame, value: str = "value") -> DataFrame:
     kind = "array<struct<filename: string, line: int, column: int, severity: string, message: string, ruleId: string>>"
     d = F.col("d")
     return rows.select(F.explode(F.from_json(value, kind)).alias("d")).select(F.coalesce(d["filename"], F.lit("")).alias("file"), F.coalesce(d["line"], F.lit(0)).alias("line"), F.coalesce(d["column"], F.lit(0)).alias("column"), F.coalesce(d["severity"], F.lit("warning")).alias("severity"), d["message"].alias("message"), d["ruleId"].alias("rule_id"))
+
+
+def read_suppressions(text: str) -> list[dict]:
+    """Rules of a YAML suppression list: rule, file, glob and reason; entries without a rule are left out."""
+    import yaml
+
+    found = (yaml.safe_load(text) or {}).get("suppressions") or []
+    text_of = lambda s, k: s[k] if isinstance(s.get(k), str) else None
+    return [{"rule": str(s["rule"]), "file": text_of(s, "file"), "glob": text_of(s, "glob"), "reason": text_of(s, "reason") or "Suppressed by configuration"} for s in found if isinstance(s, dict) and "rule" in s]

@@ -191,3 +191,53 @@ def resolved(found: DataFrame, files: DataFrame) -> DataFrame:
     hits = hits.distinct().join(files.select(F.col("file").alias("_path")).distinct(), "_path")
     best = hits.groupBy("file", "specifier").agg(F.min_by("_path", "_k").alias("resolved_path"))
     return rows.drop("_id", "_base").join(best, ["file", "specifier"], "left")
+
+
+def alias_prefixes(patterns: list[str]) -> list[str]:
+    """What specifiers of alias patterns begin with (or are)."""
+    return [p[:-1] if p.endswith("/*") else p for p in patterns]
+
+
+def resolved_aliases(found: DataFrame, aliases: list[tuple[str, str]], base: str = "") -> DataFrame:
+    """found with alias_path: the specifier's path by the first (pattern, target) that fits, null otherwise.
+
+    Patterns are exact or end in /*; aliases are a project's written list, tested on each row.
+    """
+    from weftline.functions.paths import normalised
+
+    spec, out = F.col("specifier"), F.lit(None).cast("string")
+    for pattern, target in reversed(aliases):
+        if pattern.endswith("/*"):
+            path = F.concat(F.lit(target[:-1] if target.endswith("/*") else target), F.substring(spec, len(pattern), 1 << 20))
+            fits = spec.startswith(pattern[:-1])
+        else:
+            path, fits = F.lit(target), spec == pattern
+        out = F.when(fits, normalised(F.concat_ws("/", F.lit(base), path))).otherwise(out)
+    return found.withColumn("alias_path", out)
+
+
+def resolved_rust(found: DataFrame, files: DataFrame, crate_root: str = "") -> DataFrame:
+    """found with resolved_path of crate::, self:: and super:: paths: the first existing candidate.
+
+    Candidates: the path as a file, as a directory with mod.rs, then both without the last segment,
+    which may name an item.
+    """
+    from weftline.functions.paths import dirname, normalised
+
+    parts = F.split("specifier", "::")
+    n_super = F.size(F.filter(parts, lambda p: p == "super"))
+    here = dirname(F.col("file"))
+    base = F.when(parts[0] == "crate", F.lit(f"{crate_root}/src" if crate_root else "src")).when(parts[0] == "self", here).when(parts[0] == "super", F.concat_ws("/", here, F.array_join(F.array_repeat(F.lit(".."), n_super), "/")))
+    rest = F.when(parts[0] == "super", F.slice(parts, n_super + 1, F.size(parts))).otherwise(F.slice(parts, F.lit(2), F.size(parts)))
+    path = lambda p: normalised(F.concat_ws("/", base, F.array_join(p, "/")))
+    less = F.slice(rest, F.lit(1), F.greatest(F.size(rest) - 1, F.lit(0)))
+    whole, module = path(rest), F.when(F.size(rest) > 1, path(less))
+    candidates = F.array(F.concat(whole, F.lit(".rs")), F.concat(whole, F.lit("/mod.rs")), F.concat(module, F.lit(".rs")), F.concat(module, F.lit("/mod.rs")))
+    hits = found.filter(base.isNotNull() & (F.size(rest) > 0)).select("file", "specifier", F.posexplode(candidates).alias("_k", "_path")).distinct()
+    hits = hits.join(files.select(F.col("file").alias("_path")).distinct(), "_path")
+    return found.join(hits.groupBy("file", "specifier").agg(F.min_by("_path", "_k").alias("resolved_path")), ["file", "specifier"], "left")
+
+
+def stale(files: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Files (file, modified) that a table of parsed ones does not have at that time."""
+    return files.join(parsed.select("file", "modified"), ["file", "modified"], "left_anti")

@@ -66,3 +66,20 @@ def latest(spark: SparkSession, folder: str) -> DataFrame:
     """The newest version (by name) of a table."""
     rows = spark.read.parquet(folder)
     return rows.join(F.broadcast(rows.agg(F.max("version").alias("version"))), "version", "left_semi")  # one row
+
+
+def run_jobs(jobs: list, workers: int = 5) -> list:
+    """Run callables that start Spark jobs, so many at a time; (result, error) of each, in order.
+
+    An error stops no other job.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    def one(job):
+        try:
+            return job(), None
+        except Exception as error:
+            return None, error
+
+    with ThreadPoolExecutor(workers) as pool:
+        return list(pool.map(one, jobs))
