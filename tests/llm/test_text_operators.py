@@ -7,6 +7,7 @@ import struct
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.llm import bpe, chat, media, pii
 
@@ -94,7 +95,7 @@ def test_pii_spans(spark):
 
 
 def test_redaction_leaves_nothing(spark):
-    rows = docs(spark, PII).withColumn("n_chars", docs(spark, PII).doc_id)
+    rows = docs(spark, PII).withColumn("n_chars", F.col("doc_id"))
     out = pii.redact_pii(rows)
     assert out.schema.names == rows.schema.names and out.count() == len(PII)
     got = by_id(out)
