@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import bpe, langid, mixing, pii, simhash
+from weftline.llm import bpe, jaccard, langid, mixing, pii, simhash
 from weftline.llm.common import reliable, table
 
 #: A document goes if no language is found or its calibrated probability is below this.
@@ -23,11 +23,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest doc_id of each group of near duplicates.
 
-    Five-word shingles, each counted once; 256-bit fingerprints.  Two texts with a Jaccard similarity
-    of 0.8 have shingle sets at a cosine of 0.89 or an angle of 27 degrees, so that 39 of 256 bits
-    differ on average (standard deviation 6); 44 is the link distance.
+    Texts are linked if the sets of their five-word shingles have a Jaccard similarity of at least 0.8.
     """
-    return simhash.keep_first(docs, width=5, n_words=4, n_bands=20, radius=44, distinct=True)
+    return simhash.keep_first(docs, find=jaccard.near_duplicates, width=5)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

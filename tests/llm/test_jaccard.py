@@ -1,0 +1,49 @@
+"""The pipeline's near-duplicate stage against brute force on exact Jaccard similarity."""
+
+import random
+
+import corpus_pipeline
+
+
+def shingles(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_near_duplicates_equal_brute_force(spark, tmp_path):
+    rng = random.Random(3)
+    texts = []
+    for family in range(60):
+        n = rng.choice([9, 10, 12, 30, 60, 150])
+        base = [f"w{rng.randrange(5000)}" for _ in range(n)]
+        texts.append(base)
+        for _ in range(8):
+            words = list(base)
+            for _ in range(rng.randrange(1, max(2, n // 25 + 1))):  # J from about 0.6 to 0.95
+                words[rng.choice([0, -1, -2, rng.randrange(n)])] = f"x{rng.randrange(10**6)}"
+            texts.append(words)
+    texts = [" ".join(t) for t in texts] + ["one two", "one two", "a b c d e f", "a b c d e g"]
+    rng.shuffle(texts)
+    sets = [shingles(t) for t in texts]
+    label, near = list(range(len(texts))), 0
+    linked = [[] for _ in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            o = len(sets[i] & sets[j])
+            u = len(sets[i]) + len(sets[j]) - o
+            near += 0.7 <= o / u <= 0.9
+            if 5 * o >= 4 * u:
+                linked[i].append(j)
+                linked[j].append(i)
+    for i in range(len(texts)):  # ids ascend, so the first to reach a text is the least
+        todo = [i] if label[i] == i else []
+        while todo:
+            for j in linked[todo.pop()]:
+                if label[j] > i:
+                    label[j] = i
+                    todo.append(j)
+    assert near > 500
+    rows = spark.createDataFrame([(i, t, "en", "s", None) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicates(spark, rows, str(tmp_path))
+    assert kept.columns == rows.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({*label})

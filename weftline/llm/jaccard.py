@@ -1,0 +1,217 @@
+"""Near-duplicate groups by exact Jaccard similarity of shingle sets.
+
+Two texts are linked if the sets of their shingles have a Jaccard similarity of at least 4/5.  Equal
+sets become one class first.  Under any one order of all shingles, two sets that are linked share one
+of their first n - ceil(4n / 5) + 1 shingles, so sets meet at those shingles and no link is lost; the
+order puts shingles that a sample shows to be common last, which changes the cost and never the
+result.  A first round compares each set only with the least one it meets there, which joins large
+groups of copies by few comparisons; a second compares all sets that meet and are not yet joined.
+Every link is confirmed on the whole sets, in integers.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import as_bytes, parts, reliable
+from .simhash import components_of, shingle_hashes
+
+#: Least similarity of a link as a fraction; sets below LEAST shingles are linked only to equal ones.
+NUM, DEN = 4, 5
+LEAST = NUM // (DEN - NUM)
+#: Sets and shingles that the order of shingles is estimated from, least count, rows and pairs at a time.
+SAMPLE, COMMON, SEEN, ROWS, PAIRS = 20_000, 100_000, 4, 200_000, 2_000_000
+
+
+def shingle_sets(docs: DataFrame, width: int, text: str, whole: bool) -> DataFrame:
+    """doc_id, n and either a 128-bit key of the shingle set (k0, k1) or, if whole, the set itself."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import xxhash
+
+        for batch in (part for all_rows in batches for part in parts(all_rows, 1)):
+            sets = [np.unique(shingle_hashes(raw, width)) for raw in as_bytes(batch.column(1))]
+            out = {"doc_id": batch.column(0), "n": pa.array([len(s) for s in sets], pa.int64())}
+            if whole:
+                out["items"] = pa.array([s.tobytes() for s in sets], pa.binary())
+            else:
+                keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), dtype=np.int64).reshape(-1, 2)
+                out |= {"k0": pa.array(np.ascontiguousarray(keys[:, 0])), "k1": pa.array(np.ascontiguousarray(keys[:, 1]))}
+            yield pa.RecordBatch.from_pydict(out)
+
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n long, " + ("items binary" if whole else "k0 long, k1 long"))
+
+
+def common_shingles(sets: DataFrame):
+    """Shingles that occur in several sets of a sample, ascending, and their counts."""
+    import numpy as np
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in (part for whole in batches for part in parts(whole, 2)):
+            yield pa.RecordBatch.from_pydict({"item": pa.array(np.frombuffer(b"".join(as_bytes(batch.column(2))), dtype=np.int64))})
+
+    drawn = sets.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(max(sets.count(), SAMPLE))) < SAMPLE)
+    counts = drawn.mapInArrow(run, "item long").groupBy("item").agg(F.count("*").alias("n")).filter(F.col("n") >= SEEN)
+    rows = counts.orderBy(F.desc("n"), "item").limit(COMMON).collect()
+    item, n = np.array([r["item"] for r in rows], dtype=np.int64).view(np.uint64), np.array([r["n"] for r in rows], dtype=np.int64)
+    order = np.argsort(item)
+    return item[order], n[order]
+
+
+def prefixes(sets: DataFrame, common, counts) -> DataFrame:
+    """item, doc_id, n and place of the first shingles of each set, of which linked sets share one."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in (part for whole in batches for part in parts(whole, 2)):
+            ids, items, ns, places = [], [], [], []
+            for doc, raw in zip(batch.column(0).to_pylist(), as_bytes(batch.column(2))):
+                s = np.frombuffer(raw, dtype=np.uint64)
+                weight = np.zeros(len(s), dtype=np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                    weight = np.where(common[at] == s, counts[at], 0)
+                k = len(s) - -(-NUM * len(s) // DEN) + 1
+                items.append(s[np.lexsort((s, weight))[:k]].view(np.int64))
+                ids.append(np.full(k, doc, dtype=np.int64))
+                ns.append(np.full(k, len(s), dtype=np.int64))
+                places.append(np.arange(k))
+            if ids:
+                yield pa.RecordBatch.from_pydict({k: pa.array(np.concatenate(v)) for k, v in zip(("item", "doc_id", "n", "place"), (items, ids, ns, places))})
+
+    return sets.mapInArrow(run, "item long, doc_id long, n long, place long")
+
+
+def in_groups(batches):
+    """Arrays of the rows of Arrow batches sorted by their first column, cut only where it changes."""
+    import numpy as np
+
+    held, count = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]))
+        count += len(held[-1])
+        if count >= ROWS:
+            rows = np.concatenate(held)
+            other = (rows[:, 0] != rows[-1, 0]).nonzero()[0]
+            cut = other[-1] + 1 if len(other) else 0
+            if cut:
+                yield rows[:cut]
+            held, count = [rows[cut:]], len(rows) - cut if cut else 0
+    if held:
+        yield np.concatenate(held)
+
+
+def may_link(n1, place1, n2, place2):
+    """False if sets that first meet at these places cannot be linked: too few shingles are left."""
+    import numpy as np
+
+    return (NUM + DEN) * np.minimum(n1 - place1, n2 - place2) >= NUM * (n1 + n2)
+
+
+def pair_batch(a, b):
+    """Distinct pairs of different ids, the smaller first."""
+    import numpy as np
+    import pyarrow as pa
+
+    p = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)])[a != b], axis=0)
+    return pa.RecordBatch.from_pydict({"a": pa.array(np.ascontiguousarray(p[:, 0])), "b": pa.array(np.ascontiguousarray(p[:, 1]))})
+
+
+def star_pairs(met: DataFrame) -> DataFrame:
+    """a, b: each set and the one of least doc_id it meets, for each shingle."""
+
+    def run(batches):
+        import numpy as np
+
+        for rows in in_groups(batches):
+            first = np.concatenate(([True], rows[1:, 0] != rows[:-1, 0]))
+            head = rows[first.nonzero()[0][np.cumsum(first) - 1]]
+            ok = may_link(rows[:, 2], rows[:, 3], head[:, 2], head[:, 3])
+            yield pair_batch(rows[ok, 1], head[ok, 1])
+
+    return met.repartition("item").sortWithinPartitions("item", "doc_id").mapInArrow(run, "a long, b long").distinct()
+
+
+def other_pairs(met: DataFrame) -> DataFrame:
+    """a, b: all sets that meet at a shingle and have different labels.  met: item, doc_id, n, place, label."""
+
+    def run(batches):
+        import numpy as np
+
+        for rows in in_groups(batches):
+            first = np.concatenate(([True], rows[1:, 0] != rows[:-1, 0]))
+            start, group = first.nonzero()[0], np.cumsum(first) - 1
+            size = np.diff(np.append(start, len(rows)))
+            # a label that most of a group have is that of its middle row; such rows need not meet each other
+            middle = rows[np.lexsort((rows[:, 4], group)), 4][start + size // 2][group]
+            key = (group << 32) + rows[:, 2]
+            q = (rows[:, 4] != middle).nonzero()[0]
+            lo = np.searchsorted(key, (group[q] << 32) + -(-NUM * rows[q, 2] // DEN), side="left")
+            n = np.searchsorted(key, (group[q] << 32) + DEN * rows[q, 2] // NUM, side="right") - lo
+            done = 0
+            upto = np.cumsum(n)
+            while done < len(q):
+                till = max(done + 1, int(np.searchsorted(upto, (upto[done - 1] if done else 0) + PAIRS, side="right")))
+                k = n[done:till]
+                x = np.repeat(q[done:till], k)
+                y = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(lo[done:till], k)
+                ok = rows[x, 4] != rows[y, 4]
+                x, y = x[ok], y[ok]
+                ok = may_link(rows[x, 2], rows[x, 3], rows[y, 2], rows[y, 3])
+                if ok.any():
+                    yield pair_batch(rows[x[ok], 1], rows[y[ok], 1])
+                done = till
+
+    return met.repartition("item").sortWithinPartitions("item", "n").mapInArrow(run, "a long, b long").distinct()
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough."""
+
+    def run(batches):
+        import numpy as np
+
+        for batch in (part for whole in batches for part in parts(whole, 2)):
+            x, y = as_bytes(batch.column(2)), as_bytes(batch.column(3))
+            keep = np.zeros(len(x), dtype=bool)
+            for i, (s, t) in enumerate(zip(x, y)):
+                s, t = np.frombuffer(s, dtype=np.uint64), np.frombuffer(t, dtype=np.uint64)
+                both = np.sort(np.concatenate((s, t)), kind="stable")
+                keep[i] = (NUM + DEN) * int((both[1:] == both[:-1]).sum()) >= NUM * len(both)
+            yield pair_batch(batch.column(0).to_numpy()[keep], batch.column(1).to_numpy()[keep])
+
+    side = lambda end, name: sets.select(F.col("doc_id").alias(end), F.col("items").alias(name))
+    rows = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    return rows.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, text: str = "text") -> DataFrame:
+    """doc_id and component_id, the smallest doc_id linked, for every row.
+
+    Texts shorter than a shingle count as one shingle; null and empty texts are equal to each other;
+    rows without doc_id keep a null component if no row with a doc_id has the same set.
+    """
+    keys = reliable(shingle_sets(docs, width, text, whole=False))
+    classes = keys.groupBy("k0", "k1").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")).filter("rep is not null")
+    reps = classes.filter(F.col("n") >= LEAST).select(F.col("rep").alias("doc_id")).distinct()
+    held = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).join(reps, "doc_id", "left_semi")
+    sets = reliable(shingle_sets(held, width, "text", whole=True).filter(F.col("n") >= LEAST))
+    met = prefixes(sets, *common_shingles(sets))
+    tested = reliable(star_pairs(met))
+    links = reliable(confirmed(tested, sets))
+    label = components_of(links).withColumnRenamed("node", "doc_id")
+    met = met.join(label, "doc_id", "left").select("item", "doc_id", "n", "place", F.coalesce("component", "doc_id").alias("label"))
+    rest = other_pairs(met).join(tested, ["a", "b"], "left_anti")
+    found = components_of(links.unionByName(confirmed(rest, sets))).withColumnRenamed("node", "rep")
+    named = classes.join(found, "rep", "left").select("k0", "k1", F.coalesce("component", "rep").alias("component_id"))
+    return keys.join(named, ["k0", "k1"], "left").select("doc_id", "component_id")

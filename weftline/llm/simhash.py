@@ -290,13 +290,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, n_words: int = 4, n_bands:
     return prints.join(named, names, "left").select("doc_id", *names, "component_id")
 
 
-def keep_first(docs: DataFrame, **how) -> DataFrame:
+def keep_first(docs: DataFrame, find=near_duplicates, **how) -> DataFrame:
     """The rows of documents of which no near duplicate has a smaller doc_id, columns unchanged.
 
+    find(docs, **how) gives doc_id and component_id, the smallest doc_id of its group, for every row.
     Rows with equal doc_id count as one document, of which the row with the smallest text stays;
     rows without doc_id stay.
     """
-    groups = near_duplicates(docs, **how).filter("doc_id = component_id").select(F.col("component_id").alias("keep")).distinct()
+    groups = find(docs, **how).filter("doc_id = component_id").select(F.col("component_id").alias("keep")).distinct()
     rows = docs.select(whole_row(docs).alias("row"), docs["doc_id"].cast("long").alias("id"), docs["text"].cast("string").alias("text"))
     order = Window.partitionBy("id").orderBy("text", F.to_json(F.struct(*[F.col("row")[c].cast("string").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"])))
     first = rows.join(groups, F.col("id") == F.col("keep")).withColumn("nth", F.row_number().over(order)).filter("nth = 1")
