@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int = 10) -> DataFrame:
+def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """root, node, depth (least) of everything reachable from seeds (column node), seeds at depth 0.
 
+    max_depth: only what is at most so many steps away; None: all.
     A frontier loop: each round joins only the nodes found in the round before and drops those seen,
     checkpointed so that plans do not grow and a lost executor costs one round.
     """
     step = edges.select("src", "dst").distinct()
     seen = checkpoint(seeds.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth")).distinct())
     front = seen
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         nxt = front.join(step, front["node"] == step["src"]).select("root", F.col("dst").alias("node")).distinct()
         front = checkpoint(nxt.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
@@ -93,7 +96,7 @@ def critical_path(edges: DataFrame, max_depth: int) -> DataFrame:
     return last.agg(F.min("path").alias("path"))
 
 
-def importers(imports: DataFrame, target, max_depth: int = 20) -> DataFrame:
+def importers(imports: DataFrame, target, max_depth: int | None = None) -> DataFrame:
     """path, direct, barrel: files that import target (distinct), directly or through re-exporting files.
 
     imports: path, resolved_path, is_re_export.  Only files that re-export what they import are

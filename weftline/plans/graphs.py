@@ -32,7 +32,7 @@ def reachability(spark, sf_dir):
 @query("dependents", f"WITH RECURSIVE {DAG}, w(root, node, depth) AS (SELECT 20, 20, 0 UNION ALL SELECT root, src, depth + 1 FROM w JOIN dag ON dst = node WHERE depth < 4) SELECT node, min(depth) AS depth FROM w GROUP BY node")
 def dependents(spark, sf_dir):
     seeds = spark.range(20, 21).select(F.col("id").cast("int").alias("node"))
-    return graph.reachable(graph.reversed_edges(dag(spark, sf_dir)), seeds, 4).select("node", "depth")
+    return graph.reachable(graph.reversed_edges(dag(spark, sf_dir)), seeds).select("node", "depth")
 
 
 @query(
