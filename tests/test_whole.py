@@ -37,3 +37,23 @@ def test_deep_graphs(spark):
     assert graph.reachable(chain, seeds, 3).count() == 4
     imports = chain.select(F.col("dst").alias("path"), F.col("src").alias("resolved_path"), F.lit("x").alias("imported_name"), (F.col("dst") != "24").alias("is_re_export"))
     assert {r.path: r.barrel for r in graph.importers(imports, "0").collect()} == {"1": False, "24": True}
+
+
+@tables
+def test_jaccard_lift(spark):
+    read = lambda name, *c: [tuple(r) for r in spark.read.parquet(f"{DATA}/{name}.parquet").select(*c).collect()]
+    brand, orders, items = dict(read("part", "p_partkey", "p_brand")), {}, {}
+    for g, i in read("lineitem", "l_orderkey", "l_partkey"):
+        orders.setdefault(i, set()).add(g)
+        items.setdefault(g, set()).add(i)
+    want = {}
+    for i, mine in orders.items():
+        for j in {k for g in mine for k in items[g]} - {i}:
+            both = len(mine & orders[j])
+            jaccard = both / (len(mine) + len(orders[j]) - both)
+            if jaccard >= 0.015 and brand[i] != brand[j]:
+                n, most = want.get((brand[i], brand[j]), (0, 0.0))
+                want[brand[i], brand[j]] = (n + 1, max(most, jaccard))
+    got = {(r.src, r.dst): (r.n, r.jaccard) for r in catalog.queries()["jaccard_lift"](spark, DATA).collect()}
+    assert {k: n for k, (n, _) in got.items()} == {k: n for k, (n, _) in want.items()}
+    assert all(abs(got[k][1] - most) < 1e-8 for k, (_, most) in want.items())

@@ -73,7 +73,7 @@ def jaccard_neighbors(spark, sf_dir):
 )
 def jaccard_lift(spark, sf_dir):
     part = load(spark, sf_dir, "part")
-    targets = part.filter("p_partkey <= 40").select(F.col("p_partkey").alias("target"))
+    targets = part.select(F.col("p_partkey").alias("target"))
     rows = cochange.jaccard_neighbours(links(spark, sf_dir), targets, "l_orderkey", "l_partkey").filter("jaccard >= 0.015")
     brand = lambda key, name: part.select(F.col("p_partkey").alias(key), F.col("p_brand").alias(name))
     rows = rows.join(brand("target", "src"), "target").join(brand("other", "dst"), "other").filter("src <> dst")
