@@ -57,3 +57,37 @@ def test_jaccard_lift(spark):
     got = {(r.src, r.dst): (r.n, r.jaccard) for r in catalog.queries()["jaccard_lift"](spark, DATA).collect()}
     assert {k: n for k, (n, _) in got.items()} == {k: n for k, (n, _) in want.items()}
     assert all(abs(got[k][1] - most) < 1e-8 for k, (_, most) in want.items())
+
+
+@pytest.fixture(scope="module")
+def suppliers(spark, tmp_path_factory):
+    """A folder with 60 suppliers, and (id, written, read, locked) of each."""
+    folder = tmp_path_factory.mktemp("suppliers")
+    rows = [(i, i * 7 % 23 if i < 60 else 24) for i in range(1, 61)]  # the last one alone in its nation
+    spark.createDataFrame(rows, "s_suppkey int, s_nationkey int").write.parquet(str(folder / "supplier.parquet"))
+    return str(folder), [(i, f"c{i % 12}", f"c{(i * 5 + 1) % 12}", f"n{m}") for i, m in rows]
+
+
+def test_hazards(spark, suppliers):
+    folder, tasks = suppliers
+    want = set()
+    for i, w, r, m in tasks:
+        for j, w2, r2, m2 in tasks:
+            if i != j:
+                want |= {("RAW", i, j, w)} if w == r2 else set()
+                want |= {("WAR", i, j, r)} if r == w2 and w != r else set()
+                want |= {("WAW", i, j, w)} if w == w2 and i < j else set()
+                want |= {("MUTEX", i, j, m)} if m == m2 and i < j else set()
+    got = [tuple(r) for r in catalog.queries()["hazards"](spark, folder).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_plan_issues(spark, suppliers):
+    folder, tasks = suppliers
+    want = [("unknown_component", i, c) for i, w, r, _ in tasks for c in (w, r) if int(c[1:]) > 8]
+    want += [("write_conflict", i, w) for i, w, *_ in tasks for j, w2, *_ in tasks if i < j and w == w2]
+    locked = [m for *_, m in tasks]
+    want += [("lone_mutex", i, m) for i, *_, m in tasks if locked.count(m) == 1]
+    got = [tuple(r) for r in catalog.queries()["plan_issues"](spark, folder).collect()]
+    assert ("lone_mutex", 60, "n24") in want
+    assert sorted(got) == sorted(want)

@@ -61,7 +61,7 @@ touch AS (SELECT id, 'w' AS mode, 'c' || a AS name FROM t UNION SELECT id, 'r',
 
 
 def tasks(spark, sf_dir):
-    s = load(spark, sf_dir, "supplier").filter("s_suppkey <= 40")  # the tasks of a plan, not a cap on a table
+    s = load(spark, sf_dir, "supplier")
     name = lambda prefix, c: F.array(F.concat(F.lit(prefix), c.cast("string")))
     return s.select(F.col("s_suppkey").alias("id"), F.col("s_suppkey").alias("ord"), name("c", F.col("s_suppkey") % 12).alias("writes"), name("c", (F.col("s_suppkey") * 5 + 1) % 12).alias("reads"), name("n", F.col("s_nationkey")).alias("mutexes"))
 
