@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline import catalog
-from weftline.operators import graph
+from weftline.operators import graph, schedule
 
 DATA = "/root/testdata/sf0.001"
 
@@ -91,3 +91,15 @@ def test_plan_issues(spark, suppliers):
     got = [tuple(r) for r in catalog.queries()["plan_issues"](spark, folder).collect()]
     assert ("lone_mutex", 60, "n24") in want
     assert sorted(got) == sorted(want)
+
+
+def test_critical_path_is_whole(spark):
+    kind = "id long, ord long, reads array<string>, writes array<string>, mutexes array<string>"
+    chain = spark.createDataFrame([(i, i, [f"c{i - 1}"], [f"c{i}"], []) for i in range(7)], kind)
+    assert schedule.critical_path(chain).first().path == list(range(7))
+    assert schedule.critical_path(chain, 6).first().path == list(range(7))
+    with pytest.raises(ValueError):
+        schedule.critical_path(chain, 5)
+    cycle = spark.createDataFrame([(0, 0, ["b"], ["a"], []), (1, 1, ["a"], ["b"], [])], kind)
+    with pytest.raises(ValueError):
+        schedule.critical_path(cycle)

@@ -79,19 +79,24 @@ def longest_paths(edges: DataFrame, max_depth: int) -> DataFrame:
     return found.groupBy("node").agg(F.max("depth").alias("depth"))
 
 
-def critical_path(edges: DataFrame, max_depth: int) -> DataFrame:
+def critical_path(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """One row, path: the longest path, among equals the least as an array.
 
-    Round by round only the least longest path into each node is kept.
+    Round by round only the least longest path into each node is kept; a path longer than max_depth
+    (None: than there are nodes) means a cycle and is an error.
     """
     step = edges.select("src", "dst").distinct()
     nodes = step.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     best = checkpoint(nodes.select("node", F.array("node").alias("path")))
     last = best
-    for _ in range(max_depth):
+    if max_depth is None:
+        max_depth = best.count()
+    for depth in range(1, max_depth + 2):
         best = checkpoint(best.join(step, best["node"] == step["src"]).select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path")).groupBy("node").agg(F.min("path").alias("path")))
         if best.isEmpty():
             break
+        if depth > max_depth:
+            raise ValueError("the graph has a cycle or a path longer than max_depth")
         last = best
     return last.agg(F.min("path").alias("path"))
 

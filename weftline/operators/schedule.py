@@ -48,8 +48,8 @@ def waves(tasks: DataFrame, max_waves: int = 200) -> DataFrame:
     return tasks.select("id").join(deep, "id", "left").select("id", F.coalesce("depth", F.lit(0)).alias("wave"))
 
 
-def critical_path(tasks: DataFrame, max_depth: int = 200) -> DataFrame:
-    """Longest chain of RAW hazards."""
+def critical_path(tasks: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Longest chain of RAW hazards; one longer than max_depth (None: than there are tasks) is an error."""
     raw = hazards(tasks).filter("type = 'RAW'").select(F.col("source").alias("src"), F.col("target").alias("dst"))
     return longest_chain(raw, max_depth)
 
