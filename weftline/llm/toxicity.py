@@ -12,6 +12,7 @@ probability.  Learning uses a bounded sample of labelled rows; scoring is one pa
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -128,21 +129,19 @@ class Scorer:
         if not core:
             return 0.0, 0.0, 0, len(words), 0.0
         stops = (".", "!", "?", ";", ":")
+        ends = [i for i, w in enumerate(words) if w.endswith(stops)]
         total = best = 0.0
         distinct = set()
         done = -1
         for i in core:
             if i <= done:
                 continue
-            lo = i
-            while lo > 0 and lo > i - 40 and not words[lo - 1].endswith(stops):
-                lo -= 1
-            hi = i
-            while hi < len(words) - 1 and not words[hi].endswith(stops):
-                hi += 1
+            at = bisect_left(ends, i)
+            lo = ends[at - 1] + 1 if at else 0
+            hi = ends[at] if at < len(ends) else len(words) - 1
             aimed = any(x is not None and x[0] == TARGET for x in found[lo : hi + 1])  # before or after
             state, score = self.aimed if aimed else self.machine.start, 0.0
-            for j in range(max(lo, done + 1), hi + 1):
+            for j in range(lo, hi + 1):
                 symbol, w = found[j] or (OTHER, 0.0)
                 state, mark = self.steps[(state, symbol)]
                 if w and not (symbol == THREAT and not (mark and "aimed" in mark)):
