@@ -29,7 +29,7 @@ def reachability(spark, sf_dir):
     return graph.reachable(edges(spark, sf_dir), seeds, 6)
 
 
-@query("dependents", f"WITH RECURSIVE {DAG}, w(root, node, depth) AS (SELECT 20, 20, 0 UNION ALL SELECT root, src, depth + 1 FROM w JOIN dag ON dst = node WHERE depth < 4) SELECT node, min(depth) AS depth FROM w GROUP BY node")
+@query("dependents", f"WITH RECURSIVE {DAG}, w(root, node, depth) AS (SELECT 20, 20, 0 UNION ALL SELECT root, src, depth + 1 FROM w JOIN dag ON dst = node) SELECT node, min(depth) AS depth FROM w GROUP BY node")
 def dependents(spark, sf_dir):
     seeds = spark.range(20, 21).select(F.col("id").cast("int").alias("node"))
     return graph.reachable(graph.reversed_edges(dag(spark, sf_dir)), seeds).select("node", "depth")
@@ -56,7 +56,7 @@ def critical_path(spark, sf_dir):
     return graph.critical_path(dag(spark, sf_dir), 25).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
-TASKS = """t AS (SELECT s_suppkey AS id, s_suppkey % 12 AS a, (s_suppkey * 5 + 1) % 12 AS b, s_nationkey AS m FROM supplier WHERE s_suppkey <= 40),
+TASKS = """t AS (SELECT s_suppkey AS id, s_suppkey % 12 AS a, (s_suppkey * 5 + 1) % 12 AS b, s_nationkey AS m FROM supplier),
 touch AS (SELECT id, 'w' AS mode, 'c' || a AS name FROM t UNION SELECT id, 'r', 'c' || b FROM t UNION SELECT id, 'm', 'n' || m FROM t)"""
 
 
@@ -78,8 +78,8 @@ def hazards(spark, sf_dir):
 
 @query(
     "plan_issues",
-    """WITH t AS (SELECT s_suppkey AS id, 'c' || s_suppkey % 12 AS w, 'n' || s_nationkey AS m FROM supplier WHERE s_suppkey <= 40), lone AS (SELECT m AS name, min(id) AS id FROM t GROUP BY m HAVING count(*) = 1)
-SELECT 'unknown_component' AS issue, id, w AS name FROM t WHERE w IN ('c9', 'c10', 'c11') UNION ALL SELECT 'unknown_component', s_suppkey, 'c' || (s_suppkey * 5 + 1) % 12 FROM supplier WHERE s_suppkey <= 40 AND (s_suppkey * 5 + 1) % 12 >= 9
+    """WITH t AS (SELECT s_suppkey AS id, 'c' || s_suppkey % 12 AS w, 'n' || s_nationkey AS m FROM supplier), lone AS (SELECT m AS name, min(id) AS id FROM t GROUP BY m HAVING count(*) = 1)
+SELECT 'unknown_component' AS issue, id, w AS name FROM t WHERE w IN ('c9', 'c10', 'c11') UNION ALL SELECT 'unknown_component', s_suppkey, 'c' || (s_suppkey * 5 + 1) % 12 FROM supplier WHERE (s_suppkey * 5 + 1) % 12 >= 9
 UNION ALL SELECT 'write_conflict', x.id, x.w FROM t x JOIN t y ON x.w = y.w AND x.id < y.id UNION ALL SELECT 'lone_mutex', id, name FROM lone""",
 )
 def plan_issues(spark, sf_dir):

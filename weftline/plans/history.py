@@ -69,7 +69,7 @@ def jaccard_neighbors(spark, sf_dir):
 
 @query(
     "jaccard_lift",
-    f"WITH {LINKS}{JACCARD.format('<= 40')} SELECT p.p_brand AS src, q.p_brand AS dst, count(*) AS n, round(max(jaccard), 9) AS jaccard FROM neighbours JOIN part p ON p.p_partkey = target JOIN part q ON q.p_partkey = other WHERE jaccard >= 0.015 AND p.p_brand <> q.p_brand GROUP BY ALL",
+    f"WITH {LINKS}{JACCARD.format('IS NOT NULL')} SELECT p.p_brand AS src, q.p_brand AS dst, count(*) AS n, round(max(jaccard), 9) AS jaccard FROM neighbours JOIN part p ON p.p_partkey = target JOIN part q ON q.p_partkey = other WHERE jaccard >= 0.015 AND p.p_brand <> q.p_brand GROUP BY ALL",
 )
 def jaccard_lift(spark, sf_dir):
     part = load(spark, sf_dir, "part")
