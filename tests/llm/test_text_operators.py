@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 
 import pytest
@@ -94,6 +95,24 @@ def test_pii_spans(spark):
     assert sum(s.kind == "iban" for s in got[12].pii_spans) == 1 and sum(s.kind == "ssn" for s in got[12].pii_spans) >= 1
 
 
+def test_many_matches_in_one_text(spark):
+    text = "mail a@b.co card 4111 1111 1111 1111, é 1.2.3.4 " * 20_000
+    began = time.time()
+    row = pii.find_pii(docs(spark, [text])).first()
+    assert time.time() - began < 60
+    assert [tuple(s)[:3] for s in row.pii_spans] == base_spans(text)
+
+
+def test_account_numbers_before_other_words(spark):
+    number = "GB82 WEST 1234 5698 7654 32"
+    texts = [f"account {number} Bank of X", f"account {number} BANK", f"{number} iban", "iban BE68 5390 0754 7034 ABCD then", f"bank {number} {number}", "account GB82WEST12345698765432 Now", f"bank {number[:-1]}3 X"]
+    got = by_id(pii.find_pii(docs(spark, texts)))
+    shown = [[t[s.start : s.end] for s in got[i].pii_iban] for i, t in enumerate(texts)]
+    assert shown == [[number], [number], [number], ["BE68 5390 0754 7034"], [number, number], ["GB82WEST12345698765432"], []]
+    assert by_id(pii.redact_pii(docs(spark, texts)))[3].text == "iban <IBAN> ABCD then"
+    assert pii.find_pii(docs(spark, texts).limit(0)).collect() == [] == pii.redact_pii(docs(spark, texts).limit(0)).collect()
+
+
 def test_redaction_leaves_nothing(spark):
     rows = docs(spark, PII).withColumn("n_chars", F.col("doc_id"))
     out = pii.redact_pii(rows)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import table, whole_row
 
-#: Characters before a match in which words count as its context; matches added up in one step.
+#: Characters before and after a match in which words count as its context; lengths added up in one step.
 CONTEXT, BLOCK = 40, 64
 
 
@@ -47,7 +47,7 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", 0.5, ("ip", "host", "server", "address", "login", "adresse")),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", r"[0-9]", 0.7, ("card", "visa", "credit", "pay", "karte", "carte", "tarjeta")),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", 0.6, ("phone", "call", "tel", "fax", "mobile", "ring")),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}", 0.8, ("iban", "account", "bank", "konto", "cuenta"), base=False, least=0.5),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}+|(?:\x20(?![A-Z]{2}[0-9]{2}\x20)[A-Z0-9]{4}(?![A-Za-z0-9])){2,7}+(?:\x20[A-Z0-9]{1,3}(?![A-Za-z0-9]))?+)(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}", 0.8, ("iban", "account", "bank", "konto", "cuenta"), base=False, least=0.5),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", r"[0-9]-[0-9]", 0.4, ("ssn", "social", "security", "insurance"), base=False, least=0.5),
 )
 
@@ -79,35 +79,62 @@ def mod97(c: Column) -> Column:
     return F.aggregate(F.split(turned, "(?<=.)(?=.)"), F.lit(0), step) == 1
 
 
-def confirmed(kind: Kind, m: Column) -> Column:
-    """The check that a match of a kind must pass."""
+def iban_length(m: Column) -> Column:
+    """Length of the longest part of a proposal, from its start to the end of a group, that is an account number; 0 if none."""
+    groups = F.split(m, " ")
+    joined = lambda k: F.array_join(F.slice(groups, F.lit(1), k), "")
+    fits = lambda k: F.when(F.length(joined(k)).between(15, 34), mod97(joined(k))).otherwise(F.lit(False))
+    ends = F.filter(F.reverse(F.sequence(F.lit(1), F.size(groups))), fits)
+    return F.coalesce(F.length(F.array_join(F.slice(groups, F.lit(1), F.get(ends, F.lit(0))), " ")), F.lit(0))
+
+
+def valid_length(kind: Kind, m: Column) -> Column:
+    """Characters of a proposal, from its start, that pass the kind's check; 0 if none.
+
+    A match of a base kind passes whole or not at all.
+    """
     d = digits(m)
+    if kind.name == "iban":
+        return iban_length(m)
     if kind.name == "ip":
         part = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-        return m.rlike(rf"\A{part}(?:\.{part}){{3}}\z")
-    if kind.name == "card":
-        return F.when(F.length(d).between(13, 19), luhn(d)).otherwise(F.lit(False))
-    if kind.name == "phone":
-        return F.length(d).between(9, 15)
-    if kind.name == "iban":
-        return F.when(F.length(F.replace(m, F.lit(" "), F.lit(""))).between(15, 34), mod97(m)).otherwise(F.lit(False))
-    return F.lit(True)
+        ok = m.rlike(rf"\A{part}(?:\.{part}){{3}}\z")
+    elif kind.name == "card":
+        ok = F.when(F.length(d).between(13, 19), luhn(d)).otherwise(F.lit(False))
+    elif kind.name == "phone":
+        ok = F.length(d).between(9, 15)
+    else:
+        return F.length(m)
+    return F.when(ok, F.length(m)).otherwise(F.lit(0))
+
+
+NO_INTS = "cast(array() AS array<int>)"
+
+
+def blocks_of(values: str) -> str:
+    """SQL for the numbers (from 0) of the blocks of an array."""
+    return f"CASE WHEN size({values}) > 0 THEN sequence(0, cast(floor((size({values}) - 1) / {BLOCK}) AS int)) ELSE {NO_INTS} END"
+
+
+def block_of(values: str) -> str:
+    return f"slice({values}, b * {BLOCK} + 1, {BLOCK})"
+
 
+def block_sums(values: str) -> Column:
+    """Sum of each block of an array column."""
+    return F.expr(f"transform({blocks_of(values)}, b -> aggregate({block_of(values)}, 0, (a, x) -> a + x))")
 
-def ends_of(lengths: Column) -> Column:
-    """Running sums of an array, in blocks so that the cost stays near linear in its size."""
-    of = F.lit(BLOCK)
 
-    def running(values: Column, start: Column) -> Column:
-        empty = F.array().cast("array<int>")
-        fold = F.aggregate(values, F.struct(start.alias("at"), empty.alias("out")), lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x)).alias("out")))
-        return fold["out"]
+def running(values: str, start: str = "0") -> str:
+    """SQL for the running sums of a short array, beginning from start."""
+    first, following = f"named_struct('at', {start}, 'out', {NO_INTS})", "named_struct('at', acc.at + x, 'out', concat(acc.out, array(acc.at + x)))"
+    return f"aggregate({values}, {first}, (acc, x) -> {following}).out"
 
-    blocks = F.when(F.size(lengths) > 0, F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / of).cast("int"))).otherwise(F.array().cast("array<int>"))
-    block = lambda b: F.slice(lengths, b * of + 1, of)
-    sums = F.transform(blocks, lambda b: F.aggregate(block(b), F.lit(0), lambda a, x: a + x))
-    offsets = F.concat(F.array(F.lit(0)), running(sums, F.lit(0)))
-    return F.flatten(F.transform(blocks, lambda b: running(block(b), F.get(offsets, b))))
+
+def spread(values: str, sums: str) -> Column:
+    """Running sums of an array column, given the running sums of its blocks' sums."""
+    start = f"CASE WHEN b > 0 THEN get({sums}, b - 1) ELSE 0 END"
+    return F.expr(f"CASE WHEN size({sums}) > 0 THEN flatten(transform({blocks_of(values)}, b -> {running(block_of(values), start)})) ELSE {NO_INTS} END")
 
 
 def proposals(text: Column, kind: Kind) -> Column:
@@ -118,20 +145,58 @@ def proposals(text: Column, kind: Kind) -> Column:
     return F.when(guard, some).otherwise(none)
 
 
-def judged(kind: Kind, gap: Column, match: Column) -> Column:
+def around(found: Column) -> Column:
+    """Array of struct(gap, match, after): each match with the text to the match before and after it."""
+    n = F.size(found["matches"])
+    zipped = F.arrays_zip(F.slice(found["gaps"], F.lit(1), n).alias("gap"), found["matches"].alias("match"), F.slice(found["gaps"], F.lit(2), n).alias("after"))
+    return F.when(n > 0, zipped).otherwise(F.array().cast("array<struct<gap:string,match:string,after:string>>"))
+
+
+def near_words(kind: Kind, one: Column) -> Column:
+    """Whether context words stand before or after a match, up to the next matches of its kind."""
+    words = r"\b(?:" + "|".join(kind.words) + ")"
+    return F.lower(F.right(one["gap"], F.lit(CONTEXT))).rlike(words) | F.lower(F.left(one["after"], F.lit(CONTEXT))).rlike(words)
+
+
+def score_of(kind: Kind, length: Column, near: Column) -> Column:
     """Score of a match, null if it does not count."""
-    before = F.lower(F.right(gap, F.lit(CONTEXT)))
-    near = before.rlike(r"\b(?:" + "|".join(kind.words) + ")")
     score = F.lit(kind.prior) + F.when(near, F.lit(kind.boost)).otherwise(F.lit(0.0))
-    return F.when(confirmed(kind, match) & (score >= kind.least), score)
+    return F.when((length > 0) & (score >= kind.least), score)
+
+
+def with_spans(rows: DataFrame, kinds: tuple[Kind, ...]) -> DataFrame:
+    """doc_id and pii_<kind>, an array of struct(kind, start, end, score), from doc_id and found_<kind>.
+
+    Each step reads columns of the step before several times, so the optimizer keeps the steps
+    apart and nothing is computed again for every element: the cost is linear in the matches.
+    Positions are running sums of lengths, in blocks of blocks.
+    """
+    names = [k.name for k in kinds]
+
+    def looked_at(kind: Kind) -> Column:
+        def look(m: Column) -> Column:
+            return F.struct(F.length(m["gap"]).alias("g"), F.length(m["match"]).alias("m"), valid_length(kind, m["match"]).alias("v"), near_words(kind, m).alias("near"))
+
+        return F.transform(around(F.col(f"found_{kind.name}")), look)
+
+    ones = [f"one_{n}" for n in names]
+    rows = rows.select("doc_id", *[c.alias(n) for c, n in zip(map(looked_at, kinds), ones)])
+    rows = rows.select("doc_id", *ones, *[F.expr(f"CASE WHEN size(one_{n}) > 0 THEN transform(one_{n}, p -> p.g + p.m) ELSE {NO_INTS} END").alias(f"a_{n}") for n in names])
+    rows = rows.select("*", *[block_sums(f"a_{n}").alias(f"b_{n}") for n in names])
+    rows = rows.select("*", *[block_sums(f"b_{n}").alias(f"c_{n}") for n in names])
+    rows = rows.select("*", *[F.expr(f"CASE WHEN size(c_{n}) > 0 THEN {running(f'c_{n}')} ELSE {NO_INTS} END").alias(f"d_{n}") for n in names])
+    rows = rows.select("doc_id", *ones, *[f"a_{n}" for n in names], *[spread(f"b_{n}", f"d_{n}").alias(f"e_{n}") for n in names])
+    rows = rows.select("doc_id", *ones, *[spread(f"a_{n}", f"e_{n}").alias(f"end_{n}") for n in names])
+
+    def spans(kind: Kind) -> Column:
+        def span(p: Column, e: Column) -> Column:
+            score = score_of(kind, p["v"], p["near"])
+            return F.struct(F.lit(kind.name).alias("kind"), (e - p["m"]).alias("start"), (e - p["m"] + p["v"]).alias("end"), score.alias("score"))
 
+        return F.filter(F.zip_with(f"one_{kind.name}", f"end_{kind.name}", span), lambda r: r["score"].isNotNull())
 
-def spans_of(found: Column, kind: Kind) -> Column:
-    """Array of struct(kind, start, end, score) of the matches that count."""
-    pairs = F.zip_with(F.slice(found["gaps"], F.lit(1), F.size(found["matches"])), found["matches"], lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m"), judged(kind, g, m).alias("score")))
-    ends = ends_of(F.transform(pairs, lambda p: p["g"] + p["m"]))
-    rows = F.zip_with(pairs, ends, lambda p, e: F.struct(F.lit(kind.name).alias("kind"), (e - p["m"]).alias("start"), e.alias("end"), p["score"].alias("score")))
-    return F.when(F.size(found["matches"]) > 0, F.filter(rows, lambda r: r["score"].isNotNull())).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>"))
+    none = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
+    return rows.select("doc_id", *[F.when(F.size(f"one_{k.name}") > 0, spans(k)).otherwise(none).alias(f"pii_{k.name}") for k in kinds])
 
 
 def written(spans: Column) -> Column:
@@ -143,20 +208,25 @@ def find_pii(docs: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KIND
     """doc_id, pii_<kind> span arrays and pii_spans, all spans by kind and start, for every row.
 
     Positions count code points, ends exclusive.  Null and empty texts have no spans; repeated rows
-    get equal results; other columns of the input are ignored, so clashing names do no harm.
+    get equal results; an empty table gives none; other columns of the input are ignored, so
+    clashing names do no harm.
     """
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", *[proposals(F.col("text"), k).alias(f"found_{k.name}") for k in kinds])
-    rows = rows.select("doc_id", *[spans_of(F.col(f"found_{k.name}"), k).alias(f"pii_{k.name}") for k in kinds])
+    rows = with_spans(rows, kinds)
     return rows.withColumn("pii_spans", F.concat(*[F.col(f"pii_{k.name}") for k in kinds]))
 
 
 def masked(kind: Kind):
-    """Function of a gap and the match after it (null after the last gap): the gap and what to show for the match."""
+    """Function of a match and its surroundings: the gap before it and what to show for the match."""
 
-    def put(gap: Column, match: Column) -> Column:
-        shown = F.when(judged(kind, gap, match).isNotNull(), F.lit(f"<{kind.name.upper()}>")).otherwise(match)
-        return F.concat(gap, F.coalesce(shown, F.lit("")))
+    def put(one: Column) -> Column:
+        valid = valid_length(kind, one["match"])
+        mark = F.lit(f"<{kind.name.upper()}>")
+        if kind.name == "iban":  # a proposal may go on behind the number
+            mark = F.concat(mark, F.substring(one["match"], valid + 1, F.length(one["match"])))
+        shown = F.when(score_of(kind, valid, near_words(kind, one)).isNotNull(), mark).otherwise(one["match"])
+        return F.concat(one["gap"], shown)
 
     return put
 
@@ -165,14 +235,14 @@ def redact_pii(docs: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KI
     """The rows with every span that counts replaced by <KIND>, kind after kind, n_chars recounted.
 
     Cards and accounts go before phone numbers, whose pattern reads on over digits that follow.
-    Null texts stay null; all other columns stay as they are.
+    Null texts stay null; all other columns stay as they are; an empty table gives none.
     """
     order = {"email": 0, "iban": 1, "ip": 2, "card": 3, "ssn": 4, "phone": 5}
     rows = docs.select(whole_row(docs).alias("row"), docs[text].cast("string").alias("text"))
     for kind in sorted(kinds, key=lambda k: order.get(k.name, 9)):
         found = rows.withColumn("found", proposals(F.col("text"), kind))
-        put = F.zip_with(F.col("found.gaps"), F.col("found.matches"), masked(kind))
-        rows = found.withColumn("text", F.when(F.size("found.matches") > 0, F.array_join(put, "")).otherwise(F.col("text"))).drop("found")
+        put = F.concat(F.array_join(F.transform(around(F.col("found")), masked(kind)), ""), F.element_at("found.gaps", -1))
+        rows = found.withColumn("text", F.when(F.size("found.matches") > 0, put).otherwise(F.col("text"))).drop("found")
     out = {c: F.col("row")[c] for c in docs.columns} | {text: F.col("text")}
     if "n_chars" in out:
         out["n_chars"] = F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), out["n_chars"])
