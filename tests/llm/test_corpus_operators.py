@@ -224,6 +224,56 @@ def test_neighbours(spark):
     assert ann.nearest(frame.limit(0), frame.limit(0)).collect() == []
 
 
+def exact_neighbours(rows, queries, k):
+    """(vec_id, score) of the k nearest of each query, with numpy on doubles."""
+    out = {}
+    for q, v in queries:
+        best = {}
+        for i, w in rows:
+            if i != q:
+                best[i] = max(best.get(i, -np.inf), float(np.dot(np.array(v), np.array(w))))
+        for i, s in best.items():
+            out.setdefault(q, {})[i] = max(s, out.get(q, {}).get(i, -np.inf))
+    return {q: sorted(b.items(), key=lambda x: (-x[1], x[0]))[:k] for q, b in out.items()}
+
+
+def test_repeated_vec_ids_and_doubles(spark):
+    """One vec_id with two vectors, equal rows, ties, and components that single precision would change."""
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.normal(size=4) + 1e-9).tolist()) for i in range(60)]
+    rows += [(20, rows[3][1]), (40, rows[3][1]), (40, rows[5][1]), (7, rows[3][1]), (7, rows[3][1]), (41, rows[20][1])]
+    rows += [(100 + i, [1.0 + i * 1e-12, 0.5, 0.25, 0.125]) for i in range(30)] + [(200 + i, [9.0, 9.0, 9.0, 9.0]) for i in range(40)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.nearest(frame, frame.filter("vec_id % 20 = 0"), k=20).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    want = exact_neighbours(rows, [r for r in rows if r[0] % 20 == 0], 20)
+    assert {q: [i for i, _ in f] for q, f in got.items()} == {q: [i for i, _ in f] for q, f in want.items()}
+    assert all(abs(a[1] - b[1]) < 1e-12 for q in want for a, b in zip(got[q], want[q]))
+
+
+def test_neighbours_over_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_BYTES", 1 << 15)  # several blocks of queries, too
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(6000, 32))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in ann.nearest(frame, frame.filter("vec_id % 20 = 0"), k=20, shard_rows=1000).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = [len(got[q] & set(sorted(np.delete(np.arange(6000), q), key=lambda i, q=q: -(x[i] @ x[q]))[:20])) / 20 for q in range(0, 6000, 20)]
+    assert np.mean(hits) >= 0.9
+
+
+def test_walked_graphs(monkeypatch):
+    """Graphs built by walks, as beyond EXACT nodes, find as much."""
+    monkeypatch.setattr(ann, "EXACT", 300)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 24)).astype(np.float32)
+    got = ann.SmallWorld(x).search(x[::10], 120)[:, :10]
+    want = np.argsort(-(x[::10] @ x.T), axis=1)[:, :10]
+    assert np.mean([len({*a} & {*b}) / 10 for a, b in zip(got, want)]) >= 0.9
+
+
 WORDS = {"en": "the and that with from this have they which".split(), "de": "der und dass mit von diese haben welche über".split(), "fr": "le et que avec de cette avoir ils très".split()}
 
 

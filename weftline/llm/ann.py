@@ -4,8 +4,11 @@ Equal vectors are one class, so copies cannot crowd a graph; vectors of a shard
 norm by one more coordinate, which turns the largest inner product into the smallest distance.
 Nodes are ordered by level, so each layer holds a prefix of them; a layer is a flat array of
 neighbour numbers, -1 where there is none.  Nodes enter in batches and searches advance whole
-batches of queries with array operations.  Indexes are checkpointed rows; queries visit every shard
-in blocks, and the shards' best are merged by window functions.
+batches of queries with array operations; while a shard is small, the nodes nearest to a new one
+come from a matrix product with those before it, which is exact and cheaper than a walk.  Indexes
+are checkpointed rows; queries visit every shard in broadcast blocks, and the shards' best are
+merged by window functions.  Work grows with queries times shards, so shards grow with the table
+up to what a worker holds.
 """
 
 from __future__ import annotations
@@ -15,16 +18,18 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import reliable, table
+from .common import reliable, table, with_hot
 
-#: Rows of a shard and queries of a block, on average; both bound a task's memory.
-SHARD_ROWS, BLOCK_QUERIES = 8_192, 20_000
+#: Nodes up to which a new node's neighbours come from a matrix product, not from a walk.
+EXACT = 16_384
+#: Rows of a shard, at most and at least on average, and bytes of the query vectors of a block.
+SHARD_ROWS, LEAST_ROWS, BLOCK_BYTES = 131_072, 2_048, 32 << 20
 
 
 class SmallWorld:
     """Layers of neighbour arrays over lifted vectors, all in order of level."""
 
-    def __init__(self, vectors, sizes=None, layers=None, m: int = 16, ef_build: int = 80, seed: int = 3):
+    def __init__(self, vectors, sizes=None, layers=None, m: int = 16, ef_build: int = 48):
         import numpy as np
 
         self.np, self.m = np, m
@@ -46,7 +51,7 @@ class SmallWorld:
         """Inner products of each row of q with its row of ids."""
         return self.np.einsum("abd,ad->ab", self.x[ids], q)
 
-    def walk(self, graph, q, entry, ef: int, wide: int = 4):
+    def walk(self, graph, q, entry, ef: int, wide: int = 8):
         """The ef nearest nodes of a layer for each query, nearest first: (ids, products)."""
         np, b, n = self.np, len(q), len(graph)
         ids = np.full((b, ef), -1, dtype=np.int64)
@@ -93,7 +98,7 @@ class SmallWorld:
         b, c = ids.shape
         x = self.x[ids]
         to_base = np.where(ids >= 0, np.einsum("acd,ad->ac", x, self.x[base]), -np.inf)
-        between = np.einsum("acd,aed->ace", x, x)
+        between = np.matmul(x, x.transpose(0, 2, 1))
         chosen = np.zeros((b, c), dtype=bool)
         closest = np.full((b, c), -np.inf, dtype=np.float32)  # to any chosen
         left = np.full(b, most)
@@ -130,15 +135,18 @@ class SmallWorld:
         while done < n:
             batch = np.arange(done, min(n, done + min(max(16, done), 256)))
             q = self.x[batch]
-            inside = np.where(np.arange(len(batch))[None, :] < np.arange(len(batch))[:, None], q @ q.T, -np.inf)
-            k = min(ef // 4, len(batch))
-            peers = np.argpartition(-inside, k - 1, axis=1)[:, :k]
-            peers = np.where(np.take_along_axis(inside, peers, axis=1) > -np.inf, batch[peers], -1)
-            entry = np.zeros((len(batch), 1), dtype=np.int64)
-            if above and done >= above:
-                entry = self._entries(level, q)
-            found, _ = self.walk(graph[:done], q, entry, min(ef, done))
-            cand = np.concatenate((found, peers), axis=1)
+            if batch[-1] <= EXACT:
+                cand = self._before(q, batch, ef)
+            else:
+                inside = np.where(np.arange(len(batch))[None, :] < np.arange(len(batch))[:, None], q @ q.T, -np.inf)
+                k = min(ef // 4, len(batch))
+                peers = np.argpartition(-inside, k - 1, axis=1)[:, :k]
+                peers = np.where(np.take_along_axis(inside, peers, axis=1) > -np.inf, batch[peers], -1)
+                entry = np.zeros((len(batch), 1), dtype=np.int64)
+                if above and done >= above:
+                    entry = self._entries(level, q)
+                found, _ = self.walk(graph[:done], q, entry, min(ef, done))
+                cand = np.concatenate((found, peers), axis=1)
             sim = np.where(cand >= 0, self.near(q, cand), -np.inf)
             order = np.argsort(-sim, axis=1, kind="stable")[:, :ef]
             links = self.diverse(batch, np.take_along_axis(cand, order, axis=1), self.m)
@@ -147,110 +155,159 @@ class SmallWorld:
             self._back(graph, links[a, c], batch[a])
             done = int(batch[-1]) + 1
 
-    def _back(self, graph, node, other) -> None:
-        """Add other to node's neighbours, one for each node at a time, choosing anew where a list is full."""
+    def _before(self, q, batch, most: int):
+        """The nearest of all nodes that entered before each node of a batch, by one matrix product; -1: none."""
+        np = self.np
+        sim = q @ self.x[: batch[-1] + 1].T
+        sim[:, batch[0] :][np.arange(len(batch))[None, :] >= np.arange(len(batch))[:, None]] = -np.inf
+        k = min(most, sim.shape[1])
+        got = np.argpartition(-sim, k - 1, axis=1)[:, :k]
+        return np.where(np.take_along_axis(sim, got, axis=1) > -np.inf, got, -1)
+
+    def _back(self, graph, node, other, together: int = 8) -> None:
+        """Add other to node's neighbours, some for each node at a time, choosing anew where a list is full."""
         np = self.np
         order = np.argsort(node, kind="stable")
         node, other = node[order], other[order]
-        while len(node):
-            first = np.concatenate(([True], node[1:] != node[:-1]))
-            at, put = node[first], other[first]
-            node, other = node[~first], other[~first]
-            have = (graph[at] >= 0).sum(axis=1)
-            room = have < graph.shape[1]
-            graph[at[room], have[room]] = put[room]
-            if not room.all():
-                at, put = at[~room], put[~room]
-                cand = np.concatenate((graph[at], put[:, None]), axis=1)
-                sim = self.near(self.x[at], cand)
+        first = np.concatenate(([True], node[1:] != node[:-1])).nonzero()[0]
+        size = np.diff(np.append(first, len(node)))
+        nth = np.arange(len(node)) - np.repeat(first, size)
+        for at in range(0, int(size.max(initial=0)), together):
+            rows = (size > at).nonzero()[0]
+            put = np.full((len(rows), together), -1, dtype=np.int64)
+            pick = (nth >= at) & (nth < at + together)
+            put[np.repeat(np.arange(len(rows)), np.minimum(size[rows] - at, together)), nth[pick] - at] = other[pick]
+            of = node[first[rows]]
+            cand = np.concatenate((graph[of], put), axis=1)
+            cand = np.take_along_axis(cand, np.argsort(cand < 0, axis=1, kind="stable"), axis=1)
+            full = cand[:, graph.shape[1]] >= 0
+            graph[of[~full]] = cand[~full, : graph.shape[1]]
+            if full.any():
+                of, cand = of[full], cand[full]
+                sim = np.where(cand >= 0, self.near(self.x[of], cand), -np.inf)
                 cand = np.take_along_axis(cand, np.argsort(-sim, axis=1, kind="stable"), axis=1)
-                graph[at] = self.diverse(at, cand, graph.shape[1])
+                graph[of] = self.diverse(of, cand, graph.shape[1])
 
-    def search(self, queries, k: int, ef: int):
-        """The k best nodes for each query (rows of plain vectors), best first; -1 where there are fewer."""
+    def search(self, queries, ef: int):
+        """The ef best nodes found for each query (rows of plain vectors), best first; -1 where there are fewer."""
         np = self.np
         q = np.column_stack((queries, np.zeros(len(queries)))).astype(np.float32)
-        ids, _ = self.walk(self.layers[0], q, self._entries(0, q), min(ef, self.sizes[0]))
-        return ids[:, :k]
-
+        return self.walk(self.layers[0], q, self._entries(0, q), min(ef, self.sizes[0]))[0]
 
-def stack(column):
-    import numpy as np
 
-    return np.array(column.tolist(), dtype=np.float32)
+def ef_of(n_shards: int, rows: float) -> int:
+    """Nodes that a search keeps in each shard: fewer the more shards share the k best, more in large ones."""
+    return round(max(64.0, 192 / n_shards**0.45) * max(1.0, rows / 8192) ** 0.25)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, ef: int = 160, m: int = 16) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, ef: int | None = None, m: int = 16, shard_rows: int | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k nearest found for each query.
 
     vectors, queries: vec_id, embedding.  Nearness is the largest inner product in double precision,
-    ties to the smaller vec_id; a query's own vec_id is left out.  Rows whose vector is null, empty,
-    zero or holds a null or a component that is not finite take no part; vectors of another length
-    than the query's are not compared.  Repeated vec_ids are candidates of their own; other columns
-    are ignored; an empty table gives none.
+    ties to the smaller vec_id; rows with a query's own vec_id are left out.  Rows whose vector is
+    null, empty, zero or holds a null or a component that is not finite take no part; vectors of
+    another length than the query's are not compared.  Equal rows count once; one vec_id with
+    different vectors gives candidates of their own, and as a query asks with each of them; other
+    columns are ignored; an empty table gives none.
+
+    Graphs are walked in single precision; all that a walk found is scored in double precision
+    before any is left out.  shard_rows: rows of a shard, by default as many as use the cluster's
+    cores, between LEAST_ROWS and SHARD_ROWS.  Queries go to all tasks in blocks of at most
+    BLOCK_BYTES, so a block is broadcast whatever their number.
     """
+    sc = vectors.sparkSession.sparkContext
 
     def sound(df: DataFrame) -> DataFrame:
-        df = df.select(df["vec_id"].cast("long").alias("vec_id"), df["embedding"].cast("array<float>").alias("embedding"))
+        df = df.select(df["vec_id"].cast("long").alias("vec_id"), df["embedding"].cast("array<double>").alias("embedding"))
         finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-        return df.filter(F.col("vec_id").isNotNull() & F.coalesce(finite & F.exists("embedding", lambda x: x != 0), F.lit(False)))
-
-    own = Window.partitionBy("embedding").orderBy("vec_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # a query needs no more than the k + 1 smallest ids of a class, itself among them
-    members = sound(vectors).withColumn("nth", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).withColumn("rep", F.first("vec_id").over(own)).filter(F.col("nth") <= k + 1)
-    members = reliable(members)
-    reps = members.filter("nth = 1").select("vec_id", "embedding", F.size("embedding").alias("dim"))
-    n_shards = max(1, math.ceil(reps.count() / SHARD_ROWS))
+        df = df.filter(F.col("vec_id").isNotNull() & F.coalesce(finite & F.exists("embedding", lambda x: x != 0), F.lit(False)))
+        return df.withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0)))  # one zero
+
+    # a class of equal vectors: a query needs no more than its k + 1 smallest ids, itself among them
+    by_id = Window.partitionBy("embedding").orderBy("vec_id")
+    members = sound(vectors).distinct().withColumn("nth", F.row_number().over(by_id)).filter(F.col("nth") <= k + 1)
+    members = members.withColumn("k0", F.xxhash64("embedding")).withColumn("k1", F.xxhash64(F.lit("second"), "embedding"))
+    members = reliable(members.withColumn("last", F.lead("nth").over(by_id).isNull()))
+    reps = members.filter("nth = 1").select("k0", "k1", "vec_id", "embedding", F.size("embedding").alias("dim"), (~F.col("last")).alias("more"))
+    n = reps.count()
+    if shard_rows is None:
+        shard_rows = min(SHARD_ROWS, max(LEAST_ROWS, math.ceil(n / max(1, sc.defaultParallelism))))
+    n_shards = max(1, math.ceil(n / shard_rows))
+    keep = ef or ef_of(n_shards, n / n_shards)
 
     def build(frame):
         import numpy as np
         import pandas as pd
 
-        frame = frame.sort_values(["place", "vec_id"])
-        vectors_ = stack(frame["embedding"])
-        world = SmallWorld(vectors_, m=m)
+        frame = frame.sort_values(["place", "k0", "k1"])
+        x = np.array(frame["embedding"].tolist(), dtype=np.float64)
+        world = SmallWorld(x, m=m)
+        whole = lambda c: [frame[c].to_numpy().astype(np.int64).tobytes()]
         return pd.DataFrame({
-            "dim": [int(frame["dim"].iloc[0])], "shard": [int(frame["shard"].iloc[0])], "ids": [frame["vec_id"].to_numpy(np.int64).tobytes()], "vectors": [vectors_.tobytes()],
+            "dim": [x.shape[1]], "k0": whole("k0"), "k1": whole("k1"), "ids": whole("vec_id"), "more": whole("more"), "vectors": [x.tobytes()],
             "sizes": [np.array(world.sizes, dtype=np.int64).tobytes()], "layers": [[g.astype(np.int32).tobytes() for g in world.layers]],
         })
 
-    placed = reps.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(n_shards)).cast("int")).withColumn("place", F.xxhash64("vec_id", F.lit(1)))
-    index = reliable(placed.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, ids binary, vectors binary, sizes binary, layers array<binary>"))
+    placed = reps.withColumn("shard", F.pmod("k0", F.lit(n_shards))).withColumn("place", F.xxhash64("k0", F.lit(1)))
+    index = placed.groupBy("dim", "shard").applyInPandas(build, "dim int, k0 binary, k1 binary, ids binary, more binary, vectors binary, sizes binary, layers array<binary>")
+    index = reliable(index)
 
     asked = reliable(sound(queries).distinct().withColumn("dim", F.size("embedding")))
-    n_blocks = max(1, math.ceil(asked.count() / BLOCK_QUERIES))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(n_blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
-    spread = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    size = asked.groupBy("dim").agg(F.count("*").alias("n")).collect()  # one row for each length of vectors
+    n_blocks = max(1, math.ceil(sum(8 * r["dim"] * r["n"] for r in size) / BLOCK_BYTES))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(n_blocks)))
 
-    def search(row, frame):
+    def hits_of(block: int) -> DataFrame:
         import numpy as np
-        import pandas as pd
 
-        empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "rep": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        if not len(row) or not len(frame):
-            return empty
-        row = row.iloc[0]
-        ids = np.frombuffer(row["ids"], dtype=np.int64)
-        vectors_ = np.frombuffer(row["vectors"], dtype=np.float32).reshape(len(ids), -1)
-        sizes = np.frombuffer(row["sizes"], dtype=np.int64).tolist()
-        layers = [np.frombuffer(g, dtype=np.int32).reshape(n, -1).astype(np.int64) for g, n in zip(row["layers"], sizes)]
-        world = SmallWorld(vectors_, sizes, layers, m=m)
-        out = []
-        for at in range(0, len(frame), 256):
-            part = frame.iloc[at : at + 256]
-            q = stack(part["embedding"])
-            got = world.search(q, k + 1, ef)
-            a, c = (got >= 0).nonzero()
-            score = (vectors_[got[a, c]].astype(np.float64) * q[a].astype(np.float64)).sum(axis=1)
-            out.append(pd.DataFrame({"query_id": part["vec_id"].to_numpy(np.int64)[a], "rep": ids[got[a, c]], "score": score}))
-        return pd.concat(out)
-
-    hits = spread.groupBy("dim", "shard", "block").cogroup(asked.groupBy("dim", "shard", "block")).applyInPandas(search, "query_id long, rep long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "rep")
-    hits = hits.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1).drop("n")
-    rows = hits.join(members.select("rep", "vec_id"), "rep").filter("vec_id <> query_id")
+        by_dim: dict[int, tuple] = {}
+        rows = asked.filter(F.col("block") == block).orderBy("vec_id", "embedding").select("dim", "vec_id", "embedding").toArrow()  # BLOCK_BYTES on average
+        for dim in {r["dim"] for r in size}:
+            mine = rows.filter(np.equal(rows.column("dim").to_numpy(), dim))
+            if mine.num_rows:
+                flat = mine.column("embedding").combine_chunks().flatten().to_numpy()
+                by_dim[dim] = mine.column("vec_id").to_numpy(), flat.reshape(-1, dim)
+        sent = sc.broadcast(by_dim)
+
+        def search(batches):
+            import pyarrow as pa
+
+            for batch in (b.slice(i, 1) for b in batches for i in range(b.num_rows)):
+                row = batch.to_pylist()[0]
+                asked_ids, q = sent.value.get(row["dim"], ((), None))
+                if not len(asked_ids):
+                    continue
+                whole = {c: np.frombuffer(row[c], dtype=np.int64) for c in ("k0", "k1", "ids", "more", "sizes")}
+                x = np.frombuffer(row["vectors"], dtype=np.float64).reshape(len(whole["ids"]), -1)
+                layers = [np.frombuffer(g, dtype=np.int32).reshape(n, -1) for g, n in zip(row["layers"], whole["sizes"])]
+                world = SmallWorld(x, whole["sizes"].tolist(), layers, m=m)
+                for at in range(0, len(q), 256):
+                    part = q[at : at + 256]
+                    got = world.search(part, keep)
+                    score = np.where(got >= 0, np.einsum("abd,ad->ab", x[got], part), -np.inf)
+                    # more than k + 1 only where ids decide between equal scores
+                    order = np.lexsort((whole["ids"][got], -score), axis=1)[:, : k + 1]
+                    got, score = np.take_along_axis(got, order, axis=1), np.take_along_axis(score, order, axis=1)
+                    a, c = (score > -np.inf).nonzero()
+                    node = got[a, c]
+                    columns = {"query_id": asked_ids[at + a], "asked": at + a, "k0": whole["k0"][node], "k1": whole["k1"][node], "vec_id": whole["ids"][node], "more": whole["more"][node] != 0, "score": score[a, c]}
+                    yield pa.RecordBatch.from_pydict({c: pa.array(v) for c, v in columns.items()})
+
+        found = index.mapInArrow(search, "query_id long, asked long, k0 long, k1 long, vec_id long, more boolean, score double")
+        best = Window.partitionBy("query_id", "asked").orderBy(F.desc("score"), "vec_id")
+        return reliable(found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1).drop("n", "asked"))
+
+    hits = hits_of(0)
+    for block in range(1, n_blocks):
+        hits = hits.unionByName(hits_of(block))
+    # only classes of several rows are looked up; one that most queries hit must not be one task's work
+    several = hits.filter("more").select("query_id", "k0", "k1", "score")
+    n_hits = several.groupBy("k0", "k1").agg(F.count("*").alias("n"))
+    others = members.filter("nth > 1 or not last").select("k0", "k1", "vec_id").join(n_hits, ["k0", "k1"])
+    every = hits.filter("not more").select("query_id", "vec_id", "score").unionByName(with_hot(several, others, ["k0", "k1"], several.count()).select("query_id", "vec_id", "score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return rows.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    every = every.filter("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return every.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,9 @@ import weftline
 # Functions shipped to executors travel by value, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(weftline)
 
+#: Rows that a key may always have before it counts as hot.
+HOT_ROWS = 1000
+
 #: Fixed value: what counts as a word wherever a contract speaks of words.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -35,6 +38,19 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def with_hot(rows: DataFrame, one: DataFrame, keys: list[str], n_rows: int, how: str = "inner") -> DataFrame:
+    """rows joined to one by keys; one.n says how many of the n_rows rows have its key.
+
+    A key with more than a thousandth of all rows is hot; there are at most a thousand, so they are
+    broadcast and their rows stay where they are.  Only rows of other keys are shuffled, and no task
+    gets many of one key.
+    """
+    most = max(HOT_ROWS, n_rows // 1000)
+    hot = F.broadcast(one.filter(F.col("n") > most).drop("n"))
+    cold = one.filter(F.col("n") <= most).drop("n")
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys).distinct(), keys, "left_anti").join(cold, keys, how), allowMissingColumns=True)
+
+
 def held_out(doc_id: str | Column = "doc_id") -> Column:
     """True for the third of documents that no model may learn from; a null id is held out too."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
