@@ -301,6 +301,26 @@ def test_languages(spark):
     assert langid.train(frame.limit(0)) is None and {r.lang_pred for r in langid.predict(frame, None).collect()} == {"und"}
 
 
+def test_strips_change_nothing(monkeypatch):
+    rng = random.Random(1)
+    texts = ["".join(rng.choices("abcé漢 .1İ", k=rng.randint(0, 90))) for _ in range(300)] + ["", "1", "a" * 20, " " * 20, "x" + " " * 30 + "y"]
+    count = lambda t: None if (c := langid.counted(t)) is None else [x.tolist() for x in c]
+    whole = [count(t) for t in texts]
+    assert all((w is None) == (not any(map(str.isalpha, t))) for w, t in zip(whole, texts))
+    assert langid.counted("ab")[1].sum() == 4 + 3 + 2  # gap a b gap
+    for strip in (1, 2, 3, 7, 10):
+        monkeypatch.setattr(langid, "STRIP", strip)
+        assert [count(t) for t in texts] == whole
+
+
+def test_one_document_repeated_gives_one_model(spark):
+    frame = labelled(spark)
+    many = frame.unionByName(frame.filter("doc_id = 5").withColumn("x", F.explode(F.sequence(F.lit(1), F.lit(400)))).drop("x"))
+    a, b = langid.train(many, fit_rows=60), langid.train(many.repartition(7), fit_rows=60)
+    assert a.langs == b.langs and a.temperature == b.temperature and (a.weight == b.weight).all()
+    assert langid.predict(frame.limit(0), a).collect() == []
+
+
 def test_held_out(spark):
     rows = spark.range(300).select(held_out(F.col("id")).alias("h"), "id").collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 3 == 1) for r in rows)

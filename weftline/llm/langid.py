@@ -31,23 +31,50 @@ def letters() -> object:
 
 
 def grams(text: str):
-    """Bucket of every n-gram of the letters of a text (other characters: one gap), n from 1 to LONGEST."""
+    """Buckets of every n-gram of the letters of a text (other characters: one gap), n from 1 to LONGEST.
+
+    Arrays of buckets, one for each n and strip of the text; what a strip begins with is carried
+    over from the one before, so the n-grams are those of the whole text.
+    """
     import numpy as np
 
-    code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    code = np.where(letters()[code], code, np.uint64(0))
-    if not code.any():
+    raw = text.lower()
+    tail, last, first = np.zeros(1, np.uint64), np.uint64(0), True
+    for at in range(0, len(raw) + 1, STRIP):
+        code = np.frombuffer((raw[at : at + STRIP] + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        code = np.where(letters()[code], code, np.uint64(0))
+        if at + STRIP <= len(raw):
+            code = code[:-1]  # the blank closes the text
+        code = code[(code != 0) | (np.concatenate(([last], code[:-1])) != 0)]
+        if not len(code):
+            continue
+        last, old = code[-1], len(tail)
+        code = np.concatenate((tail, code))
+        for n in range(1, LONGEST + 1):
+            start = 0 if first else max(0, old - n + 1)  # those that end in this strip
+            m = len(code) - n + 1 - start
+            h = np.full(m, n, dtype=np.uint64)
+            for k in range(n):
+                h = (h ^ code[start + k : start + k + m]) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+            yield (h >> np.uint64(48)).astype(np.int64) & (BUCKETS - 1)
+        tail, first = code[-(LONGEST - 1) :], False
+
+
+def counted(text: str):
+    """(buckets, counts) of the n-grams of a text, or None if it has no letter."""
+    import numpy as np
+
+    found = list(grams(text))
+    if not found:
         return None
-    code = np.concatenate((np.zeros(1, np.uint64), code, np.zeros(1, np.uint64)))
-    code = code[np.concatenate(([True], (code[1:] != 0) | (code[:-1] != 0)))]
-    out = []
-    for n in range(1, LONGEST + 1):
-        h = np.full(len(code) - n + 1, n, dtype=np.uint64)
-        for k in range(n):
-            h = (h ^ code[k : len(code) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        out.append((h >> np.uint64(48)).astype(np.int64) & (BUCKETS - 1))
-    return np.concatenate(out)
+    if sum(map(len, found)) < BUCKETS:
+        return np.unique(np.concatenate(found), return_counts=True)
+    total = np.zeros(BUCKETS, dtype=np.int64)
+    for g in found:
+        total += np.bincount(g, minlength=BUCKETS)
+    at = total.nonzero()[0]
+    return at, total[at]
 
 
 @dataclass
@@ -60,15 +87,13 @@ class Model:
     temperature: float
 
     def logits(self, text: str):
-        """Mean logits of a text, None if it has no letter; long texts are summed strip by strip."""
+        """Mean logits over the n-grams of a text, None if it has no letter."""
         import numpy as np
 
         total, n = np.zeros(len(self.langs)), 0
-        for at in range(0, len(text), STRIP):
-            g = grams(text[max(0, at - LONGEST) : at + STRIP] if at else text[:STRIP])
-            if g is not None:
-                total += self.weight[g].sum(axis=0, dtype=np.float64)
-                n += len(g)
+        for g in grams(text):
+            total += self.weight[g].sum(axis=0, dtype=np.float64)
+            n += len(g)
         return (total / n + self.bias) if n else None
 
 
@@ -98,7 +123,11 @@ def ftrl(rows: list, target, n_classes: int, alpha=0.5, beta=1.0, l1=0.02, l2=0.
 
 
 def train(docs: DataFrame, fit_rows: int = 3000, seed: int = 17, scale: float = 40.0) -> Model | None:
-    """Model from the documents that may be learned from; None if no such document has letters."""
+    """Model from the documents that may be learned from; None if no such document has letters.
+
+    The regression is fitted on at most fit_rows different rows, those of least hash of doc_id and
+    text; repeated rows count once.
+    """
     import numpy as np
 
     rows = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang"))
@@ -111,10 +140,8 @@ def train(docs: DataFrame, fit_rows: int = 3000, seed: int = 17, scale: float =
         for batch in (part for whole in batches for part in parts(whole, 0)):
             for text in batch.column(0).to_pylist():
                 here = np.zeros(BUCKETS, dtype=bool)
-                for at in range(0, len(text), STRIP):
-                    g = grams(text[max(0, at - LONGEST) : at + STRIP] if at else text[:STRIP])
-                    if g is not None:
-                        here[g] = True
+                for g in grams(text):
+                    here[g] = True
                 if here.any():
                     df[:-1] += here
                     seen += 1
@@ -126,19 +153,33 @@ def train(docs: DataFrame, fit_rows: int = 3000, seed: int = 17, scale: float =
     for bucket, n in rows.select("text").mapInArrow(frequencies, "bucket long, df long").groupBy("bucket").agg(F.sum("df")).collect():  # at most BUCKETS + 1 rows
         df[bucket] = n
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-    # rows below a hash threshold that lets about 1.5 * fit_rows of them through, the least of which
-    # are taken: what reaches the driver is bounded whatever the number of tasks
+    # texts below a hash threshold that lets about 1.5 * fit_rows rows through, the least of which are
+    # taken: what reaches the driver is bounded whatever the number of tasks; repeated rows count once
     share = min(1.0, 1.5 * fit_rows / max(1.0, df[-1]))
-    some = rows.withColumn("h", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40))).filter(F.col("h") < int(share * (1 << 40)) + 1)
-    sample = sorted(some.limit(4 * fit_rows).select("h", "doc_id", "text", "lang").collect(), key=lambda r: (r["h"], r["doc_id"], r["text"], r["lang"]))[:fit_rows]
-    made, target = [], []
-    langs = sorted({r["lang"] for r in sample})
-    for r in sample:
-        g = grams(r["text"])
-        if g is not None:
-            at, count = np.unique(g, return_counts=True)
-            made.append((np.append(at, BUCKETS), np.append(scale * count / len(g) * idf[at], 1.0)))
-            target.append(langs.index(r["lang"]))
+    some = rows.withColumn("h", F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 40))).filter(F.col("h") < int(share * (1 << 40)) + 1)
+
+    def bags(batches):
+        import pyarrow as pa
+
+        for batch in (part for whole in batches for part in parts(whole, 2)):
+            found = [counted(t) for t in batch.column(2).to_pylist()]
+            keep = pa.array([f is not None for f in found])
+            found = [f for f in found if f is not None]
+            kept = batch.filter(keep)
+            yield pa.RecordBatch.from_pydict({
+                "h": kept.column(0), "doc_id": kept.column(1), "lang": kept.column(3), "at": pa.array([f[0].astype("<u2").tobytes() for f in found], pa.binary()),
+                "n": pa.array([f[1].astype("<u4").tobytes() for f in found], pa.binary()),
+            })
+
+    drawn = some.select("h", F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").mapInArrow(bags, "h long, doc_id long, lang string, at binary, n binary")
+    drawn = drawn.distinct().orderBy("h", "doc_id", "lang", "at", "n").limit(fit_rows)
+    made, target, names = [], [], []
+    for r in drawn.collect():  # at most fit_rows, each of at most 6 bytes for each bucket
+        at, count = np.frombuffer(r["at"], dtype="<u2").astype(np.int64), np.frombuffer(r["n"], dtype="<u4")
+        made.append((np.append(at, BUCKETS), np.append(scale * count / count.sum() * idf[at], 1.0)))
+        names.append(r["lang"])
+    langs = sorted(set(names))
+    target = [langs.index(x) for x in names]
     if not made:
         return None
     cut = max(1, len(made) * 4 // 5)

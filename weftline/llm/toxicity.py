@@ -1,35 +1,49 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words are symbols: insult, threat, target, negation, reporting verb, or other.  Three transducers
-read the symbols of a clause: negation (covers the next few words), reported speech (covers the
-rest of the clause) and target (an addressee in the clause).  Their composition is one transducer
-whose outputs name how an insult or threat stands there; each output has a weight, and a clause
-scores the weighted sum of its insults and threats, so a denied or quoted insult counts for less
-than one thrown at somebody.  Insults in any language are word forms or word beginnings whose
-weights are log odds learned from labels; a logistic layer maps a document's clause scores to a
-probability.  Learning uses a bounded sample of labelled rows; scoring is one pass, no shuffle.
+A transducer over letters reads each word: insults are learned word forms or word beginnings (in any
+language) with log odds from labels as weights, threats are inflected verbs.  Its outputs are the
+symbols of a clause, which transducers over symbols read in turn: insult and threat (is a threat
+announced?), negation (covers the next few words), reported speech (covers the rest of the clause)
+and target (an addressee in the clause).  The target transducer reads a clause in both directions;
+the others and its forward half are composed into one.  Outputs name how an insult or threat stands
+there, each reading has a weight, and a clause scores the weighted sum, so a denied or quoted insult
+counts for less than one thrown at somebody; a threat counts only if it is aimed.  A logistic layer
+maps a document's clause scores to a probability.  Learning uses a bounded sample of labelled rows;
+scoring is one pass, no shuffle.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, parts, table
-
-#: Closed word classes of the grammar (en, de, fr, es).
-THREATS = "kill hurt destroy beat stab shoot burn crush töten schlagen vernichten tuer frapper détruire matar golpear destruir".split()
+from .common import held_out, parts, reliable, table
+
+#: Closed word classes of the grammar (en, de, fr, es); verbs as stems with their endings.
+VERBS = (
+    (("kill", "hurt", "destroy", "beat", "stab", "stabb", "shoot", "burn", "crush", "murder", "strangl"), ("", "s", "es", "e", "ed", "ing", "en")),
+    (("töt", "schlag", "schläg", "vernicht", "erschieß"), ("e", "st", "t", "en", "et", "te", "est")),
+    (("tu", "frapp", "massacr"), ("e", "es", "er", "erai", "eras", "era", "ez", "ons")),
+    (("détrui",), ("s", "t", "re", "rai", "ra", "sez")),
+    (("mat", "golpe", "quem"), ("o", "as", "ar", "aré", "ará", "aremos", "arte", "arlos")),
+    (("destru",), ("ir", "iré", "yo", "ye", "irte")),
+)
 TARGETS = "you your yours u he she they them him her du dich dir ihr euch sie tu toi vous te ton ils elle tú vosotros usted ustedes ti él ella".split()
 NEGATIONS = "not never no isn't aren't don't doesn't nobody nicht kein keine nie niemals ne pas jamais aucun nunca jamás ningún".split()
 REPORTS = "said says say wrote writes called calls quoted quote claims claimed reported sagte sagt schrieb nannte dit disait écrit appelle dijo dice escribió llamó".split()
+INTENTS = "will gonna going shall i'll we'll werde werden wird vais va allons voy vamos".split()
 
-INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER, END = "insult threat target negation report other end".split()
-#: Words that a negation covers, and how much each reading of an insult or threat weighs.
-SCOPE = 3
+INSULT, THREAT, TARGET, NEGATION, REPORT, INTENT, OTHER, END = "insult threat target negation report intent other end".split()
+ALPHABET = [INSULT, THREAT, TARGET, NEGATION, REPORT, INTENT, OTHER, END]
+#: Words that a negation covers, weight of a threat, and how much each reading of an insult or threat weighs.
+SCOPE, THREAT_WEIGHT = 3, 2.0
 WEIGHTS = {"plain": 1.0, "aimed": 1.4, "negated": 0.3, "reported": 0.6, "negated+reported": 0.2, "aimed+negated": 0.4, "aimed+reported": 0.8, "aimed+negated+reported": 0.25}
+WEIGHTS |= {"+".join(sorted({"announced", *filter("plain".__ne__, k.split("+"))})): 1.2 * w for k, w in WEIGHTS.items()}
+#: What is taken off the ends of a blank-delimited token.
+STRIP = ".,;:!?\"'()[]{}«»„“”…-*#%$&"
+STOPS = (".", "!", "?", ";", ":")
 
 
 @dataclass(frozen=True)
@@ -64,38 +78,82 @@ def compose(first: Transducer, second: Transducer, alphabet: list[str]) -> Trans
     return Transducer(start, steps)
 
 
+def target_machine() -> Transducer:
+    """Marks insults and threats of a clause behind an addressee."""
+    return Transducer(0, {(0, TARGET): (1, None), (1, END): (0, None)} | {(1, x): (1, "aimed") for x in (INSULT, THREAT)})
+
+
 def grammar() -> Transducer:
-    """Negation, then reported speech, then target."""
+    """Threat, then negation, then reported speech, then target."""
+    threat = {(0, INTENT): (1, None), (1, END): (0, None), (1, THREAT): (1, "announced")}
     neg: dict = {(s, NEGATION): (SCOPE, None) for s in range(SCOPE + 1)}
     for s in range(1, SCOPE + 1):
-        neg |= {(s, x): (s - 1, None) for x in (OTHER, TARGET, REPORT)} | {(s, x): (s - 1, "negated") for x in (INSULT, THREAT)} | {(s, END): (0, None)}
+        neg |= {(s, x): (s - 1, None) for x in (OTHER, TARGET, REPORT, INTENT)} | {(s, x): (s - 1, "negated") for x in (INSULT, THREAT)} | {(s, END): (0, None)}
     rep = {(0, REPORT): (1, None), (1, END): (0, None)} | {(1, x): (1, "reported") for x in (INSULT, THREAT)}
-    aim = {(0, TARGET): (1, None), (1, END): (0, None)} | {(1, x): (1, "aimed") for x in (INSULT, THREAT)}
-    alphabet = [INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER, END]
-    return compose(compose(Transducer(0, neg), Transducer(0, rep), alphabet), Transducer(0, aim), alphabet)
+    machine = Transducer(0, threat)
+    for follow in (Transducer(0, neg), Transducer(0, rep), target_machine()):
+        machine = compose(machine, follow, ALPHABET)
+    return machine
+
+
+class Letters:
+    """Weighted transducer over the letters of a word.
+
+    States are the beginnings of known forms.  An insult's weight is the largest of those met on the
+    way: a beginning ("begin") counts as soon as it is read, a whole form ("word$") at the word's end.
+    """
+
+    def __init__(self, weights: dict[str, float]):
+        self.next: list[dict[str, int]] = [{}]
+        self.weight, self.final, self.symbol = [0.0], [0.0], [None]
+        for form, w in weights.items():
+            if form.endswith("$"):
+                at = self._state(form[:-1])
+                self.final[at] = max(self.final[at], w)
+            else:
+                at = self._state(form)
+                self.weight[at] = max(self.weight[at], w)
+        classes = [(THREAT, [stem + e for stems, endings in VERBS for stem in stems for e in endings]), (NEGATION, NEGATIONS), (REPORT, REPORTS), (INTENT, INTENTS), (TARGET, TARGETS)]
+        for symbol, words in classes:
+            for word in words:
+                at = self._state(word)
+                self.symbol[at] = self.symbol[at] or symbol
+
+    def _state(self, word: str) -> int:
+        at = 0
+        for letter in word:
+            if letter not in self.next[at]:
+                self.next[at][letter] = len(self.next)
+                self.next.append({})
+                for column, empty in ((self.weight, 0.0), (self.final, 0.0), (self.symbol, None)):
+                    column.append(empty)
+            at = self.next[at][letter]
+        return at
+
+    def __call__(self, word: str):
+        """(symbol, weight) of a word, None for other words."""
+        at, best = 0, 0.0
+        for letter in word:
+            at = self.next[at].get(letter, -1)
+            if at < 0:
+                break
+            best = max(best, self.weight[at])
+        if at >= 0:
+            best = max(best, self.final[at])
+        if best > 0:
+            return INSULT, best
+        symbol = self.symbol[at] if at > 0 else None
+        return (symbol, THREAT_WEIGHT if symbol == THREAT else 0.0) if symbol else None
 
 
 @dataclass
 class Lexicon:
-    """Weights of insulting word forms ("word$") and beginnings ("begin"), and the word classes."""
+    """Weights of insulting word forms ("word$") and beginnings ("begin")."""
 
     weights: dict[str, float]
     shortest: int = 3
     longest: int = 9
 
-    def classify(self, word: str):
-        """(symbol, weight) of a blank-delimited token, None for other words."""
-        bare = word.strip(".,;:!?\"'()[]{}«»„“”…-*#%$&")
-        if not bare:
-            return None
-        w = max((self.weights[f] for f in forms(bare, self.shortest, self.longest) if f in self.weights), default=0.0)
-        if w > 0:
-            return INSULT, w
-        for symbol, words in ((THREAT, THREATS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (TARGET, TARGETS)):
-            if bare in words:
-                return symbol, 2.0 if symbol == THREAT else 0.0
-        return None
-
 
 def forms(word: str, shortest: int, longest: int):
     """What may carry a weight: the word itself and its beginnings."""
@@ -108,19 +166,34 @@ class Scorer:
     """Features of texts under a lexicon: clause scores of the grammar."""
 
     def __init__(self, lexicon: Lexicon, memo: int = 250_000):
-        self.machine = grammar()
-        self.steps, self.aimed = self.machine.steps, (self.machine.start[0], 1)
-        owner = lexicon
+        self.machine, self.back = grammar(), target_machine()
+        self.steps = self.machine.steps
+        letters = Letters(lexicon.weights)
 
         class Known(dict):
             def __missing__(self, word):
                 if len(self) >= memo:
                     self.clear()
-                got = self[word] = owner.classify(word)
+                got = self[word] = letters(word.strip(STRIP))
                 return got
 
         self.known = Known()
 
+    def clause(self, symbols: list):
+        """Marks of each symbol of a clause: what the composed machine says, and the target read backwards."""
+        marks, state = [], self.back.start
+        for symbol in reversed(symbols):
+            state, out = self.back.step(state, symbol)
+            marks.append(out.endswith(":aimed"))
+        marks.reverse()
+        state = self.machine.start
+        for j, symbol in enumerate(symbols):
+            state, mark = self.steps[(state, symbol)]
+            if marks[j] and "aimed" not in (mark or ""):
+                mark = "+".join(sorted({"aimed", *filter(None, (mark or "").split("+"))}))
+            marks[j] = mark
+        return marks
+
     def features(self, text: str | None):
         """(sum of clause scores, best clause, distinct insults, words, sum for 100 of words and 50 more)."""
         words = (text or "").lower().split()
@@ -128,28 +201,26 @@ class Scorer:
         core = [i for i, x in enumerate(found) if x is not None and x[1] > 0]
         if not core:
             return 0.0, 0.0, 0, len(words), 0.0
-        stops = (".", "!", "?", ";", ":")
-        ends = [i for i, w in enumerate(words) if w.endswith(stops)]
         total = best = 0.0
         distinct = set()
-        done = -1
-        for i in core:
-            if i <= done:
+        lo, at = 0, 0
+        for hi, w in enumerate(words):  # clauses, each read once
+            if not (w.endswith(STOPS) or hi == len(words) - 1):
                 continue
-            at = bisect_left(ends, i)
-            lo = ends[at - 1] + 1 if at else 0
-            hi = ends[at] if at < len(ends) else len(words) - 1
-            aimed = any(x is not None and x[0] == TARGET for x in found[lo : hi + 1])  # before or after
-            state, score = self.aimed if aimed else self.machine.start, 0.0
-            for j in range(lo, hi + 1):
-                symbol, w = found[j] or (OTHER, 0.0)
-                state, mark = self.steps[(state, symbol)]
-                if w and not (symbol == THREAT and not (mark and "aimed" in mark)):
-                    score += w * WEIGHTS[mark or "plain"]
-                    distinct.add(words[j][:6])
-            done = hi
-            total += score
-            best = max(best, score)
+            if at < len(core) and core[at] <= hi:
+                symbols = [x[0] if x else OTHER for x in found[lo : hi + 1]]
+                marks, score = self.clause(symbols), 0.0
+                while at < len(core) and core[at] <= hi:
+                    i = core[at]
+                    symbol, weight = found[i]
+                    mark = marks[i - lo]
+                    if symbol == INSULT or "aimed" in (mark or ""):
+                        score += weight * WEIGHTS[mark or "plain"]
+                        distinct.add(words[i].strip(STRIP))
+                    at += 1
+                total += score
+                best = max(best, score)
+            lo = hi + 1
         return total, best, len(distinct), len(words), 100 * total / (len(words) + 50)
 
 
@@ -218,8 +289,10 @@ def fit_logistic(x, y, l2: float = 1e-2, rounds: int = 60):
 def train(docs: DataFrame, labels: DataFrame, fit_toxic: int = 2000, fit_clean: int = 4000, seed: int = 11) -> Model:
     """Model from labelled documents that may be learned from, at most fit_toxic and fit_clean of them.
 
-    Samples are the rows of least hash of doc_id; the logistic layer is fitted on the half whose
-    words the lexicon did not come from.  Without labels the score is 0.5 everywhere.
+    Samples are the rows of least hash of doc_id; of several rows with one doc_id the smallest text
+    stands for all.  The driver gets the sets of their words; clauses are read by the workers, and the
+    logistic layer is fitted on features under a lexicon from the other half of the sample.
+    Without labels of both kinds the score is 0.5 everywhere.
     """
     import numpy as np
 
@@ -228,30 +301,45 @@ def train(docs: DataFrame, labels: DataFrame, fit_toxic: int = 2000, fit_clean:
     # at most fit_toxic + fit_clean ids, so texts need no shuffle
     chosen = F.broadcast(first[0].unionByName(first[1]).select(F.col("doc_id").alias("id"), "toxic", "h"))
     texts = docs.select(docs["doc_id"].alias("id"), docs["text"].cast("string").alias("text")).filter("text is not null").join(chosen, "id")
-    sample = [(r["text"], r["toxic"]) for r in sorted(texts.collect(), key=lambda r: (r["h"], r["id"], r["text"]))]
-    if len({y for _, y in sample}) < 2:
+    sample = reliable(texts.groupBy("id", "toxic", "h").agg(F.min("text").alias("text")))
+
+    def words_of(batches):
+        import pyarrow as pa
+
+        for batch in (part for whole in batches for part in parts(whole, 3)):
+            bags = [sorted({w.strip(STRIP) for w in t.lower().split()} - {""}) for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "toxic": batch.column(1), "h": batch.column(2), "bag": pa.array(bags, pa.list_(pa.string()))})
+
+    typed = sample.select(F.col("id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic"), "h", "text")
+    rows = sorted(typed.mapInArrow(words_of, "id long, toxic int, h long, bag array<string>").collect(), key=lambda r: (r["h"], r["id"]))
+    if len({r["toxic"] for r in rows}) < 2:
         return Model(Lexicon({}), [0.0] * 6)
-    strip = ".,;:!?\"'()[]{}«»„“”…-*#%$&"
-    bags = [{w.strip(strip) for w in t.lower().split()} - {""} for t, _ in sample]
+    bags, half = [set(r["bag"]) for r in rows], {r["id"]: i % 2 for i, r in enumerate(rows)}
 
     def lexicon_of(part):
-        return learn_lexicon([bags[i] for i in part if sample[i][1]], [bags[i] for i in part if not sample[i][1]])
+        return learn_lexicon([bags[i] for i in part if rows[i]["toxic"]], [bags[i] for i in part if not rows[i]["toxic"]])
+
+    other = [lexicon_of(range(1 - k, len(rows), 2)) for k in (0, 1)]
+
+    def features_of(batches):
+        import pyarrow as pa
+
+        scorers = [Scorer(x) for x in other]
+        for batch in (part for whole in batches for part in parts(whole, 3)):
+            ids = batch.column(0).to_pylist()
+            made = [vector(scorers[half[i]].features(t)) for i, t in zip(ids, batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "toxic": batch.column(1), "x": pa.array(made, pa.list_(pa.float64()))})
 
-    xs, ys = [], []
-    for half in (0, 1):
-        scorer = Scorer(lexicon_of([i for i in range(len(sample)) if i % 2 == half]))
-        for i in range(1 - half, len(sample), 2):
-            xs.append(vector(scorer.features(sample[i][0])))
-            ys.append(sample[i][1])
-    coef = fit_logistic(np.array(xs), np.array(ys, dtype=float))
-    return Model(lexicon_of(range(len(sample))), coef.tolist())
+    fit = sorted(typed.mapInArrow(features_of, "id long, toxic int, x array<double>").collect(), key=lambda r: r["id"])
+    coef = fit_logistic(np.array([r["x"] for r in fit]), np.array([r["toxic"] for r in fit], dtype=float))
+    return Model(lexicon_of(range(len(rows))), coef.tolist())
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = 0.7, text: str = "text") -> DataFrame:
     """doc_id, score, predicted and clause columns of every row.
 
-    Null and empty texts score like a clean text; repeated rows get equal results; other columns are
-    ignored.
+    Null and empty texts score like a clean text; texts of any length are read whole; repeated rows
+    get equal results; an empty table gives none; other columns are ignored.
     """
 
     def run(batches):
