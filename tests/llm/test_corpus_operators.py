@@ -73,6 +73,33 @@ def test_simhash_equals_brute_force(spark):
     assert simhash.near_duplicates(rows.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("n_bands,shard_rows", [(6, 100_000), (8, 100_000), (5, 30), (None, 30)])
+def test_blocks_and_split_shards_lose_no_link(spark, monkeypatch, n_bands, shard_rows):
+    monkeypatch.setattr(simhash, "SHARD_ROWS", shard_rows)
+    rows = docs(spark, [(i, t, "s") for i, t in enumerate(near_texts())])
+    got = {r.doc_id: (r.f0 & (2**64 - 1), r.component_id) for r in simhash.near_duplicates(rows, n_bands=n_bands).collect()}
+    want = brute_components({i: f for i, (f, _) in got.items()}, 4)
+    assert {i: c for i, (_, c) in got.items()} == want
+
+
+def test_too_few_blocks_are_refused(spark):
+    with pytest.raises(ValueError):
+        simhash.near_duplicates(docs(spark, [(1, "a", "s")]), n_bands=4)
+
+
+def test_gray_index_lists_pairs_between_labels():
+    rng = np.random.default_rng(5)
+    bits = rng.integers(0, 2**63, size=(30, 2), dtype=np.uint64)[rng.integers(0, 30, 500)]
+    bits ^= np.uint64(1) << rng.integers(0, 63, bits.shape).astype(np.uint64)
+    group, labels = np.sort(rng.integers(0, 3, 500)), rng.integers(0, 3, 500)
+    order = np.lexsort((*[simhash.gray_rank(bits[:, k]) for k in range(2)][::-1], group))
+    bits = np.ascontiguousarray(bits[order])
+    got = {(int(x), int(y)) for a, b in simhash.GrayIndex(group, bits).pairs(4, labels) for x, y in zip(a, b)}
+    a, b = np.triu_indices(500, 1)
+    ok = (np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1) <= 4) & (group[a] == group[b]) & (labels[a] != labels[b])
+    assert got == set(zip(a[ok].tolist(), b[ok].tolist())) and len(got) > 100
+
+
 @pytest.mark.parametrize("n,words,radius", [(400, 1, 6), (3000, 1, 3), (300, 4, 30)])
 def test_gray_index_finds_every_link(n, words, radius):
     rng = np.random.default_rng(n)

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from weftline.llm import similar, simhash
 
 
 def shingles(text):
@@ -47,3 +48,20 @@ def test_near_duplicates_equal_brute_force(spark, tmp_path):
     kept = corpus_pipeline.near_duplicates(spark, rows, str(tmp_path))
     assert kept.columns == rows.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted({*label})
+
+
+def test_repeated_ids_split_shards_and_odd_rows(spark, monkeypatch):
+    """Rows with one doc_id and different texts link their texts; cut shards, null, empty and clashing columns change nothing."""
+    monkeypatch.setattr(simhash, "SHARD_ROWS", 50)
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(900)}" for _ in range(60)]
+    near = lambda: " ".join(w if k != 30 + rng.randrange(20) else f"x{rng.randrange(10**6)}" for k, w in enumerate(base))
+    rows = [(10 + i, near()) for i in range(120)] + [(5, "quite another text of more than five words"), (5, " ".join(base)), (6, "quite another text of more than five words"), (None, "alone and without an id"), (300, None), (301, ""), (302, "short")]
+    frame = spark.createDataFrame([(i, t, "k", "a") for i, t in rows], "doc_id long, text string, k0 string, item string")
+    got = {(r.doc_id, r.component_id) for r in similar.similar_texts(frame).collect()}
+    sets = [(i, shingles(t)) for i, t in rows if t and i is not None]
+    linked = {i for i, s in sets for j, t in sets if j in (5, 6) and 5 * len(s & t) >= 4 * len(s | t)}
+    assert {i for i, c in got if c == 5} >= linked > {5, 6} and {(300, 300), (301, 300), (302, 302), (None, None)} <= got
+    assert similar.similar_texts(frame.limit(0)).collect() == []
+    whole = simhash.keep_first(frame)
+    assert whole.columns == frame.columns and sorted(r.doc_id or 0 for r in whole.collect())[:2] == [0, 5]

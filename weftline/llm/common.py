@@ -48,7 +48,7 @@ def with_hot(rows: DataFrame, one: DataFrame, keys: list[str], n_rows: int, how:
     most = max(HOT_ROWS, n_rows // 1000)
     hot = F.broadcast(one.filter(F.col("n") > most).drop("n"))
     cold = one.filter(F.col("n") <= most).drop("n")
-    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys).distinct(), keys, "left_anti").join(cold, keys, how), allowMissingColumns=True)
+    return rows.join(hot, keys).unionByName(rows.join(hot, keys, "left_anti").join(cold, keys, how), allowMissingColumns=True)
 
 
 def held_out(doc_id: str | Column = "doc_id") -> Column:

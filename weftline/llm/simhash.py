@@ -1,11 +1,12 @@
 """SimHash near-duplicate groups with a Gray-order hierarchical index.
 
 A fingerprint takes each bit from the majority of its shingles' hashes.  Equal fingerprints become
-one class first.  Classes that may link agree on some band of bits, so each class goes, once for
-each band, to the shard of that band's value; with one band more than the link distance this loses
-nothing.  In a shard fingerprints are sorted by Gray rank, which puts those with common leading
-bits and few differences side by side.  Runs of neighbours share an upper node that holds the bits
-all of them agree on (a mask and a pattern); nodes have upper nodes in turn.  A probe sums its
+one class first.  Classes that may link agree on some choice of blocks of bits, so each class goes,
+once for each choice, to the shard of those blocks' bits, and no link is lost; the larger the
+corpus, the more blocks and the longer the keys.  In a shard fingerprints are sorted by Gray rank,
+which puts those with common leading bits and few differences side by side.  Runs of neighbours
+share an upper node that holds the bits all of them agree on (a mask and a pattern); nodes have
+upper nodes in turn, and bits that an upper node holds are left out below.  A probe accumulates its
 differences from the root down, leaves a whole group as soon as the agreed bits alone differ too
 much, and takes a whole group as soon as even its free bits cannot make it differ too much.  What
 a shard reports is a forest over its classes, never all pairs; components across shards come from
@@ -14,10 +15,12 @@ alternating large-star and small-star rounds, checkpointed in the shared folder.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, parts, reliable, table, whole_row
+from .common import as_bytes, parts, reliable, table, whole_row, with_hot
 
 #: Children of an index node, rows indexed together, and probes between two looks at what is joined.
 FAN_OUT, SHARD_ROWS, PROBES = 8, 100_000, 8_192
@@ -110,7 +113,11 @@ def unite(labels, a, b):
 
 
 class GrayIndex:
-    """Hierarchical index of fingerprints in groups; links only within a group."""
+    """Hierarchical index of fingerprints in groups; links only within a group.
+
+    A node holds the bits that all its rows agree on less those that an upper node holds already, so
+    on its way down a probe looks at each bit once and carries its differences along.
+    """
 
     def __init__(self, group, bits):
         """group: nondecreasing ints; bits: (n, words) unsigned, sorted by Gray rank in each group."""
@@ -119,7 +126,7 @@ class GrayIndex:
         self.np, self.bits = np, bits
         n = len(group)
         first = np.concatenate(([True], group[1:] != group[:-1]))
-        self.levels = []  # from the leaves up: (lo, hi, ones, zeros, first child)
+        found = []  # from the leaves up: (lo, hi, agreed, ones, first child)
         lo, hi, ones, zeros, own = np.arange(n), np.arange(n) + 1, bits, ~bits, np.cumsum(first) - 1
         while True:
             start = np.concatenate(([True], own[1:] != own[:-1])).nonzero()[0]
@@ -133,88 +140,183 @@ class GrayIndex:
             zeros = np.bitwise_and.reduceat(zeros, head, axis=0)
             lo, hi = lo[head], hi[kids[1:] - 1]
             own = own[head]
-            self.levels.append((lo, hi, ones | zeros, ones, kids))
+            found.append((lo, hi, ones | zeros, ones, kids))
         # one node for each group is left, so at the top a node's number is its group's
         self.group = np.cumsum(first) - 1
+        self.levels = []  # (lo, hi, bits of its own, their values, free bits, first child)
+        for level, (lo, hi, agreed, ones, kids) in enumerate(found):
+            own = agreed
+            if level + 1 < len(found):
+                own = agreed & ~np.repeat(found[level + 1][2], np.diff(found[level + 1][4]), axis=0)
+            self.levels.append((lo, hi, own, ones, np.bitwise_count(~agreed).sum(axis=1, dtype=np.int64), kids))
+        # what the lowest nodes leave open is looked at row by row
+        self.open = ~np.repeat(found[0][2], np.diff(found[0][4]), axis=0) if found else None
 
     def components(self, radius: int):
         """Label of each row: the smallest row reachable by links of at most radius bits."""
         np = self.np
-        n = len(self.group)
-        labels = np.arange(n)
-        if not self.levels:
-            return labels
-        for at in range(0, n, PROBES):
-            q = np.arange(at, min(n, at + PROBES))
-            if n > PROBES:
-                same = []
-                for lo, hi, *_ in self.levels:
-                    least = np.minimum.reduceat(labels, lo)
-                    same.append(np.where(least == np.maximum.reduceat(labels, lo), least, -1))
-            else:
-                same = None
+        labels = np.arange(len(self.group))
+        for at, same in self._rounds(lambda: labels):
             found: list[tuple] = []
-            self._probe(len(self.levels) - 1, q, self.group[q], radius, labels, same, found)
+            self._probe(len(self.levels) - 1, *at, radius, labels, same, found, True)
             if found:
                 labels = unite(labels, np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found]))
         return labels
 
-    def _probe(self, level, q, node, radius, labels, same, found) -> None:
+    def pairs(self, radius: int, labels):
+        """Arrays of all rows (a, b), a before b, that differ in at most radius bits and have different labels."""
         np = self.np
-        lo, hi, mask, ones, kids = self.levels[level]
-        ahead = hi[node] > q + 1  # rows before and up to the probe met it already
-        if same is not None:
-            ahead &= same[level][node] != labels[q]
-        q, node = q[ahead], node[ahead]
+        for at, same in self._rounds(lambda: labels):
+            found: list[tuple] = []
+            self._probe(len(self.levels) - 1, *at, radius, labels, same, found, False)
+            if found:
+                a, b = np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+                apart = labels[a] != labels[b]
+                yield a[apart], b[apart]
+
+    def _rounds(self, labels):
+        """Probes in blocks, and which nodes hold only one label when a block begins."""
+        np = self.np
+        n = len(self.group)
+        for at in range(0, n if self.levels else 0, PROBES):
+            q = np.arange(at, min(n, at + PROBES))
+            same, now = [], labels()
+            for lo, *_ in self.levels:
+                least = np.minimum.reduceat(now, lo)
+                same.append(np.where(least == np.maximum.reduceat(now, lo), least, -1))
+            yield (q, self.group[q], np.zeros(len(q), dtype=np.int64)), same
+
+    def _probe(self, level, q, node, differ, radius, labels, same, found, joined) -> None:
+        """differ: bits in which each probe differs from what the upper nodes of its node agree on."""
+        np = self.np
+        lo, hi, own, ones, free, kids = self.levels[level]
+        # rows before and up to the probe met it already
+        ahead = (hi[node] > q + 1) & (same[level][node] != labels[q])
+        q, node, differ = q[ahead], node[ahead], differ[ahead]
         if not len(q):
             return
         if len(q) > 500_000:
             half = len(q) // 2
-            self._probe(level, q[:half], node[:half], radius, labels, same, found)
-            self._probe(level, q[half:], node[half:], radius, labels, same, found)
+            self._probe(level, q[:half], node[:half], differ[:half], radius, labels, same, found, joined)
+            self._probe(level, q[half:], node[half:], differ[half:], radius, labels, same, found, joined)
             return
-        agreed = mask[node]
-        differ = np.bitwise_count((self.bits[q] ^ ones[node]) & agreed).sum(axis=1, dtype=np.int64)
+        differ = differ + np.bitwise_count((self.bits[q] ^ ones[node]) & own[node]).sum(axis=1, dtype=np.int64)
         near = differ <= radius
-        free = np.bitwise_count(~agreed).sum(axis=1, dtype=np.int64)
-        all_near = near & (differ + free <= radius)
-        if all_near.any():
-            whole = node[all_near]
-            found.append((q[all_near], lo[whole]))
-            whole = np.unique(whole)
-            size = hi[whole] - lo[whole]
-            member = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo[whole], size)
-            found.append((np.repeat(lo[whole], size), member))
-            near &= ~all_near
-        q, node = q[near], node[near]
+        if joined:
+            all_near = near & (differ + free[node] <= radius)
+            if all_near.any():
+                whole = node[all_near]
+                found.append((q[all_near], lo[whole]))
+                whole = np.unique(whole)
+                size = hi[whole] - lo[whole]
+                member = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo[whole], size)
+                found.append((np.repeat(lo[whole], size), member))
+                near &= ~all_near
+        q, node, differ = q[near], node[near], differ[near]
         if not len(q):
             return
         size = kids[node + 1] - kids[node]
         child = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(kids[node], size)
-        q = np.repeat(q, size)
+        q, differ = np.repeat(q, size), np.repeat(differ, size)
         if level:
-            self._probe(level - 1, q, child, radius, labels, same, found)
+            self._probe(level - 1, q, child, differ, radius, labels, same, found, joined)
             return
         ahead = child > q
-        q, child = q[ahead], child[ahead]
-        link = np.bitwise_count(self.bits[q] ^ self.bits[child]).sum(axis=1, dtype=np.int64) <= radius
+        q, child, differ = q[ahead], child[ahead], differ[ahead]
+        link = differ + np.bitwise_count((self.bits[q] ^ self.bits[child]) & self.open[child]).sum(axis=1, dtype=np.int64) <= radius
         found.append((q[link], child[link]))
 
 
-def bands_of(n_words: int, n_bands: int) -> list[tuple[int, int, int]]:
-    """Cut the bits of n_words words into n_bands bands: (word, first bit, bits), none over two words."""
-    if n_bands % n_words:
-        raise ValueError("each word must have the same number of bands")
-    each = n_bands // n_words
-    edges = [64 * i // each for i in range(each + 1)]
-    return [(w, i, j - i) for w in range(n_words) for i, j in zip(edges, edges[1:])]
+def keys_of(names: list[str], n_blocks: int, radius: int) -> list[Column]:
+    """Shard keys: two fingerprints within radius agree on n_blocks - radius of n_blocks blocks of bits at least.
+
+    Each choice of that many blocks gives a struct of its number (band) and of their bits or, for
+    several blocks, a hash of them (value).
+    """
+    bits = 64 * len(names)
+    edges = [bits * i // n_blocks for i in range(n_blocks + 1)]
+
+    def piece(lo: int, hi: int) -> Column:
+        parts_ = []
+        while lo < hi:
+            n = min(hi, (lo // 64 + 1) * 64) - lo
+            parts_.append(F.shiftrightunsigned(F.col(names[lo // 64]), lo % 64).bitwiseAND(F.lit((1 << n) - 1 if n < 64 else -1).cast("long")))
+            lo += n
+        return parts_[0] if len(parts_) == 1 else F.xxhash64(*parts_)
+
+    blocks = [piece(lo, hi) for lo, hi in zip(edges, edges[1:])]
+    values = [c[0] if len(c) == 1 else F.xxhash64(*c) for c in combinations(blocks, n_blocks - radius)]
+    return [F.struct(F.lit(k).alias("band"), v.alias("value")) for k, v in enumerate(values)]
+
+
+def blocks_for(n: int, bits: int, radius: int) -> int:
+    """The least number of blocks with which shards stay small for n fingerprints: keys grow with the corpus."""
+    blocks = radius + 1
+    while blocks < radius + 4 and n >> (bits * (blocks - radius) // blocks) > SHARD_ROWS // 64:
+        blocks += 1
+    return blocks
+
+
+def in_shards(rows: DataFrame, keys: list[str], ident: str, n_rows: int) -> DataFrame:
+    """rows with a column part, sorted by keys and part in each task.
+
+    A group of over SHARD_ROWS rows is cut in p pieces, and each row goes to the p parts that pair
+    its piece with each piece: any two rows of a group meet in a part, and no part holds much more
+    than SHARD_ROWS.  Groups are counted first, unless all rows together are few.
+    """
+    if n_rows <= SHARD_ROWS:
+        rows = rows.withColumn("part", F.lit(0))
+    else:
+        large = rows.groupBy(*keys).agg(F.count("*").alias("in_group")).filter(F.col("in_group") > SHARD_ROWS)
+        large = large.select(*keys, F.ceil(2 * F.col("in_group") / SHARD_ROWS).cast("int").alias("p"))  # fewer than a row for each SHARD_ROWS
+        rows = rows.join(F.broadcast(large), keys, "left").withColumn("piece", F.pmod(F.xxhash64(ident, F.lit(9)), F.col("p")).cast("int"))
+        others = F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda j: F.least("piece", j) * F.col("p") + F.greatest("piece", j))
+        rows = rows.withColumn("part", F.explode(F.when(F.col("p").isNull(), F.array(F.lit(0))).otherwise(others))).drop("p", "piece")
+    return rows.repartition(*keys, "part").sortWithinPartitions(*keys, "part")
+
+
+def groups_of(batches, n_keys: int):
+    """Arrays of the rows of Arrow batches sorted by their first n_keys columns, cut only where those change."""
+    import numpy as np
+
+    held, count = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]))
+        count += len(held[-1])
+        if count >= SHARD_ROWS:
+            rows = np.concatenate(held)
+            other = (rows[:, :n_keys] != rows[-1, :n_keys]).any(axis=1).nonzero()[0]
+            cut = other[-1] + 1 if len(other) else 0
+            if cut:
+                yield rows[:cut]
+            held, count = [rows[cut:]], len(rows) - cut if cut else 0
+    if held:
+        yield np.concatenate(held)
+
+
+def indexed(rows, n_keys: int, first_bit: int):
+    """(rows, GrayIndex) of the groups of at least two rows: bits from column first_bit on, in Gray order."""
+    import numpy as np
+
+    group = np.concatenate(([0], np.cumsum((rows[1:, :n_keys] != rows[:-1, :n_keys]).any(axis=1))))
+    many = np.bincount(group)[group] > 1
+    rows, group = rows[many], group[many]
+    if not len(rows):
+        return rows, None
+    bits = rows[:, first_bit:].view(np.uint64)
+    order = np.lexsort((*[gray_rank(bits[:, k]) for k in range(bits.shape[1])][::-1], group))
+    rows = rows[order]
+    return rows, GrayIndex(group[order], np.ascontiguousarray(rows[:, first_bit:]).view(np.uint64))
 
 
 def components_of(edges: DataFrame) -> DataFrame:
     """Component of every node of edges (a, b) as (node, component), the smallest node reachable.
 
     Large-star and small-star rounds until nothing changes; minima are pre-aggregated before each
-    shuffle, and every round is checkpointed, so a lost executor costs one round.
+    shuffle, edges of hubs stay where they are, and every round is checkpointed, so a lost executor
+    costs one round.
     """
     edges = reliable(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     mark = None
@@ -224,20 +326,22 @@ def components_of(edges: DataFrame) -> DataFrame:
             break
         mark = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = with_hot(both.filter("v > u"), least, ["u"], 2 * now["n"]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        large = reliable(large.distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = with_hot(large, least, ["u"], 2 * now["n"]).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = reliable(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, n_words: int = 4, n_bands: int = 20, radius: int = 44, distinct: bool = True, text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 4, n_words: int = 1, n_bands: int | None = None, radius: int = 4, distinct: bool = False, text: str = "text") -> DataFrame:
     """doc_id, fingerprint words f0.. and component_id, the smallest doc_id linked, for every row.
 
-    width: words of a shingle.  n_words: 64-bit words of a fingerprint.  n_bands: bands, one of
-    which two fingerprints must share to be compared; more than radius of them find every link.
-    radius: most differing bits of a link.  distinct: count a repeated shingle once.
+    width: words of a shingle.  n_words: 64-bit words of a fingerprint.  n_bands: blocks of bits that
+    shard keys are chosen from, more than radius; by default as many as the number of fingerprints
+    asks for.  radius: most differing bits of a link.  distinct: count a repeated shingle once.
+    No link is lost, whatever the blocks.
 
     Null and empty texts have fingerprint zero and link like others; texts shorter than a shingle
     count as one; repeated rows get equal results; rows without doc_id keep a null component if no
@@ -245,58 +349,44 @@ def near_duplicates(docs: DataFrame, width: int = 5, n_words: int = 4, n_bands:
     """
     names = [f"f{k}" for k in range(n_words)]
     prints = reliable(fingerprints(docs, width, n_words, distinct, text))
-    classes = prints.groupBy(*names).agg(F.min("doc_id").alias("rep")).filter("rep is not null")
-    bands = [
-        F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(F.col(f"f{w}"), i).bitwiseAND(F.lit((1 << n) - 1).cast("long")).alias("value"))
-        for k, (w, i, n) in enumerate(bands_of(n_words, n_bands))
-    ]
-    sharded = classes.select(F.explode(F.array(*bands)).alias("at"), "rep", *names).select("at.band", "at.value", "rep", *names)
-    sharded = sharded.repartition("band", "value").sortWithinPartitions("band", "value")
+    classes = reliable(prints.groupBy(*names).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("rep is not null"))
+    n_classes = classes.count()
+    n_blocks = n_bands or blocks_for(n_classes, 64 * n_words, radius)
+    if n_blocks <= radius:
+        raise ValueError("links would be lost: there must be more blocks than differing bits")
+    keys = keys_of(names, n_blocks, radius)
+    sharded = classes.select(F.explode(F.array(*keys)).alias("at"), "rep", *names).select("at.band", "at.value", "rep", *names)
+    sharded = in_shards(sharded, ["band", "value"], "rep", n_classes).select("band", "value", "part", "rep", *names)
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        def forest(rows):
-            group = np.concatenate(([0], np.cumsum((rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])))) if len(rows) else np.empty(0, int)
-            size = np.bincount(group)[group] if len(rows) else group
-            rows, group = rows[size > 1], group[size > 1]
-            if not len(rows):
-                return
-            bits = rows[:, 3:].view(np.uint64)
-            order = np.lexsort((*[gray_rank(bits[:, k]) for k in range(n_words)][::-1], group))
-            group, bits, rep = group[order], np.ascontiguousarray(bits[order]), rows[order, 2]
-            labels = GrayIndex(group, bits).components(radius)
+        for rows in groups_of(batches, 3):
+            rows, index = indexed(rows, 3, 4)
+            if index is None:
+                continue
+            labels = index.components(radius)
             linked = labels != np.arange(len(labels))
             if linked.any():
-                yield pa.RecordBatch.from_pydict({"a": pa.array(rep[linked]), "b": pa.array(rep[labels[linked]])})
-
-        held, count = [], 0
-        for batch in batches:
-            held.append(np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]))
-            count += len(held[-1])
-            if count >= SHARD_ROWS:
-                rows = np.concatenate(held)
-                other = ((rows[:, 0] != rows[-1, 0]) | (rows[:, 1] != rows[-1, 1])).nonzero()[0]
-                cut = other[-1] + 1 if len(other) else 0
-                yield from forest(rows[:cut])
-                held, count = [rows[cut:]], len(rows) - cut if cut else 0
-        if held:
-            yield from forest(np.concatenate(held))
+                yield pa.RecordBatch.from_pydict({"a": pa.array(rows[linked, 3]), "b": pa.array(rows[labels[linked], 3])})
 
     edges = sharded.mapInArrow(run, "a long, b long")
     found = components_of(edges).withColumnRenamed("node", "rep")
-    named = classes.join(found, "rep", "left").select(*names, F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, names, "left").select("doc_id", *names, "component_id")
+    named = classes.join(found, "rep", "left").select(*names, F.coalesce("component", "rep").alias("component_id"), "n")
+    return with_hot(prints, named, names, prints.count(), "left").select("doc_id", *names, "component_id")
 
 
-def keep_first(docs: DataFrame, find=near_duplicates, **how) -> DataFrame:
+def keep_first(docs: DataFrame, find=None, **how) -> DataFrame:
     """The rows of documents of which no near duplicate has a smaller doc_id, columns unchanged.
 
-    find(docs, **how) gives doc_id and component_id, the smallest doc_id of its group, for every row.
+    find(docs, **how) gives doc_id and component_id, the smallest doc_id of its group, for every row;
+    by default groups of similar texts.
     Rows with equal doc_id count as one document, of which the row with the smallest text stays;
     rows without doc_id stay.
     """
+    if find is None:
+        from .similar import similar_texts as find
     groups = find(docs, **how).filter("doc_id = component_id").select(F.col("component_id").alias("keep")).distinct()
     rows = docs.select(whole_row(docs).alias("row"), docs["doc_id"].cast("long").alias("id"), docs["text"].cast("string").alias("text"))
     order = Window.partitionBy("id").orderBy("text", F.to_json(F.struct(*[F.col("row")[c].cast("string").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"])))
@@ -305,5 +395,5 @@ def keep_first(docs: DataFrame, find=near_duplicates, **how) -> DataFrame:
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(table(spark, sf_dir, "documents"), width=4, n_words=1, n_bands=5, radius=4, distinct=False)
+    found = near_duplicates(table(spark, sf_dir, "documents"), width=4, n_words=1, radius=4, distinct=False)
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
