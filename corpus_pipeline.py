@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import bpe, jaccard, langid, mixing, pii, simhash
+from weftline.llm import bpe, langid, mixing, pii, similar, simhash
 from weftline.llm.common import reliable, table
 
 #: A document goes if no language is found or its calibrated probability is below this.
@@ -23,9 +23,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest doc_id of each group of near duplicates.
 
-    Texts are linked if the sets of their five-word shingles have a Jaccard similarity of at least 0.8.
+    Texts are linked if the sets of their five-word shingles have a Jaccard similarity of at least
+    0.8: fingerprints and their Gray-order index propose links, whole sets confirm them.
     """
-    return simhash.keep_first(docs, find=jaccard.near_duplicates, width=5)
+    return simhash.keep_first(docs, find=similar.similar_texts, width=5)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
