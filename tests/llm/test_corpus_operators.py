@@ -208,6 +208,22 @@ def test_mixing(spark):
     assert mixing.mix(frame.limit(0)).collect() == []
 
 
+def test_mixing_of_one_doc_id_with_many_texts(spark):
+    rows = [(7, f"w{i} w w", "a") for i in range(50)] + [(None, f"v{i} w w", "a") for i in range(50)] + [(9, "x y z", "b")]
+    frame = docs(spark, rows)
+    texts = lambda f: Counter(r.text for r in mixing.mixed_documents(f).collect())
+    assert texts(frame) == texts(frame.repartition(5)) == texts(frame.orderBy("text"))
+
+
+def test_budgets_of_very_long_documents_stay_small():
+    import tracemalloc
+
+    tracemalloc.start()
+    take = mixing.choose_counts([*range(2, 4002, 2), 1_000_000], [1] * 2001, 1_777_777)
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20 and len(take) == 2001
+    tracemalloc.stop()
+
+
 def test_budget_is_met_exactly_where_it_can_be():
     rng = random.Random(5)
     for _ in range(200):

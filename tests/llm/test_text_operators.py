@@ -153,6 +153,37 @@ def test_sniffing(spark):
     assert got[0].corrected and not got[5].corrected and got[6].carved == []
 
 
+def test_values_full_of_magic_bytes():
+    """What makes each hit look on to the end of a value costs little, and true media are still found."""
+    import gzip
+    import io
+    import zipfile
+
+    z = io.BytesIO()
+    with zipfile.ZipFile(z, "w") as f:
+        f.writestr("a", "b")
+    pdf, jpeg = b"%PDF-1.4 startxref 9 %%EOF", b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda\x00\x02data\xff\xd9"
+    began = time.time()
+    for junk, real, kind in ((b"%PDF-1 ", pdf, "application/pdf"), (b"PK\x03\x04 ", z.getvalue(), "application/zip"), (b"\x1f\x8b\x08 ", gzip.compress(b"x"), "application/gzip"), (b"\xff\xd8\xff\xe0\x00\x05abc", jpeg, "image/jpeg"), (b"GIF89a" + bytes(7) + b"!", b"GIF89a" + bytes(7) + b";", "image/gif")):
+        value = b"text" + junk * 60_000 + b"##" + real
+        assert (kind, len(value) - len(real), len(real)) in media.sniff(value), kind
+    assert time.time() - began < 30
+    assert media.sniff(b"") == [] and media.sniff(gzip.compress(gzip.compress(b"x" * 99)))[0][1] == 0
+
+
+def test_windows_of_a_value_meet(monkeypatch):
+    value = b"0123456" + media.as_wav(b"abc") + b"\x89PNG" + media.as_wav(b"xy")
+    whole = media.sniff(value)
+    assert [f[1] for f in whole] == [7, len(value) - len(media.as_wav(b"xy"))]
+    for window in (1, 3, 8, 11):
+        monkeypatch.setattr(media, "WINDOW", window)
+        assert media.sniff(value) == whole
+
+
+def test_media_of_no_rows(spark):
+    assert media.media_features(media.store_texts(docs(spark, TEXTS).limit(0))).collect() == []
+
+
 def conversations(spark, rows):
     return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
 
@@ -173,6 +204,16 @@ def test_chat_reads_back(spark):
     assert chat.format_conversations(conversations(spark, rows).limit(0)).collect() == []
 
 
+def test_chat_with_long_texts_and_other_columns(spark, monkeypatch):
+    monkeypatch.setattr(chat, "BATCH_CHARS", 1000)
+    long = "[INST]" + "é" * 300_000
+    rows = [(1, 0, "user", long, 5, True), (1, 1, "assistant", long, 6, False), (None, 0, "user", "x", 7, None), (2, 0, "user", "q", 8, None), (2, 1, "assistant", None, 9, None)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, seq long, loss boolean")
+    got = {r.conv_id: r for r in chat.read_back(chat.format_conversations(frame)).collect()}
+    assert set(got) == {1, 2, None} and got[1].valid and got[1].loss_chars == len(long) and got[2].loss_chars == 0
+    assert got[1].loss_sha256 == hashlib.sha256(long.encode()).hexdigest()
+
+
 def test_chat_order_of_roles(spark):
     valid = lambda *roles: chat.read_back(chat.format_conversations(conversations(spark, [(1, i, r, "x") for i, r in enumerate(roles)]))).first().valid
     assert valid("system", "user", "assistant") and valid("user", "assistant", "user", "assistant")

@@ -25,5 +25,27 @@ QUERIES = {
     "op9_langid": op9_langid,
     "op10_substring": op10_substring,
 }
-#: SQL expresses none of the ten operators' digests; tests hold each against a brute-force version.
-ORACLES: dict[str, str] = {}
+TURNS = "c AS (SELECT conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')"
+
+#: Length of a text once escaped: one character more for each control string and each escape character.
+ESCAPED = r"length(regexp_replace(text, '\\|\[/?(SYS|INST|ANS|TEXT)\]|\[ROLE\]|</?s>', '\0 ', 'g'))"
+
+#: Texts, digests and validity of conversations in the roles of the template (others are covered by tests).
+CHAT_SQL = f"""WITH {TURNS} SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+(7 + sum({ESCAPED} + CASE role WHEN 'user' THEN 13 WHEN 'system' THEN 11 WHEN 'assistant' THEN 11 ELSE 19 + length(role) END))::BIGINT AS formatted_chars,
+regexp_full_match(string_agg(CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END, '' ORDER BY turn, role, text), 's?(ua)+') AS valid FROM c GROUP BY conv_id"""
+
+#: Every window's words in one string; a word goes if a window that covers it starts in a smaller document, too.
+SUBSTRING_SQL = r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS i FROM d WHERE len(w) >= 50),
+h AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS h FROM p), least_ AS (SELECT h, min(doc_id) AS lo FROM h GROUP BY h),
+gone AS (SELECT doc_id, list(i ORDER BY i) AS starts FROM h JOIN least_ USING (h) WHERE doc_id > lo GROUP BY doc_id),
+off AS (SELECT DISTINCT doc_id, unnest(generate_series(s, s + 49)) AS j FROM (SELECT doc_id, unnest(starts) AS s FROM gone)),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS t FROM words LEFT JOIN off USING (doc_id, j) WHERE off.j IS NULL GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+
+#: SQL lacks trained models, fingerprints, merges, knapsacks, graphs and positions of matches; tests hold
+#: those operators against brute force, a round trip or accuracy on rows not learned from.
+ORACLES: dict[str, str] = {"op1_chat": CHAT_SQL, "op10_substring": SUBSTRING_SQL}

@@ -17,7 +17,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import parts, table
+
+#: Characters (and 64 for each segment) that a batch of segments holds before it is sent on.
+BATCH_CHARS = 2 << 20
 
 
 @dataclass(frozen=True)
@@ -116,29 +119,34 @@ def format_conversations(conversations: DataFrame, template: Template = TEMPLATE
     valid is false from the first turn on whose role the machine does not allow, and on the last
     segment also if the conversation ends in a state that does not accept.  Null texts and roles are
     empty; turns are ordered by turn (null first), equal turns by role and text; repeated rows are
-    turns of their own; other columns are ignored; an empty table gives none.
+    turns of their own; rows with a null conv_id are one conversation; other columns are ignored; an
+    empty table gives none.  Batches are cut by size, so texts may be very long.
     """
-    rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def run(batches):
         import pyarrow as pa
 
         out: list[list] = [[] for _ in range(7)]
-        conv, state, ok, seq, turn = object(), None, True, 0, None
+        conv, state, ok, seq, turn, room = object(), None, True, 0, None, BATCH_CHARS
 
         def put(*row):
+            nonlocal room
+            room -= 64 + len(row[3]) + len(row[4])
             for column, value in zip(out, row):
                 column.append(value)
 
         def flush():
+            nonlocal room
             batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.bool_()))], names=["conv_id", "seq", "turn", "role", "text", "loss", "valid"])
             for c in out:
                 c.clear()
+            room = BATCH_CHARS
             return batch
 
         started = False
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, 3)):
             for c, t, role, text in zip(*[batch.column(k).to_pylist() for k in range(4)]):
                 if not started or c != conv:
                     if started:
@@ -150,7 +158,7 @@ def format_conversations(conversations: DataFrame, template: Template = TEMPLATE
                 for part, loss in segments_of(template, role, text):
                     put(c, seq, t, role, part, loss, ok)
                     seq += 1
-                if len(out[0]) >= 4096:
+                if room <= 0:
                     yield flush()
         if started:
             put(conv, seq, turn, "", template.end, False, ok and state in template.accept)
@@ -184,7 +192,7 @@ def read_back(segments: DataFrame, template: Template = TEMPLATE) -> DataFrame:
             return batch
 
         closing = {r.close for r in template.roles.values()} | {template.other[2]}
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, 4)):
             for c, seq, text, loss, ok in zip(*[batch.column(k).to_pylist() for k in ("conv_id", "seq", "text", "loss", "valid")]):
                 if seq == 0:
                     close()

@@ -30,11 +30,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def reliable(df: DataFrame) -> DataFrame:
     """Cut lineage with a replicated checkpoint in the shared folder named by the session.
 
-    Only where the session names none (tests, a single machine) is a temporary folder set.
+    A temporary folder is set only where the session names none and all runs on one machine; a
+    cluster without a named folder is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="weftline-"))
     return df.checkpoint(eager=True)
 
 

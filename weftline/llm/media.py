@@ -11,18 +11,59 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import as_bytes, parts, table, worker_state
 
-#: Samples a second of text stored as sound.
-RATE = 8000
-
-
-def wav_length(b: bytes, at: int) -> int | None:
+#: Samples a second of text stored as sound, and bytes searched for magic bytes at once.
+RATE, WINDOW = 8000, 1 << 20
+
+
+class Marks:
+    """End marks of a value, each kind searched for once, and parts of structures that hits share."""
+
+    def __init__(self, b: bytes):
+        self.b, self.places, self.known = b, {}, {}
+        self.inflated = 0  # end of what the gzip streams so far have read without an error
+
+    def of(self, mark: bytes) -> list[int]:
+        """Places of a mark, ascending, not overlapping."""
+        if mark not in self.places:
+            found, at = [], self.b.find(mark)
+            while at >= 0:
+                found.append(at)
+                at = self.b.find(mark, at + len(mark))
+            self.places[mark] = found
+        return self.places[mark]
+
+    def after(self, mark: bytes, at: int) -> int:
+        """First place of a mark at or behind a position, or -1."""
+        places = self.of(mark)
+        k = bisect_left(places, at)
+        return places[k] if k < len(places) else -1
+
+    def chain(self, name: str, at: int, step):
+        """Result of a chain of parts: step(at) gives ("next", place) or ("end", result); what several hits walk through is walked once."""
+        known, path = self.known.setdefault(name, {}), []
+        while at not in known:
+            path.append(at)
+            what, value = step(at)
+            if what == "end":
+                known[path[-1]] = value
+                break
+            at = value
+        result = known[at]
+        for place in path:
+            known[place] = result
+        return result
+
+
+def wav_length(m: Marks, at: int) -> int | None:
     """RIFF/WAVE: chunks must fill the declared size and hold a format and then data."""
+    b = m.b
     if len(b) - at < 44 or b[at + 8 : at + 12] != b"WAVE":
         return None
     end = at + 8 + struct.unpack_from("<I", b, at + 4)[0]
@@ -36,61 +77,72 @@ def wav_length(b: bytes, at: int) -> int | None:
     return end - at if pos == end and b"fmt " in seen and b"data" in seen[seen.index(b"fmt ") :] else None
 
 
-def png_length(b: bytes, at: int) -> int | None:
+def png_length(m: Marks, at: int) -> int | None:
     """PNG: chunks with right checksums from IHDR to IEND."""
-    pos, first = at + 8, True
-    while pos + 12 <= len(b):
-        size = struct.unpack_from(">I", b, pos)[0]
-        kind, stop = b[pos + 4 : pos + 8], pos + 12 + size
-        if stop > len(b) or first and kind != b"IHDR" or zlib.crc32(b[pos + 4 : stop - 4]) != struct.unpack_from(">I", b, stop - 4)[0]:
-            return None
-        if kind == b"IEND":
-            return stop - at
-        pos, first = stop, False
-    return None
-
-
-def gif_length(b: bytes, at: int) -> int | None:
+    b = m.b
+    if b[at + 12 : at + 16] != b"IHDR":
+        return None
+
+    def chunk(pos: int):
+        if pos + 12 > len(b):
+            return "end", None
+        stop = pos + 12 + struct.unpack_from(">I", b, pos)[0]
+        if stop > len(b) or zlib.crc32(memoryview(b)[pos + 4 : stop - 4]) != struct.unpack_from(">I", b, stop - 4)[0]:
+            return "end", None
+        return ("end", stop) if b[pos + 4 : pos + 8] == b"IEND" else ("next", stop)
+
+    end = m.chain("png", at + 8, chunk)
+    return end - at if end is not None else None
+
+
+def gif_length(m: Marks, at: int) -> int | None:
     """GIF: screen descriptor, then blocks up to the trailer."""
+    b = m.b
     if len(b) - at < 13:
         return None
 
-    def blocks(pos: int) -> int | None:
-        while pos < len(b):
-            if not b[pos]:
-                return pos + 1
-            pos += 1 + b[pos]
-        return None
+    def block(pos: int):
+        if pos >= len(b):
+            return "end", None
+        return ("next", pos + 1 + b[pos]) if b[pos] else ("end", pos + 1)
 
-    pos: int | None = at + 13 + (3 << ((b[at + 10] & 7) + 1) if b[at + 10] & 0x80 else 0)
-    while pos is not None and pos < len(b):
+    def part(pos: int):
+        if pos >= len(b):
+            return "end", None
         if b[pos] == 0x3B:
-            return pos + 1 - at
+            return "end", pos + 1
         if b[pos] == 0x21:
-            pos = blocks(pos + 2)
+            pos = m.chain("gif block", pos + 2, block)
         elif b[pos] == 0x2C and pos + 10 < len(b):
-            pos = blocks(pos + 11 + (3 << ((b[pos + 9] & 7) + 1) if b[pos + 9] & 0x80 else 0))
+            pos = m.chain("gif block", pos + 11 + (3 << ((b[pos + 9] & 7) + 1) if b[pos + 9] & 0x80 else 0), block)
         else:
-            return None
-    return None
+            return "end", None
+        return ("next", pos) if pos is not None else ("end", None)
 
+    end = m.chain("gif", at + 13 + (3 << ((b[at + 10] & 7) + 1) if b[at + 10] & 0x80 else 0), part)
+    return end - at if end is not None else None
 
-def jpeg_length(b: bytes, at: int) -> int | None:
+
+def jpeg_length(m: Marks, at: int) -> int | None:
     """JPEG: marker segments up to the start of scan, then entropy-coded data up to the end marker."""
-    pos = at + 2
-    while pos + 4 <= len(b) and b[pos] == 0xFF:
+    b = m.b
+
+    def segment(pos: int):
+        if pos + 4 > len(b) or b[pos] != 0xFF:
+            return "end", None
         mark, size = b[pos + 1], struct.unpack_from(">H", b, pos + 2)[0]
         if mark == 0xDA:
-            end = b.find(b"\xff\xd9", pos + 2 + size)
-            return end + 2 - at if end >= 0 else None
-        if mark < 0xC0 or size < 2:
-            return None
-        pos += 2 + size
-    return None
+            end = m.after(b"\xff\xd9", pos + 2 + size)
+            return "end", end + 2 if end >= 0 else None
+        return ("end", None) if mark < 0xC0 or size < 2 else ("next", pos + 2 + size)
 
+    end = m.chain("jpeg", at + 2, segment)
+    return end - at if end is not None else None
 
-def bmp_length(b: bytes, at: int) -> int | None:
+
+def bmp_length(m: Marks, at: int) -> int | None:
     """BMP: declared size, pixel offset inside it, and a known header size."""
+    b = m.b
     if len(b) - at < 54:
         return None
     size, zero, offset, header = struct.unpack_from("<IIII", b, at + 2)
@@ -98,34 +150,47 @@ def bmp_length(b: bytes, at: int) -> int | None:
     return size if ok else None
 
 
-def zip_length(b: bytes, at: int) -> int | None:
+def zip_length(m: Marks, at: int) -> int | None:
     """ZIP: an end record whose directory lies right before it and whose offset leads back to the start."""
-    end = b.find(b"PK\x05\x06", at)
-    while end >= 0 and end + 22 <= len(b):
-        size, offset, note = struct.unpack_from("<IIH", b, end + 12)
-        if at + offset + size == end and end + 22 + note <= len(b) and (not size or b[at + offset : at + offset + 4] == b"PK\x01\x02"):
-            return end + 22 + note - at
-        end = b.find(b"PK\x05\x06", end + 4)
-    return None
-
-
-def gzip_length(b: bytes, at: int) -> int | None:
-    """GZIP: the stream must inflate, piece by piece, and its checks must hold."""
-    inflate, pos = zlib.decompressobj(31), at
+    b = m.b
+    if "zip" not in m.known:
+        starts = m.known["zip"] = {}  # start that an end record leads back to: where the file ends
+        for end in m.of(b"PK\x05\x06"):
+            if end + 22 <= len(b):
+                size, offset, note = struct.unpack_from("<IIH", b, end + 12)
+                if end + 22 + note <= len(b) and (not size or b[end - size : end - size + 4] == b"PK\x01\x02"):
+                    starts.setdefault(end - size - offset, end + 22 + note)
+    end = m.known["zip"].get(at)
+    return end - at if end is not None else None
+
+
+def gzip_length(m: Marks, at: int) -> int | None:
+    """GZIP: the stream must inflate, piece by piece, and its checks must hold.
+
+    Magic bytes inside a stream that goes on, to its end or that of the value, are part of it.
+    """
+    b = m.b
+    if at < m.inflated:
+        return None
+    inflate, pos, piece = zlib.decompressobj(31), at, 256
     try:
         while pos < len(b) and not inflate.eof:
-            inflate.decompress(b[pos : pos + 65536])
-            pos += 65536
+            inflate.decompress(b[pos : pos + piece])
+            pos += piece
+            piece = min(2 * piece, 65536)
     except zlib.error:
         return None
-    return min(pos, len(b)) - len(inflate.unused_data) - at if inflate.eof else None
+    m.inflated = min(pos, len(b)) - len(inflate.unused_data)
+    return m.inflated - at if inflate.eof else None
 
 
-def pdf_length(b: bytes, at: int) -> int | None:
+def pdf_length(m: Marks, at: int) -> int | None:
     """PDF: version digits, and a cross-reference pointer before the end mark."""
-    end = b.find(b"%%EOF", at)
-    ok = b[at + 5 : at + 6].isdigit() and end >= 0 and b.rfind(b"startxref", at, end) >= 0
-    return end + 5 - at if ok else None
+    end = m.after(b"%%EOF", at)
+    if end < 0 or not m.b[at + 5 : at + 6].isdigit():
+        return None
+    pointer = m.after(b"startxref", at)
+    return end + 5 - at if 0 <= pointer <= end - 9 else None
 
 
 #: Magic bytes, media type, validator.
@@ -156,14 +221,22 @@ def automaton():
 
 
 def sniff(value: bytes) -> list[tuple[str, int, int]]:
-    """(type, offset, length) of every confirmed medium in a value, by offset, embedded ones too."""
-    found = []
-    for last, k in automaton().iter(value.decode("latin-1")):
-        magic, kind, length_of = FORMATS[k]
-        at = last + 1 - len(magic)
-        length = length_of(value, at)
-        if length is not None:
-            found.append((kind, at, length))
+    """(type, offset, length) of every confirmed medium in a value, by offset, embedded ones too.
+
+    Each end mark is searched for once and shared parts of structures are walked once, so a value
+    full of magic bytes costs little more than another.
+    """
+    found, marks, before = [], Marks(value), max(len(f[0]) for f in FORMATS) - 1
+    for start in range(0, len(value), WINDOW):
+        lo = max(0, start - before)
+        for last, k in automaton().iter(value[lo : start + WINDOW].decode("latin-1")):
+            if lo + last < start:
+                continue  # the window before had it
+            magic, kind, length_of = FORMATS[k]
+            at = lo + last + 1 - len(magic)
+            length = length_of(marks, at)
+            if length is not None:
+                found.append((kind, at, length))
     return sorted(found, key=lambda f: (f[1], -f[2], f[0]))
 
 

@@ -3,9 +3,12 @@
 Documents are counted by exact size.  A source's target is met by whole passes over it and, for the
 remaining budget, by choosing how many documents of each size to take: a proportional share of each
 size first, then the largest sizes that fit, and for what is left a bounded-knapsack dynamic
-programme (reachable sums as bits of one integer) that finds the sum nearest to the budget.
-Documents of a size are chosen by a seeded hash of doc_id.  A size that very many documents share
-is ranked in salted parts whose offsets come from counts, so no task holds all of them.
+programme that finds the sum nearest to the budget.  It keeps one array over the sums up to the
+budget left, which is of the order of the largest sizes: for each sum the item that first reached it.
+Documents of a size are chosen by a seeded hash of doc_id and text.  A size that very many documents
+share is ranked in salted parts whose offsets come from counts, so no task holds all of them.
+
+Sources are few: their targets are computed in one task, from one row for each source.
 """
 
 from __future__ import annotations
@@ -15,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import n_words, table, whole_row
 
-#: Parts that the documents of one source and size are ranked in.
-SALTS = 64
+#: Parts that the documents of one source and size are ranked in, at least, and rows for each part beyond.
+SALTS, PART_ROWS = 64, 1_000_000
 
 
 def targets_of(sources: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -77,23 +80,25 @@ def choose_counts(sizes: list[int], counts: list[int], budget: int) -> list[int]
             items.append((i, n, n * sizes[i]))
             left -= n
             times *= 2
-    mask = (1 << limit) - 1
-    reach = [1]
-    for _, _, s in items:
-        now = reach[-1] | (reach[-1] << s) & mask
-        reach.append(now)
-        if now >> rest & 1:
+    # for each sum the item that reached it first: the sum without that item was reached before
+    import numpy as np
+
+    first = np.full(limit, -1, dtype=np.int32)
+    first[0] = len(items)
+    for k, (_, _, s) in enumerate(items):
+        if s < limit:
+            new = (first[:-s] >= 0) & (first[:-s] != k) & (first[s:] < 0)
+            first[s:][new] = k
+        if first[rest] >= 0:
             break
-    sums = reach[-1]
-    low = (sums & ((1 << (rest + 1)) - 1)).bit_length() - 1
-    high = sums >> (rest + 1)
-    up = rest + 1 + (high & -high).bit_length() - 1 if high else None
-    best = up if up is not None and up - rest < rest - low else low
-    for k in range(len(reach) - 1, 0, -1):
-        i, n, s = items[k - 1]
-        if not reach[k - 1] >> best & 1:
-            take[i] += n
-            best -= s
+    sums = (first >= 0).nonzero()[0]
+    low = int(sums[sums <= rest].max())
+    over = sums[sums > rest]
+    best = int(over.min()) if len(over) and over.min() - rest < rest - low else low
+    while best:
+        i, n, s = items[first[best]]
+        take[i] += n
+        best -= s
     return take
 
 
@@ -103,14 +108,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     size names a column that holds the rows' sizes; by default the words of text are counted.
     mix_copies says how often the mix takes the row: whole passes over its source plus one if the
     budget fit chose it.  Null texts have size 0 and are never taken; a null source is a source of
-    its own; input columns of the four names are replaced; repeated rows are documents of their own; an empty table gives none.  Equal input
-    gives equal choices, however it is partitioned.
+    its own; input columns of the four names are replaced; repeated rows are documents of their own;
+    an empty table gives none.  Equal input gives equal choices, however it is partitioned: rows are
+    chosen by a hash of all their columns, so rows of one doc_id do not tie unless they are equal.
     """
     rows = docs.select(
         whole_row(docs).alias("row"), docs["doc_id"].cast("long").alias("id"), docs["source"].cast("string").alias("source"),
-        (n_words(text) if size is None else docs[size].cast("long")).alias("size"), F.xxhash64(docs["doc_id"].cast("long"), F.lit(seed)).alias("hash"),
+        (n_words(text) if size is None else docs[size].cast("long")).alias("size"), F.xxhash64(docs["doc_id"].cast("long"), whole_row(docs), F.lit(seed)).alias("hash"),
     )
-    rows = rows.withColumn("salt", F.pmod(F.col("hash"), F.lit(SALTS)))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("hash"), F.lit(max(SALTS, docs.count() // PART_ROWS))))
     parts = rows.groupBy("source", "size", "salt").agg(F.count("*").alias("n"))
     lengths = parts.groupBy("source", "size").agg(F.sum("n").alias("n"))
     sources = lengths.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).cast("double").alias("source_size"))

@@ -5,8 +5,8 @@ sets become one class first.  Under any one order of all shingles, two linked se
 first n - ceil(4n / 5) + 1 shingles, so a class goes to the shards of those shingles; the order puts
 shingles that a sample shows to be common last, which changes the cost and never the result.  In a
 shard the Gray-order index of 256-bit fingerprints finds the classes that differ in few bits.  At a
-similarity of 4/5 fingerprints differ in about 39 bits (standard deviation 6, up to 48 and 6.3 for the
-smallest sets) and in about 128 without any; RADIUS lets less than one in a million links pass.
+similarity of 4/5 fingerprints differ in about 39 bits (standard deviation 5.7, up to 48 and 6.3 for the
+smallest sets) and in about 128 without any; the radii let less than one in a million links pass.
 
 A first round takes from each shard a forest, which joins large groups of copies by few links; a
 second takes all pairs within the radius that are not joined yet.  Proposed links are confirmed on
@@ -24,12 +24,16 @@ from .simhash import components_of, fingerprint, groups_of, in_shards, indexed,
 #: Least similarity of a link as a fraction; sets below LEAST shingles are linked only to equal ones.
 NUM, DEN = 4, 5
 LEAST = NUM // (DEN - NUM)
-#: Words of a fingerprint, and bits in which fingerprints of proposed links differ at most.
-WORDS, RADIUS = 4, 80
+#: Words of a fingerprint; bits in which fingerprints of links differ at most, for sets of fewer than SMALL
+#: shingles and for others, and bits within which a first round joins groups.
+WORDS, SMALL, SMALL_RADIUS, RADIUS, FIRST_RADIUS = 4, 24, 80, 68, 44
 #: Documents and shingles that the order of shingles is estimated from, and their least count.
 SAMPLE, COMMON, SEEN = 20_000, 100_000, 4
-#: Parts that shards of shingles seen in the sample are cut in, so that none is one task's work.
-SALTS = 64
+#: Ids of wanted texts up to which they are broadcast (their texts never are).
+FEW = 1_000_000
+#: Parts that shards of shingles seen in the sample are cut in, so that none is one task's work, and
+#: partners of a class that are compared with it together.
+SALTS, PARTNERS = 64, 1_000
 
 PRINTS = [f"f{k}" for k in range(WORDS)]
 
@@ -130,7 +134,7 @@ def meetings(summary: DataFrame) -> DataFrame:
 
 
 def proposed(met: DataFrame, n_rows: int, forest: bool) -> DataFrame:
-    """a, b: classes that some shard's index finds within RADIUS, of sizes that may link.
+    """a, b: classes that some shard's index finds near each other, of sizes that may link.
 
     Either a forest, each class b with one a before it, or all pairs of different labels, a < b.
     met: item, k0, n, label and fingerprint.
@@ -146,13 +150,14 @@ def proposed(met: DataFrame, n_rows: int, forest: bool) -> DataFrame:
                 continue
             ident, n = rows[:, 2], rows[:, 3]
             if forest:
-                labels = index.components(RADIUS)
+                labels = index.components(FIRST_RADIUS)
                 at = (labels != np.arange(len(labels))).nonzero()[0]
                 found = [(at, labels[at])]
             else:
-                found = index.pairs(RADIUS, np.unique(rows[:, 4], return_inverse=True)[1])
+                found = index.pairs(SMALL_RADIUS, np.unique(rows[:, 4], return_inverse=True)[1])
             for a, b in found:
                 ok = (DEN * np.minimum(n[a], n[b]) >= NUM * np.maximum(n[a], n[b])) & (ident[a] != ident[b])
+                ok &= (np.minimum(n[a], n[b]) < SMALL) | (np.bitwise_count(index.bits[a] ^ index.bits[b]).sum(axis=1) <= RADIUS)
                 a, b = ident[a[ok]], ident[b[ok]]
                 p = np.unique(np.column_stack((b, a) if forest else (np.minimum(a, b), np.maximum(a, b))), axis=0)
                 yield pa.RecordBatch.from_pydict({"a": pa.array(np.ascontiguousarray(p[:, 0])), "b": pa.array(np.ascontiguousarray(p[:, 1]))})
@@ -191,9 +196,10 @@ def confirmed(pairs: DataFrame, packed: DataFrame, width: int) -> DataFrame:
                         break
             yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    cut = F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")
-    right = pairs.withColumn("cut", cut).join(packed.withColumnRenamed("k0", "b"), "b").select("a", "cut", "b", "text")
-    left = pairs.select("a", cut.alias("cut")).distinct().join(packed.withColumnRenamed("k0", "a"), "a").select("a", "cut", F.lit(None).cast("long").alias("b"), "text")
+    degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("p"))
+    pairs = pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("p")).alias("cut"))
+    right = pairs.join(packed.withColumnRenamed("k0", "b"), "b").select("a", "cut", "b", "text")
+    left = pairs.select("a", "cut").distinct().join(packed.withColumnRenamed("k0", "a"), "a").select("a", "cut", F.lit(None).cast("long").alias("b"), "text")
     rows = left.unionByName(right).repartition("a", "cut").sortWithinPartitions("a", "cut", F.col("b").asc_nulls_first())
     return rows.mapInArrow(run, "a long, b long")
 
@@ -207,13 +213,17 @@ def similar_texts(docs: DataFrame, width: int = 5, text: str = "text") -> DataFr
     with a doc_id has the same set.  An empty table gives none; extra columns are ignored.
     """
 
-    def pack(batches):
-        import pyarrow as pa
-        import zstandard
+    def pack(first: str):
+        def run(batches):
+            import pyarrow as pa
+            import zstandard
 
-        press = zstandard.ZstdCompressor(level=3).compress
-        for batch in (part for whole in batches for part in parts(whole, 1)):
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "t": batch.column(2), "text": pa.array([press(t) for t in as_bytes(batch.column(1))], pa.binary())})
+            press = zstandard.ZstdCompressor(level=3).compress
+            for batch in (part for whole in batches for part in parts(whole, 1)):
+                columns = {first: batch.column(0)} | ({"t": batch.column(2)} if first == "doc_id" else {})
+                yield pa.RecordBatch.from_pydict(columns | {"text": pa.array([press(t) for t in as_bytes(batch.column(1))], pa.binary())})
+
+        return run
 
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
     texts = texts.withColumn("t", F.xxhash64("text"))  # tells rows of one doc_id apart
@@ -224,17 +234,28 @@ def similar_texts(docs: DataFrame, width: int = 5, text: str = "text") -> DataFr
     met = meetings(summary).join(classes.select("k0", "n", "rep", "t", *PRINTS), "k0")
     met = reliable(met.select("item", "k0", "n", F.lit(0).cast("long").alias("label"), "rep", "t", *PRINTS))
     n_met = met.count()
-    wanted = met.select("k0", F.col("rep").alias("doc_id"), "t").distinct()
-    packed = texts.mapInArrow(pack, "doc_id long, t long, text binary").join(wanted, ["doc_id", "t"]).select("k0", "text")
-    packed = reliable(packed.dropDuplicates(["k0", "text"]))
+    of = met.select("k0", F.col("rep").alias("doc_id"), "t").distinct()
     met = met.drop("rep", "t")
+
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        """k0 and compressed text of the classes in pairs; texts are not shuffled if the ids of few are wanted."""
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("k0")).distinct()
+        wanted = reliable(of.join(ids, "k0", "left_semi"))
+        if wanted.count() <= FEW:
+            wanted = F.broadcast(wanted)  # 24 bytes a row
+            held = texts.join(wanted, ["doc_id", "t"]).select("k0", "doc_id", "t", "text")
+            found = held.select("k0", "text", "t").mapInArrow(pack("k0"), "k0 long, text binary")
+        else:
+            found = texts.select("doc_id", "text", "t").mapInArrow(pack("doc_id"), "doc_id long, t long, text binary").join(wanted, ["doc_id", "t"]).select("k0", "text")
+        return reliable(found.dropDuplicates(["k0", "text"]))
+
     tried = reliable(proposed(met, n_met, forest=True))
-    links = reliable(confirmed(tried, packed, width))
+    links = reliable(confirmed(tried, texts_of(tried), width))
     label = components_of(links).select(F.col("node").alias("k0"), F.col("component").alias("label"))
     met = met.drop("label").join(label, "k0", "left").select("item", "k0", "n", F.coalesce("label", "k0").alias("label"), *PRINTS)
     known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = proposed(met, n_met, forest=False).join(known, ["a", "b"], "left_anti")
-    links = links.unionByName(confirmed(reliable(more), packed, width))
+    more = reliable(proposed(met, n_met, forest=False).join(known, ["a", "b"], "left_anti"))
+    links = links.unionByName(confirmed(more, texts_of(more), width))
     # from classes to documents; rows with one doc_id and different texts link their classes
     reps = classes.select("k0", "rep")
     edges = links.join(reps.toDF("a", "u"), "a").join(reps.toDF("b", "v"), "b").select("u", "v")

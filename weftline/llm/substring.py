@@ -31,6 +31,8 @@ HOT_ROWS = 1000
 
 #: Odd multipliers of the two rolling hashes (mod 2**64).
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: Seed of the second hash of a word, so that words that collide in one do not in the other.
+SECOND_SEED = 1
 
 
 def mixed(h):
@@ -69,11 +71,11 @@ class Rolling:
         np, n = self.np, len(words)
         if n >= self.room:
             self._grow(n)
-        x = np.fromiter(map(self.word, words), dtype=np.uint64, count=n)
         out = []
         for k in range(1 + both):
+            word = (lambda w: self.word(w, SECOND_SEED)) if k else self.word
             s = np.zeros(n + 1, dtype=np.uint64)
-            np.cumsum((mixed(x + np.uint64(k)) if k else x) * self.up[k][:n], out=s[1:])
+            np.cumsum(np.fromiter(map(word, words), dtype=np.uint64, count=n) * self.up[k][:n], out=s[1:])
             out.append(s)
         return out
 
