@@ -42,24 +42,21 @@ def body_brace(line: str) -> int:
     return -1
 
 
-def signature(lines: list[str], start: int) -> str:
-    """A declaration's text up to its body or semicolon."""
+def signature(lines: list[str], start: int, end: int | None = None) -> str:
+    """A declaration's text, line breaks and all, up to its body, its semicolon or the symbol's last line."""
     out = []
-    for line in lines[start : start + 50]:
+    for line in lines[start : None if end is None else end + 1]:
         at = body_brace(line)
-        if at >= 0:
-            out.append(line[:at].rstrip())
+        out.append(line if at < 0 else line[:at].rstrip())
+        if at >= 0 or line.rstrip().endswith(";"):
             break
-        out.append(line.rstrip().removesuffix(";"))
-        if line.rstrip().endswith(";"):
-            break
-    return " ".join(x.strip() for x in out if x.strip())
+    return "\n".join(out).rstrip()
 
 
 def doc_comment(lines: list[str], start: int) -> str | None:
-    """The /** */ comment that ends right above a line, without its marks."""
+    """The /** */ comment above a line, blank and decorator lines between them aside, without its marks."""
     end = start - 1
-    while end >= 0 and lines[end].lstrip().startswith("@"):
+    while end >= 0 and (not lines[end].strip() or lines[end].lstrip().startswith("@")):
         end -= 1
     if end < 0 or not lines[end].rstrip().endswith("*/"):
         return None
@@ -90,24 +87,36 @@ def described(symbols: DataFrame, files: DataFrame) -> DataFrame:
     return rows.withColumn("_d", describe("content", "line")).select(*symbols.columns, "_d.signature", "_d.doc")
 
 
-#: Capitalised names that are no project types.
-BUILTIN_TYPES = ("Array", "Promise", "Record", "Map", "Set", "Date", "Error", "RegExp", "Partial", "Required", "Readonly", "Pick", "Omit", "Exclude", "Extract", "ReturnType", "Parameters", "NonNullable", "String", "Number", "Boolean", "Object", "Function", "Symbol")
+#: Names that are no project types.
+BUILTIN_TYPES = (
+    "string", "number", "boolean", "void", "undefined", "null", "never", "any", "unknown", "object", "bigint", "symbol",
+    "Array", "Promise", "Record", "Map", "Set", "WeakMap", "WeakSet", "ReadonlyArray", "Readonly", "Partial", "Required", "Pick", "Omit", "Exclude", "Extract",
+    "NonNullable", "ReturnType", "Parameters", "InstanceType", "ConstructorParameters", "Awaited", "Function", "Date", "RegExp", "Error", "TypeError", "RangeError",
+)
 
 
 def type_names(declarations: Column) -> Column:
     """Distinct capitalised names outside import lines, without built-in ones."""
-    lines = F.filter(F.split(declarations, "\n"), lambda x: ~F.ltrim(x).startswith("import "))
+    lines = F.filter(F.split(declarations, "\n"), lambda x: ~x.rlike(r"^\s*import\s"))
     names = F.regexp_extract_all(F.array_join(lines, "\n"), F.lit(r"\b([A-Z][A-Za-z0-9_]*)\b"), 1)
     return F.array_except(F.array_distinct(names), F.array(*map(F.lit, BUILTIN_TYPES)))
 
 
 def imported_types(declarations: Column) -> Column:
-    """Map of local name to module of named imports."""
-    pattern = F.lit(r"""import\s+(?:type\s+)?\{([^}]*)\}\s*from\s*['"]([^'"]+)['"]""")
-    pairs = F.arrays_zip(F.regexp_extract_all(declarations, pattern, 1).alias("names"), F.regexp_extract_all(declarations, pattern, 2).alias("module"))
+    """Map of local name to module of type imports: import type { A }, import { type A as B }; of equal names the last."""
+    pattern = F.lit(r"""import\s+(type\b\s*)?\{([^}]+)\}\s*from\s*['"]([^'"]+)['"]""")
+    found = F.arrays_zip(*[F.regexp_extract_all(declarations, pattern, k).alias(n) for k, n in ((1, "only"), (2, "names"), (3, "module"))])
     local = lambda n: F.trim(F.element_at(F.split(F.regexp_replace(F.trim(n), r"^type\s+", ""), r"\s+as\s+"), -1))
-    entries = F.flatten(F.transform(pairs, lambda p: F.transform(F.filter(F.split(p["names"], ","), lambda n: F.trim(n) != ""), lambda n: F.struct(local(n).alias("k"), p["module"].alias("v")))))
-    return F.map_from_entries(entries)
+    typed = lambda p: F.filter(F.split(p["names"], ","), lambda n: (F.trim(n) != "") & ((p["only"] != "") | F.trim(n).rlike(r"^type\s")))
+    entries = F.flatten(F.transform(found, lambda p: F.transform(typed(p), lambda n: F.struct(local(n).alias("k"), p["module"].alias("v")))))
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["k"] == e["k"]))
+    return F.map_from_entries(last)
+
+
+def type_references(declarations: Column, deep: bool) -> Column:
+    """Types that declarations refer to: all project types if deep, else only those imported as types."""
+    names = type_names(declarations)
+    return names if deep else F.array_intersect(F.map_keys(imported_types(declarations)), names)
 
 
 def editor_tokens(deltas: DataFrame) -> DataFrame:

@@ -65,6 +65,17 @@ def edges(links: DataFrame, group: str, item: str, weight: Column | None = None,
     return rows.groupBy("p.a", "p.b").agg(F.sum("w").alias("weight"), F.count("*").alias("n"))
 
 
+def neighbours_of(links: DataFrame, group: str, item: str, value, max_items: int = MAX_ITEMS) -> DataFrame:
+    """item, neighbour, weight, n: the edges of one item.
+
+    Only groups that hold the item are read further, and only its own pairs are made.
+    """
+    rows = links.select(F.col(group).alias("g"), F.col(item).alias("i")).filter("g is not null and i is not null")
+    held = grouped_items(rows.join(rows.filter(F.col("i") == value).select("g").distinct(), "g", "left_semi"), "g", "i", max_items)
+    pairs = held.select(F.explode(F.array_remove("items", value)).alias("neighbour"), (F.lit(1.0) / (F.size("items") - 1)).alias("w"))
+    return pairs.groupBy(F.lit(value).alias("item"), "neighbour").agg(F.sum("w").alias("weight"), F.count("*").alias("n"))
+
+
 def frequencies(links: DataFrame, group: str, item: str) -> DataFrame:
     """item, n: distinct groups of each item, single-item groups included."""
     return links.select(F.col(item).alias("item"), F.col(group).alias("g")).distinct().groupBy("item").agg(F.count("*").alias("n"))
@@ -79,9 +90,10 @@ def both_ways(pairs: DataFrame) -> DataFrame:
 def jaccard_neighbours(links: DataFrame, targets: DataFrame, group: str, item: str) -> DataFrame:
     """target, other, shared, jaccard of items in a group with a target (column target), over plain links."""
     rows = links.select(F.col(group).alias("g"), F.col(item).alias("i")).distinct()
-    total = rows.groupBy("i").agg(F.count("*").alias("total"))
     mine = rows.join(targets, F.col("i") == F.col("target"), "left_semi").withColumnRenamed("i", "target")
     shared = mine.join(rows, "g").filter("i <> target").groupBy("target", F.col("i").alias("other")).agg(F.count("*").alias("shared"))
+    met = shared.select(F.explode(F.array("target", "other")).alias("i")).distinct()
+    total = rows.join(met, "i", "left_semi").groupBy("i").agg(F.count("*").alias("total"))
     shared = shared.join(total.select(F.col("i").alias("other"), F.col("total").alias("n_other")), "other")
     shared = shared.join(total.select(F.col("i").alias("target"), F.col("total").alias("n_target")), "target")
     return shared.select("target", "other", "shared", (F.col("shared") / (F.col("n_target") + F.col("n_other") - F.col("shared"))).alias("jaccard"))

@@ -75,11 +75,12 @@ def deduplicate(found: DataFrame) -> DataFrame:
 
 
 def inline_suppressions(files: DataFrame) -> DataFrame:
-    """file, line, rule, reason of suppression comments; each covers its own line and the next.  files: file, content."""
-    rows = files.select("file", F.posexplode(F.split("content", "\n", -1)).alias("n", "line"))
+    """file, line, rule, reason of suppression comments; each covers its own line and the next, if there is one.  files: file, content."""
+    lines = F.split("content", "\n", -1)
+    rows = files.select("file", F.size(lines).alias("last"), F.posexplode(lines).alias("n", "line"))
     pattern = r'//\s*audit-suppress\s+([\w-]+)(?:\s+"([^"]*)")?'
     rows = rows.filter(F.col("line").rlike(pattern))
-    return rows.select("file", F.explode(F.array(F.col("n") + 1, F.col("n") + 2)).alias("line"), F.regexp_extract("line", pattern, 1).alias("rule"), F.regexp_extract("line", pattern, 2).alias("reason"))
+    return rows.select("file", F.explode(F.sequence(F.col("n") + 1, F.least(F.col("n") + 2, "last"))).alias("line"), F.regexp_extract("line", pattern, 1).alias("rule"), F.regexp_extract("line", pattern, 2).alias("reason"))
 
 
 def suppressed(found: DataFrame, rules: list[dict], inline: DataFrame | None = None) -> DataFrame:
@@ -124,31 +125,51 @@ def weighted_score(rows: DataFrame, score: str, weight: str, *keys: str) -> Data
 
 
 def drift(baseline: DataFrame, current: DataFrame) -> DataFrame:
-    """rule_id, file, status and both severities of findings matched one to one by overlap, first fit.
+    """rule_id, file, status, both severities and changes of findings matched one to one by overlap, first fit.
 
-    Both: rule_id, file, ord, start_line, end_line, severity, confidence.  Current findings, in
-    order, take the first free baseline finding of their rule and file that they overlap: stable or
-    changed; others are new, baseline findings left over resolved.
+    Both: rule_id, ord, severity, confidence, and either file, start_line and end_line or locations
+    (an array of such structs; file is then the first one's).  A null end_line is the start_line.
+    Current findings, in order, take the first free baseline finding of their rule that they overlap
+    in some location: stable or changed; others are new, baseline findings left over resolved.
+    changes lists (field, old, new).  With one location a task folds a rule and file, else a rule.
     """
+    many = "locations" in baseline.columns
+    kind = "rule_id string, file string, status string, before string, after string, changes array<struct<field:string,old:string,new:string>>"
+
+    def spans(row):
+        places = row.locations if many else [{"file": row.file, "start_line": row.start_line, "end_line": row.end_line}]
+        return [(p["file"], p["start_line"], p["start_line"] if p["end_line"] is None or p["end_line"] != p["end_line"] else p["end_line"]) for p in places]
 
     def match(old, new):
         import pandas as pd
 
-        old, new = old.sort_values("ord"), new.sort_values("ord")
-        free, out = list(old.itertuples()), []
+        old, new = list(old.sort_values("ord").itertuples()), new.sort_values("ord")
+        places = [spans(b) for b in old]
+        at: dict = {}
+        for k, of in enumerate(places):
+            for f in {f for f, _, _ in of}:
+                at.setdefault(f, []).append(k)
+        free, out = set(range(len(old))), []
+        first = lambda of: of[0][0] if of else None
         for c in new.itertuples():
-            b = next((b for b in free if c.start_line <= b.end_line and b.start_line <= c.end_line), None)
-            if b is None:
-                out.append((c.rule_id, c.file, "new", None, c.severity))
-            else:
-                free.remove(b)
-                same = b.severity == c.severity and b.confidence == c.confidence
-                out.append((c.rule_id, c.file, "stable" if same else "changed", b.severity, c.severity))
-        out += [(b.rule_id, b.file, "resolved", b.severity, None) for b in free]
-        return pd.DataFrame(out, columns=["rule_id", "file", "status", "before", "after"])
-
+            mine = spans(c)
+            near = sorted({k for f in {f for f, _, _ in mine} for k in at.get(f, ()) if k in free})
+            home = next((k for k in near if any(f == g and s <= e2 and s2 <= e for f, s, e in mine for g, s2, e2 in places[k])), None)
+            if home is None:
+                out.append((c.rule_id, first(mine), "new", None, c.severity, []))
+                continue
+            free.remove(home)
+            b = old[home]
+            changes = [{"field": "severity", "old": b.severity, "new": c.severity}] if b.severity != c.severity else []
+            if b.confidence != c.confidence:
+                changes.append({"field": "confidence", "old": f"{b.confidence:.2f}", "new": f"{c.confidence:.2f}"})
+            out.append((c.rule_id, first(mine), "changed" if changes else "stable", b.severity, c.severity, changes))
+        out += [(old[k].rule_id, first(places[k]), "resolved", old[k].severity, None, []) for k in sorted(free)]
+        return pd.DataFrame(out, columns=["rule_id", "file", "status", "before", "after", "changes"])
+
+    keys = ["rule_id"] if many else ["rule_id", "file"]
     own = current.select(*[F.col(c).alias(c) for c in current.columns])  # apart from baseline where both come from one table
-    return baseline.groupBy("rule_id", "file").cogroup(own.groupBy("rule_id", "file")).applyInPandas(match, "rule_id string, file string, status string, before string, after string")
+    return baseline.groupBy(*keys).cogroup(own.groupBy(*keys)).applyInPandas(match, kind)
 
 
 def trend(changes: DataFrame) -> DataFrame:

@@ -28,12 +28,15 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Replicated checkpoint in the session's folder; a temporary one only where none is named."""
+    """Replicated checkpoint in the session's folder; a temporary one only where none is named and all runs on one machine."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         import tempfile
 
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="weftline-"))
     return df.checkpoint()
 
 
@@ -46,16 +49,16 @@ def reversed_edges(edges: DataFrame, nodes: DataFrame | None = None) -> DataFram
     return out.select("src", "dst")
 
 
-def cyclic_nodes(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """Nodes left after peeling, again and again, those nothing leads to: on a cycle or downstream of one."""
+def cyclic_nodes(edges: DataFrame) -> DataFrame:
+    """Nodes left after peeling, again and again, those nothing leads to: on a cycle or downstream of one.
+
+    Rounds end when nothing more can be peeled; there are at most as many as edges.
+    """
     left = checkpoint(edges.select("src", "dst").distinct())
-    n = left.count()
-    for _ in range(max_rounds):
-        left = checkpoint(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"))
+    n, now = None, left.count()
+    while now != n:
+        n, left = now, checkpoint(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"))
         now = left.count()
-        if now == n:
-            break
-        n = now
     return left.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
 
 

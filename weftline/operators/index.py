@@ -25,17 +25,23 @@ def provenance(links: DataFrame, commits: DataFrame, targets: DataFrame, item: s
 
 
 def artifact_card(history: DataFrame, item: str, time: str, group: str, latest: int = 5) -> DataFrame:
-    """The latest commits of each item with its total and whether the list is cut."""
+    """The latest commits of each item with its total and whether the list is cut.
+
+    Totals are counted and the latest are picked before the shuffle already, so an item with a very
+    long history sends few rows from each task.
+    """
     from pyspark.sql import Window
 
-    w = Window.partitionBy(item)
-    rows = history.withColumn("total", F.count("*").over(w)).withColumn("nth", F.row_number().over(w.orderBy(F.desc(time), F.desc(group))))
-    return rows.filter(F.col("nth") <= latest).withColumn("truncated", F.col("total") > latest)
+    nth = F.row_number().over(Window.partitionBy(item).orderBy(F.desc(time), F.desc(group)))
+    rows = history.withColumn("nth", nth).filter(F.col("nth") <= latest)
+    totals = history.groupBy(item).agg(F.count("*").alias("total"))
+    return rows.join(totals, item).withColumn("truncated", F.col("total") > latest)
 
 
 def with_all_tags(tags: DataFrame, wanted: list[str]) -> DataFrame:
     """Items that have every wanted tag, with all their tags, distinct and sorted."""
-    return tags.groupBy("item").agg(F.array_sort(F.collect_set("tag")).alias("all")).filter(F.size(F.array_intersect("all", F.array(*map(F.lit, wanted)))) == len(set(wanted))).select("item", F.array_join("all", ",").alias("tags"))
+    hit = tags.filter(F.col("tag").isin(wanted)).groupBy("item").agg(F.count_distinct("tag").alias("n")).filter(F.col("n") == len(set(wanted))).select("item")
+    return tags.join(hit, "item", "left_semi").groupBy("item").agg(F.array_join(F.array_sort(F.collect_set("tag")), ",").alias("tags"))
 
 
 def tag_counts(tags: DataFrame) -> DataFrame:

@@ -74,7 +74,7 @@ def trend_half_split(spark, sf_dir):
     f"WITH {PAIRS}, e AS (SELECT a, b, sum(w) AS w, count(*) AS n FROM pairs GROUP BY a, b), d AS (SELECT a AS item, b AS neighbour, w, n FROM e UNION ALL SELECT b, a, w, n FROM e) SELECT neighbour, round(w, 6) AS weight, n, CASE WHEN round(w, 6) >= 0.5 THEN 'direct' WHEN w > 0 THEN 'moderate' ELSE 'structural' END AS tier FROM d WHERE item = 11",
 )
 def neighborhood(spark, sf_dir):
-    rows = cochange.both_ways(edges(spark, sf_dir)).filter("item = 11").withColumn("weight", F.round("weight", 6))
+    rows = cochange.neighbours_of(links(spark, sf_dir), "l_orderkey", "l_partkey", 11).withColumn("weight", F.round("weight", 6))
     return coupling.neighbourhood(rows, line=0.5).select("neighbour", "weight", "n", "tier")
 
 

@@ -85,7 +85,7 @@ def jaccard_lift(spark, sf_dir):
     f"WITH {PAIRS}, e AS (SELECT a, b, sum(w) AS w, count(*) AS n FROM pairs GROUP BY a, b), t AS (SELECT CASE WHEN a = 7 THEN b ELSE a END AS p, w, n FROM e WHERE a = 7 OR b = 7) SELECT p_name AS neighbour, p AS partkey, round(w, 6) AS weight, n FROM t JOIN part ON p_partkey = p ORDER BY round(w, 6) DESC, p LIMIT 20",
 )
 def weighted_neighbors(spark, sf_dir):
-    rows = cochange.both_ways(edges(spark, sf_dir)).filter("item = 7").withColumn("weight", F.round("weight", 6))
+    rows = cochange.neighbours_of(links(spark, sf_dir), "l_orderkey", "l_partkey", 7).withColumn("weight", F.round("weight", 6))
     rows = cochange.top_k(rows, 20, F.desc("weight"), F.col("neighbour"))
     return rows.join(load(spark, sf_dir, "part"), F.col("neighbour") == F.col("p_partkey")).select(F.col("p_name").alias("neighbour"), F.col("p_partkey").alias("partkey"), "weight", "n")
 

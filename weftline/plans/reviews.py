@@ -96,7 +96,18 @@ def warm_gate(spark, sf_dir):
     return freshness.warm(rows, 1_706_600_000_000)
 
 
-@query("dedup_findings")
+RANK = "CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END"
+
+
+@query(
+    "dedup_findings",
+    f"""WITH RECURSIVE {SPANS}, r AS (SELECT f.event_type || '-' || f.user_id AS rule_id, (event_id % 5)::VARCHAR AS task, {SEVERITY} AS severity, f.event_type AS title, value / 100 AS conf, s, e,
+row_number() OVER (PARTITION BY f.event_type, f.user_id ORDER BY (event_id % 5)::VARCHAR, event_id) AS k FROM f JOIN events USING (event_id)),
+w(rule_id, k, members) AS (SELECT rule_id, k, [struct_pack(g := 1, s := s, e := e)] FROM r WHERE k = 1 UNION ALL
+SELECT r.rule_id, r.k, list_append(w.members, struct_pack(g := coalesce(list_min(list_transform(list_filter(w.members, lambda m: m.s <= r.e AND r.s <= m.e), lambda m: m.g)), 1 + list_max(list_transform(w.members, lambda m: m.g))), s := r.s, e := r.e)) FROM w JOIN r ON r.rule_id = w.rule_id AND r.k = w.k + 1),
+g AS (SELECT r.*, w.members[r.k].g AS g, {RANK} AS worst FROM w JOIN r USING (rule_id, k))
+SELECT rule_id, arg_min(severity, struct_pack(a := worst, b := -conf, c := k)) AS severity, any_value(title) AS title, count(DISTINCT task) AS tasks, least(1.0, arg_min(conf, struct_pack(a := worst, b := -conf, c := k)) + 0.1 * (count(DISTINCT task) - 1)) AS confidence, count(*) AS members FROM g GROUP BY rule_id, g""",
+)
 def dedup_findings(spark, sf_dir):
     rows = severe(spark, sf_dir).join(spans(spark, sf_dir).select("event_id", "s", "e"), "event_id")
     location = F.struct(F.col("user_id").cast("string").alias("file"), F.col("s").cast("int").alias("start_line"), F.col("e").cast("int").alias("end_line"))
@@ -104,8 +115,18 @@ def dedup_findings(spark, sf_dir):
     return findings.deduplicate(rows)
 
 
-@query("finding_drift")
+@query(
+    "finding_drift",
+    f"""WITH RECURSIVE {SPANS}, r AS (SELECT f.event_type AS rule_id, f.user_id::VARCHAR AS file, event_id, {SEVERITY} AS severity, s, e FROM f JOIN events USING (event_id)),
+b AS (SELECT rule_id, file, list(struct_pack(o := event_id, s := s, e := e, v := severity) ORDER BY event_id) AS old FROM r WHERE event_id % 2 = 0 GROUP BY ALL),
+c AS (SELECT r.*, coalesce(old, []) AS old, row_number() OVER (PARTITION BY rule_id, file ORDER BY event_id) AS k FROM r LEFT JOIN b USING (rule_id, file) WHERE event_id % 2 = 1),
+w(rule_id, file, k, severity, used, hit) AS (SELECT DISTINCT rule_id, file, 0::BIGINT, NULL::VARCHAR, []::BIGINT[], NULL::STRUCT(o BIGINT, s BIGINT, e BIGINT, v VARCHAR) FROM c UNION ALL
+SELECT rule_id, file, k, severity, CASE WHEN hit IS NULL THEN used ELSE list_append(used, hit.o) END, hit FROM (SELECT c.rule_id, c.file, c.k, c.severity, w.used, list_filter(c.old, lambda x: x.s <= c.e AND c.s <= x.e AND NOT list_contains(w.used, x.o))[1] AS hit FROM w JOIN c ON c.rule_id = w.rule_id AND c.file = w.file AND c.k = w.k + 1))
+SELECT rule_id, file, CASE WHEN hit IS NULL THEN 'new' WHEN hit.v = severity THEN 'stable' ELSE 'changed' END AS status, hit.v AS before, severity AS after, CASE WHEN hit IS NULL OR hit.v = severity THEN '' ELSE 'severity:' || hit.v || '>' || severity END AS changes FROM w WHERE k > 0
+UNION ALL SELECT rule_id, file, 'resolved', severity, NULL, '' FROM r WHERE event_id % 2 = 0 AND event_id NOT IN (SELECT hit.o FROM w WHERE hit IS NOT NULL)""",
+)
 def finding_drift(spark, sf_dir):
     rows = severe(spark, sf_dir).join(spans(spark, sf_dir).select("event_id", "s", "e"), "event_id")
     rows = rows.select(F.col("event_type").alias("rule_id"), F.col("user_id").cast("string").alias("file"), F.col("event_id").alias("ord"), F.col("s").alias("start_line"), F.col("e").alias("end_line"), "severity", F.lit(0.5).alias("confidence"))
-    return findings.drift(rows.filter("ord % 2 = 0"), rows.filter("ord % 2 = 1"))
+    found = findings.drift(rows.filter("ord % 2 = 0"), rows.filter("ord % 2 = 1"))
+    return found.withColumn("changes", F.array_join(F.transform("changes", lambda c: F.concat(c["field"], F.lit(":"), c["old"], F.lit(">"), c["new"])), ","))

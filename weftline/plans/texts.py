@@ -87,9 +87,18 @@ def url_tags(spark, sf_dir):
     return load(spark, sf_dir, "pages").select("page_id", F.array_join(paths.path_tags(path), ",").alias("tags"), paths.component_key(path).alias("component"))
 
 
-@query("severity_text", "SELECT event_id, CASE lower(trim(event_type)) WHEN 'error' THEN 'medium' ELSE 'medium' END AS severity, CASE WHEN value / 100 = 0 THEN 0.5 ELSE least(1.0, greatest(0.0, value / 100)) END AS confidence FROM events")
+#: Spellings of severities by the last digit of an id: every name, every alias, and two unknown ones.
+SPELLINGS = ("Critical", " HIGH ", "medium", "low", "Informational", "info", "WARNING", " moderate", "severe", "")
+
+
+@query(
+    "severity_text",
+    "SELECT event_id, CASE event_id % 10 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' WHEN 3 THEN 'low' WHEN 4 THEN 'informational' WHEN 5 THEN 'informational' ELSE 'medium' END AS severity, CASE event_id % 10 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 3 THEN 3 WHEN 4 THEN 4 WHEN 5 THEN 4 ELSE 2 END AS rank, CASE WHEN value / 100 = 0 THEN 0.5 ELSE least(1.0, greatest(0.0, value / 100)) END AS confidence FROM events",
+)
 def severity_text(spark, sf_dir):
-    return load(spark, sf_dir, "events").select("event_id", text.severity(F.col("event_type")).alias("severity"), text.confidence(F.col("value") / 100).alias("confidence"))
+    raw = F.element_at(F.array(*map(F.lit, SPELLINGS)), (F.col("event_id") % 10 + 1).cast("int"))
+    rows = load(spark, sf_dir, "events").select("event_id", text.severity(raw).alias("severity"), text.confidence(F.col("value") / 100).alias("confidence"))
+    return rows.withColumn("rank", text.severity_rank(F.col("severity")))
 
 
 @query("subject_parse", r"""WITH s AS (SELECT event_id, event_type || '(' || (user_id % 4) || ')' || CASE WHEN event_id % 2 = 0 THEN ': ' ELSE ' ' END || 'x' AS subject FROM events) SELECT event_id, nullif(regexp_extract(subject, '^(\w+)(?:\(([^)]+)\))?!?:\s', 1), '') AS type, nullif(regexp_extract(subject, '^(\w+)(?:\(([^)]+)\))?!?:\s', 2), '') AS scope FROM s""")

@@ -66,3 +66,37 @@ def bounded_history(commits: DataFrame, files: list[str], most: int = 500) -> Da
 def since(commits: DataFrame, timestamp: Column | int) -> DataFrame:
     """Commits after a time; reaches the scan of a Parquet log."""
     return commits.filter(F.col("timestamp") > timestamp)
+
+
+def changed_files(commits: DataFrame, timestamp: Column | int) -> DataFrame:
+    """file: what commits after a time touch and do not leave deleted."""
+    last = changes(since(commits, timestamp)).groupBy("path").agg(F.max_by("alive", F.struct("timestamp", "sha", "seq")).alias("alive"))
+    return last.filter("alive").select(F.col("path").alias("file"))
+
+
+def only_changed(files: DataFrame, changed: DataFrame) -> DataFrame:
+    """Files (column file) among the changed ones."""
+    return files.join(changed.select("file"), "file", "left_semi")
+
+
+def with_dependents(changed: DataFrame, owner: DataFrame, deps: DataFrame) -> DataFrame:
+    """Changed files and all files of components that depend, in turn, on a changed component.
+
+    owner: file, component; deps: src, dst (src depends on dst).
+    """
+    from weftline.operators.graph import reachable, reversed_edges
+
+    hit = owner.join(changed.select("file"), "file", "left_semi").select(F.col("component").alias("node")).distinct()
+    affected = reachable(reversed_edges(deps), hit).select(F.col("node").alias("component")).distinct()
+    return changed.select("file").unionByName(owner.join(affected, "component", "left_semi").select("file")).distinct()
+
+
+def resume(spark: SparkSession, path: str, checkpoint: str, each, mark: str = COMMIT_MARK, files_mark: str = FILES_MARK) -> None:
+    """Parse the records of log files that are new since the last run and hand them, batch by batch, to each(commits, batch_id).
+
+    A folder of logs is read as a stream whose checkpoint says which files are done, so a run after a
+    failure goes on where the last one stopped and reads nothing twice.
+    """
+    from weftline.streaming.incremental import run_available
+
+    run_available(spark.readStream.option("lineSep", mark).text(path), checkpoint, lambda batch, n: each(parse_records(batch, files_mark), n))

@@ -1,4 +1,4 @@
-"""Writing results: reports as JSON and Markdown, snapshots, idempotent inserts."""
+"""Writing results: reports as JSON, Markdown and HTML, snapshots, idempotent inserts."""
 
 from __future__ import annotations
 
@@ -19,6 +19,23 @@ def as_markdown(rows: DataFrame, *order: str) -> DataFrame:
     return head.coalesce(1).union(body)
 
 
+def as_html(rows: DataFrame, title: str, *order: str) -> DataFrame:
+    """Lines of an HTML page with one table, cells escaped, ready for a text sink of one file."""
+
+    def safe(c):
+        out = F.coalesce(c.cast("string"), F.lit(""))
+        for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+            out = F.replace(out, F.lit(a), F.lit(b))
+        return out
+
+    spark = rows.sparkSession
+    line = lambda *parts: spark.createDataFrame([(p,) for p in parts], "value string").coalesce(1)
+    cells = [F.concat(F.lit("<td>"), safe(F.col(c)), F.lit("</td>")) for c in rows.columns]
+    body = rows.orderBy(*order).select(F.concat(F.lit("<tr>"), *cells, F.lit("</tr>")).alias("value"))
+    head = f"<!DOCTYPE html><meta charset='utf-8'><title>{title}</title><h1>{title}</h1><table>"
+    return line(head, "<tr>" + "".join(f"<th>{c}</th>" for c in rows.columns) + "</tr>").union(body).union(line("</table>"))
+
+
 def append_new(rows: DataFrame, path: str, *keys: str) -> None:
     """Append rows whose key the table at path does not have; repeated runs add nothing."""
     spark = rows.sparkSession

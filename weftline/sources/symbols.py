@@ -145,6 +145,121 @@ def symbols(files: DataFrame) -> DataFrame:
     return files.select("file", "content").mapInPandas(run, SYMBOLS)
 
 
+TREE = "file string, ord int, name string, kind string, parent string, depth int, line int, start int, end int"
+
+_MEMBER = re.compile(r"^[ \t]*((?:(?:public|private|protected|static|readonly|abstract|override|async|declare|get|set)\s+)*)([#*]?\s*[A-Za-z_$][\w$]*)\s*([?!]?)\s*(\(|<|:|=(?!=)|;|,|$)", re.M)
+_NESTS = {"class", "interface", "enum", "namespace", "trait", "mod", "impl", "struct"}
+_IMPL = re.compile(r"^[ \t]*(?:unsafe\s+)?impl\b(?:\s*<[^{]*?>)?\s+(?:[^{;]*?\bfor\s+)?([A-Za-z_]\w*)[^{;]*\{", re.M)
+_NOT_MEMBERS = {"if", "for", "while", "switch", "return", "catch", "else", "do", "try", "throw", "case", "default", "await", "new", "super", "this", "function"}
+
+
+def _at_depth(plain: str, lo: int, hi: int) -> str:
+    """Part of a source with everything inside inner brackets blanked, so that only its own level is left."""
+    out, depth = [], 0
+    for c in plain[lo:hi]:
+        closes = c in ")}]"
+        depth -= closes
+        out.append(c if depth <= 0 or c == "\n" else " ")
+        depth += c in "({["
+    return "".join(out)
+
+
+def _body(plain: str, lo: int, hi: int) -> tuple[int, int] | None:
+    at = plain.find("{", lo, hi)
+    return (at + 1, hi - 1) if at >= 0 else None
+
+
+def symbol_tree(source: str, extension: str) -> Iterator[tuple]:
+    """(name, kind, parent, depth, line, start, end) of symbols and their members, in pre-order."""
+    if extension == "py":
+        yield from _python_tree(source)
+        return
+    rust, plain = extension == "rs", without_comments(source)
+    pattern = _RUST if rust else _TS
+
+    def inside(lo: int, hi: int, parent: str | None, kind: str | None, depth: int):
+        level, found = _at_depth(plain, lo, hi), {}
+        for m in _declared(pattern, level):
+            name, what = m[3], {"fn": "method" if kind in ("impl", "trait") else "function", "function*": "function", "let": "variable", "var": "variable", "macro_rules!": "macro"}.get(m[2], m[2])
+            found[lo + m.start()] = (name, what)
+        if rust:
+            for m in _IMPL.finditer(level):
+                found[lo + m.start() + len(m[0]) - len(m[0].lstrip())] = (m[1], "impl")
+        elif kind in ("class", "interface", "enum"):
+            # a separator ends a member as a line break does
+            for m in _MEMBER.finditer(level.replace("," if kind == "enum" else ";", "\n")):
+                name = m[2].lstrip("*").strip()
+                at = lo + m.start() + len(m[0]) - len(m[0].lstrip())
+                if name in _NOT_MEMBERS or at in found:
+                    continue
+                what = "enumMember" if kind == "enum" else "constructor" if name == "constructor" else "method" if m[4] in ("(", "<") else "property"
+                found[at] = (name, what)
+        elif kind == "struct":
+            found = {}
+        starts = sorted(found)
+        for at, after in zip(starts, [*starts[1:], hi]):
+            name, what = found[at]
+            end = min(end_of(plain, at), hi) if what not in ("property", "enumMember") else min(after, hi)
+            yield name, what, parent, depth, source.count("\n", 0, at) + 1, at, end
+            body = _body(plain, at, end) if what in _NESTS else None
+            if body:
+                yield from inside(*body, name, what, depth + 1)
+
+    yield from inside(0, len(plain), None, None, 0)
+
+
+def _declared(pattern: re.Pattern, level: str):
+    """Matches of a pattern for line beginnings, indentation aside, with positions in the level."""
+
+    class Hit:
+        def __init__(self, m, at):
+            self.m, self.at = m, at
+
+        def __getitem__(self, k):
+            return self.m[k]
+
+        def start(self):
+            return self.at
+
+    at = 0
+    for line in level.split("\n"):
+        bare = line.lstrip()
+        m = pattern.match(bare)
+        if m:
+            yield Hit(m, at + len(line) - len(bare))
+        at += len(line) + 1
+
+
+def _python_tree(source: str) -> Iterator[tuple]:
+    found = [(m.start(), len(m[1]), m[3], m[2]) for m in re.finditer(r"^([ \t]*)(?:async\s+)?(def|class)\s+([A-Za-z_]\w*)", source, re.M)]
+    open_: list[tuple] = []
+    for i, (at, indent, name, word) in enumerate(found):
+        while open_ and open_[-1][0] >= indent:
+            open_.pop()
+        end = next((a for a, n, *_ in found[i + 1 :] if n <= indent), len(source))
+        kind = "class" if word == "class" else "method" if open_ and open_[-1][2] == "class" else "function"
+        yield name, kind, open_[-1][1] if open_ else None, len(open_), source.count("\n", 0, at) + 1, at + indent, end
+        open_.append((indent, name, kind))
+
+
+def nested_symbols(files: DataFrame) -> DataFrame:
+    """All symbols of files (file, content), members too, with parent, depth and pre-order number (ord)."""
+
+    def run(batches):
+        import pandas as pd
+
+        for frame in batches:
+            rows = [(f, i, *s) for f, c in zip(frame["file"], frame["content"]) if f.rpartition(".")[2] in REGISTRY for i, s in enumerate(symbol_tree(c or "", f.rpartition(".")[2]))]
+            yield pd.DataFrame(rows, columns=["file", "ord", "name", "kind", "parent", "depth", "line", "start", "end"])
+
+    return files.select("file", "content").mapInPandas(run, TREE)
+
+
+def first_named(tree: DataFrame, name: str) -> DataFrame:
+    """The first symbol of a name in each file, in pre-order."""
+    return tree.filter(F.col("name") == name).groupBy("file").agg(F.min_by(F.struct("kind", "parent", "depth", "line"), "ord").alias("s")).select("file", "s.*")
+
+
 def imports(files: DataFrame) -> DataFrame:
     """Imports of files: specifier, imported names (* for all), type-only and re-export flags."""
 

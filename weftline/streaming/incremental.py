@@ -63,9 +63,12 @@ def snapshot(rows: DataFrame, folder: str, version: str) -> None:
 
 
 def latest(spark: SparkSession, folder: str) -> DataFrame:
-    """The newest version (by name) of a table."""
-    rows = spark.read.parquet(folder)
-    return rows.join(F.broadcast(rows.agg(F.max("version").alias("version"))), "version", "left_semi")  # one row
+    """The newest version (by name) of a table; names of folders are listed, only its files are read."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    names = [f.getPath().getName() for f in found if f.getPath().getName().startswith("version=")]
+    version = max(names).removeprefix("version=")
+    return spark.read.parquet(f"{folder}/version={version}").withColumn("version", F.lit(version))
 
 
 def run_jobs(jobs: list, workers: int = 5) -> list:
