@@ -356,6 +356,35 @@ def test_strips_change_nothing(monkeypatch):
         assert [count(t) for t in texts] == whole
 
 
+def test_grams_equal_brute_force():
+    """N-grams of gap-joined letters, hashed one character at a time."""
+    mask = (1 << 64) - 1
+
+    def bucket(gram):
+        h = len(gram)
+        for c in gram:
+            h = (h ^ c) * 0x9E3779B97F4A7C15 & mask
+            h ^= h >> 29
+        return h >> 48
+
+    for text in ("", "12", "a", "Ab cd", "  É1漢字  x", "İstanbul ΑΣ", "don't stop--now"):
+        letters = "".join(c if c.isalpha() else " " for c in text.lower())
+        padded = [0 if c == " " else ord(c) for c in " " + " ".join(letters.split()) + " "] if letters.strip() else []
+        want = Counter(bucket(padded[i : i + n]) for n in (1, 2, 3) for i in range(len(padded) - n + 1))
+        got = langid.counted(text)
+        assert (dict(zip(got[0].tolist(), got[1].tolist())) if got else {}) == want, text
+
+
+def test_probabilities_equal_a_plain_softmax(spark):
+    model = langid.train(labelled(spark))
+    for text in ("der und dass", "the and that which", "le et que"):
+        at, n = langid.counted(text)
+        s = (model.weight[at].astype(float) * n[:, None]).sum(axis=0) / n.sum() + model.bias
+        p = np.exp(s / model.temperature) / np.exp(s / model.temperature).sum()
+        row = langid.predict(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()
+        assert row.lang_pred == model.langs[int(p.argmax())] and abs(row.score - p.max()) < 1e-9
+
+
 def test_one_document_repeated_gives_one_model(spark):
     frame = labelled(spark)
     many = frame.unionByName(frame.filter("doc_id = 5").withColumn("x", F.explode(F.sequence(F.lit(1), F.lit(400)))).drop("x"))

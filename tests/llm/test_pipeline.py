@@ -34,3 +34,18 @@ def test_stages(spark, tmp_path):
     assert abs(sum(len(r.text.split()) for r in kept["mixing_sources"].collect()) - 1.5 * words) < 400
     assert kept["byte_pairs"].count() == kept["mixing_sources"].count()
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == kept["byte_pairs"].count()
+
+
+def test_stages_on_no_rows_and_odd_rows(spark, tmp_path):
+    kind = "doc_id long, text string, lang string, source string, n_chars long, hash string, row string"
+    odd = [(None, None, None, None, None, None, None), (1, "", "en", None, 0, "h", "r"), (1, "", "en", None, 0, "h", "r"), (2, "long word " * 60_000, "en", "s", 5, "h", "r"), (3, "a b c", "de", "s", 5, None, None), (3, "other words", "de", "s", 5, None, None)]
+    for rows in ([], odd):
+        docs = spark.createDataFrame(rows, kind)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            n = out.count()
+            assert n == 0 if not rows else n <= 2 * len(rows)
+            if name != "byte_pairs":
+                assert out.columns == docs.columns
+                if name == "near_duplicates" and rows:  # one of each group, and rows without an id
+                    assert sorted(r.doc_id or 0 for r in out.collect()) == [0, 1, 2, 3]

@@ -290,7 +290,11 @@ def padded(raw: bytes) -> bytes:
 
 
 def store_texts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, media (every whole text as a sound file) and declared_type, which is wrong on purpose."""
+    """doc_id, n_bytes, media (every whole text as a sound file) and declared_type, which is wrong on purpose.
+
+    Null texts are empty, and an empty text is stored as 64 zero bytes; texts of any length are
+    stored whole; repeated rows give equal values; an empty table gives none; other columns are ignored.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -303,7 +307,10 @@ def store_texts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def media_features(stored: DataFrame) -> DataFrame:
-    """What is read back from stored media: the payload's digests and features of its samples."""
+    """What is read back from stored media: the payload's digests and features of its samples.
+
+    One row for each row of stored, equal for equal media; an empty table gives none.
+    """
 
     def run(batches):
         import numpy as np
