@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept.  All but
 the last return the columns of documents.
+
+Extra columns pass through; an empty table gives an empty result at each stage; repeated rows are
+treated alike where a stage keeps or changes rows, and near_duplicates keeps one of them.
 """
 
 from __future__ import annotations
@@ -16,7 +19,10 @@ LEAST_LANGUAGE_SCORE = 0.35
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language is recognised; texts without a letter and null texts go."""
+    """Keep documents whose language is recognised; texts without a letter, empty and null texts go.
+
+    If no document can be learned from, nothing is recognised.
+    """
     return langid.predict(docs, langid.train(docs), keep=f"{{lang}} <> 'und' and {{score}} >= {LEAST_LANGUAGE_SCORE}")
 
 
@@ -24,23 +30,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keep the smallest doc_id of each group of near duplicates.
 
     Texts are linked if the sets of their five-word shingles have a Jaccard similarity of at least
-    0.8: fingerprints and their Gray-order index propose links, whole sets confirm them.
+    0.8: fingerprints and their Gray-order index propose links, whole sets confirm them.  Rows with
+    one doc_id are one document; rows without doc_id stay.
     """
     return simhash.keep_first(docs, find=similar.similar_texts, width=5)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data by the name of its kind."""
+    """Replace personal data by the name of its kind; null texts stay null."""
     return pii.redact_pii(docs)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take documents of each source up to its target, some twice, some not at all."""
+    """Take documents of each source up to its target, some twice, some not at all; a null source is one too."""
     return mixing.mixed_documents(docs)
 
 
 def byte_pairs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, with digests of the ids and of what they decode to."""
+    """Token ids of every text, with digests of the ids and of what they decode to; null is empty."""
     return bpe.encode_documents(docs)
 
 
