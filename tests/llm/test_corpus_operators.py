@@ -285,6 +285,7 @@ def test_repeated_vec_ids_and_doubles(spark):
     rng = np.random.default_rng(4)
     rows = [(i, (rng.normal(size=4) + 1e-9).tolist()) for i in range(60)]
     rows += [(20, rows[3][1]), (40, rows[3][1]), (40, rows[5][1]), (7, rows[3][1]), (7, rows[3][1]), (41, rows[20][1])]
+    rows += [(80, [50.0 + i, 0.0, 0.0, 1.0]) for i in range(9)]  # its own vectors are nearest to it
     rows += [(100 + i, [1.0 + i * 1e-12, 0.5, 0.25, 0.125]) for i in range(30)] + [(200 + i, [9.0, 9.0, 9.0, 9.0]) for i in range(40)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = defaultdict(list)

@@ -254,6 +254,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, ef: int | None
 
     asked = reliable(sound(queries).distinct().withColumn("dim", F.size("embedding")))
     size = asked.groupBy("dim").agg(F.count("*").alias("n")).collect()  # one row for each length of vectors
+    # a query leaves out all rows of its vec_id, which may stand in several classes
+    most = k + (asked.groupBy("vec_id").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 1)
+    keep = max(keep, most)
     n_blocks = max(1, math.ceil(sum(8 * r["dim"] * r["n"] for r in size) / BLOCK_BYTES))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(n_blocks)))
 
@@ -285,8 +288,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, ef: int | None
                     part = q[at : at + 256]
                     got = world.search(part, keep)
                     score = np.where(got >= 0, np.einsum("abd,ad->ab", x[got], part), -np.inf)
-                    # more than k + 1 only where ids decide between equal scores
-                    order = np.lexsort((whole["ids"][got], -score), axis=1)[:, : k + 1]
+                    order = np.lexsort((whole["ids"][got], -score), axis=1)[:, :most]
                     got, score = np.take_along_axis(got, order, axis=1), np.take_along_axis(score, order, axis=1)
                     a, c = (score > -np.inf).nonzero()
                     node = got[a, c]
@@ -295,7 +297,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, ef: int | None
 
         found = index.mapInArrow(search, "query_id long, asked long, k0 long, k1 long, vec_id long, more boolean, score double")
         best = Window.partitionBy("query_id", "asked").orderBy(F.desc("score"), "vec_id")
-        return reliable(found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1).drop("n", "asked"))
+        found = reliable(found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= most).drop("n", "asked"))
+        sent.unpersist()
+        return found
 
     hits = hits_of(0)
     for block in range(1, n_blocks):
