@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, parts, reliable, table, whole_row, with_hot
 
+#: Ids up to which they are broadcast.
+FEW = 2_000_000
 #: Children of an index node, rows indexed together, and probes between two looks at what is joined.
 FAN_OUT, SHARD_ROWS, PROBES = 8, 100_000, 8_192
 
@@ -387,11 +389,24 @@ def keep_first(docs: DataFrame, find=None, **how) -> DataFrame:
     """
     if find is None:
         from .similar import similar_texts as find
-    groups = find(docs, **how).filter("doc_id = component_id").select(F.col("component_id").alias("keep")).distinct()
-    rows = docs.select(whole_row(docs).alias("row"), docs["doc_id"].cast("long").alias("id"), docs["text"].cast("string").alias("text"))
-    order = Window.partitionBy("id").orderBy("text", F.to_json(F.struct(*[F.col("row")[c].cast("string").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"])))
-    first = rows.join(groups, F.col("id") == F.col("keep")).withColumn("nth", F.row_number().over(order)).filter("nth = 1")
-    return first.select("row.*").unionByName(docs.filter(docs["doc_id"].isNull()))
+    found = find(docs, **how).filter("doc_id is not null").groupBy(F.col("doc_id").alias("id"))
+    ids = reliable(found.agg(F.count("*").alias("n"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays")))
+    rows = docs.select(whole_row(docs).alias("row"), docs["doc_id"].cast("long").alias("id"))
+    gone, several = ids.filter("not stays").select("id"), ids.filter("stays and n > 1").select("id")
+    n_gone, n_several = ids.agg(F.expr("count_if(not stays)"), F.expr("count_if(stays and n > 1)")).first()
+    others = F.to_json(F.struct(*[F.col("row")[c].cast("string").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"]))
+    order = Window.partitionBy("id").orderBy(F.col("row")["text"], others)
+
+    def first_of(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("nth", F.row_number().over(order)).filter("nth = 1").select("row.*")
+
+    if max(n_gone, n_several) > FEW:
+        return first_of(rows.join(ids.filter("stays").select("id"), "id")).unionByName(docs.filter(docs["doc_id"].isNull()))
+    # ids of those that go, 8 bytes each, are broadcast, and texts stay where they are
+    rows = rows.join(F.broadcast(gone), "id", "left_anti")
+    if not n_several:
+        return rows.select("row.*")
+    return rows.join(F.broadcast(several), "id", "left_anti").select("row.*").unionByName(first_of(rows.join(F.broadcast(several), "id")))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

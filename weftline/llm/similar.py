@@ -28,7 +28,7 @@ LEAST = NUM // (DEN - NUM)
 #: shingles and for others, and bits within which a first round joins groups.
 WORDS, SMALL, SMALL_RADIUS, RADIUS, FIRST_RADIUS = 4, 24, 80, 68, 44
 #: Documents and shingles that the order of shingles is estimated from, and their least count.
-SAMPLE, COMMON, SEEN = 20_000, 100_000, 4
+SAMPLE, COMMON, SEEN = 6_000, 100_000, 3
 #: Ids of wanted texts up to which they are broadcast (their texts never are).
 FEW = 1_000_000
 #: Parts that shards of shingles seen in the sample are cut in, so that none is one task's work, and
@@ -105,11 +105,10 @@ def meetings(summary: DataFrame) -> DataFrame:
             heads = as_bytes(batch.column(1))
             k0 = np.repeat(batch.column(0).to_numpy(), [len(h) // 8 for h in heads])
             item = np.frombuffer(b"".join(heads), dtype=np.int64)
-            salt = np.where(item & 1, (k0 >> 20) % SALTS, 0)
             order = np.lexsort((k0, item))  # rows of one class in a batch once
-            item, k0, salt = item[order], k0[order], salt[order]
+            item, k0 = item[order], k0[order]
             new = np.concatenate(([True], (item[1:] != item[:-1]) | (k0[1:] != k0[:-1])))[: len(item)]
-            yield pa.RecordBatch.from_pydict({"item": pa.array(item[new]), "k0": pa.array(k0[new]), "salt": pa.array(salt[new])})
+            yield pa.RecordBatch.from_pydict({"item": pa.array(item[new]), "k0": pa.array(k0[new])})
 
     def shared(batches):
         import numpy as np
@@ -128,8 +127,9 @@ def meetings(summary: DataFrame) -> DataFrame:
             given = last
             yield pa.RecordBatch.from_pydict({"item": pa.array(rows[out, 0]), "k0": pa.array(rows[out, 1])})
 
-    rows = summary.filter(F.col("n") >= LEAST).select("k0", "head").mapInArrow(spread, "item long, k0 long, salt long")
-    rows = rows.repartition("item", "salt").sortWithinPartitions("item", "k0").select("item", "k0")
+    rows = summary.filter(F.col("n") >= LEAST).select("k0", "head").mapInArrow(spread, "item long, k0 long")
+    salt = F.when(F.col("item").bitwiseAND(F.lit(1)) == 1, F.pmod(F.shiftright("k0", 20), F.lit(SALTS))).otherwise(F.lit(0))
+    rows = rows.repartition("item", salt).sortWithinPartitions("item", "k0")
     return rows.mapInArrow(shared, "item long, k0 long")
 
 
