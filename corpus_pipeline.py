@@ -47,8 +47,11 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def byte_pairs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, with digests of the ids and of what they decode to; null is empty."""
-    return bpe.encode_documents(docs)
+    """Token ids of every text, with digests of the ids and of what they decode to; null is empty.
+
+    Executors still hold memory of the stages before, so workers take less of it than by default.
+    """
+    return bpe.encode_documents(docs, batch_bytes=1 << 20, memo=100_000)
 
 
 STAGES = [
