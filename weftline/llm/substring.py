@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, parts, reliable, table
 
-#: Rows that a key may always have before it counts as hot.
-HOT_ROWS = 1000
+#: Rows that a key may always have before it counts as hot, and ids up to which they are broadcast.
+HOT_ROWS, FEW = 1000, 1_000_000
 
 #: Odd multipliers of the two rolling hashes (mod 2**64).
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -157,7 +157,10 @@ def remove_repeats(docs: DataFrame, window: int = 50, anchor: int = 20, text: st
 
     marks = summary.filter("doc_id is not null").select("doc_id", "row_key", F.explode("anchors").alias("mark"))
     n_marks = summary.agg(F.coalesce(F.sum(F.size("anchors")), F.lit(0)).alias("n")).first()["n"]
-    wanted = with_shared(marks, n_marks, "mark").groupBy("doc_id", "row_key").agg(F.collect_set("mark").alias("marks"))
+    wanted = reliable(with_shared(marks, n_marks, "mark").groupBy("doc_id", "row_key").agg(F.collect_set("mark").alias("marks")))
+    asked = base.filter("doc_id is not null")
+    if wanted.count() <= FEW:  # 16 bytes a row: other documents' texts then stay where they are
+        asked = asked.join(F.broadcast(wanted.select("doc_id", "row_key")), ["doc_id", "row_key"], "left_semi")
 
     def pack(batches):
         import pyarrow as pa
@@ -167,7 +170,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, anchor: int = 20, text: st
         for batch in (part for whole in batches for part in parts(whole, 2)):
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "row_key": batch.column(1), "packed": pa.array([press(t) for t in as_bytes(batch.column(2))], pa.binary())})
 
-    packed = base.filter("doc_id is not null").select("doc_id", "row_key", "text").mapInArrow(pack, "doc_id long, row_key long, packed binary")
+    packed = asked.select("doc_id", "row_key", "text").mapInArrow(pack, "doc_id long, row_key long, packed binary")
     affected = reliable(packed.join(wanted, ["doc_id", "row_key"]))
 
     def unpacked(batch, *lists: str):
