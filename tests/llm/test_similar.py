@@ -65,3 +65,26 @@ def test_repeated_ids_split_shards_and_odd_rows(spark, monkeypatch):
     assert similar.similar_texts(frame.limit(0)).collect() == []
     whole = simhash.keep_first(frame)
     assert whole.columns == frame.columns and sorted(r.doc_id or 0 for r in whole.collect())[:2] == [0, 5]
+
+
+def test_radii_let_hardly_any_link_pass():
+    """Exact probability, over random hashes, that sets just similar enough differ in more bits than the radius."""
+    from functools import cache
+    from math import comb
+
+    law = cache(lambda n: [comb(n, k) / 2**n for k in range(n + 1)])
+    bits = 64 * similar.WORDS
+
+    def flip(both, a, b):
+        over = lambda only, c: sum(x for k, x in enumerate(law(only)) if 2 * (c + k) > both + only)
+        return sum(p * (over(a, c) * (1 - over(b, c)) + over(b, c) * (1 - over(a, c))) for c, p in enumerate(law(both)))
+
+    def missed(n, m):
+        both = -(-similar.NUM * (n + m) // (similar.NUM + similar.DEN))
+        if both > n:
+            return 0.0
+        p, radius = flip(both, n - both, m - both), similar.SMALL_RADIUS if n < similar.SMALL else similar.RADIUS
+        return sum(comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(radius + 1, bits + 1))
+
+    sizes = [*range(similar.LEAST, 48), 60, 90]
+    assert max(missed(n, m) for n in sizes for m in range(n, n * similar.DEN // similar.NUM + 1)) < 1e-6

@@ -6,7 +6,8 @@ first n - ceil(4n / 5) + 1 shingles, so a class goes to the shards of those shin
 shingles that a sample shows to be common last, which changes the cost and never the result.  In a
 shard the Gray-order index of 256-bit fingerprints finds the classes that differ in few bits.  At a
 similarity of 4/5 fingerprints differ in about 39 bits (standard deviation 5.7, up to 48 and 6.3 for the
-smallest sets) and in about 128 without any; the radii let less than one in a million links pass.
+smallest sets) and in about 128 without any.  With hashes taken as random bits, the radii let less
+than one link in a million pass at any sizes of sets (worst: 0.55 in a million).
 
 A first round takes from each shard a forest, which joins large groups of copies by few links; a
 second takes all pairs within the radius that are not joined yet.  Proposed links are confirmed on
@@ -26,7 +27,7 @@ NUM, DEN = 4, 5
 LEAST = NUM // (DEN - NUM)
 #: Words of a fingerprint; bits in which fingerprints of links differ at most, for sets of fewer than SMALL
 #: shingles and for others, and bits within which a first round joins groups.
-WORDS, SMALL, SMALL_RADIUS, RADIUS, FIRST_RADIUS = 4, 24, 80, 68, 44
+WORDS, SMALL, SMALL_RADIUS, RADIUS, FIRST_RADIUS = 4, 24, 80, 70, 44
 #: Documents and shingles that the order of shingles is estimated from, and their least count.
 SAMPLE, COMMON, SEEN = 6_000, 100_000, 3
 #: Ids of wanted texts up to which they are broadcast (their texts never are).
