@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -27,16 +27,32 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None)
     return seen
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Replicated checkpoint in the session's folder; a temporary one only where none is named and all runs on one machine."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints that all executors share, as the session names it.
+
+    A temporary one only where none is named and all runs on one machine; else that is an error.
+    """
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         import tempfile
 
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="weftline-"))
+    return sc.getCheckpointDir()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's name in the shared folder."""
+    from uuid import uuid4
+
+    return f"{shared_folder(spark)}/{name}-{uuid4().hex}"
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Replicated checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
