@@ -21,7 +21,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts, reliable, table, with_hot
+from .common import parts, reliable, table, with_hot, worker_state
 
 #: Grammar (s?(ua)+)?: state and role initial to state; state 0 is the first, and these accept.
 GRAMMAR = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (2, "a"): 3, (3, "u"): 2}
@@ -56,6 +56,7 @@ class Composed:
 
     def __init__(self):
         self.arcs: dict[int, list] = {}
+        self.steps: dict[int, list] = {}
         self.inserts = [[("I", GRAMMAR[q, role], INSERT) for role in WRITES if (q, role) in GRAMMAR] for q in range(STATES)]
 
     def of(self, code: int) -> list:
@@ -72,12 +73,20 @@ class Composed:
             costs = [min([costs[q], *(cost + costs[to] for _, to, cost in self.inserts[q])]) for q in range(STATES)]
         return costs
 
+    def step(self, code: int) -> list[list[tuple[int, int]]]:
+        """For each state before a row, (state after it, least cost with any roles inserted before it)."""
+        if code not in self.steps:
+            unit = [[0 if q == to else FAR for q in range(STATES)] for to in range(STATES)]
+            columns = [self.closed([min([FAR, *(cost + one[to] for _, to, cost in arcs)]) for arcs in self.of(code)]) for one in unit]
+            self.steps[code] = [[(to, columns[to][q]) for to in range(STATES) if columns[to][q] < FAR] for q in range(STATES)]
+        return self.steps[code]
+
     def distances(self, codes: bytes, end: list[int]) -> list[list[int]]:
         """Costs from each place and state to the end, the last entry being `end`."""
-        out = [end]
+        out, after = [end], end
         for code in reversed(codes):
-            after = out[-1]
-            out.append(self.closed([min([FAR, *(cost + after[to] for _, to, cost in arcs)]) for arcs in self.of(code)]))
+            after = [min([cost + after[to] for to, cost in arcs]) for arcs in self.step(code)]
+            out.append(after)
         return out[::-1]
 
     def finish(self) -> list[int]:
@@ -137,21 +146,25 @@ def segment(bits: int) -> Column:
 
 
 def segments(seq: DataFrame, bits: int) -> DataFrame:
-    """One row for each run of a conversation in a block of 2**bits places: its codes, its matrix and its counts."""
+    """One row for each run of a conversation in a block of 2**bits places: its codes, its matrix and its counts.
+
+    A run that has other conversations on both sides is its whole conversation, and has no matrix.
+    """
 
     def run(batches):
         import pyarrow as pa
 
         whole = Composed()
-        now, codes, turns = None, bytearray(), []
+        now, codes, turns, before = None, bytearray(), [], None
 
-        def close():
+        def close(after):
             pair = [INITIALS[c // 4] for c in codes]
             known = [t for t in turns if t is not None]
             unit = [[0 if q == to else FAR for q in range(STATES)] for to in range(STATES)]
-            columns = [whole.distances(bytes(codes), end)[0] for end in unit]
+            alone = before not in (None, now[0]) and after not in (None, now[0])
+            columns = None if alone else [whole.distances(bytes(codes), end)[0] for end in unit]
             return {
-                "conv": now[0], "seg": now[1], "codes": bytes(codes), "matrix": [min(FAR, columns[to][q]) for q in range(STATES) for to in range(STATES)],
+                "conv": now[0], "seg": now[1], "codes": bytes(codes), "matrix": columns and [min(FAR, columns[to][q]) for q in range(STATES) for to in range(STATES)],
                 "low": known[0] if known else None, "high": known[-1] if known else None, "turns": len(set(known)),
                 "after": codes[0], "before": codes[-1], "illegal": sum(a + b not in LEGAL for a, b in zip(pair, pair[1:])), **{f: sum(c % 4 == k for c in codes) for k, f in enumerate(FAULTS) if f},
             }
@@ -162,7 +175,8 @@ def segments(seq: DataFrame, bits: int) -> DataFrame:
             for conv, seg, turn, code in zip(*[batch.column(i).to_pylist() for i in range(4)]):
                 if (conv, seg) != now:
                     if now is not None:
-                        out.append(close())
+                        out.append(close(conv))
+                        before = now[0]
                     now, codes, turns = (conv, seg), bytearray(), []
                 codes.append(code)
                 turns.append(turn)
@@ -170,7 +184,7 @@ def segments(seq: DataFrame, bits: int) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(out, pa.schema(kinds))
                 out = []
         if now is not None:
-            out.append(close())
+            out.append(close(None))
         yield pa.RecordBatch.from_pylist(out, pa.schema(kinds))
 
     return seq.select("conv", segment(bits), "turn", "code").mapInArrow(run, "conv string, seg long, codes binary, matrix array<long>, " + ", ".join(f"{c} long" for c in COUNTS))
@@ -179,13 +193,21 @@ def segments(seq: DataFrame, bits: int) -> DataFrame:
 def ends(parts_: DataFrame) -> DataFrame:
     """conv, seg, ending (costs after the segment), last, and of the conversation: cost and counts, on its first segment."""
 
+    def memo():
+        """One composed machine for each worker, as groups come one by one."""
+        return worker_state().setdefault("repair", None) or worker_state().update(repair=Composed()) or worker_state()["repair"]
+
     def run(key, rows):
         import pyarrow as pa
 
         rows = sorted(rows.to_pylist(), key=lambda r: r["seg"])
-        now, out = Composed().finish(), []
+        whole, out = memo(), []
+        now = whole.finish()
         for r in reversed(rows):
             out.append([r["conv"], r["seg"], now, r is rows[-1], *[None] * 6])
+            if r["matrix"] is None:  # the only one
+                now = [whole.distances(r["codes"], now)[0][0]]
+                break
             m = r["matrix"]
             now = [min(FAR, *(m[q * STATES + to] + now[to] for to in range(STATES))) for q in range(STATES)]
         total = {c: sum(r[c] for r in rows) for c in COUNTS[4:]}
@@ -199,7 +221,7 @@ def ends(parts_: DataFrame) -> DataFrame:
         return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["conv", "seg", "ending", "last", "cost", "gaps", *COUNTS[5:]])
 
     kind = "conv string, seg long, ending array<long>, last boolean, cost long, gaps long, " + ", ".join(f"{c} long" for c in COUNTS[5:])
-    return parts_.select("conv", "seg", "matrix", *COUNTS).groupBy("conv").applyInArrow(run, kind)
+    return parts_.select("conv", "seg", "matrix", F.when(F.col("matrix").isNull(), F.col("codes")).alias("codes"), *COUNTS).groupBy("conv").applyInArrow(run, kind)
 
 
 def labelled(parts_: DataFrame, ended: DataFrame) -> DataFrame:
