@@ -442,3 +442,19 @@ def test_hot_keys_give_the_same_rows(spark, monkeypatch):
     for how, rows_ in want.items():
         assert Counter(tuple(r) for r in substring.with_shared(rows, 209, "key", how=how).select("doc_id", "key", "lo").collect()) == rows_
     assert sum(want["left"].values()) == 209 and all(lo is not None for (_, _, lo) in want["inner"])
+
+
+def test_copies_cost_no_language_and_no_text(spark):
+    words = {"de": "und der die das nicht ein Haus wieder", "en": "and the that not a house again with", "fr": "et les des pas une maison encore avec"}
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices(words[lang].split(), k=30)), lang) for i, lang in enumerate(["de", "en"] * 150 + ["fr"] * 3)]
+    few = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    copies = spark.range(1000, 61_000).select(F.col("id").alias("doc_id"), F.lit("the same old text again").alias("text"), F.lit("en").alias("lang"))
+    lone, many = langid.train(few, fit_rows=120), langid.train(few.unionByName(copies), fit_rows=120)
+    assert lone.langs == many.langs == ["de", "en", "fr"]
+    got = {r.doc_id: r.lang_pred for r in langid.predict(few, many).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) > 295
+    pairs = spark.createDataFrame([(h, lang) for h in range(1000) for lang in ("a", "b")] + [(7, "rare"), (8, "rare")] * 50, "h long, lang string")
+    drawn = langid.drawn_texts(pairs, 100).collect()
+    assert len(drawn) <= 100 and {(r.h, r.lang) for r in drawn} >= {(7, "rare"), (8, "rare"), (0, "a"), (40, "b")} and len(set(drawn)) == len(drawn)
+    assert langid.drawn_texts(pairs, 5000).count() == 2002 and langid.drawn_texts(pairs.limit(0), 10).count() == 0

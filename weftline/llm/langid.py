@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, parts, table, whole_row, worker_state
+from .common import held_out, parts, reliable, table, whole_row, worker_state
 
 #: Hash buckets of n-grams, longest n-gram, and characters hashed at once (bounds memory only).
 BUCKETS, LONGEST, STRIP = 1 << 16, 3, 1 << 17
@@ -122,11 +122,33 @@ def ftrl(rows: list, target, n_classes: int, alpha=0.5, beta=1.0, l1=0.02, l2=0.
     return weights(np.arange(BUCKETS + 1))
 
 
+def drawn_texts(texts: DataFrame, most: int) -> DataFrame:
+    """Pairs of h and lang to learn from: different ones, at most `most` (or one for each language, if those are more).
+
+    Copies count once.  Each language has a share: an equal one of half of `most`, or all its pairs if
+    they are fewer, and of what is left in proportion to its pairs.  Within a language the least h are taken.
+    """
+    from pyspark.sql import Window
+
+    pairs = reliable(texts.distinct())
+    n = {r["lang"]: r["n"] for r in pairs.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # languages
+    if not n:
+        return pairs
+    least = {lang: min(k, max(1, most // (2 * len(n)))) for lang, k in n.items()}
+    left, open_ = max(0, most - sum(least.values())), sum(n.values()) - sum(least.values())
+    quota = {lang: k + (n[lang] - k) * left // open_ if open_ > left else n[lang] for lang, k in least.items()}
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    share = pairs.sparkSession.createDataFrame(list(quota.items()), "lang string, quota long")
+    return pairs.withColumn("nth", nth).filter(F.col("nth") <= most).join(F.broadcast(share), "lang").filter("nth <= quota").select("h", "lang")
+
+
 def train(docs: DataFrame, fit_rows: int = 3000, seed: int = 17, scale: float = 40.0) -> Model | None:
     """Model from the documents that may be learned from; None if no such document has letters.
 
-    The regression is fitted on at most fit_rows different rows, those of least hash of doc_id and
-    text; repeated rows count once.
+    The regression is fitted on at most fit_rows different texts, those of least hash in each language;
+    copies count once, so however many there are, no other text and no language is lost to them.  The
+    frequencies of n-grams cover all documents.  Languages are taken to be few: the model has BUCKETS
+    weights for each.
     """
     import numpy as np
 
@@ -153,26 +175,28 @@ def train(docs: DataFrame, fit_rows: int = 3000, seed: int = 17, scale: float =
     for bucket, n in rows.select("text").mapInArrow(frequencies, "bucket long, df long").groupBy("bucket").agg(F.sum("df")).collect():  # at most BUCKETS + 1 rows
         df[bucket] = n
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-    # texts below a hash threshold that lets about 1.5 * fit_rows rows through, the least of which are
-    # taken: what reaches the driver is bounded whatever the number of tasks; repeated rows count once
-    share = min(1.0, 1.5 * fit_rows / max(1.0, df[-1]))
-    some = rows.withColumn("h", F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 40))).filter(F.col("h") < int(share * (1 << 40)) + 1)
+    chosen = drawn_texts(rows.filter(F.col("text").rlike(r"\p{L}")).select(F.xxhash64("text", F.lit(seed)).alias("h"), "lang"), fit_rows)
+    some = rows.withColumn("h", F.xxhash64("text", F.lit(seed))).join(F.broadcast(chosen), ["h", "lang"])  # at most fit_rows pairs
 
     def bags(batches):
         import pyarrow as pa
 
-        for batch in (part for whole in batches for part in parts(whole, 2)):
-            found = [counted(t) for t in batch.column(2).to_pylist()]
-            keep = pa.array([f is not None for f in found])
-            found = [f for f in found if f is not None]
-            kept = batch.filter(keep)
-            yield pa.RecordBatch.from_pydict({
-                "h": kept.column(0), "doc_id": kept.column(1), "lang": kept.column(3), "at": pa.array([f[0].astype("<u2").tobytes() for f in found], pa.binary()),
-                "n": pa.array([f[1].astype("<u4").tobytes() for f in found], pa.binary()),
-            })
-
-    drawn = some.select("h", F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").mapInArrow(bags, "h long, doc_id long, lang string, at binary, n binary")
-    drawn = drawn.distinct().orderBy("h", "doc_id", "lang", "at", "n").limit(fit_rows)
+        met = set()  # at most fit_rows
+        for batch in (part for whole in batches for part in parts(whole, 1)):
+            out: list[list] = [[], [], [], []]
+            for h, text, lang in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+                if (h, lang) in met:
+                    continue
+                met.add((h, lang))
+                found = counted(text)
+                if found is not None:
+                    for column, value in zip(out, (h, lang, found[0].astype("<u2").tobytes(), found[1].astype("<u4").tobytes())):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, out, (pa.int64(), pa.string(), pa.binary(), pa.binary()))), names=["h", "lang", "at", "n"])
+
+    drawn = some.select("h", "text", "lang").mapInArrow(bags, "h long, lang string, at binary, n binary")
+    # copies are one row; texts whose hashes collide are two, the least of which counts
+    drawn = drawn.distinct().groupBy("h", "lang").agg(F.min(F.struct("at", "n")).alias("b")).select("h", "lang", "b.*").orderBy("h", "lang")
     made, target, names = [], [], []
     for r in drawn.collect():  # at most fit_rows, each of at most 6 bytes for each bucket
         at, count = np.frombuffer(r["at"], dtype="<u2").astype(np.int64), np.frombuffer(r["n"], dtype="<u4")
