@@ -458,3 +458,13 @@ def test_copies_cost_no_language_and_no_text(spark):
     drawn = langid.drawn_texts(pairs, 100).collect()
     assert len(drawn) <= 100 and {(r.h, r.lang) for r in drawn} >= {(7, "rare"), (8, "rare"), (0, "a"), (40, "b")} and len(set(drawn)) == len(drawn)
     assert langid.drawn_texts(pairs, 5000).count() == 2002 and langid.drawn_texts(pairs.limit(0), 10).count() == 0
+
+
+def test_mixing_takes_map_array_and_struct_columns(spark):
+    rows = spark.range(60).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 5 + 1).cast("int")).alias("text"), (F.col("id") % 3).cast("string").alias("source"))
+    odd = rows.withColumns({"m": F.create_map(F.lit("k"), F.col("doc_id")), "a": F.array("doc_id"), "s": F.struct(F.create_map(F.lit(1), F.lit("x")).alias("inner"))})
+    assert mixing.mix(odd).count() == 60
+    mixed = mixing.mixed_documents(odd)
+    assert mixed.columns == odd.columns and mixed.count() > 0
+    again = lambda: sorted(r.doc_id for r in mixing.mixed_documents(odd.repartition(3)).collect())
+    assert again() == again() == sorted(r.doc_id for r in mixed.collect())

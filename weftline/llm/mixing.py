@@ -13,7 +13,7 @@ Sources are few: their targets are computed in one task, from one row for each s
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import n_words, table, whole_row
@@ -102,6 +102,11 @@ def choose_counts(sizes: list[int], counts: list[int], budget: int) -> list[int]
     return take
 
 
+def hashable_row(docs: DataFrame) -> Column:
+    """All columns as one struct, those with maps in them as JSON, as maps have no hash."""
+    return F.struct(*[F.to_json(docs[f"`{c}`"]) if "map<" in kind else docs[f"`{c}`"] for c, kind in docs.dtypes])
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 5, text: str = "text", size: str | None = None) -> DataFrame:
     """The rows of documents with mix_size, mix_source_size, mix_target and mix_copies.
 
@@ -114,7 +119,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     """
     rows = docs.select(
         whole_row(docs).alias("row"), docs["doc_id"].cast("long").alias("id"), docs["source"].cast("string").alias("source"),
-        (n_words(text) if size is None else docs[size].cast("long")).alias("size"), F.xxhash64(docs["doc_id"].cast("long"), whole_row(docs), F.lit(seed)).alias("hash"),
+        (n_words(text) if size is None else docs[size].cast("long")).alias("size"), F.xxhash64(docs["doc_id"].cast("long"), hashable_row(docs), F.lit(seed)).alias("hash"),
     )
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("hash"), F.lit(max(SALTS, docs.count() // PART_ROWS))))
     parts = rows.groupBy("source", "size", "salt").agg(F.count("*").alias("n"))
