@@ -67,9 +67,11 @@ def audit_tasks(files: DataFrame, rules: list[dict]) -> DataFrame:
     """component, category, rules, files, tokens, priority: one task for each component and category with a fitting rule.
 
     files: file, tokens; rules: dicts of id, category, severity, applies_to.  The priority is the
-    worst severity's rank, 0 the worst.
+    worst severity's rank, 0 the worst.  A file that is listed more than once counts once, with the
+    most tokens listed for it.
     """
     spark = files.sparkSession
+    files = files.groupBy("file").agg(F.max("tokens").alias("tokens"))
     info = spark.createDataFrame([(r["id"], r["category"], r["severity"]) for r in rules], "rule_id string, category string, severity string")
     rows = rules_for_files(files, rules).join(F.broadcast(info), "rule_id").join(files, "file").withColumn("component", component_key(F.col("file")))
     per_file = rows.groupBy("component", "category", "file").agg(F.first("tokens").alias("tokens"), F.collect_set("rule_id").alias("r"), F.min(severity_rank(severity(F.col("severity")))).alias("p"))

@@ -48,12 +48,24 @@ def broken_links(links: DataFrame, files: DataFrame) -> DataFrame:
     return links.join(there, "resolved", "left_anti").join(dirs, "resolved", "left_anti")
 
 
-def evidence(edges: DataFrame) -> DataFrame:
-    """src, dst, n and evidence (least 20 by file) of rows src, dst, file, specifier; src <> dst."""
-    rows = edges.filter("src <> dst")
-    w = Window.partitionBy("src", "dst").orderBy("file", "specifier")
-    rows = rows.withColumn("k", F.row_number().over(w))
-    return rows.groupBy("src", "dst").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("k") <= 20, F.struct("file", "specifier")))).alias("evidence"))
+def evidence(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """src, dst, n and evidence (file, specifier; sorted) of rows src, dst, file, specifier; src <> dst.
+
+    most: keep only so many of a pair, the least by file; None: all.  A pair's evidence is one row; where
+    a pair may have very many, `numbered_evidence` keeps them as rows.
+    """
+    rows, item = edges.filter("src <> dst"), F.struct("file", "specifier")
+    if most is not None:
+        nth = F.row_number().over(Window.partitionBy("src", "dst").orderBy("file", "specifier"))
+        rows = rows.withColumn("k", nth)
+        item = F.when(F.col("k") <= most, item)
+    return rows.groupBy("src", "dst").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(item)).alias("evidence"))
+
+
+def numbered_evidence(edges: DataFrame) -> DataFrame:
+    """src, dst, n, file, specifier: each row of evidence with its pair's count, however many a pair has."""
+    rows = edges.filter("src <> dst").select("src", "dst", "file", "specifier")
+    return rows.join(rows.groupBy("src", "dst").agg(F.count("*").alias("n")), ["src", "dst"])
 
 
 def inferred(rows: DataFrame, components: DataFrame, file: str, target: str, specifier: str) -> DataFrame:

@@ -49,10 +49,9 @@ def file_frequencies(spark, sf_dir):
 )
 def filtered_commits(spark, sf_dir):
     commits = load(spark, sf_dir, "orders").join(load(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    commits = commits.groupBy("o_orderkey", F.col("o_orderpriority").alias("subject")).agg(F.count("*").alias("n"))
-    # sizes stand for file lists, so that a commit with very many files is never gathered
-    kept = commits.filter((F.col("n") <= 5) & ~F.lower("subject").contains("low"))
-    return kept.groupBy("subject").agg(F.count("*").alias("kept"), F.sum("n").alias("files"))
+    commits = commits.groupBy("o_orderkey", F.col("o_orderpriority").alias("subject")).agg(F.collect_list("l_partkey").alias("files"))
+    kept = cochange.filter_commits(commits, 5, ("low",))
+    return kept.groupBy("subject").agg(F.count("*").alias("kept"), F.sum(F.size("files")).alias("files"))
 
 
 JACCARD = """, total AS (SELECT i, count(*) AS n FROM links GROUP BY i),

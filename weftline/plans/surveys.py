@@ -176,15 +176,31 @@ def file_rules(spark, sf_dir):
     return audit.rules_for_files(rows.select(F.concat_ws(":", "id", "file").alias("file")), rules).select(F.split("file", ":")[0].cast("long").alias("id"), "rule_id")
 
 
-@query("link_evidence", "WITH e AS (SELECT DISTINCT c_nationkey AS a, s_nationkey AS b, o_orderkey AS o FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey WHERE o_orderkey % 10 = 0 AND c_nationkey <> s_nationkey) SELECT 'c' || a AS src, 'c' || b AS dst, count(*) AS n, least(count(*), 20) AS shown FROM e GROUP BY a, b")
+AUDITED = [{"id": "A-1", "category": "api", "severity": "High", "applies_to": ["API routes"]}, {"id": "A-2", "category": "api", "severity": "low", "applies_to": []}, {"id": "D-1", "category": "data", "severity": "critical", "applies_to": ["database models"]}]
+
+
+@query(
+    "audit_plan",
+    f"""WITH {FILES}, d AS (SELECT file, max(id) AS tokens FROM files GROUP BY file), r AS (SELECT file, tokens, 'A-1' AS rule, 'api' AS category, 1 AS p FROM d WHERE regexp_matches(file, '(?i){audit.rule_patterns(AUDITED)["A-1"].removeprefix("(?i)")}')
+UNION ALL SELECT file, tokens, 'A-2', 'api', 3 FROM d UNION ALL SELECT file, tokens, 'D-1', 'data', 0 FROM d WHERE regexp_matches(file, '(?i){audit.rule_patterns(AUDITED)["D-1"].removeprefix("(?i)")}')),
+f AS (SELECT file, category, any_value(tokens) AS tokens, string_agg(rule, ',' ORDER BY rule) AS rules, min(p) AS p FROM r GROUP BY ALL)
+SELECT string_split(file, '/')[1] || '/' || string_split(file, '/')[2] AS component, category, array_to_string(list_sort(list_distinct(flatten(list(string_split(rules, ','))))), ',') AS rules, count(*) AS files, sum(tokens)::BIGINT AS tokens, min(p) AS priority FROM f GROUP BY ALL""",
+)
+def audit_plan(spark, sf_dir):
+    rows = files(spark, sf_dir).select("file", F.col("id").alias("tokens"))
+    return audit.audit_tasks(rows, AUDITED).withColumn("rules", F.array_join("rules", ","))
+
+
+@query("link_evidence", "WITH e AS (SELECT DISTINCT c_nationkey AS a, s_nationkey AS b, o_orderkey AS o FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey WHERE c_nationkey <> s_nationkey) SELECT 'c' || a AS src, 'c' || b AS dst, count(*) AS n, md5(string_agg('src/c' || a || '/x.ts:' || o, ',' ORDER BY o::VARCHAR)) AS evidence FROM e GROUP BY a, b")
 def link_evidence(spark, sf_dir):
-    line = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").filter("l_orderkey % 10 = 0")
+    line = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     rows = line.join(load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("o_orderkey") == F.col("l_orderkey"))
     rows = rows.join(load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("c_custkey") == F.col("o_custkey")).join(load(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), F.col("s_suppkey") == F.col("l_suppkey"))
     path = lambda c: F.concat(F.lit("src/c"), F.col(c).cast("string"), F.lit("/x.ts"))
     rows = rows.select(path("c_nationkey").alias("file"), path("s_nationkey").alias("to"), F.col("o_orderkey").cast("string").alias("specifier")).distinct()
     found = links.evidence(links.inferred(rows, components(spark, sf_dir), "file", "to", "specifier"))
-    return found.select("src", "dst", "n", F.size("evidence").cast("long").alias("shown"))
+    shown = F.array_join(F.transform("evidence", lambda e: F.concat_ws(":", e["file"], e["specifier"])), ",")
+    return found.select("src", "dst", "n", F.md5(shown).alias("evidence"))
 
 
 @query("broken_links", "WITH l AS (SELECT p_partkey AS k, 'docs/f' || (p_partkey * 7) % 3000 || '.md' AS resolved FROM part) SELECT k, resolved FROM l WHERE resolved NOT IN (SELECT 'docs/f' || p_partkey || '.md' FROM part)")

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from weftline.catalog import query
 from weftline.functions import paths, text
-from weftline.operators import budget, cochange, index
+from weftline.operators import budget, index
+from weftline.sources import files, manifests
 from weftline.sources.tables import load
 
 #: Words of a query that matches as a whole.
@@ -51,14 +52,15 @@ def budget_admission(spark, sf_dir):
 
 @query("link_extract", r"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"#]+)"', 1)) AS target FROM pages) SELECT target, count(*) AS n, count(DISTINCT page_id) AS pages FROM l WHERE NOT regexp_matches(target, '^https?:') GROUP BY 1""")
 def link_extract(spark, sf_dir):
-    links = load(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'href="([^"#]+)"'), 1)).alias("target")).filter(~F.col("target").rlike("^https?:"))
+    markdown = F.regexp_replace("html", r'href="([^"#]+)"', r"[link]($1)")
+    links = load(spark, sf_dir, "pages").select("page_id", F.explode(text.markdown_links(markdown)).alias("l")).select("page_id", "l.target")
     return links.groupBy("target").agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("pages"))
 
 
-@query("regex_lines", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents) SELECT doc_id, n::INTEGER AS n, line FROM l WHERE regexp_matches(line, '[0-9]{4}') ORDER BY doc_id, n LIMIT 101""")
+@query("regex_lines", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents), m AS (SELECT * FROM l WHERE regexp_matches(line, '[0-9]{4}') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n) <= 1000)
+SELECT doc_id AS file, n::INTEGER AS n, line, (SELECT count(*) > 100 FROM m) AS truncated FROM m ORDER BY doc_id, n LIMIT 100""")
 def regex_lines(spark, sf_dir):
-    lines = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "line")).filter(F.col("line").rlike("[0-9]{4}"))
-    return cochange.top_k(lines.withColumn("n", F.col("n") + 1), 101, F.col("doc_id"), F.col("n"))  # the feature: 100 matches and whether there are more
+    return files.search(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.col("text").alias("content")), "[0-9]{4}")
 
 
 @query("role_transitions", "WITH r AS (SELECT conv_id, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) SELECT coalesce(before, 'start') AS before, role, count(*) AS n FROM r GROUP BY 1, 2")
@@ -75,6 +77,26 @@ def language_group(spark, sf_dir):
     return rows.groupBy("source").agg(F.count("*").alias("files"), F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("languages"), F.sum("t").alias("tokens"))
 
 
+@query(
+    "parsed_responses",
+    """WITH e AS (SELECT event_type AS t, event_id % 4 AS k, least(1.0, greatest(0.0, round(value) / 100)) AS c, user_id FROM events)
+SELECT CASE k WHEN 3 THEN 'PARSE-ERROR' ELSE t END AS rule_id, CASE k WHEN 0 THEN 'high' WHEN 3 THEN 'informational' ELSE 'medium' END AS severity, CASE k WHEN 3 THEN '' ELSE 'src/f' || user_id % 10 || '.ts' END AS file, count(*) AS n,
+round(sum(CASE WHEN k = 3 THEN 0 WHEN k = 2 OR c = 0 THEN 0.5 ELSE c END), 4) AS confidence FROM e GROUP BY ALL""",
+)
+def parsed_responses(spark, sf_dir):
+    e = load(spark, sf_dir, "events")
+    kind = F.col("event_id") % 4
+    field = lambda name, value: F.concat(F.lit(f'"{name}": "'), value, F.lit('"'))
+    file = F.concat(F.lit("src/f"), (F.col("user_id") % 10).cast("string"), F.lit(".ts"))
+    one = F.when(kind == 0, F.concat_ws(", ", field("ruleId", F.col("event_type")), field("severity", F.lit("HIGH")))).otherwise(field("rule_id", F.col("event_type")))
+    sure = F.when(kind != 2, F.concat(F.lit(', "confidence": '), (F.round("value") / 100).cast("string"))).otherwise(F.lit(""))
+    place = F.concat(F.lit(', "locations": [{'), field("file", file), F.lit(', "startLine": 3}]'))
+    raw = F.concat(F.lit('Here it is:\n```json\n{"findings": [{'), one, sure, place, F.when(kind == 3, "").otherwise("}]}"), F.lit("\n```"))
+    rows = manifests.parse_responses(e.select(raw.alias("raw")))
+    where = F.coalesce(F.get("locations", F.lit(0))["file"], F.lit(""))
+    return rows.groupBy("rule_id", "severity", where.alias("file")).agg(F.count("*").alias("n"), F.round(F.sum("confidence"), 4).alias("confidence"))
+
+
 @query("json_props", "SELECT event_type, count(*) AS n, sum((json_extract_string(props, '$.k'))::BIGINT)::BIGINT AS k FROM events GROUP BY 1")
 def json_props(spark, sf_dir):
     rows = load(spark, sf_dir, "events").select("event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))

@@ -111,7 +111,8 @@ def parse_responses(rows: DataFrame, raw: str = "raw") -> DataFrame:
     """
     one = "struct<file: string, path: string, startLine: int, start_line: int, line: int, endLine: int, end_line: int>"
     kind = f"struct<findings: array<struct<ruleId: string, rule_id: string, severity: string, title: string, description: string, evidence: string, remediation: string, suggestion: string, fix: string, confidence: double, locations: array<{one}>, location: array<{one}>>>>"
-    found = F.from_json(F.regexp_extract(raw, r"(\{[\s\S]*\})", 1), kind)
+    body = F.regexp_extract(raw, r"(\{[\s\S]*\})", 1)
+    found = F.when(F.try_parse_json(body).isNotNull(), F.from_json(body, kind))
     keep = [c for c in rows.columns if c != raw]
     out = rows.withColumn("_j", found).select(*keep, "_j.findings", F.col("_j").isNull().alias("_bad"), F.explode_outer("_j.findings").alias("f")).filter("_bad or f is not null")
     f = F.col("f")
