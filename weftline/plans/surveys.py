@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from weftline.catalog import query
 from weftline.functions import code, paths, text
 from weftline.operators import audit, cochange, findings, graph, links, schedule, suggest
-from weftline.sources import commits, store
+from weftline.sources import commits, store, symbols
 from weftline.sources.tables import load
 
 TOP = ("packages", "src", "shop", "controllers", "services", "apps", "billing")
@@ -330,3 +330,40 @@ def upsert(spark, sf_dir):
     c = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("v"))
     merged = store.upserted(c.filter("id % 3 <> 0"), c.filter("id % 5 = 0").withColumn("v", -F.col("v")), ["id"])
     return store.deleted(merged, c.filter("id % 7 = 0").select("id"), ["id"])
+
+
+# Symbols of source texts with brackets in every kind of literal; their offsets follow from the lengths of the parts.
+
+PIECES = (
+    "/* { */ export function f#(a: {x: string}) { return \"}\" + '{' + /[/}]{2}\"/.source; }\n",
+    "class A# { s = \"}\"; m#() { return `}${[1, `{${ {q: 1} }`]}`; } }\n",
+    "const r# = 4 / 2 / 1; // }\n",
+    "export const t# = (x) => {\n  return `a\n}`;\n};\n",
+)
+SYMBOL_ROWS = ((0, "f#", "function", True, None), (1, "A#", "class", False, None), (1, "s", "property", False, "A#"), (1, "m#", "method", False, "A#"), (2, "r#", "const", False, None), (3, "t#", "const", True, None))
+
+
+def _spelled(text: str) -> str:
+    return "replace('" + text.replace("'", "''") + "', '#', k)"
+
+
+def _symbol_sql() -> str:
+    before = lambda i: " + ".join(["0", *(f"length({_spelled(p)})" for p in PIECES[:i])])
+    lines = lambda i: 1 + sum(p.count("\n") for p in PIECES[:i])
+    rows = []
+    for i, name, kind, _, parent in SYMBOL_ROWS:
+        piece = PIECES[i]
+        start = {"f#": "export", "A#": "class", "s": "s =", "m#": "m#(", "r#": "const", "t#": "export"}[name]
+        end = {"f#": "; }\n", "A#": " }\n", "s": '";', "m#": "; }", "r#": ";", "t#": "};"}[name]
+        to = piece.rindex(end) + (len(end) - end.endswith("\n"))
+        up = lambda at: f"length({_spelled(piece[:at])})" if at else "0"  # noqa: E731, B023
+        rows.append(f"SELECT k, {_spelled(name)} AS name, '{kind}' AS kind, {_spelled(parent) if parent else 'NULL'} AS parent, {lines(i)} AS line, ({before(i)} + {up(piece.index(start))})::INTEGER AS start, ({before(i)} + {up(to)})::INTEGER AS \"end\" FROM p")
+    return "WITH p AS (SELECT p_partkey::VARCHAR AS k FROM part) " + " UNION ALL ".join(rows)
+
+
+@query("source_symbols", _symbol_sql())
+def source_symbols(spark, sf_dir):
+    k = F.col("p_partkey").cast("string")
+    content = F.concat(*[F.replace(F.lit(p), F.lit("#"), k) for p in PIECES])
+    rows = load(spark, sf_dir, "part").select(F.concat(k, F.lit(".ts")).alias("file"), content.alias("content"))
+    return symbols.nested_symbols(rows).select(F.split("file", "[.]")[0].alias("k"), "name", "kind", "parent", "line", "start", "end")

@@ -12,56 +12,67 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions import lexer
+
 SYMBOLS = "file string, name string, kind string, exported boolean, line int, start int, end int"
 IMPORTS = "file string, specifier string, imported_names array<string>, is_type_only boolean, is_re_export boolean"
 EXPORTS = "file string, exported_name string, is_barrel boolean"
 
 _TS = re.compile(r"^(export\s+(?:default\s+)?)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(function\*?|class|interface|type|enum|const|let|var|namespace)\s+([A-Za-z_$][\w$]*)", re.M)
 _RUST = re.compile(r"^(pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+(?=fn))*(fn|struct|enum|trait|type|mod|const|static|union|macro_rules!)\s+([A-Za-z_]\w*)", re.M)
-_PY = re.compile(r"^(?:async\s+)?(def|class)\s+([A-Za-z_]\w*)", re.M)
 _IMPORT = re.compile(r"""^\s*(import|export)\s+(type\s+)?([^;'"]*?)\s*(?:from\s+)?['"]([^'"]+)['"]""", re.M)
 _LOCAL = re.compile(r"^\s*export\s+(?:default\b|(?:declare\s+|abstract\s+|async\s+)*(?:function|class|interface|type|enum|const|let|var|namespace)\b|\{[^}]*\}\s*;?\s*$)", re.M)
 
 
-def without_comments(source: str) -> str:
+#: Lexer of an extension, and the kinds of declarations that a block ends (others end with a line or a semicolon).
+LEXERS = {**dict.fromkeys(("ts", "tsx", "js", "jsx"), "ts"), "rs": "rs", "py": "py"}
+_LINES = {"type", "const", "let", "var", "static", "variable", "use", "property"}
+
+
+def without_comments(source: str, language: str = "ts") -> str:
     """Comments blanked, so that positions stay; strings are left alone."""
-    pattern = r"""("(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)|(/\*[\s\S]*?\*/|//[^\n]*)"""
-    return re.sub(pattern, lambda m: m[1] if m[1] else re.sub(r"[^\n]", " ", m[2]), source)
+    return lexer.Lexed(source, language).blanked(lexer.COMMENT)
 
 
-def end_of(source: str, at: int) -> int:
-    """End of a declaration: its closing brace, or a semicolon or line end before any brace."""
-    depth = 0
-    for i in range(at, len(source)):
-        c = source[i]
+def end_of(lexed: lexer.Lexed, plain: str, at: int, kind: str, hi: int | None = None) -> int:
+    """End of a declaration in a source without literals: its block, or a semicolon or line end outside brackets."""
+    hi, lines = len(plain) if hi is None else hi, kind in _LINES
+    while m := _END.search(plain, at, hi):
+        c, at = m[0], m.end()
         if c in "{([":
-            depth += 1
-        elif c in "})]":
-            depth -= 1
-            if not depth and c == "}":
-                return i + 1
-        elif not depth and (c == ";" or c == "\n" and i + 1 < len(source) and not source[i + 1].isspace()):
-            return i + 1
-    return len(source)
+            if m.start() not in lexed.close:
+                return hi
+            at = lexed.close[m.start()] + 1
+            if c == "{" and not lines:
+                return min(at, hi)
+        elif c == ";" or at < hi and not plain[at].isspace() and plain[at] not in (".?:&|+-*/=,){" if lines else "{"):
+            return at
+    return hi
+
+
+_END = re.compile(r"[{(\[;\n]")
 
 
 def typescript_symbols(source: str) -> Iterator[tuple]:
-    plain = without_comments(source)
+    lexed = lexer.Lexed(source, "ts")
+    plain = lexed.blanked()
     for m in _TS.finditer(plain):
         kind = {"function*": "function", "let": "variable", "var": "variable", "const": "const"}.get(m[2], m[2])
-        yield m[3], kind, bool(m[1]), source.count("\n", 0, m.start()) + 1, m.start(), end_of(plain, m.start())
+        yield m[3], kind, bool(m[1]), lexed.line(m.start()), m.start(), end_of(lexed, plain, m.end(), kind)
 
 
 def rust_symbols(source: str) -> Iterator[tuple]:
-    plain = without_comments(source)
+    lexed = lexer.Lexed(source, "rs")
+    plain = lexed.blanked()
     for m in _RUST.finditer(plain):
-        yield m[3], {"fn": "function", "macro_rules!": "macro"}.get(m[2], m[2]), bool(m[1]), source.count("\n", 0, m.start()) + 1, m.start(), end_of(plain, m.start())
+        kind = {"fn": "function", "macro_rules!": "macro"}.get(m[2], m[2])
+        yield m[3], kind, bool(m[1]), lexed.line(m.start()), m.start(), end_of(lexed, plain, m.end(), "item" if kind == "type" else kind)
 
 
 def python_symbols(source: str) -> Iterator[tuple]:
-    starts = [*_PY.finditer(source)]
-    for m, after in zip(starts, [x.start() for x in starts[1:]] + [len(source)]):
-        yield m[2], {"def": "function"}.get(m[1], m[1]), not m[2].startswith("_"), source.count("\n", 0, m.start()) + 1, m.start(), after
+    for name, kind, _, depth, line, start, end in _python_tree(source):
+        if not depth:
+            yield name, kind, not name.startswith("_"), line, start, end
 
 
 REGISTRY: dict[str, Callable[[str], Iterator[tuple]]] = {**dict.fromkeys(("ts", "tsx", "js", "jsx"), typescript_symbols), "rs": rust_symbols, "py": python_symbols}
@@ -123,7 +134,7 @@ def rust_imports(source: str) -> list[tuple]:
                     expand(inner[at:i], head)
                 at = i + 1
 
-    for m in re.finditer(r"^\s*(pub(?:\([^)]*\))?\s+)?use\s+([^;]+);", without_comments(source), re.M):
+    for m in re.finditer(r"^\s*(pub(?:\([^)]*\))?\s+)?use\s+([^;]+);", lexer.Lexed(source, "rs").blanked(), re.M):
         n = len(out)
         expand(re.sub(r"\s+", " ", m[2]), "")
         if m[1]:
@@ -153,20 +164,29 @@ _IMPL = re.compile(r"^[ \t]*(?:unsafe\s+)?impl\b(?:\s*<[^{]*?>)?\s+(?:[^{;]*?\bf
 _NOT_MEMBERS = {"if", "for", "while", "switch", "return", "catch", "else", "do", "try", "throw", "case", "default", "await", "new", "super", "this", "function"}
 
 
-def _at_depth(plain: str, lo: int, hi: int) -> str:
+def _at_depth(lexed: lexer.Lexed, plain: str, lo: int, hi: int) -> str:
     """Part of a source with everything inside inner brackets blanked, so that only its own level is left."""
-    out, depth = [], 0
-    for c in plain[lo:hi]:
-        closes = c in ")}]"
-        depth -= closes
-        out.append(c if depth <= 0 or c == "\n" else " ")
-        depth += c in "({["
-    return "".join(out)
+    out, at = [], lo
+    while m := _OPEN.search(plain, at, hi):
+        close = min(lexed.close.get(m.start(), hi), hi)
+        out += (plain[at : m.end()], _BLANK.sub(" ", plain[m.end() : close]))
+        at = close
+        if at < hi:
+            out.append(plain[at])
+            at += 1
+    return "".join([*out, plain[at:hi]])
+
+
+_OPEN, _BLANK = re.compile(r"[{(\[]"), re.compile(r"[^\n]")
 
 
-def _body(plain: str, lo: int, hi: int) -> tuple[int, int] | None:
-    at = plain.find("{", lo, hi)
-    return (at + 1, hi - 1) if at >= 0 else None
+def _body(lexed: lexer.Lexed, plain: str, lo: int, hi: int) -> tuple[int, int] | None:
+    while m := _OPEN.search(plain, lo, hi):
+        close = lexed.close.get(m.start(), hi)
+        if m[0] == "{":
+            return m.end(), min(close, hi)
+        lo = close + 1
+    return None
 
 
 def symbol_tree(source: str, extension: str) -> Iterator[tuple]:
@@ -174,11 +194,13 @@ def symbol_tree(source: str, extension: str) -> Iterator[tuple]:
     if extension == "py":
         yield from _python_tree(source)
         return
-    rust, plain = extension == "rs", without_comments(source)
+    rust = extension == "rs"
+    lexed = lexer.Lexed(source, "rs" if rust else "ts")
+    plain = lexed.blanked()
     pattern = _RUST if rust else _TS
 
     def inside(lo: int, hi: int, parent: str | None, kind: str | None, depth: int):
-        level, found = _at_depth(plain, lo, hi), {}
+        level, found = _at_depth(lexed, plain, lo, hi), {}
         for m in _declared(pattern, level):
             name, what = m[3], {"fn": "method" if kind in ("impl", "trait") else "function", "function*": "function", "let": "variable", "var": "variable", "macro_rules!": "macro"}.get(m[2], m[2])
             found[lo + m.start()] = (name, what)
@@ -199,9 +221,15 @@ def symbol_tree(source: str, extension: str) -> Iterator[tuple]:
         starts = sorted(found)
         for at, after in zip(starts, [*starts[1:], hi]):
             name, what = found[at]
-            end = min(end_of(plain, at), hi) if what not in ("property", "enumMember") else min(after, hi)
-            yield name, what, parent, depth, source.count("\n", 0, at) + 1, at, end
-            body = _body(plain, at, end) if what in _NESTS else None
+            if what == "enumMember":
+                end = min(after, hi)
+            elif what == "property":
+                end = end_of(lexed, plain, at, what, min(after, hi))
+                end = at + len(source[at:end].rstrip())
+            else:
+                end = end_of(lexed, plain, at, what, hi)
+            yield name, what, parent, depth, lexed.line(at), at, end
+            body = _body(lexed, plain, at, end) if what in _NESTS else None
             if body:
                 yield from inside(*body, name, what, depth + 1)
 
@@ -231,14 +259,21 @@ def _declared(pattern: re.Pattern, level: str):
 
 
 def _python_tree(source: str) -> Iterator[tuple]:
-    found = [(m.start(), len(m[1]), m[3], m[2]) for m in re.finditer(r"^([ \t]*)(?:async\s+)?(def|class)\s+([A-Za-z_]\w*)", source, re.M)]
+    lexed = lexer.Lexed(source, "py")
+    level = _at_depth(lexed, lexed.blanked(), 0, len(source))  # no brackets, so each line is one of its own
+    found = [(m.start(), len(m[1].expandtabs()), len(m[1]), m[3], m[2]) for m in re.finditer(r"^([ \t]*)(?:async\s+)?(def|class)\s+([A-Za-z_]\w*)", level, re.M)]
+    ends, later = [], []  # of each: where the next begins that is not deeper
+    for at, indent, *_ in reversed(found):
+        while later and later[-1][1] > indent:
+            later.pop()
+        ends.append(later[-1][0] if later else len(source))
+        later.append((at, indent))
     open_: list[tuple] = []
-    for i, (at, indent, name, word) in enumerate(found):
+    for (at, indent, blanks, name, word), end in zip(found, reversed(ends)):
         while open_ and open_[-1][0] >= indent:
             open_.pop()
-        end = next((a for a, n, *_ in found[i + 1 :] if n <= indent), len(source))
         kind = "class" if word == "class" else "method" if open_ and open_[-1][2] == "class" else "function"
-        yield name, kind, open_[-1][1] if open_ else None, len(open_), source.count("\n", 0, at) + 1, at + indent, end
+        yield name, kind, open_[-1][1] if open_ else None, len(open_), lexed.line(at), at + blanks, end
         open_.append((indent, name, kind))
 
 
