@@ -109,3 +109,54 @@ def test_deps_by_name_or_tag(spark):
     assert {tuple(r) for r in diffs.resolved_deps(rows).collect()} == {("a", "b"), ("a", "c"), ("b", "a")}
     with pytest.raises(Exception, match="unknown dependency"):
         diffs.resolved_deps(spark.createDataFrame([("a", ["nope"], [])], kind)).collect()
+
+
+def plain_depths(edges):
+    """Longest path to each node, or None for those that a cycle leads to."""
+    nodes = {x for e in edges for x in e}
+    deep, left = {}, set(nodes)
+    while True:
+        free = {n for n in left if not any(d == n and s in left for s, d in edges)}
+        if not free:
+            return {n: deep.get(n) for n in nodes}
+        for n in free:
+            deep[n] = max([deep[s] + 1 for s, d in edges if d == n], default=0)
+        left -= free
+
+
+def test_contraction_against_peeling(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    monkeypatch.setattr(graph, "SHALLOW", 2)
+    for trial in range(2):
+        n = 5
+        edges = {(rng.randint(0, n), rng.randint(0, n)) for _ in range(n + 2)}
+        if trial % 2:
+            edges = {(min(e), max(e)) for e in edges if e[0] != e[1]}
+        edges |= {(100, 101), (101, 102)}
+        rows = spark.createDataFrame(list(edges), "src int, dst int")
+        want = plain_depths(edges)
+        assert {r.node for r in graph.cyclic_nodes(rows).collect()} == {k for k, d in want.items() if d is None}
+        if None not in want.values():
+            assert {r.node: r.depth for r in graph.longest_paths(rows).collect()} == want
+            paths = [[n] for n in want]
+            best = []
+            while paths:
+                best, paths = min(paths), [[*p, d] for p in paths for s, d in edges if s == p[-1]]
+            assert graph.critical_path(rows).first()["path"] == best
+        else:
+            with pytest.raises(ValueError, match="cycle"):
+                graph.longest_paths(rows)
+
+
+def test_a_chain_of_ten_thousand_takes_few_rounds(spark, monkeypatch):
+    monkeypatch.setattr(graph, "SHALLOW", 2)
+    rounds, plain = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df: rounds.append(1) or plain(df))
+    chain = spark.range(10_000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    deep = graph.longest_paths(chain)
+    assert len(rounds) < 26  # fourteen to double pointers, the others once each
+    assert deep.filter("node <> depth").count() == 0 and deep.count() == 10_001
+    assert graph.critical_path(chain.filter("src < 20")).first()["path"] == list(range(21))
+    assert graph.longest_paths(chain.limit(0)).count() == 0 and graph.critical_path(chain.limit(0)).first()["path"] is None

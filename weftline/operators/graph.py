@@ -56,6 +56,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table written to the shared folder and read back.
+
+    For loops whose rounds join a table with itself: a checkpoint keeps the estimate of its size, which such
+    a loop squares every round until planning is slower than the work; a written table has its true size.
+    """
+    path = scratch(df.sparkSession, "round")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def reversed_edges(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """Edges turned round; with nodes (column node), only between known ones."""
     out = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
@@ -65,59 +76,141 @@ def reversed_edges(edges: DataFrame, nodes: DataFrame | None = None) -> DataFram
     return out.select("src", "dst")
 
 
+ROOT = "\x00root"
+
+
+def jumped(pointers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pointers (node, to, d; one for each node) led to where they end: (node, to, d) and those that run in a circle (None: none).
+
+    Pointer doubling: each round replaces a pointer by the pointer of what it points to, so a chain of n
+    nodes takes log2(n) rounds, each with one row for each node.
+    """
+    now, rounds = pointers.select("node", "to", "d"), None
+    for k in count(1):
+        inner = now.select(F.col("node").alias("via"), F.col("to").alias("next"), F.col("d").alias("more"))
+        led = now.join(inner, F.col("to") == F.col("via"), "left")
+        led = written(led.select("node", F.coalesce("next", "to").alias("to"), (F.col("d") + F.coalesce("more", F.lit(0))).alias("d"), F.col("next").isNotNull().alias("open")))
+        now = led.drop("open")
+        if led.filter("open").isEmpty():
+            return now, None
+        if k == 8:  # a longer chain, or a circle: that is known once all nodes could have been passed
+            rounds = now.count().bit_length() + 1
+        if rounds is not None and k >= rounds:
+            return led.filter("not open").drop("open"), led.filter("open").drop("open")
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """node, depth: longest path that ends in each node, for nodes that no cycle leads to.
+
+    All sources are one root.  A node with one predecessor hangs on it, and chains of such nodes are
+    led to their top by pointer doubling; they leave the graph, their edges going on from the top with
+    the length added, the longest for each pair.  That leaves fewer predecessors, and the next round
+    finds new nodes with one, as the first node in any order always has.  So rounds count how often
+    paths join and part again on the way to a node, not how long they are: few for chains, many for a
+    deep mesh.
+    """
+    rows = edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")).distinct()
+    sources = rows.select(F.col("src").alias("node")).distinct().join(rows.select(F.col("dst").alias("node")), "node", "left_anti")
+    hung = [written(sources.select("node", F.lit(ROOT).alias("to"), F.lit(0).alias("d")))]
+    top = hung[0].select(F.col("node").alias("src"), F.lit(ROOT).alias("top"))
+    left = rows.join(top, "src", "left").select(F.coalesce("top", "src").alias("src"), "dst", F.lit(1).alias("w"))
+    left, circles = written(left.groupBy("src", "dst").agg(F.max("w").alias("w"))), None
+    while not left.isEmpty():
+        single = left.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"), F.any_value("src").alias("to"), F.any_value("w").alias("d")).filter("n = 1")
+        if circles is not None:
+            single = single.join(circles, "node", "left_anti")
+        found, open_ = jumped(single)
+        if open_ is not None:
+            more = open_.select("node")
+            circles = written(more if circles is None else circles.unionByName(more))
+        if found.isEmpty():
+            break
+        hung.append(found)
+        left = left.join(found.select(F.col("node").alias("dst")), "dst", "left_anti")
+        led = left.join(found.select(F.col("node").alias("src"), F.col("to").alias("top"), F.col("d").alias("more")), "src", "left")
+        led = led.select(F.coalesce("top", "src").alias("src"), "dst", (F.col("w") + F.coalesce("more", F.lit(0))).alias("w"))
+        left = written(led.groupBy("src", "dst").agg(F.max("w").alias("w")))
+    depths = None
+    for found in reversed(hung):  # those that left last hang on the root only
+        own = found.filter(F.col("to") == ROOT).select("node", F.col("d").alias("depth"))
+        if depths is not None:
+            on = found.join(depths.select(F.col("node").alias("to"), "depth"), "to").select("node", (F.col("depth") + F.col("d")).alias("depth"))
+            own = depths.unionByName(own).unionByName(on)
+        depths = written(own)
+    return depths
+
+
+def all_nodes(edges: DataFrame) -> DataFrame:
+    return edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+
+
+#: Levels that are taken one by one before chains are contracted.
+SHALLOW = 16
+
+
 def cyclic_nodes(edges: DataFrame) -> DataFrame:
     """Nodes left after peeling, again and again, those nothing leads to: on a cycle or downstream of one.
 
-    Rounds end when nothing more can be peeled; there are at most as many as edges.
+    Shallow graphs are peeled level by level; what is left of deep ones is contracted.
     """
     left = checkpoint(edges.select("src", "dst").distinct())
     n, now = None, left.count()
-    while now != n:
+    for _ in range(SHALLOW):
+        if now == n:
+            return all_nodes(left)
         n, left = now, checkpoint(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"))
         now = left.count()
-    return left.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    free, nodes = contracted(left).select(F.col("node").alias("_n")), all_nodes(left)
+    return nodes.join(free, nodes["node"].cast("string") == F.col("_n"), "left_anti")
 
 
-def longest_paths(edges: DataFrame, max_depth: int) -> DataFrame:
+def longest_paths(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """node, depth: longest path that ends in each node of an acyclic graph, 0 for its sources.
 
-    Each round keeps one row for each node that a path of that length reaches, so rows never
-    multiply; a path longer than max_depth means a cycle and is an error.
+    A cycle is an error that names some of the nodes it reaches, and so is a path longer than max_depth.
+    Each round keeps one row for each node that a path of that length reaches, so rows never multiply;
+    a graph of more than SHALLOW levels has its chains contracted instead.
     """
     step = edges.select("src", "dst").distinct()
-    nodes = step.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    nodes = all_nodes(step)
     found = nodes.withColumn("depth", F.lit(0))
     front = checkpoint(nodes)
-    for depth in range(1, max_depth + 2):
+    for depth in range(1, SHALLOW + 1):
         front = checkpoint(front.join(step, front["node"] == step["src"]).select(F.col("dst").alias("node")).distinct())
         if front.isEmpty():
-            break
-        if depth > max_depth:
+            return found.groupBy("node").agg(F.max("depth").alias("depth"))
+        if max_depth is not None and depth > max_depth:
             raise ValueError("the graph has a cycle or a path longer than max_depth")
         found = found.unionByName(front.withColumn("depth", F.lit(depth)))
-    return found.groupBy("node").agg(F.max("depth").alias("depth"))
+    deep = contracted(edges).withColumnRenamed("node", "_n")
+    found = checkpoint(nodes.join(deep, nodes["node"].cast("string") == F.col("_n"), "left").select("node", "depth"))
+    lost = [str(r["node"]) for r in found.filter("depth is null").limit(20).collect()]
+    if lost:
+        raise ValueError(f"the graph has a cycle before {', '.join(sorted(lost))}")
+    if max_depth is not None and not found.filter(F.col("depth") > max_depth).isEmpty():
+        raise ValueError("the graph has a path longer than max_depth")
+    return found
 
 
 def critical_path(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """One row, path: the longest path, among equals the least as an array.
+    """One row, path: the longest path, among equals the least as an array; null without edges.
 
-    Round by round only the least longest path into each node is kept; a path longer than max_depth
-    (None: than there are nodes) means a cycle and is an error.
+    Every node points to the least of its successors from which the longest way is left; the path is
+    what the best node's pointers lead to, found by doubling: after k rounds it has 2**k nodes.  A
+    cycle is an error, and so is a path of more than max_depth edges.
     """
-    step = edges.select("src", "dst").distinct()
-    nodes = step.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    best = checkpoint(nodes.select("node", F.array("node").alias("path")))
-    last = best
-    if max_depth is None:
-        max_depth = best.count()
-    for depth in range(1, max_depth + 2):
-        best = checkpoint(best.join(step, best["node"] == step["src"]).select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path")).groupBy("node").agg(F.min("path").alias("path")))
-        if best.isEmpty():
-            break
-        if depth > max_depth:
-            raise ValueError("the graph has a cycle or a path longer than max_depth")
-        last = best
-    return last.agg(F.min("path").alias("path"))
+    step = checkpoint(edges.select("src", "dst").distinct())
+    height = written(longest_paths(step.select(F.col("dst").alias("src"), F.col("src").alias("dst")), max_depth))
+    ahead = step.join(height.select(F.col("node").alias("src"), F.col("depth").alias("h")), "src").join(height.select(F.col("node").alias("dst"), F.col("depth").alias("left")), "dst").filter("h = left + 1")
+    jump = written(ahead.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("to")))
+    longest = height.agg(F.max("depth").alias("depth")).first()["depth"] or 0
+    path = written(height.filter(F.col("depth") == longest).agg(F.min("node").alias("node")).filter("node is not null"))  # one row
+    for k in range(longest.bit_length()):
+        path = written(path.unionByName(path.join(jump, "node").select(F.col("to").alias("node"))).distinct())
+        if k + 1 < longest.bit_length():
+            jump = written(jump.join(jump.select(F.col("node").alias("to"), F.col("to").alias("next")), "to").select("node", F.col("next").alias("to")))
+    path = path.join(height, "node").agg(F.sort_array(F.collect_list(F.struct((-F.col("depth")).alias("k"), "node"))).alias("p"))
+    return path.select(F.when(F.size("p") > 0, F.col("p.node")).alias("path"))
 
 
 def importers(imports: DataFrame, target, max_depth: int | None = None) -> DataFrame:

@@ -42,8 +42,8 @@ def ordering(found: DataFrame) -> DataFrame:
     return found.filter("type <> 'WAR'").select(F.col("source").alias("src"), F.col("target").alias("dst")).distinct()
 
 
-def waves(tasks: DataFrame, max_waves: int = 200) -> DataFrame:
-    """id, wave: one more than the latest wave among those it waits for; a cycle is an error."""
+def waves(tasks: DataFrame, max_waves: int | None = None) -> DataFrame:
+    """id, wave: one more than the latest wave among those it waits for; a cycle, or a wave above max_waves (None: no limit), is an error."""
     deep = longest_paths(ordering(hazards(tasks)), max_waves).withColumnRenamed("node", "id")
     return tasks.select("id").join(deep, "id", "left").select("id", F.coalesce("depth", F.lit(0)).alias("wave"))
 

@@ -56,6 +56,30 @@ def critical_path(spark, sf_dir):
     return graph.critical_path(dag(spark, sf_dir), 25).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
+def steps(spark, sf_dir):
+    """Edges between parts: each to the next of its thousand, and the first of a thousand to the middle of the next."""
+    p = F.col("p_partkey")
+    part = load(spark, sf_dir, "part")
+    ends = part.select(p.alias("src"), F.explode(F.array_compact(F.array(F.when(p % 1000 != 0, p + 1), F.when(p % 1000 == 1, p + 1500)))).alias("dst"))
+    return ends.join(part.select(p.alias("dst")), "dst", "left_semi").select("src", "dst")
+
+
+STEPS = "e AS (SELECT p_partkey AS src, unnest([CASE WHEN p_partkey % 1000 <> 0 THEN p_partkey + 1 END, CASE WHEN p_partkey % 1000 = 1 THEN p_partkey + 1500 END]) AS dst FROM part), s AS (SELECT src, dst FROM e WHERE dst IN (SELECT p_partkey FROM part))"
+#: Longest paths level by level: as many rounds as the longest path has edges.
+DEPTHS = f"WITH RECURSIVE {STEPS}, w(node, depth) AS (SELECT src, 0 FROM s WHERE src NOT IN (SELECT dst FROM s) UNION SELECT dst, depth + 1 FROM w JOIN s ON src = node), d AS (SELECT node, max(depth) AS depth FROM w GROUP BY node)"
+
+
+@query("chain_depths", f"{DEPTHS} SELECT node, depth FROM d")
+def chain_depths(spark, sf_dir):
+    return graph.longest_paths(steps(spark, sf_dir))
+
+
+@query("chain_length", f"{DEPTHS} SELECT max(depth) + 1 AS nodes, (SELECT count(*) FROM d) AS every FROM d")
+def chain_length(spark, sf_dir):
+    found = graph.critical_path(steps(spark, sf_dir)).select(F.size("path").alias("nodes"))
+    return found.crossJoin(graph.all_nodes(steps(spark, sf_dir)).agg(F.count("*").alias("every")))  # one row each
+
+
 TASKS = """t AS (SELECT s_suppkey AS id, s_suppkey % 12 AS a, (s_suppkey * 5 + 1) % 12 AS b, s_nationkey AS m FROM supplier),
 touch AS (SELECT id, 'w' AS mode, 'c' || a AS name FROM t UNION SELECT id, 'r', 'c' || b FROM t UNION SELECT id, 'm', 'n' || m FROM t)"""
 
