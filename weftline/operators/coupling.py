@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.graph import checkpoint
+from weftline.operators.quantiles import median
+
 
 def lifted(edges: DataFrame, owner: DataFrame, weight: str = "weight") -> DataFrame:
     """Edges of items (a, b) summed over their owners' pairs; owner: item, component."""
@@ -26,9 +29,11 @@ def coupling_matrix(structural: DataFrame, behavioral: DataFrame, s_line: float
     there are none (then every pair reaches it).
     """
     rows = structural.join(behavioral, ["a", "b"], "full").select("a", "b", F.coalesce("structural", F.lit(0.0)).cast("double").alias("structural"), F.coalesce("behavioral", F.lit(0.0)).cast("double").alias("behavioral"))
-    lines = rows.agg(*[F.coalesce(F.lit(v).cast("double"), F.median(F.when(F.col(c) > 0, F.col(c))), F.lit(0.0)).alias(f"_{c}") for c, v in (("structural", s_line), ("behavioral", b_line))])
-    rows = rows.crossJoin(F.broadcast(lines))  # one row
-    return rows.withColumn("classification", classify(F.col("structural"), F.col("behavioral"), F.col("_structural"), F.col("_behavioral"))).drop("_structural", "_behavioral")
+    if s_line is None or b_line is None:
+        rows = checkpoint(rows)
+    line = lambda given, c: given if given is not None else median(rows.filter(F.col(c) > 0), c) or 0.0
+    s_line, b_line = line(s_line, "structural"), line(b_line, "behavioral")
+    return rows.withColumn("classification", classify(F.col("structural"), F.col("behavioral"), F.lit(s_line), F.lit(b_line)))
 
 
 def hidden_coupling(matrix: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.catalog import query
-from weftline.operators import textindex
+from weftline.operators import quantiles, textindex, versions
 from weftline.operators.graph import scratch
 from weftline.plans.surveys import log
 from weftline.sources import logsource
@@ -84,3 +84,32 @@ def indexed_changes(spark, sf_dir):
     links = index.read("links").groupBy("path").agg(F.count("*").alias("links"))
     tags = index.read("tags").groupBy("path").agg(F.array_join(F.array_sort(F.collect_list("tag")), ",").alias("tags"))
     return index.read("artifacts").join(links, "path").join(tags, "path")
+
+
+@query("exact_medians", "SELECT 'price' AS name, median(l_extendedprice)::DOUBLE AS value FROM lineitem UNION ALL SELECT 'value', median(value) FROM events UNION ALL SELECT 'length', median(length(text))::DOUBLE FROM documents")
+def exact_medians(spark, sf_dir):
+    table = lambda name, column: load(spark, sf_dir, name).select(column.cast("double").alias("x"))
+    found = {"price": table("lineitem", F.col("l_extendedprice")), "value": table("events", F.col("value")), "length": table("documents", F.length("text"))}
+    return spark.createDataFrame([(k, quantiles.median(rows, "x")) for k, rows in found.items()], "name string, value double")
+
+
+#: A part is a file, renamed in the middle of its orders where its number divides by four; each order line writes it, every seventh deletes it.
+VERSIONS = """l AS (SELECT l_partkey AS p, l_orderkey * 8 + l_linenumber AS t FROM lineitem),
+c AS (SELECT p, t, CASE WHEN p % 4 = 0 AND t > 160000 THEN 'new/p' || p ELSE 'p' || p END AS path, CASE WHEN t % 7 = 0 THEN 'D' ELSE 'M' END AS kind FROM l)"""
+
+
+@query(
+    "content_at",
+    f"""WITH {VERSIONS}, last AS (SELECT p, arg_max(kind, t) AS kind, max(t) AS t, arg_max(path, t) AS path FROM c WHERE t <= 200000 GROUP BY p)
+SELECT CASE WHEN p % 4 = 0 THEN 'new/p' || p ELSE 'p' || p END AS path, 'v' || t AS content, path AS origin FROM last WHERE kind = 'M'""",
+)
+def content_at(spark, sf_dir):
+    p, t = F.col("l_partkey"), F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    old, new = F.concat(F.lit("p"), p.cast("string")), F.concat(F.lit("new/p"), p.cast("string"))
+    path, kind = F.when((p % 4 == 0) & (t > 160_000), new).otherwise(old), F.when(t % 7 == 0, "D").otherwise("M")
+    lines = load(spark, sf_dir, "lineitem")
+    changes = lines.select(path.alias("path"), t.alias("time"), kind.alias("kind"), F.when(kind == "M", F.concat(F.lit("v"), t.cast("string"))).alias("content"), F.lit(None).cast("string").alias("old_path"))
+    moved = lines.filter(p % 4 == 0).filter(t <= 160_000).groupBy(new.alias("path"), old.alias("old_path")).agg(F.max_by(kind, t).alias("last")).filter("last = 'M'")
+    renames = moved.select("path", F.lit(160_000).cast("long").alias("time"), F.lit("R").alias("kind"), F.lit(None).cast("string").alias("content"), "old_path")
+    wanted = lines.select(F.when(p % 4 == 0, new).otherwise(old).alias("path"), F.lit(200_000).cast("long").alias("at"))
+    return versions.content_at(changes.unionByName(renames), wanted).select("path", "content", "origin")
