@@ -126,7 +126,7 @@ def drawn_texts(texts: DataFrame, most: int) -> DataFrame:
     """Pairs of h and lang to learn from: different ones, at most `most` (or one for each language, if those are more).
 
     Copies count once.  Each language has a share: an equal one of half of `most`, or all its pairs if
-    they are fewer, and of what is left in proportion to its pairs.  Within a language the least h are taken.
+    they are fewer, and of what is left in proportion to its pairs.  Within a language the pairs of least h (its last 40 bits) are taken.
     """
     from pyspark.sql import Window
 
@@ -137,9 +137,12 @@ def drawn_texts(texts: DataFrame, most: int) -> DataFrame:
     least = {lang: min(k, max(1, most // (2 * len(n)))) for lang, k in n.items()}
     left, open_ = max(0, most - sum(least.values())), sum(n.values()) - sum(least.values())
     quota = {lang: k + (n[lang] - k) * left // open_ if open_ > left else n[lang] for lang, k in least.items()}
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    share = pairs.sparkSession.createDataFrame(list(quota.items()), "lang string, quota long")
-    return pairs.withColumn("nth", nth).filter(F.col("nth") <= most).join(F.broadcast(share), "lang").filter("nth <= quota").select("h", "lang")
+    # a threshold on the hash lets twice the share through (all, where that is few), so that no task gets a language's pairs
+    cut = {lang: min(1.0, 2 * max(k, 100) / n[lang]) for lang, k in quota.items()}
+    share = pairs.sparkSession.createDataFrame([(lang, k, int(cut[lang] * (1 << 40)) + 1) for lang, k in quota.items()], "lang string, quota long, cut long")
+    near = pairs.join(F.broadcast(share), "lang").filter(F.pmod(F.col("h"), F.lit(1 << 40)) < F.col("cut"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(F.col("h"), F.lit(1 << 40)), "h"))
+    return near.withColumn("nth", nth).filter("nth <= quota").select("h", "lang")
 
 
 def train(docs: DataFrame, fit_rows: int = 3000, seed: int = 17, scale: float = 40.0) -> Model | None:
