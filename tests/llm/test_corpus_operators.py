@@ -272,16 +272,14 @@ def test_neighbours(spark):
 
 
 def exact_neighbours(rows, queries, k):
-    """(vec_id, score) of the k nearest of each query, with numpy on doubles."""
+    """(vec_id, score) of the k nearest different rows of each query, with numpy on doubles."""
     out = {}
     for q, v in queries:
-        best = {}
         for i, w in rows:
             if i != q:
-                best[i] = max(best.get(i, -np.inf), float(np.dot(np.array(v), np.array(w))))
-        for i, s in best.items():
-            out.setdefault(q, {})[i] = max(s, out.get(q, {}).get(i, -np.inf))
-    return {q: sorted(b.items(), key=lambda x: (-x[1], x[0]))[:k] for q, b in out.items()}
+                found = out.setdefault(q, {})
+                found[i, tuple(w)] = max(found.get((i, tuple(w)), -np.inf), float(np.dot(np.array(v), np.array(w))))
+    return {q: sorted(((i, s) for (i, _), s in b.items()), key=lambda x: (-x[1], x[0]))[:k] for q, b in out.items()}
 
 
 def test_repeated_vec_ids_and_doubles(spark):
@@ -468,3 +466,10 @@ def test_mixing_takes_map_array_and_struct_columns(spark):
     assert mixed.columns == odd.columns and mixed.count() > 0
     again = lambda: sorted(r.doc_id for r in mixing.mixed_documents(odd.repartition(3)).collect())
     assert again() == again() == sorted(r.doc_id for r in mixed.collect())
+
+
+def test_every_vector_of_a_repeated_id_is_a_candidate(spark):
+    rows = [(20, [1.0, 0.0]), (7, [3.0, 1.0]), (7, [2.0, 5.0]), (7, [2.0, 5.0]), (8, [2.0, 0.5]), (20, [9.0, 9.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(vectors, vectors.filter("vec_id = 20 and embedding[1] = 0.0")).orderBy("rank").collect()
+    assert [(r.rank, r.vec_id, r.score) for r in got] == [(1, 7, 3.0), (2, 7, 2.0), (3, 8, 2.0)]

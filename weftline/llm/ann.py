@@ -308,9 +308,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, ef: int | None
     several = hits.filter("more").select("query_id", "k0", "k1", "score")
     n_hits = several.groupBy("k0", "k1").agg(F.count("*").alias("n"))
     others = members.filter("nth > 1 or not last").select("k0", "k1", "vec_id").join(n_hits, ["k0", "k1"])
-    every = hits.filter("not more").select("query_id", "vec_id", "score").unionByName(with_hot(several, others, ["k0", "k1"], several.count()).select("query_id", "vec_id", "score"))
+    columns = ["query_id", "vec_id", "k0", "k1", "score"]
+    every = hits.filter("not more").select(columns).unionByName(with_hot(several, others, ["k0", "k1"], several.count()).select(columns))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    every = every.filter("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    # one vec_id may stand with several vectors, each a candidate; a query that asks twice gets each once
+    every = every.filter("vec_id <> query_id").groupBy("query_id", "vec_id", "k0", "k1").agg(F.max("score").alias("score"))
     return every.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
