@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.graph import checkpoint, longest_paths
 from weftline.operators.graph import critical_path as longest_chain
-from weftline.operators.graph import longest_paths
+from weftline.operators.sized import tasks_for
 
 
 def touches(tasks: DataFrame) -> DataFrame:
@@ -15,26 +16,51 @@ def touches(tasks: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+#: Tasks of one side that meet in a tile, and pairs for which a partition is made.
+TILE, PAIRS = 1024, 4_000_000
+
+
+def _spans(tasks: DataFrame) -> DataFrame:
+    """name, mode, id, lo, hi, writes: least and greatest ord with which a task touches a thing, and whether it writes it too."""
+    held = touches(tasks).filter("name is not null").groupBy("name", "id").agg(
+        *[f(F.when(F.col("mode") == m, F.col("ord"))).alias(f"{m}_{f.__name__}") for m in "rwm" for f in (F.min, F.max)],
+        (F.count_if(F.col("mode") == "w") > 0).alias("writes"),
+    )
+    modes = F.array(*[F.struct(F.lit(m).alias("mode"), F.col(f"{m}_min").alias("lo"), F.col(f"{m}_max").alias("hi")) for m in "rwm"])
+    rows = held.select("name", "id", (F.col("writes") & F.col("id").isNotNull()).alias("writes"), F.explode(modes).alias("s"))
+    return rows.filter("s.lo is not null").select("name", "s.mode", "id", "s.lo", "s.hi", "writes")
+
+
 def hazards(tasks: DataFrame) -> DataFrame:
     """type, source, target, name of every pair of tasks that meet in a component or a mutex.
 
     RAW leads from each writer to each other reader, in both orders.  WAW and MUTEX lead from the
     earlier task to the later.  WAR leads from a reader that does not write to a writer.
+
+    Tasks are one row for each thing and mode before they meet, so pairs come out once and are not
+    shuffled.  The sides of a type and a name are dealt to blocks of about TILE tasks, each pair of
+    blocks being a group of its own: no task holds a component, however many touch it.
     """
-    t = touches(tasks)
-    a = t.select("name", F.col("id").alias("source"), F.col("ord").alias("o1"), F.col("mode").alias("m1"))
-    b = t.select("name", F.col("id").alias("target"), F.col("ord").alias("o2"), F.col("mode").alias("m2"))
-    pairs = a.join(b, "name").filter("o1 <> o2")
-    kind = (
-        F.when((F.col("m1") == "w") & (F.col("m2") == "r"), "RAW")
-        .when((F.col("m1") == "w") & (F.col("m2") == "w") & (F.col("o1") < F.col("o2")), "WAW")
-        .when((F.col("m1") == "r") & (F.col("m2") == "w"), "WAR")
-        .when((F.col("m1") == "m") & (F.col("m2") == "m") & (F.col("o1") < F.col("o2")), "MUTEX")
-    )
-    found = pairs.withColumn("type", kind).filter("type is not null")
-    writers = t.filter("mode = 'w'").select("name", F.col("id").alias("source")).withColumn("writes", F.lit(True))
-    found = found.join(writers, ["name", "source"], "left").filter("type <> 'WAR' or writes is null")
-    return found.select("type", "source", "target", "name").distinct()
+    rows = checkpoint(_spans(tasks))
+    # name, id, lo, hi of each type's two sides
+    mode = F.col("mode")
+    first = F.when(mode == "w", F.array(F.lit("RAW"), F.lit("WAW"))).when((mode == "r") & ~F.col("writes"), F.array(F.lit("WAR"))).when(mode == "m", F.array(F.lit("MUTEX")))
+    second = F.when(mode == "w", F.array(F.lit("WAW"), F.lit("WAR"))).when(mode == "r", F.array(F.lit("RAW"))).when(mode == "m", F.array(F.lit("MUTEX")))
+    a = rows.select(F.explode(first).alias("type"), "name", F.col("id").alias("source"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
+    b = rows.select(F.explode(second).alias("type"), "name", F.col("id").alias("target"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    met = a.groupBy("type", "name").agg(F.count("*").alias("n1")).join(b.groupBy("type", "name").agg(F.count("*").alias("n2")), ["type", "name"])
+    met = checkpoint(met.select("type", "name", "n1", "n2", F.ceil(F.col("n1") / TILE).cast("int").alias("k1"), F.ceil(F.col("n2") / TILE).cast("int").alias("k2")))
+    pairs = met.agg(F.sum(F.col("n1") * F.col("n2"))).first()[0] or 0
+
+    def dealt(side: DataFrame, key: str, own: str, other: str, k_own: str, k_other: str) -> DataFrame:
+        block = F.pmod(F.xxhash64(key), F.col(k_own)).cast("int").alias(own)
+        out = side.join(met, ["type", "name"]).select(*side.columns, block, F.explode(F.sequence(F.lit(0), F.col(k_other) - 1)).alias(other))
+        return out.repartition(tasks_for(pairs, PAIRS), "type", "name", "i", "j")
+
+    both = dealt(a, "source", "i", "j", "k1", "k2").hint("merge").join(dealt(b, "target", "j", "i", "k2", "k1"), ["type", "name", "i", "j"])
+    later = F.col("lo1") < F.col("hi2")
+    apart = (F.col("lo1") != F.col("hi1")) | (F.col("lo2") != F.col("hi2")) | (F.col("lo1") != F.col("lo2"))
+    return both.filter(F.when(F.col("type").isin("WAW", "MUTEX"), later).otherwise(apart)).select("type", "source", "target", "name")
 
 
 def ordering(found: DataFrame) -> DataFrame:
