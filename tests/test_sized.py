@@ -29,3 +29,15 @@ def test_hazards_of_repeated_and_null_ids(spark):
     want += [("WAW", 1, 2), ("WAW", 1, None), ("WAW", 2, None), ("WAR", None, 1), ("WAR", None, 2)]
     assert Counter(got) == Counter(want)
 
+
+def test_write_conflicts_are_counted_not_met(spark, monkeypatch):
+    rows = [(1, 2, [], ["a"], []), (2, 2, [], ["a"], []), (3, 1, [], ["a", "b"], []), (4, 7, ["a"], ["b"], []), (5, 9, [], ["a"], []), (5, 3, [], ["a"], [])]
+    want = Counter((i, c) for i, o, _, ws, _ in {(i, o, (), tuple(w), ()) for i, o, _, w, _ in rows[:5]} for c in ws for j, p, _, vs, _ in rows[:5] if c in vs and o < p)
+    met = [(r.source, r.name) for r in schedule.hazards(spark.createDataFrame(rows[:5], TASK)).filter("type = 'WAW'").collect()]
+    twice = Counter((r.source, r.name) for r in schedule.hazards(spark.createDataFrame(rows, TASK)).filter("type = 'WAW'").collect())
+    assert Counter(met) == want
+    monkeypatch.setattr(schedule, "hazards", lambda tasks: (_ for _ in ()).throw(AssertionError("all pairs")))
+    components = spark.createDataFrame([("a", []), ("b", [])], "name string, deps array<string>")
+    for some, expected in ((rows[:5], want), (rows, twice)):
+        got = schedule.plan_issues(spark.createDataFrame(some, TASK), components).filter("issue = 'write_conflict'")
+        assert Counter((r.id, r.name) for r in got.collect()) == expected

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators.graph import checkpoint, longest_paths
@@ -63,6 +63,26 @@ def hazards(tasks: DataFrame) -> DataFrame:
     return both.filter(F.when(F.col("type").isin("WAW", "MUTEX"), later).otherwise(apart)).select("type", "source", "target", "name")
 
 
+def write_conflicts(tasks: DataFrame) -> DataFrame:
+    """id, name: a task once for each other one that writes the same component later, as the WAW hazards from it.
+
+    Later writers are counted, not met: a running count over the order of each component, by ranges of
+    that order, so a component's writers are spread over tasks and only the result grows with pairs.
+    """
+    rows = checkpoint(_spans(tasks).filter("mode = 'w'"))
+    marks = rows.select("name", "id", F.col("lo").alias("at"), F.lit(0).alias("last")).unionByName(rows.select("name", "id", F.col("hi").alias("at"), F.lit(1).alias("last")))
+    # at one time those who ask come before those who are counted: later is strictly later
+    cut = checkpoint(marks.repartitionByRange(tasks_for(marks.count()), "name", F.desc("at"), "last").withColumn("part", F.spark_partition_id()))
+    before = cut.groupBy("name", "part").agg(F.sum("last").alias("in")).withColumn("before", F.sum("in").over(Window.partitionBy("name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
+    inside = cut.withColumn("inside", F.sum("last").over(Window.partitionBy("name", "part").orderBy(F.desc("at"), "last").rowsBetween(Window.unboundedPreceding, 0)))
+    asked = inside.filter("last = 0").join(before, ["name", "part"]).select("id", "name", (F.col("inside") + F.coalesce("before", F.lit(0))).cast("long").alias("n"))
+    asked = checkpoint(asked.filter("n > 0"))
+    step, total = 10_000, asked.agg(F.sum("n")).first()[0] or 0
+    some = asked.select("id", "name", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(step).cast("long"))).alias("from"))
+    some = some.repartition(tasks_for(total, PAIRS), "id", "name", "from")
+    return some.select("id", "name", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + step, "n") - 1)).alias("k")).select("id", "name")
+
+
 def ordering(found: DataFrame) -> DataFrame:
     """Edges that hold tasks apart: RAW, WAW and MUTEX hazards."""
     return found.filter("type <> 'WAR'").select(F.col("source").alias("src"), F.col("target").alias("dst")).distinct()
@@ -102,7 +122,7 @@ def plan_issues(tasks: DataFrame, components: DataFrame) -> DataFrame:
     known = components.select("name")
     dup = tasks.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select(F.lit("duplicate_id").alias("issue"), "id", F.lit(None).cast("string").alias("name"))
     unknown = t.filter("mode <> 'm'").join(known, "name", "left_anti").select(F.lit("unknown_component").alias("issue"), "id", "name")
-    clash = hazards(tasks).filter("type = 'WAW'").select(F.lit("write_conflict").alias("issue"), F.col("source").alias("id"), "name")
+    clash = write_conflicts(tasks).select(F.lit("write_conflict").alias("issue"), "id", "name")
     declared = components.select("name", F.explode("deps").alias("dep"))
     needs = t.filter("mode = 'w'").join(declared, "name").select("id", F.col("dep").alias("name")).distinct()
     have = t.filter("mode <> 'm'").select("id", "name").distinct()
