@@ -4,7 +4,8 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from weftline.operators import schedule
+from weftline import catalog
+from weftline.operators import graph, schedule
 
 TASK = "id long, ord int, reads array<string>, writes array<string>, mutexes array<string>"
 
@@ -41,3 +42,22 @@ def test_write_conflicts_are_counted_not_met(spark, monkeypatch):
     for some, expected in ((rows[:5], want), (rows, twice)):
         got = schedule.plan_issues(spark.createDataFrame(some, TASK), components).filter("issue = 'write_conflict'")
         assert Counter((r.id, r.name) for r in got.collect()) == expected
+
+
+def test_rounds_over_a_graph_send_no_table_to_the_driver(spark, tmp_path, monkeypatch):
+    spark.range(1, 3001).withColumnRenamed("id", "p_partkey").write.parquet(str(tmp_path / "part.parquet"))
+    plans, made, kept = [], graph.written, graph.checkpoint
+
+    def seen(how):
+        def look(df):
+            out = how(df)
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return out
+
+        return look
+
+    monkeypatch.setattr(graph, "written", seen(made))
+    monkeypatch.setattr(graph, "checkpoint", seen(kept))
+    assert [tuple(r) for r in catalog.queries()["chain_length"](spark, str(tmp_path)).collect()] == [(1000, 3000)]
+    assert sum("SortMergeJoin" in p for p in plans) > 20
+    assert not [p for p in plans if "BroadcastHashJoin" in p]

@@ -19,8 +19,8 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None)
     seen = checkpoint(seeds.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth")).distinct())
     front = seen
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
-        nxt = front.join(step, front["node"] == step["src"]).select("root", F.col("dst").alias("node")).distinct()
-        front = checkpoint(nxt.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        nxt = met(front, step, front["node"] == step["src"]).select("root", F.col("dst").alias("node")).distinct()
+        front = checkpoint(met(nxt, seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
@@ -67,6 +67,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def met(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """left joined to right by a shuffle of both.
+
+    For loops over a whole graph: a round's table is small in its files, so each round would send it to all
+    machines through the driver.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def reversed_edges(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """Edges turned round; with nodes (column node), only between known ones."""
     out = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
@@ -88,7 +97,7 @@ def jumped(pointers: DataFrame) -> tuple[DataFrame, DataFrame]:
     now, rounds = pointers.select("node", "to", "d"), None
     for k in count(1):
         inner = now.select(F.col("node").alias("via"), F.col("to").alias("next"), F.col("d").alias("more"))
-        led = now.join(inner, F.col("to") == F.col("via"), "left")
+        led = met(now, inner, F.col("to") == F.col("via"), "left")
         led = written(led.select("node", F.coalesce("next", "to").alias("to"), (F.col("d") + F.coalesce("more", F.lit(0))).alias("d"), F.col("next").isNotNull().alias("open")))
         now = led.drop("open")
         if led.filter("open").isEmpty():
@@ -110,15 +119,15 @@ def contracted(edges: DataFrame) -> DataFrame:
     deep mesh.
     """
     rows = edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")).distinct()
-    sources = rows.select(F.col("src").alias("node")).distinct().join(rows.select(F.col("dst").alias("node")), "node", "left_anti")
+    sources = met(rows.select(F.col("src").alias("node")).distinct(), rows.select(F.col("dst").alias("node")), "node", "left_anti")
     hung = [written(sources.select("node", F.lit(ROOT).alias("to"), F.lit(0).alias("d")))]
     top = hung[0].select(F.col("node").alias("src"), F.lit(ROOT).alias("top"))
-    left = rows.join(top, "src", "left").select(F.coalesce("top", "src").alias("src"), "dst", F.lit(1).alias("w"))
+    left = met(rows, top, "src", "left").select(F.coalesce("top", "src").alias("src"), "dst", F.lit(1).alias("w"))
     left, circles = written(left.groupBy("src", "dst").agg(F.max("w").alias("w"))), None
     while not left.isEmpty():
         single = left.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"), F.any_value("src").alias("to"), F.any_value("w").alias("d")).filter("n = 1")
         if circles is not None:
-            single = single.join(circles, "node", "left_anti")
+            single = met(single, circles, "node", "left_anti")
         found, open_ = jumped(single)
         if open_ is not None:
             more = open_.select("node")
@@ -126,15 +135,15 @@ def contracted(edges: DataFrame) -> DataFrame:
         if found.isEmpty():
             break
         hung.append(found)
-        left = left.join(found.select(F.col("node").alias("dst")), "dst", "left_anti")
-        led = left.join(found.select(F.col("node").alias("src"), F.col("to").alias("top"), F.col("d").alias("more")), "src", "left")
+        left = met(left, found.select(F.col("node").alias("dst")), "dst", "left_anti")
+        led = met(left, found.select(F.col("node").alias("src"), F.col("to").alias("top"), F.col("d").alias("more")), "src", "left")
         led = led.select(F.coalesce("top", "src").alias("src"), "dst", (F.col("w") + F.coalesce("more", F.lit(0))).alias("w"))
         left = written(led.groupBy("src", "dst").agg(F.max("w").alias("w")))
     depths = None
     for found in reversed(hung):  # those that left last hang on the root only
         own = found.filter(F.col("to") == ROOT).select("node", F.col("d").alias("depth"))
         if depths is not None:
-            on = found.join(depths.select(F.col("node").alias("to"), "depth"), "to").select("node", (F.col("depth") + F.col("d")).alias("depth"))
+            on = met(found, depths.select(F.col("node").alias("to"), "depth"), "to").select("node", (F.col("depth") + F.col("d")).alias("depth"))
             own = depths.unionByName(own).unionByName(on)
         depths = written(own)
     return depths
@@ -158,10 +167,10 @@ def cyclic_nodes(edges: DataFrame) -> DataFrame:
     for _ in range(SHALLOW):
         if now == n:
             return all_nodes(left)
-        n, left = now, checkpoint(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"))
+        n, left = now, checkpoint(met(left, left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"))
         now = left.count()
     free, nodes = contracted(left).select(F.col("node").alias("_n")), all_nodes(left)
-    return nodes.join(free, nodes["node"].cast("string") == F.col("_n"), "left_anti")
+    return met(nodes, free, nodes["node"].cast("string") == F.col("_n"), "left_anti")
 
 
 def longest_paths(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -171,19 +180,19 @@ def longest_paths(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     Each round keeps one row for each node that a path of that length reaches, so rows never multiply;
     a graph of more than SHALLOW levels has its chains contracted instead.
     """
-    step = edges.select("src", "dst").distinct()
+    step = checkpoint(edges.select("src", "dst").distinct())
     nodes = all_nodes(step)
     found = nodes.withColumn("depth", F.lit(0))
     front = checkpoint(nodes)
     for depth in range(1, SHALLOW + 1):
-        front = checkpoint(front.join(step, front["node"] == step["src"]).select(F.col("dst").alias("node")).distinct())
+        front = checkpoint(met(front, step, front["node"] == step["src"]).select(F.col("dst").alias("node")).distinct())
         if front.isEmpty():
             return found.groupBy("node").agg(F.max("depth").alias("depth"))
         if max_depth is not None and depth > max_depth:
             raise ValueError("the graph has a cycle or a path longer than max_depth")
         found = found.unionByName(front.withColumn("depth", F.lit(depth)))
-    deep = contracted(edges).withColumnRenamed("node", "_n")
-    found = checkpoint(nodes.join(deep, nodes["node"].cast("string") == F.col("_n"), "left").select("node", "depth"))
+    deep = contracted(step).withColumnRenamed("node", "_n")
+    found = checkpoint(met(nodes, deep, nodes["node"].cast("string") == F.col("_n"), "left").select("node", "depth"))
     lost = [str(r["node"]) for r in found.filter("depth is null").limit(20).collect()]
     if lost:
         raise ValueError(f"the graph has a cycle before {', '.join(sorted(lost))}")
@@ -201,15 +210,15 @@ def critical_path(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """
     step = checkpoint(edges.select("src", "dst").distinct())
     height = written(longest_paths(step.select(F.col("dst").alias("src"), F.col("src").alias("dst")), max_depth))
-    ahead = step.join(height.select(F.col("node").alias("src"), F.col("depth").alias("h")), "src").join(height.select(F.col("node").alias("dst"), F.col("depth").alias("left")), "dst").filter("h = left + 1")
+    ahead = met(met(step, height.select(F.col("node").alias("src"), F.col("depth").alias("h")), "src"), height.select(F.col("node").alias("dst"), F.col("depth").alias("left")), "dst").filter("h = left + 1")
     jump = written(ahead.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("to")))
     longest = height.agg(F.max("depth").alias("depth")).first()["depth"] or 0
     path = written(height.filter(F.col("depth") == longest).agg(F.min("node").alias("node")).filter("node is not null"))  # one row
     for k in range(longest.bit_length()):
-        path = written(path.unionByName(path.join(jump, "node").select(F.col("to").alias("node"))).distinct())
+        path = written(path.unionByName(met(path, jump, "node").select(F.col("to").alias("node"))).distinct())
         if k + 1 < longest.bit_length():
-            jump = written(jump.join(jump.select(F.col("node").alias("to"), F.col("to").alias("next")), "to").select("node", F.col("next").alias("to")))
-    path = path.join(height, "node").agg(F.sort_array(F.collect_list(F.struct((-F.col("depth")).alias("k"), "node"))).alias("p"))
+            jump = written(met(jump, jump.select(F.col("node").alias("to"), F.col("to").alias("next")), "to").select("node", F.col("next").alias("to")))
+    path = met(path, height, "node").agg(F.sort_array(F.collect_list(F.struct((-F.col("depth")).alias("k"), "node"))).alias("p"))
     return path.select(F.when(F.size("p") > 0, F.col("p.node")).alias("path"))
 
 

@@ -61,7 +61,7 @@ def steps(spark, sf_dir):
     p = F.col("p_partkey")
     part = load(spark, sf_dir, "part")
     ends = part.select(p.alias("src"), F.explode(F.array_compact(F.array(F.when(p % 1000 != 0, p + 1), F.when(p % 1000 == 1, p + 1500)))).alias("dst"))
-    return ends.join(part.select(p.alias("dst")), "dst", "left_semi").select("src", "dst")
+    return graph.met(ends, part.select(p.alias("dst")), "dst", "left_semi").select("src", "dst")
 
 
 STEPS = "e AS (SELECT p_partkey AS src, unnest([CASE WHEN p_partkey % 1000 <> 0 THEN p_partkey + 1 END, CASE WHEN p_partkey % 1000 = 1 THEN p_partkey + 1500 END]) AS dst FROM part), s AS (SELECT src, dst FROM e WHERE dst IN (SELECT p_partkey FROM part))"
