@@ -5,7 +5,8 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from weftline import catalog
-from weftline.operators import graph, schedule
+from weftline.operators import graph, schedule, textindex
+from weftline.sources.store import Store
 
 TASK = "id long, ord int, reads array<string>, writes array<string>, mutexes array<string>"
 
@@ -61,3 +62,19 @@ def test_rounds_over_a_graph_send_no_table_to_the_driver(spark, tmp_path, monkey
     assert [tuple(r) for r in catalog.queries()["chain_length"](spark, str(tmp_path)).collect()] == [(1000, 3000)]
     assert sum("SortMergeJoin" in p for p in plans) > 20
     assert not [p for p in plans if "BroadcastHashJoin" in p]
+
+
+def test_postings_shuffle_texts_and_merge_arrays(spark, tmp_path):
+    docs = spark.createDataFrame([(d, f"a b a w{d} " + "b " * (d % 3)) for d in range(3000)], "doc long, text string")
+    rows = textindex.postings(docs)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")  # words are made after the shuffle
+    store = Store(spark, str(tmp_path / "s"))
+    textindex.define(store, buckets=4)
+    for part in (0, 1):
+        with store.begin() as tx:
+            tx.append("postings", textindex.postings(docs.filter(F.col("doc") % 2 == part)), spread=False)
+    store.merge("postings", 1, textindex.merged)
+    key = lambda r: (r.term, r.block)
+    assert sorted(store.read("postings").collect(), key=key) == sorted(rows.collect(), key=key)
+    assert "explode" not in textindex.merged(rows)._jdf.queryExecution().executedPlan().toString()

@@ -27,19 +27,34 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
 
 
+def _arrays(packed: Column) -> list[Column]:
+    """docs and places of sorted numbers that hold an offset above a place."""
+    return [F.transform(packed, lambda x: F.shiftright(x, 32).cast("smallint")).alias("docs"), F.transform(packed, lambda x: x.bitwiseAND((1 << 31) - 1).cast("int")).alias("places")]
+
+
+def _packed(offset: Column, place: Column) -> Column:
+    return F.shiftleft(offset.cast("long"), 32) + place
+
+
 def postings(texts: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
-    """Posting rows of texts; doc is a number of its own for each, null texts and documents without number have none."""
-    found = texts.filter(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("_d"), F.posexplode(words(F.col(text))).alias("_p", "term"))
-    block, offset = F.shiftright("_d", BLOCK_BITS), F.col("_d").bitwiseAND((1 << BLOCK_BITS) - 1).cast("smallint")
-    held = found.groupBy("term", block.alias("block")).agg(F.array_sort(F.collect_list(F.struct(offset.alias("d"), F.col("_p").alias("p")))).alias("_h"))
-    return held.select("term", "block", F.col("_h.d").alias("docs"), F.col("_h.p").alias("places"))
+    """Posting rows of texts; doc is a number of its own for each, null texts and documents without number have none.
+
+    Texts are dealt by block, so what is shuffled is texts, not a row for each word with its place; a
+    block's postings are then made where it lies, an occurrence being one number.
+    """
+    rows = texts.filter(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("_d"), F.shiftright(F.col(doc).cast("long"), BLOCK_BITS).alias("block"), F.col(text).alias("_t")).repartition("block")
+    found = rows.select("block", F.col("_d").bitwiseAND((1 << BLOCK_BITS) - 1).alias("_o"), F.posexplode(words(F.col("_t"))).alias("_p", "term"))
+    held = found.groupBy("block", "term").agg(F.sort_array(F.collect_list(_packed(F.col("_o"), F.col("_p")))).alias("_h"))
+    return held.select("term", "block", *_arrays(F.col("_h")))
 
 
 def merged(rows: DataFrame) -> DataFrame:
-    """One row for each term and block of several segments'."""
-    pairs = F.explode(F.arrays_zip("docs", "places")).alias("x")
-    held = rows.select("term", "block", pairs).groupBy("term", "block").agg(F.array_sort(F.collect_list("x")).alias("_h"))
-    return held.select("term", "block", F.col("_h.docs").alias("docs"), F.col("_h.places").alias("places"))
+    """One row for each term and block of several segments'.
+
+    Rows are gathered as they are, arrays and all, and sorted once they are together.
+    """
+    held = rows.groupBy("term", "block").agg(F.flatten(F.collect_list("docs")).alias("d"), F.flatten(F.collect_list("places")).alias("p"))
+    return held.select("term", "block", F.sort_array(F.zip_with("d", "p", _packed)).alias("_h")).select("term", "block", *_arrays(F.col("_h")))
 
 
 def of_terms(store: Store, terms: list[str], table: str = "postings") -> DataFrame:

@@ -40,7 +40,7 @@ def indexed(spark, sf_dir) -> Store:
     docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
     for batch in (0, 1):
         with store.begin(batch) as tx:
-            tx.append("postings", textindex.postings(docs.filter(F.col("doc") % 2 == batch)))
+            tx.append("postings", textindex.postings(docs.filter(F.col("doc") % 2 == batch)), spread=False)
     store.merge("postings", 1, textindex.merged)
     return store
 

@@ -202,16 +202,19 @@ class Transaction:
         marked = [F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("")) for k in keys]
         return F.pmod(F.xxhash64(*marked), F.lit(self._of(table)["buckets"])).cast("int")
 
-    def _put(self, table: str, rows: DataFrame, touched: list[int] | None) -> None:
+    def _put(self, table: str, rows: DataFrame, touched: list[int] | None, spread: bool = True) -> None:
         """Write rows as all that the touched buckets hold (None: all buckets; none: beside what they hold).
 
-        A bucket's rows are spread by key over as many tasks as their size asks for.
+        A bucket's rows are spread by key over as many tasks as their size asks for.  The bucket follows from
+        the keys, so rows that were just grouped by them are not shuffled again.  spread=False: each task
+        writes the rows it has, for rows that are dealt over tasks by other columns already.
         """
         of, (schema, keys, _) = self._of(table), self.store.kinds[table]
         self.step += 1
         folder = f"{table}/v={self.version:08d}-{self.step}"
         out = rows.select(*[F.col(f.name).cast(f.dataType) for f in schema]).withColumn(BUCKET, self._bucket(table))
-        out.repartition(BUCKET, *keys).sortWithinPartitions(BUCKET, *keys).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.store.path}/{folder}")
+        out = out.repartition(*keys) if spread else out
+        out.sortWithinPartitions(BUCKET, *keys).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.store.path}/{folder}")
         for b in touched if touched is not None else list(of["folders"]):
             of["folders"].pop(str(b), None)
         for name in Folder(self.store.spark, f"{self.store.path}/{folder}").names():
@@ -227,10 +230,10 @@ class Transaction:
         if touched:
             self._put(table, change(self.store._rows(table, self.manifest, touched), rows), touched)
 
-    def append(self, table: str, rows: DataFrame) -> None:
-        """Add rows without a look at those that are there."""
+    def append(self, table: str, rows: DataFrame, spread: bool = True) -> None:
+        """Add rows without a look at those that are there; spread=False: without a shuffle."""
         if not self.done:
-            self._put(table, rows, [])
+            self._put(table, rows, [], spread)
 
     def insert_absent(self, table: str, rows: DataFrame) -> None:
         """Add rows whose key is not there yet."""
