@@ -5,7 +5,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from weftline import catalog
-from weftline.operators import graph, schedule, textindex
+from weftline.operators import cochange, graph, schedule, sized, textindex
 from weftline.sources.store import Store
 
 TASK = "id long, ord int, reads array<string>, writes array<string>, mutexes array<string>"
@@ -77,4 +77,14 @@ def test_postings_shuffle_texts_and_merge_arrays(spark, tmp_path):
     store.merge("postings", 1, textindex.merged)
     key = lambda r: (r.term, r.block)
     assert sorted(store.read("postings").collect(), key=key) == sorted(rows.collect(), key=key)
-    assert "explode" not in textindex.merged(rows)._jdf.queryExecution().executedPlan().toString()
+    held = spark.createDataFrame([("a", 0, [1], [2])], textindex.POSTINGS)
+    assert "Generate" not in textindex.merged(held)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_and_groups_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(sized, "ROWS", 100)
+    monkeypatch.setattr(sized.dealt, "__kwdefaults__", {"each": 100})
+    rows = spark.createDataFrame([(g, i) for g in range(400) for i in range(g % 7, g % 7 + 5)], "g int, i int")
+    got = cochange.edges(rows, "g", "i")
+    assert got.rdd.getNumPartitions() == 2 * rows.count() // 100
+    assert got.agg(F.sum("n")).first()[0] == 400 * 10

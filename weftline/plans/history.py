@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weftline.catalog import query
 from weftline.operators import cochange, index
+from weftline.operators.sized import dealt
 from weftline.sources.tables import load
 
 LINKS = "links AS (SELECT DISTINCT l_orderkey AS g, l_partkey AS i FROM lineitem)"
@@ -95,6 +96,7 @@ def weighted_neighbors(spark, sf_dir):
 )
 def top5_neighbors(spark, sf_dir):
     rows = cochange.both_ways(edges(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
+    rows = dealt(rows, 4 * links(spark, sf_dir).count(), "item")
     return cochange.top_k(rows, 5, F.desc("weight"), F.col("neighbour"), per=["item"]).select("item", "neighbour", "weight")
 
 
