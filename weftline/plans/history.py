@@ -72,12 +72,9 @@ def jaccard_neighbors(spark, sf_dir):
     f"WITH {LINKS}{JACCARD.format('IS NOT NULL')} SELECT p.p_brand AS src, q.p_brand AS dst, count(*) AS n, round(max(jaccard), 9) AS jaccard FROM neighbours JOIN part p ON p.p_partkey = target JOIN part q ON q.p_partkey = other WHERE jaccard >= 0.015 AND p.p_brand <> q.p_brand GROUP BY ALL",
 )
 def jaccard_lift(spark, sf_dir):
-    part = load(spark, sf_dir, "part")
-    targets = part.select(F.col("p_partkey").alias("target"))
-    rows = cochange.jaccard_neighbours(links(spark, sf_dir), targets, "l_orderkey", "l_partkey").filter("jaccard >= 0.015")
-    brand = lambda key, name: part.select(F.col("p_partkey").alias(key), F.col("p_brand").alias(name))
-    rows = rows.join(brand("target", "src"), "target").join(brand("other", "dst"), "other").filter("src <> dst")
-    return rows.groupBy("src", "dst").agg(F.count("*").alias("n"), F.round(F.max("jaccard"), 9).alias("jaccard"))
+    owner = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), F.col("p_brand").alias("component"))
+    rows = cochange.jaccard_lift(links(spark, sf_dir), owner, "l_orderkey", "l_partkey", 0.015)
+    return rows.withColumn("jaccard", F.round("jaccard", 9))
 
 
 @query(
