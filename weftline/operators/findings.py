@@ -140,10 +140,7 @@ def drift(baseline: DataFrame, current: DataFrame) -> DataFrame:
         places = row.locations if many else [{"file": row.file, "start_line": row.start_line, "end_line": row.end_line}]
         return [(p["file"], p["start_line"], p["start_line"] if p["end_line"] is None or p["end_line"] != p["end_line"] else p["end_line"]) for p in places]
 
-    def match(old, new):
-        import pandas as pd
-
-        old, new = list(old.sort_values("ord").itertuples()), new.sort_values("ord")
+    def match(rule, old, new):
         places = [spans(b) for b in old]
         at: dict = {}
         for k, of in enumerate(places):
@@ -151,25 +148,43 @@ def drift(baseline: DataFrame, current: DataFrame) -> DataFrame:
                 at.setdefault(f, []).append(k)
         free, out = set(range(len(old))), []
         first = lambda of: of[0][0] if of else None
-        for c in new.itertuples():
+        for c in new:
             mine = spans(c)
-            near = sorted({k for f in {f for f, _, _ in mine} for k in at.get(f, ()) if k in free})
-            home = next((k for k in near if any(f == g and s <= e2 and s2 <= e for f, s, e in mine for g, s2, e2 in places[k])), None)
+            files = {f for f, _, _ in mine}
+            near = at.get(mine[0][0], ()) if len(files) == 1 else sorted({k for f in files for k in at.get(f, ())})
+            home = next((k for k in near if k in free and any(f == g and s <= e2 and s2 <= e for f, s, e in mine for g, s2, e2 in places[k])), None)
             if home is None:
-                out.append((c.rule_id, first(mine), "new", None, c.severity, []))
+                out.append((rule, first(mine), "new", None, c.severity, []))
                 continue
             free.remove(home)
             b = old[home]
             changes = [{"field": "severity", "old": b.severity, "new": c.severity}] if b.severity != c.severity else []
             if b.confidence != c.confidence:
                 changes.append({"field": "confidence", "old": f"{b.confidence:.2f}", "new": f"{c.confidence:.2f}"})
-            out.append((c.rule_id, first(mine), "changed" if changes else "stable", b.severity, c.severity, changes))
-        out += [(old[k].rule_id, first(places[k]), "resolved", old[k].severity, None, []) for k in sorted(free)]
-        return pd.DataFrame(out, columns=["rule_id", "file", "status", "before", "after", "changes"])
+            out.append((rule, first(mine), "changed" if changes else "stable", b.severity, c.severity, changes))
+        return out + [(rule, first(places[k]), "resolved", old[k].severity, None, []) for k in sorted(free)]
 
     keys = ["rule_id"] if many else ["rule_id", "file"]
-    own = current.select(*[F.col(c).alias(c) for c in current.columns])  # apart from baseline where both come from one table
-    return baseline.groupBy(*keys).cogroup(own.groupBy(*keys)).applyInPandas(match, kind)
+    columns = ["rule_id", "ord", "severity", "confidence", *(["locations"] if many else ["file", "start_line", "end_line"])]
+
+    def fold(batches):
+        import pandas as pd
+
+        key, sides, begun = None, ([], []), False
+        for frame in batches:
+            out = []
+            for r in frame.itertuples(index=False):
+                now = tuple(getattr(r, k) for k in keys)
+                if not begun or now != key:
+                    out += match(key[0], *sides) if begun else []
+                    key, sides, begun = now, ([], []), True
+                sides[r.late].append(r)
+            yield pd.DataFrame(out, columns=["rule_id", "file", "status", "before", "after", "changes"])
+        yield pd.DataFrame(match(key[0], *sides) if begun else [], columns=["rule_id", "file", "status", "before", "after", "changes"])
+
+    # streamed through one sort, a group at a time: a call for each group costs more than its matching
+    both = baseline.select(*columns, F.lit(0).alias("late")).unionByName(current.select(*columns, F.lit(1).alias("late")))
+    return both.repartition(*keys).sortWithinPartitions(*keys, "late", "ord").mapInPandas(fold, kind)
 
 
 def trend(changes: DataFrame) -> DataFrame:
