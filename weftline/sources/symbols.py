@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import lexer
+from weftline.operators.sized import dealt
 
 SYMBOLS = "file string, name string, kind string, exported boolean, line int, start int, end int"
 IMPORTS = "file string, specifier string, imported_names array<string>, is_type_only boolean, is_re_export boolean"
@@ -156,6 +157,8 @@ def symbols(files: DataFrame) -> DataFrame:
     return files.select("file", "content").mapInPandas(run, SYMBOLS)
 
 
+#: Files that a task parses: a small table of names may stand for much text.
+FILES = 50_000
 TREE = "file string, ord int, name string, kind string, parent string, depth int, line int, start int, end int"
 
 _MEMBER = re.compile(r"^[ \t]*((?:(?:public|private|protected|static|readonly|abstract|override|async|declare|get|set)\s+)*)([#*]?\s*[A-Za-z_$][\w$]*)\s*([?!]?)\s*(\(|<|:|=(?!=)|;|,|$)", re.M)
@@ -287,7 +290,7 @@ def nested_symbols(files: DataFrame) -> DataFrame:
             rows = [(f, i, *s) for f, c in zip(frame["file"], frame["content"]) if f.rpartition(".")[2] in REGISTRY for i, s in enumerate(symbol_tree(c or "", f.rpartition(".")[2]))]
             yield pd.DataFrame(rows, columns=["file", "ord", "name", "kind", "parent", "depth", "line", "start", "end"])
 
-    return files.select("file", "content").mapInPandas(run, TREE)
+    return dealt(files.select("file", "content"), files.count(), "file", each=FILES).mapInPandas(run, TREE)
 
 
 def first_named(tree: DataFrame, name: str) -> DataFrame:
