@@ -8,6 +8,7 @@ from weftline import catalog
 from weftline.operators import cochange, findings, graph, schedule, sized, textindex
 from weftline.sources import symbols
 from weftline.sources.store import Store
+from weftline.streaming.changes import ChangeIndex
 
 TASK = "id long, ord int, reads array<string>, writes array<string>, mutexes array<string>"
 
@@ -120,3 +121,18 @@ def test_few_names_of_much_text_are_spread(spark):
     rows = spark.range(0, 200, 1, 1).select(F.concat("id", F.lit(".ts")).alias("file"), F.lit("export const a = 1;\n").alias("content"))
     parsed = symbols.nested_symbols(rows)
     assert parsed.count() == 200 and parsed.rdd.getNumPartitions() > 1
+
+
+def test_orders_of_changes_are_dealt_once(spark, tmp_path, monkeypatch):
+    spark.range(40).selectExpr("id as o_orderkey", "id % 7 as o_custkey", "timestamp_seconds(820000000 + id * 40000) as o_orderdate", "'1-URGENT' as o_orderpriority").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(200).selectExpr("id % 40 as l_orderkey", "id % 23 as l_partkey").write.parquet(str(tmp_path / "lineitem.parquet"))
+    plans, index = [], ChangeIndex.index
+
+    def look(self, rows, *rest):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return index(self, rows, *rest)
+
+    monkeypatch.setattr(ChangeIndex, "index", look)
+    got = catalog.queries()["indexed_changes"](spark, str(tmp_path)).collect()
+    assert {r.path: r.links for r in got} == {f"lib/m{p % 7}/p{p}": len({i % 40 for i in range(200) if i % 23 == p}) for p in range(23)}
+    assert [p.count("Exchange hashpartitioning(l_orderkey") for p in plans] == [1, 1]

@@ -69,7 +69,8 @@ tags AS (SELECT p, tag FROM ops WHERE kept UNION SELECT p, 'm' || p % 7 FROM liv
 SELECT 'lib/m' || p % 7 || '/p' || p AS path, alive, links, string_agg(tag, ',' ORDER BY tag) AS tags FROM live JOIN tags USING (p) GROUP BY ALL""",
 )
 def indexed_changes(spark, sf_dir):
-    line = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    # dealt once by order: distinct links, the lists of an order and the join with orders stay where they are
+    line = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").repartition("l_orderkey").distinct()
     path = F.concat(F.lit("lib/m"), (F.col("l_partkey") % 7).cast("string"), F.lit("/p"), F.col("l_partkey").cast("string"))
     alive = (F.col("l_partkey") + F.col("l_orderkey")) % 5 != 0
     held = line.groupBy("l_orderkey").agg(F.collect_list(F.when(alive, path)).alias("files"), F.collect_list(F.when(~alive, path)).alias("deleted_files"))

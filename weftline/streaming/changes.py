@@ -62,15 +62,15 @@ class ChangeIndex:
 
     def _commits(self, tx, rows: DataFrame) -> None:
         subject = F.col("subject")
-        tx.append("commits", rows.select("sha", "doc", subject.alias("message"), "author", "timestamp", text.conventional_type(subject).alias("conv_type"), text.conventional_scope(subject).alias("conv_scope")))
-        tx.append("postings", textindex.postings(rows, "doc", "subject"))
+        tx.append("commits", rows.select("sha", "doc", subject.alias("message"), "author", "timestamp", text.conventional_type(subject).alias("conv_type"), text.conventional_scope(subject).alias("conv_scope")), spread=False)
+        tx.append("postings", textindex.postings(rows, "doc", "subject"), spread=False)
 
     def _kept(self, path: Column) -> Column:
         return ~paths.matches_any(path, self.exclude) if self.exclude else F.lit(True)
 
     def _paths(self, tx, rows: DataFrame) -> dict:
         changed = checkpoint(commits.changes(rows).filter(self._kept(F.col("path"))))
-        tx.insert_absent("links", changed.select("path", "sha").distinct())
+        tx.insert_absent("links", changed.select("path", "sha"))  # one row for each key, as any insertion
         tx.upsert("artifacts", changed.groupBy("path").agg(F.max_by("alive", F.struct("timestamp", "sha", "seq")).alias("alive")))
         said = rows.select("sha", "timestamp", text.tag_operations(F.col("body")).alias("ops")).filter("ops is not null").select("sha", F.posexplode("ops").alias("seq", "o"))
         found = changed.filter("alive").select("path", "sha", "timestamp").join(said.drop("timestamp"), "sha").select("path", "sha", "seq", "o.tag", "o.op", "timestamp")
