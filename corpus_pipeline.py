@@ -51,7 +51,7 @@ def byte_pairs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Executors still hold memory of the stages before, so workers take less of it than by default.
     """
-    return bpe.encode_documents(docs, batch_bytes=1 << 20, memo=100_000)
+    return bpe.encode_documents(docs, batch_bytes=1 << 18, memo=100_000)
 
 
 STAGES = [

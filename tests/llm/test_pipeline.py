@@ -49,3 +49,34 @@ def test_stages_on_no_rows_and_odd_rows(spark, tmp_path):
                 assert out.columns == docs.columns
                 if name == "near_duplicates" and rows:  # one of each group, and rows without an id
                     assert sorted(r.doc_id or 0 for r in out.collect()) == [0, 1, 2, 3]
+
+
+def token_peak(batch_bytes):
+    """Peak MB that a worker allocates for a megabyte of texts of new words, codec and memory of chunks aside."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from weftline.llm import bpe
+    from weftline.llm.common import as_bytes, parts
+
+    rng = random.Random(8)
+    texts = [" ".join(f"{rng.choice('abcdefgh')}{rng.randrange(10**9):x}" for _ in range(2500)) for _ in range(45)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(45), pa.int64()), "text": pa.array(texts)})
+    codec = bpe.load_codec(None, None)
+    codec.known = {}
+    peaks = []
+    for part in parts(batch, 1, batch_bytes):
+        tracemalloc.start()
+        codec.encode_batch([b.decode() for b in as_bytes(part.column(1))])
+        peaks.append(tracemalloc.get_traced_memory()[1] / 1e6)
+        tracemalloc.stop()
+    return max(peaks)
+
+
+def test_byte_pairs_encodes_few_texts_together(monkeypatch):
+    asked = {}
+    monkeypatch.setattr(corpus_pipeline.bpe, "encode_documents", lambda docs, **how: asked.update(how))
+    corpus_pipeline.byte_pairs(None, None, "")
+    monkeypatch.undo()
+    assert token_peak(asked["batch_bytes"]) < 60

@@ -88,3 +88,54 @@ def test_radii_let_hardly_any_link_pass():
 
     sizes = [*range(similar.LEAST, 48), 60, 90]
     assert max(missed(n, m) for n in sizes for m in range(n, n * similar.DEN // similar.NUM + 1)) < 1e-6
+
+
+def family(rng, n, changes, many):
+    """Texts of n words that differ from one base in some words each."""
+    base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    out = []
+    for k in range(many):
+        words = list(base)
+        for at in rng.sample(range(n), changes):
+            words[at] = f"x{k}.{at}"
+        out.append(" ".join(words))
+    return out
+
+
+def test_rows_follow_texts_and_not_pairs_of_a_group(spark, monkeypatch):
+    """300 texts that are all within the radius of each other and hardly linked: no step has a row for each pair."""
+    made, keep = [], similar.reliable
+
+    def counted(df):
+        df = keep(df)
+        made.append(df.count())
+        return df
+
+    monkeypatch.setattr(similar, "reliable", counted)
+    rows = list(enumerate(family(random.Random(6), 104, 2, 300)))
+    got = {r.doc_id: r.component_id for r in similar.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == components([shingles(t) for _, t in rows])
+    prefix = 100 - 80 + 1
+    assert len(made) > 4 and max(made) <= 300 * prefix < 300 * 299 // 2
+
+
+def components(sets):
+    label = list(range(len(sets)))
+    for i, s in enumerate(sets):
+        for j in range(i):
+            if 5 * len(s & sets[j]) >= 4 * len(s | sets[j]) and label[i] != label[j]:
+                lo, hi = sorted((label[i], label[j]))
+                label = [lo if x == hi else x for x in label]
+    return dict(enumerate(label))
+
+
+def test_parts_of_a_group_and_small_blocks_change_nothing(spark, monkeypatch):
+    """Groups cut in parts, and pairs made a few at a time, give the components of brute force."""
+    for name, value in (("GROUP", 2_000), ("TOGETHER", 500), ("PAIRS", 50), ("GATHERED", 300)):
+        monkeypatch.setattr(similar, name, value)
+    rng = random.Random(7)
+    texts = [t for n, changes, many in ((104, 1, 60), (104, 2, 40), (12, 1, 20), (24, 1, 40), (60, 1, 30)) for t in family(rng, n, changes, many)]
+    rng.shuffle(texts)
+    got = {r.doc_id: r.component_id for r in similar.similar_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = components([shingles(t) for t in texts])
+    assert got == want and 40 < len({*want.values()}) < len(texts) - 60

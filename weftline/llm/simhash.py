@@ -165,10 +165,14 @@ class GrayIndex:
                 labels = unite(labels, np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found]))
         return labels
 
-    def pairs(self, radius: int, labels):
-        """Arrays of all rows (a, b), a before b, that differ in at most radius bits and have different labels."""
+    def pairs(self, radius: int, labels, probes: int = PROBES):
+        """Arrays of all rows (a, b), a before b, that differ in at most radius bits and have different labels.
+
+        Labels that the caller joins in place between two arrays count from the next on; an array has the
+        pairs of so many probes at most.
+        """
         np = self.np
-        for at, same in self._rounds(lambda: labels):
+        for at, same in self._rounds(lambda: labels, min(PROBES, max(1, probes))):
             found: list[tuple] = []
             self._probe(len(self.levels) - 1, *at, radius, labels, same, found, False)
             if found:
@@ -176,12 +180,12 @@ class GrayIndex:
                 apart = labels[a] != labels[b]
                 yield a[apart], b[apart]
 
-    def _rounds(self, labels):
+    def _rounds(self, labels, probes: int = PROBES):
         """Probes in blocks, and which nodes hold only one label when a block begins."""
         np = self.np
         n = len(self.group)
-        for at in range(0, n if self.levels else 0, PROBES):
-            q = np.arange(at, min(n, at + PROBES))
+        for at in range(0, n if self.levels else 0, probes):
+            q = np.arange(at, min(n, at + probes))
             same, now = [], labels()
             for lo, *_ in self.levels:
                 least = np.minimum.reduceat(now, lo)
@@ -259,21 +263,26 @@ def blocks_for(n: int, bits: int, radius: int) -> int:
     return blocks
 
 
+def cut_groups(rows: DataFrame, keys: list[str], ident: str, size: Column, most: int) -> DataFrame:
+    """rows with a column part; size is the aggregate that measures a group.
+
+    A group of a size over most is cut in p pieces, and each row goes to the p parts that pair its
+    piece with each piece: any two rows of a group meet in a part, and no part is much larger than
+    most.  Groups are measured first.
+    """
+    large = rows.groupBy(*keys).agg(size.alias("in_group")).filter(F.col("in_group") > most)
+    large = large.select(*keys, F.ceil(2 * F.col("in_group") / most).cast("int").alias("p"))  # fewer than a row for each most
+    rows = rows.join(F.broadcast(large), keys, "left").withColumn("piece", F.pmod(F.xxhash64(ident, F.lit(9)), F.col("p")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda j: F.least("piece", j) * F.col("p") + F.greatest("piece", j))
+    return rows.withColumn("part", F.explode(F.when(F.col("p").isNull(), F.array(F.lit(0))).otherwise(others))).drop("p", "piece")
+
+
 def in_shards(rows: DataFrame, keys: list[str], ident: str, n_rows: int) -> DataFrame:
     """rows with a column part, sorted by keys and part in each task.
 
-    A group of over SHARD_ROWS rows is cut in p pieces, and each row goes to the p parts that pair
-    its piece with each piece: any two rows of a group meet in a part, and no part holds much more
-    than SHARD_ROWS.  Groups are counted first, unless all rows together are few.
+    Groups of over SHARD_ROWS rows are cut in parts, unless all rows together are few.
     """
-    if n_rows <= SHARD_ROWS:
-        rows = rows.withColumn("part", F.lit(0))
-    else:
-        large = rows.groupBy(*keys).agg(F.count("*").alias("in_group")).filter(F.col("in_group") > SHARD_ROWS)
-        large = large.select(*keys, F.ceil(2 * F.col("in_group") / SHARD_ROWS).cast("int").alias("p"))  # fewer than a row for each SHARD_ROWS
-        rows = rows.join(F.broadcast(large), keys, "left").withColumn("piece", F.pmod(F.xxhash64(ident, F.lit(9)), F.col("p")).cast("int"))
-        others = F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda j: F.least("piece", j) * F.col("p") + F.greatest("piece", j))
-        rows = rows.withColumn("part", F.explode(F.when(F.col("p").isNull(), F.array(F.lit(0))).otherwise(others))).drop("p", "piece")
+    rows = rows.withColumn("part", F.lit(0)) if n_rows <= SHARD_ROWS else cut_groups(rows, keys, ident, F.count("*"), SHARD_ROWS)
     return rows.repartition(*keys, "part").sortWithinPartitions(*keys, "part")
 
 

@@ -4,14 +4,15 @@ Two texts are linked if the sets of their shingles have a Jaccard similarity of
 sets become one class first.  Under any one order of all shingles, two linked sets share one of their
 first n - ceil(4n / 5) + 1 shingles, so a class goes to the shards of those shingles; the order puts
 shingles that a sample shows to be common last, which changes the cost and never the result.  In a
-shard the Gray-order index of 256-bit fingerprints finds the classes that differ in few bits.  At a
+shard the Gray-order index of 256-bit fingerprints joins the classes that differ in few bits.  At a
 similarity of 4/5 fingerprints differ in about 39 bits (standard deviation 5.7, up to 48 and 6.3 for the
 smallest sets) and in about 128 without any.  With hashes taken as random bits, the radii let less
 than one link in a million pass at any sizes of sets (worst: 0.55 in a million).
 
-A first round takes from each shard a forest, which joins large groups of copies by few links; a
-second takes all pairs within the radius that are not joined yet.  Proposed links are confirmed on
-the whole sets, in integers.
+A shard reports a forest, never its pairs.  What the forests of all shards join is a group, so both ends
+of a link are in one group.  Each class then goes with its whole text to its group, once, where the
+index proposes pairs that are not joined yet and whole sets decide, in integers, in the task that
+holds them.  A group of over GROUP shingles is cut in pieces that meet pairwise.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, parts, reliable, with_hot
-from .simhash import components_of, fingerprint, groups_of, in_shards, indexed, shingle_hashes
+from .simhash import components_of, cut_groups, fingerprint, groups_of, in_shards, indexed, shingle_hashes, unite
 
 #: Least similarity of a link as a fraction; sets below LEAST shingles are linked only to equal ones.
 NUM, DEN = 4, 5
@@ -32,9 +33,11 @@ WORDS, SMALL, SMALL_RADIUS, RADIUS, FIRST_RADIUS = 4, 24, 80, 70, 44
 SAMPLE, COMMON, SEEN = 6_000, 100_000, 3
 #: Ids of wanted texts up to which they are broadcast (their texts never are).
 FEW = 1_000_000
-#: Parts that shards of shingles seen in the sample are cut in, so that none is one task's work, and
-#: partners of a class that are compared with it together.
-SALTS, PARTNERS = 64, 1_000
+#: Parts that shards of shingles seen in the sample are cut in, so that none is one task's work.
+SALTS = 64
+#: Shingles of a group up to which it is one part, and what a class counts beside its shingles; shingles of
+#: the groups that a task takes together; pairs sought and shingles gathered at once.  They bound a task's memory.
+GROUP, EACH, TOGETHER, PAIRS, GATHERED = 2_000_000, 64, 250_000, 500_000, 500_000
 
 PRINTS = [f"f{k}" for k in range(WORDS)]
 
@@ -134,11 +137,11 @@ def meetings(summary: DataFrame) -> DataFrame:
     return rows.mapInArrow(shared, "item long, k0 long")
 
 
-def proposed(met: DataFrame, n_rows: int, forest: bool) -> DataFrame:
-    """a, b: classes that some shard's index finds near each other, of sizes that may link.
+def grouped(met: DataFrame, n_rows: int) -> DataFrame:
+    """node, component: classes that chains of pairs within the radius join in shards; no link leaves a component.
 
-    Either a forest, each class b with one a before it, or all pairs of different labels, a < b.
-    met: item, k0, n, label and fingerprint.
+    met: item, k0, n and fingerprint.  A task reports a forest over the classes of the shards it reads
+    together, so rows grow with classes, never with pairs.
     """
 
     def run(batches):
@@ -146,32 +149,61 @@ def proposed(met: DataFrame, n_rows: int, forest: bool) -> DataFrame:
         import pyarrow as pa
 
         for rows in groups_of(batches, 2):
-            rows, index = indexed(rows, 2, 5)
-            if index is None:
-                continue
-            ident, n = rows[:, 2], rows[:, 3]
-            if forest:
-                labels = index.components(FIRST_RADIUS)
-                at = (labels != np.arange(len(labels))).nonzero()[0]
-                found = [(at, labels[at])]
-            else:
-                found = index.pairs(SMALL_RADIUS, np.unique(rows[:, 4], return_inverse=True)[1])
-            for a, b in found:
-                ok = (DEN * np.minimum(n[a], n[b]) >= NUM * np.maximum(n[a], n[b])) & (ident[a] != ident[b])
-                ok &= (np.minimum(n[a], n[b]) < SMALL) | (np.bitwise_count(index.bits[a] ^ index.bits[b]).sum(axis=1) <= RADIUS)
-                a, b = ident[a[ok]], ident[b[ok]]
-                p = np.unique(np.column_stack((b, a) if forest else (np.minimum(a, b), np.maximum(a, b))), axis=0)
-                yield pa.RecordBatch.from_pydict({"a": pa.array(np.ascontiguousarray(p[:, 0])), "b": pa.array(np.ascontiguousarray(p[:, 1]))})
-
-    rows = in_shards(met, ["item"], "k0", n_rows).select("item", "part", "k0", "n", "label", *PRINTS)
-    return rows.mapInArrow(run, "a long, b long").distinct()
-
-
-def confirmed(pairs: DataFrame, packed: DataFrame, width: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough.
+            found = [np.empty((0, 2), dtype=np.int64)]
+            for fit, radius in ((NUM * rows[:, 3] < DEN * SMALL, SMALL_RADIUS), (rows[:, 3] >= SMALL, RADIUS)):
+                some, index = indexed(rows[fit], 2, 4) if fit.any() else (None, None)
+                if index is not None:
+                    labels = index.components(radius)
+                    at = (labels != np.arange(len(labels))).nonzero()[0]
+                    found.append(np.column_stack((some[at, 2], some[labels[at], 2])))
+            ident, at = np.unique(np.concatenate(found), return_inverse=True)
+            at = at.reshape(-1, 2)
+            labels = unite(np.arange(len(ident)), at[:, 0], at[:, 1])
+            at = (labels != np.arange(len(labels))).nonzero()[0]
+            yield pa.RecordBatch.from_pydict({"a": pa.array(ident[at]), "b": pa.array(ident[labels[at]])})
+
+    rows = in_shards(met, ["item"], "k0", n_rows).select("item", "part", "k0", "n", *PRINTS)
+    found = components_of(rows.mapInArrow(run, "a long, b long"))
+    return reliable(found.unionByName(found.select(F.col("component").alias("node"), "component").distinct()))
+
+
+def alike(sets: list):
+    """A function of rows (a, b) that says of each pair whether its whole sets are similar enough."""
+    import numpy as np
 
-    packed: k0, text (compressed), one row for each class.  The text of a goes once to each of the
-    parts that its partners are cut in, so a class with very many partners is not one task's work.
+    n = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+    start = np.cumsum(n) - n
+    number = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    mark = np.zeros(len(number), dtype=bool)
+
+    def test(a, b):
+        out = np.zeros(len(a), dtype=bool)
+        order = np.lexsort((b, a))
+        first = np.concatenate(([True], a[order][1:] != a[order][:-1]))[: len(a)].nonzero()[0].tolist()
+        for i, j in zip(first, [*first[1:], len(a)]):
+            x = a[order[i]]
+            mine = number[start[x] : start[x] + n[x]]
+            mark[mine] = True
+            block = np.cumsum(n[b[order[i:j]]]) // GATHERED
+            cut = [i, *((block[1:] != block[:-1]).nonzero()[0] + i + 1).tolist(), j]
+            for lo, hi in zip(cut, cut[1:]):
+                y = b[order[lo:hi]]
+                ends = np.cumsum(n[y])
+                at = np.arange(ends[-1]) + np.repeat(start[y] - ends + n[y], n[y])
+                both = np.add.reduceat(mark[number[at]], ends - n[y], dtype=np.int64)
+                out[order[lo:hi]] = (NUM + DEN) * both >= NUM * (n[x] + n[y])
+            mark[mine] = False
+        return out
+
+    return test
+
+
+def confirmed(groups: DataFrame, width: int) -> DataFrame:
+    """a, b: links between classes of a group, confirmed on whole sets, as a forest in each part of a group.
+
+    groups: component, part, k0, n, fingerprint and text (compressed).  In a part the index finds the
+    classes near each other: a forest within a small radius is confirmed first, then all pairs that
+    are not joined yet.  Pairs are made a few at a time and stay in the task.
     """
 
     def run(batches):
@@ -180,28 +212,40 @@ def confirmed(pairs: DataFrame, packed: DataFrame, width: int) -> DataFrame:
         import zstandard
 
         expand = zstandard.ZstdDecompressor().decompress
-        known: tuple = (None, [])
-        for batch in (part for whole in batches for part in parts(whole, 3)):
-            out: list = []
-            for a, _, b, blob in zip(*[batch.column(c).to_pylist() for c in range(4)]):
-                s = np.unique(shingle_hashes(expand(blob), width))
-                if a != known[0]:
-                    known = (a, [])
-                if b is None:
-                    known[1].append(s)  # classes that share k0 by chance give several
-                    continue
-                for t in known[1]:
-                    both = np.sort(np.concatenate((s, t)), kind="stable")
-                    if (NUM + DEN) * int((both[1:] == both[:-1]).sum()) >= NUM * len(both):
-                        out.append((a, b))
-                        break
-            yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
-
-    degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("p"))
-    pairs = pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("p")).alias("cut"))
-    right = pairs.join(packed.withColumnRenamed("k0", "b"), "b").select("a", "cut", "b", "text")
-    left = pairs.select("a", "cut").distinct().join(packed.withColumnRenamed("k0", "a"), "a").select("a", "cut", F.lit(None).cast("long").alias("b"), "text")
-    rows = left.unionByName(right).repartition("a", "cut").sortWithinPartitions("a", "cut", F.col("b").asc_nulls_first())
+
+        def links(held: list, sets: list):
+            rows, index = indexed(np.array(held, dtype=np.int64), 2, 5)
+            if index is None:
+                return
+            ident, n, test = rows[:, 2], rows[:, 3], alike([sets[k] for k in rows[:, 4].tolist()])
+            joined, labels = np.arange(len(rows)), index.components(FIRST_RADIUS)
+            at = (labels != joined).nonzero()[0]
+            hit = test(labels[at], at)
+            joined = unite(joined, labels[at[hit]], at[hit])
+            for a, b in index.pairs(SMALL_RADIUS if n.min() < SMALL else RADIUS, joined, PAIRS // len(rows)):
+                ok = DEN * np.minimum(n[a], n[b]) >= NUM * np.maximum(n[a], n[b])
+                ok &= (np.minimum(n[a], n[b]) < SMALL) | (np.bitwise_count(index.bits[a] ^ index.bits[b]).sum(axis=1) <= RADIUS)
+                a, b = a[ok], b[ok]
+                hit = test(a, b)
+                joined[:] = unite(joined, a[hit], b[hit])  # the next pairs are sought among what is left
+            at = (ident != ident[joined]).nonzero()[0]
+            yield pa.RecordBatch.from_pydict({"a": pa.array(ident[joined[at]]), "b": pa.array(ident[at])})
+
+        held: list = []
+        sets: list = []
+        size = 0
+        for batch in (part for whole in batches for part in parts(whole, 8)):
+            for *row, blob in zip(*[c.to_pylist() for c in batch.columns]):
+                if size >= TOGETHER and row[:2] != held[-1][:2]:
+                    yield from links(held, sets)
+                    held, sets, size = [], [], 0
+                sets.append(np.unique(shingle_hashes(expand(blob), width)))
+                held.append([*row[:4], len(held), *row[4:]])
+                size += len(sets[-1])
+        if held:
+            yield from links(held, sets)
+
+    rows = groups.select("component", "part", "k0", "n", *PRINTS, "text").repartition("component", "part").sortWithinPartitions("component", "part")
     return rows.mapInArrow(run, "a long, b long")
 
 
@@ -233,30 +277,16 @@ def similar_texts(docs: DataFrame, width: int = 5, text: str = "text") -> DataFr
     classes = reliable(classes.filter("of is not null").select("*", F.col("of.doc_id").alias("rep"), F.col("of.t").alias("t")).drop("of"))
     # k0 alone stands for a class where links are sought
     met = meetings(summary).join(classes.select("k0", "n", "rep", "t", *PRINTS), "k0")
-    met = reliable(met.select("item", "k0", "n", F.lit(0).cast("long").alias("label"), "rep", "t", *PRINTS))
-    n_met = met.count()
-    of = met.select("k0", F.col("rep").alias("doc_id"), "t").distinct()
-    met = met.drop("rep", "t")
-
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        """k0 and compressed text of the classes in pairs; texts are not shuffled if the ids of few are wanted."""
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("k0")).distinct()
-        wanted = reliable(of.join(ids, "k0", "left_semi"))
-        if wanted.count() <= FEW:
-            wanted = F.broadcast(wanted)  # 24 bytes a row
-            held = texts.join(wanted, ["doc_id", "t"]).select("k0", "doc_id", "t", "text")
-            found = held.select("k0", "text", "t").mapInArrow(pack("k0"), "k0 long, text binary")
-        else:
-            found = texts.select("doc_id", "text", "t").mapInArrow(pack("doc_id"), "doc_id long, t long, text binary").join(wanted, ["doc_id", "t"]).select("k0", "text")
-        return reliable(found.dropDuplicates(["k0", "text"]))
-
-    tried = reliable(proposed(met, n_met, forest=True))
-    links = reliable(confirmed(tried, texts_of(tried), width))
-    label = components_of(links).select(F.col("node").alias("k0"), F.col("component").alias("label"))
-    met = met.drop("label").join(label, "k0", "left").select("item", "k0", "n", F.coalesce("label", "k0").alias("label"), *PRINTS)
-    known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = reliable(proposed(met, n_met, forest=False).join(known, ["a", "b"], "left_anti"))
-    links = links.unionByName(confirmed(more, texts_of(more), width))
+    met = reliable(met.select("item", "k0", "n", "rep", "t", *PRINTS))
+    members = grouped(met.select("item", "k0", "n", *PRINTS), met.count()).withColumnRenamed("node", "k0")
+    wanted = reliable(met.select("k0", F.col("rep").alias("doc_id"), "t").distinct().join(members.select("k0"), "k0", "left_semi"))
+    if wanted.count() <= FEW:  # texts stay where they are if the ids of few are wanted, 24 bytes a row
+        found = texts.join(F.broadcast(wanted), ["doc_id", "t"]).select("k0", "text", "t").mapInArrow(pack("k0"), "k0 long, text binary")
+    else:
+        found = texts.select("doc_id", "text", "t").mapInArrow(pack("doc_id"), "doc_id long, t long, text binary").join(wanted, ["doc_id", "t"]).select("k0", "text")
+    members = members.join(classes.select("k0", "n", *PRINTS).dropDuplicates(["k0"]), "k0")
+    members = cut_groups(members, ["component"], "k0", F.sum(F.col("n") + EACH), GROUP)
+    links = reliable(confirmed(found.distinct().join(members, "k0"), width))
     # from classes to documents; rows with one doc_id and different texts link their classes
     reps = classes.select("k0", "rep")
     edges = links.join(reps.toDF("a", "u"), "a").join(reps.toDF("b", "v"), "b").select("u", "v")
