@@ -9,6 +9,8 @@ treated alike where a stage keeps or changes rows, and near_duplicates keeps one
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm import bpe, langid, mixing, pii, similar, simhash
@@ -16,6 +18,8 @@ from weftline.llm.common import reliable, table
 
 #: A document goes if no language is found or its calibrated probability is below this.
 LEAST_LANGUAGE_SCORE = 0.35
+#: Bytes of an Arrow batch that goes to a worker.
+ARROW_BYTES = 2 << 20
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,13 +58,22 @@ def byte_pairs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, batch_bytes=1 << 18, memo=100_000)
 
 
-STAGES = [
-    ("language_id", language_id),
-    ("near_duplicates", near_duplicates),
-    ("personal_data", personal_data),
-    ("mixing_sources", mixing_sources),
-    ("byte_pairs", byte_pairs),
-]
+def in_small_batches(stage):
+    """The stage, with texts sent to Python workers few at a time, in this session from now on.
+
+    Spark's limit of bytes is for one batch; each task of an executor fills one outside of its heap and
+    a worker holds it.  Results do not depend on it.
+    """
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES = [(stage.__name__, in_small_batches(stage)) for stage in (language_id, near_duplicates, personal_data, mixing_sources, byte_pairs)]
 
 #: A trained classifier, fingerprints, Luhn and mod-97 checks, a knapsack and merges: not SQL.
 ORACLE_SQL = None

@@ -2,8 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from weftline.llm import pii
+from weftline.llm import langid, pii
 
 
 def test_stages(spark, tmp_path):
@@ -80,3 +82,36 @@ def test_byte_pairs_encodes_few_texts_together(monkeypatch):
     corpus_pipeline.byte_pairs(None, None, "")
     monkeypatch.undo()
     assert token_peak(asked["batch_bytes"]) < 60
+
+
+def test_texts_reach_workers_a_few_at_a_time(spark):
+    """A partition of 20 MB is not one batch."""
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.nbytes])})
+
+    docs = spark.range(0, 2000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a"), 10_000).alias("text"))
+    old = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        dict(corpus_pipeline.STAGES)["byte_pairs"](spark, docs, "")
+        got = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", old)
+    assert sum(got) >= 20_000_000 and max(got) < 3_000_000
+
+
+def test_training_starts_no_other_workers(spark, monkeypatch):
+    """Shares of languages are literals: a table made from a list is a Python RDD, with a pool of workers of its own."""
+    rows = [(h, lang) for lang, n in (("en", 900), ("it's", 40), ("", 3)) for h in range(n)]
+    texts = spark.createDataFrame(rows, "h long, lang string")
+    texts = texts.localCheckpoint()
+
+    def refuse(*args, **how):
+        raise AssertionError("a local list")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refuse)
+    got = [tuple(r) for r in langid.drawn_texts(texts, 300).collect()]
+    assert sorted(got) == sorted((h, lang) for lang, n in (("en", 257), ("it's", 40), ("", 3)) for h in range(n))

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from weftline.llm import similar, simhash
 
@@ -139,3 +141,39 @@ def test_parts_of_a_group_and_small_blocks_change_nothing(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in similar.similar_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     want = components([shingles(t) for t in texts])
     assert got == want and 40 < len({*want.values()}) < len(texts) - 60
+
+
+def dense(n, flips, seed):
+    """n fingerprints of 256 bits in one group, each with some bits of one base flipped, in Gray order."""
+    rng = np.random.default_rng(seed)
+    bits = np.tile(rng.integers(0, 2, 256, dtype=np.uint8), (n, 1))
+    for row in bits:
+        row[rng.choice(256, flips, replace=False)] ^= 1
+    words = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+    rows = np.column_stack((np.zeros(n, dtype=np.int64), np.arange(n), words))
+    return simhash.indexed(rows, 1, 2)
+
+
+def test_a_dense_group_takes_bounded_memory():
+    """All 4.5 million pairs are within the radius, and hardly any node is as a whole."""
+    import tracemalloc
+
+    _, index = dense(3000, 25, 1)
+    tracemalloc.start()
+    labels = index.components(similar.RADIUS)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert not labels.any() and peak < 40
+
+
+def test_joining_early_changes_no_component(monkeypatch):
+    """Components with looks after few links and narrow steps are those of brute force."""
+    for flips, radius in ((25, 44), (25, 36), (12, 20), (40, 62)):
+        _, index = dense(300, flips, flips)
+        near = np.bitwise_count(index.bits[:, None] ^ index.bits[None]).sum(axis=2) <= radius
+        a, b = near.nonzero()
+        want = simhash.unite(np.arange(300), a, b)
+        for wide, links in ((1 << 14, 50_000), (16, 5), (1, 0), (64, 40)):
+            monkeypatch.setattr(simhash, "WIDE", wide)
+            monkeypatch.setattr(simhash, "LINKS", links)
+            assert index.components(radius).tolist() == want.tolist()

@@ -139,7 +139,9 @@ def drawn_texts(texts: DataFrame, most: int) -> DataFrame:
     quota = {lang: k + (n[lang] - k) * left // open_ if open_ > left else n[lang] for lang, k in least.items()}
     # a threshold on the hash lets twice the share through (all, where that is few), so that no task gets a language's pairs
     cut = {lang: min(1.0, 2 * max(k, 100) / n[lang]) for lang, k in quota.items()}
-    share = pairs.sparkSession.createDataFrame([(lang, k, int(cut[lang] * (1 << 40)) + 1) for lang, k in quota.items()], "lang string, quota long, cut long")
+    # literals, as a table made from a list starts workers of its own on the executors, which stay for a minute
+    shares = [F.struct(F.lit(lang).alias("lang"), F.lit(k).cast("long").alias("quota"), F.lit(int(cut[lang] * (1 << 40)) + 1).cast("long").alias("cut")) for lang, k in quota.items()]
+    share = pairs.sparkSession.range(1).select(F.inline(F.array(*shares)))
     near = pairs.join(F.broadcast(share), "lang").filter(F.pmod(F.col("h"), F.lit(1 << 40)) < F.col("cut"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(F.col("h"), F.lit(1 << 40)), "h"))
     return near.withColumn("nth", nth).filter("nth <= quota").select("h", "lang")

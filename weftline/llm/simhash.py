@@ -26,6 +26,9 @@ from .common import as_bytes, parts, reliable, table, whole_row, with_hot
 FEW = 2_000_000
 #: Children of an index node, rows indexed together, and probes between two looks at what is joined.
 FAN_OUT, SHARD_ROWS, PROBES = 8, 100_000, 8_192
+#: Pairs of a probe and a node that go down a level together, and links found before they are joined;
+#: they bound the memory of a search, however dense a group is.
+WIDE, LINKS = 1 << 14, 50_000
 
 
 def shingle_hashes(raw: bytes, width: int):
@@ -161,10 +164,19 @@ class GrayIndex:
         for at, same in self._rounds(lambda: labels):
             found: list[tuple] = []
             self._probe(len(self.levels) - 1, *at, radius, labels, same, found, True)
-            if found:
-                labels = unite(labels, np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found]))
+            self._join(labels, found)
         return labels
 
+    def _join(self, labels, found) -> None:
+        """Join in labels, in place, what was found, and forget it.
+
+        What a round knows of its nodes stays right: a label that a probe still has was joined to no smaller
+        one, so all rows that had it have it still.
+        """
+        if found:
+            labels[:] = unite(labels, self.np.concatenate([a for a, _ in found]), self.np.concatenate([b for _, b in found]))
+            found.clear()
+
     def pairs(self, radius: int, labels, probes: int = PROBES):
         """Arrays of all rows (a, b), a before b, that differ in at most radius bits and have different labels.
 
@@ -201,7 +213,7 @@ class GrayIndex:
         q, node, differ = q[ahead], node[ahead], differ[ahead]
         if not len(q):
             return
-        if len(q) > 500_000:
+        if len(q) > WIDE:
             half = len(q) // 2
             self._probe(level, q[:half], node[:half], differ[:half], radius, labels, same, found, joined)
             self._probe(level, q[half:], node[half:], differ[half:], radius, labels, same, found, joined)
@@ -227,10 +239,12 @@ class GrayIndex:
         if level:
             self._probe(level - 1, q, child, differ, radius, labels, same, found, joined)
             return
-        ahead = child > q
+        ahead = (child > q) & (labels[child] != labels[q])
         q, child, differ = q[ahead], child[ahead], differ[ahead]
         link = differ + np.bitwise_count((self.bits[q] ^ self.bits[child]) & self.open[child]).sum(axis=1, dtype=np.int64) <= radius
         found.append((q[link], child[link]))
+        if joined and sum(len(a) for a, _ in found) > LINKS:
+            self._join(labels, found)
 
 
 def keys_of(names: list[str], n_blocks: int, radius: int) -> list[Column]:

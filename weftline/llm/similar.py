@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, parts, reliable, with_hot
+from .common import as_bytes, give_back, parts, reliable, with_hot
 from .simhash import components_of, cut_groups, fingerprint, groups_of, in_shards, indexed, shingle_hashes, unite
 
 #: Least similarity of a link as a fraction; sets below LEAST shingles are linked only to equal ones.
@@ -161,6 +161,8 @@ def grouped(met: DataFrame, n_rows: int) -> DataFrame:
             labels = unite(np.arange(len(ident)), at[:, 0], at[:, 1])
             at = (labels != np.arange(len(labels))).nonzero()[0]
             yield pa.RecordBatch.from_pydict({"a": pa.array(ident[at]), "b": pa.array(ident[labels[at]])})
+            del rows, found, ident, at, labels
+            give_back()
 
     rows = in_shards(met, ["item"], "k0", n_rows).select("item", "part", "k0", "n", *PRINTS)
     found = components_of(rows.mapInArrow(run, "a long, b long"))
